@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geofold.llm import packing, simhash
+from geofold.llm import line_rules, packing, sharding, simhash
 from geofold.llm.common import table
 
 
@@ -26,5 +26,15 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_vector_packing)}
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_rules.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_vector_packing, op3_sampled_splitters, op4_line_frequency)}
 ORACLE_SQL: dict[str, str] = {}
