@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geofold.llm import html_text, line_rules, mixing, packing, sharding, simhash, topk, url_rules
+from geofold.llm import classifier, html_text, line_rules, mixing, packing, sharding, simhash, topk, url_rules
 from geofold.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -56,7 +61,7 @@ def op9_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_vector_packing, op3_sampled_splitters, op4_line_frequency, op6_line_block_text, op7_block_mixing, op8_host_trust, op9_va_file_search)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_vector_packing, op3_sampled_splitters, op4_line_frequency, op5_random_indexing_quality, op6_line_block_text, op7_block_mixing, op8_host_trust, op9_va_file_search)}
 ORACLE_SQL: dict[str, str] = {
     "op9_va_file_search": """
         WITH w AS (
