@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geofold.llm import classifier, html_text, line_rules, mixing, packing, sharding, simhash, topk, url_rules
+from geofold.llm import classifier, html_text, line_rules, lm, mixing, packing, sharding, simhash, topk, url_rules
 from geofold.llm.common import table
 
 
@@ -61,7 +61,11 @@ def op9_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_vector_packing, op3_sampled_splitters, op4_line_frequency, op5_random_indexing_quality, op6_line_block_text, op7_block_mixing, op8_host_trust, op9_va_file_search)}
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_vector_packing, op3_sampled_splitters, op4_line_frequency, op5_random_indexing_quality, op6_line_block_text, op7_block_mixing, op8_host_trust, op9_va_file_search, op10_backoff_automaton)}
 ORACLE_SQL: dict[str, str] = {
     "op9_va_file_search": """
         WITH w AS (
