@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from geofold.plans import geometry, measures, meshes, neighbours, pixels
+
+_PARTS = (measures, geometry, neighbours, meshes, pixels)
+QUERIES = {name: q for part in _PARTS for name, q in part.BOOK.queries.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.BOOK.sql.items()}
