@@ -1,3 +1,144 @@
-from geofold.plans.book import Book
+"""Mesh queries: edges, components, clean-up, distances, unions, skinning."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geofold.functions.geom import r6
+from geofold.operators import knn, mesh, stats
+from geofold.plans.book import Book, q6
+from geofold.plans.fixtures import CORNERED, EDGES, FACES, SPLATS, TRIPLES, corner_triples, faces, splats, table, vertices
 
 BOOK = Book()
+
+
+@BOOK.query(f"WITH {EDGES} SELECT u, v, count(*) AS uses FROM edges GROUP BY u, v")
+def edge_usage(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.edge_usage(faces(spark, d))
+
+
+@BOOK.query(f"WITH {EDGES}, n AS (SELECT count(*) AS uses FROM edges GROUP BY u, v) SELECT count(*) AS edges, count(*) FILTER (uses = 1) AS boundary, count(*) FILTER (uses = 2) AS manifold, count(*) FILTER (uses > 2) AS non_manifold FROM n")
+def edge_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.edge_kinds(faces(spark, d))
+
+
+ADJACENT = EDGES + ", adjacent AS (SELECT u, v, min(fid) AS f, max(fid) AS g FROM edges GROUP BY u, v HAVING count(*) = 2 AND min(fid) < max(fid))"
+
+
+@BOOK.query(f"WITH {ADJACENT} SELECT * FROM adjacent")
+def adjacent_faces(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.adjacent_faces(faces(spark, d))
+
+
+@BOOK.query(f"WITH {EDGES} SELECT fid, u, v, count(*) OVER (PARTITION BY u, v) >= 2 AS repeated FROM edges")
+def duplicate_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = mesh.edges(faces(spark, d))
+    uses = e.groupBy("u", "v").agg((F.count("*") >= 2).alias("repeated"))
+    return e.join(uses, ["u", "v"]).select("fid", "u", "v", "repeated")
+
+
+NORMALS = CORNERED + ", cross_ AS (SELECT fid, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM cornered), normals AS (SELECT fid, nx / n AS nx, ny / n AS ny, nz / n AS nz FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n FROM cross_) WHERE n > 1e-20)"
+ANGLES = NORMALS + ", edges AS (SELECT fid, unnest([least(a, b), least(b, c), least(c, a)]) AS u, unnest([greatest(a, b), greatest(b, c), greatest(c, a)]) AS v FROM faces), adjacent AS (SELECT min(fid) AS f, max(fid) AS g FROM edges GROUP BY u, v HAVING count(*) = 2 AND min(fid) < max(fid)), angles AS (SELECT f, g, degrees(acos(greatest(-1, least(1, p.nx * q.nx + p.ny * q.ny + p.nz * q.nz)))) AS raw, degrees(acos(greatest(-1, least(1, abs(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz))))) AS folded FROM adjacent JOIN normals p ON p.fid = f JOIN normals q ON q.fid = g)"
+
+
+@BOOK.query(f"WITH {NORMALS} SELECT fid, {q6('nx', 'nx')}, {q6('ny', 'ny')}, {q6('nz', 'nz')} FROM normals")
+def face_normals(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.normals(faces(spark, d), vertices(spark, d)).select("fid", *(r6(f"n{c}").alias(f"n{c}") for c in "xyz"))
+
+
+@BOOK.query(f"WITH {ANGLES} SELECT count(*) AS n, round(avg(raw), 4) AS mean, round(median(raw), 4) AS median, round(quantile_cont(folded, 0.9), 4) AS p90 FROM angles")
+def dihedral_stats(spark: SparkSession, d: str) -> DataFrame:
+    a = mesh.dihedral_angles(faces(spark, d), vertices(spark, d))
+    return a.agg(F.count("*").alias("n"), F.round(F.avg("raw"), 4).alias("mean"), F.round(F.median("raw"), 4).alias("median"), F.round(F.percentile("folded", F.lit(0.9)), 4).alias("p90"))
+
+
+@BOOK.query(f"WITH {ANGLES}, n AS (SELECT CAST(least(floor(raw / 10), 17) AS INTEGER) AS bin, count(*) AS n FROM angles GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(18) t(i) LEFT JOIN n ON bin = i")
+def dihedral_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(mesh.dihedral_angles(faces(spark, d), vertices(spark, d)), "raw", 10.0, 18)
+
+
+@BOOK.query()
+def face_components(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.face_components(faces(spark, d))
+
+
+@BOOK.query()
+def fragment_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = mesh.fragment_stats(mesh.face_components(faces(spark, d)))
+    return s.withColumn("largest_share", r6("largest_share"))
+
+
+@BOOK.query(f"WITH {TRIPLES}, t AS (SELECT l_orderkey * 10 + l_linenumber AS fid, a, b, c FROM triples WHERE a <> b AND b <> c AND a <> c) SELECT count(*) AS faces, count(DISTINCT list_sort([a, b, c])) AS different FROM t")
+def dedupe_triangles(spark: SparkSession, d: str) -> DataFrame:
+    t = corner_triples(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fid"), "a", "b", "c")
+    proper = t.where("a != b AND b != c AND a != c").agg(F.count("*").alias("faces"))
+    return proper.join(mesh.deduplicated(t).agg(F.count("*").alias("different")))
+
+
+@BOOK.query(f"WITH {SPLATS}, k AS (SELECT min(id) AS kept, round(x, 1) AS rx, round(y, 1) AS ry, round(z, 1) AS rz FROM splats GROUP BY ALL) SELECT count(*) AS kept, CAST(sum(kept) AS BIGINT) AS ids FROM k")
+def merged_vertices(spark: SparkSession, d: str) -> DataFrame:
+    v, _ = mesh.merged_vertices(vertices(spark, d), faces(spark, d), 1)
+    return v.agg(F.count("*").alias("kept"), F.sum("vid").alias("ids"))
+
+
+@BOOK.query(f"WITH {FACES}, {SPLATS}, new AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM splats WHERE opacity > 0.5) SELECT fid, p.n AS a, q.n AS b, r.n AS c FROM faces JOIN new p ON p.id = a JOIN new q ON q.id = b JOIN new r ON r.id = c")
+def submesh_remap(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.submesh(faces(spark, d), splats(spark, d).where("opacity > 0.5").select(F.col("id").alias("vid")))
+
+
+@BOOK.query(f"WITH {FACES}, {SPLATS}, n AS (SELECT (SELECT max(id) + 1 FROM splats) AS dv, (SELECT max(fid) + 1 FROM faces) AS df) SELECT fid, a, b, c FROM faces UNION ALL SELECT fid + df, a + dv, b + dv, c + dv FROM faces, n")
+def mesh_union_offset(spark: SparkSession, d: str) -> DataFrame:
+    f = faces(spark, d)
+    return mesh.concatenated((vertices(spark, d), f), (vertices(spark, d), f))[1]
+
+
+@BOOK.query(f"WITH {EDGES}, {SPLATS}, pairs AS (SELECT DISTINCT u, v FROM edges), both_ AS (SELECT u AS vid, v AS o FROM pairs UNION ALL SELECT v, u FROM pairs), m AS (SELECT vid, avg(x) AS mx FROM both_ JOIN splats ON id = o GROUP BY vid) SELECT id AS vid, {q6('x + 0.5 * (coalesce(mx, x) - x)', 'x')} FROM splats LEFT JOIN m ON vid = id")
+def laplacian_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.smoothed(vertices(spark, d), faces(spark, d)).select("vid", r6("x").alias("x"))
+
+
+@BOOK.query(f"WITH {EDGES}, {SPLATS} SELECT (SELECT count(*) FROM splats) + (SELECT count(*) FROM (SELECT DISTINCT u, v FROM edges)) AS vertices, 4 * (SELECT count(*) FROM faces) AS faces")
+def subdivide(spark: SparkSession, d: str) -> DataFrame:
+    v, f = mesh.subdivided(vertices(spark, d), faces(spark, d))
+    return v.agg(F.count("*").alias("vertices")).join(f.agg(F.count("*").alias("faces")))
+
+
+@BOOK.query(f"WITH {CORNERED} SELECT fid, {q6('(ax + bx + cx) / 3', 'x')}, {q6('(ay + by_ + cy) / 3', 'y')} FROM cornered")
+def face_vertex_join(spark: SparkSession, d: str) -> DataFrame:
+    corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
+    return corners.select("fid", *(r6((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xy"))
+
+
+@BOOK.query(f"WITH {CORNERED} SELECT fid, {q6('max(sqrt((x - (ax + bx + cx) / 3) ** 2)) / 0.1', 'ratio')} FROM (SELECT *, unnest([ax, bx, cx]) AS x FROM cornered) GROUP BY fid")
+def deformation_ratio(spark: SparkSession, d: str) -> DataFrame:
+    corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
+    mid = (F.col("ax") + F.col("bx") + F.col("cx")) / 3
+    return corners.select("fid", r6(F.greatest(*(F.abs(F.col(f"{k}x") - mid) for k in "abc")) / 0.1).alias("ratio"))
+
+
+@BOOK.query()
+def point_triangle_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of every vector, moved aside, to the nearest of the 24 faces with the nearest centres."""
+    corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
+    centres = corners.select(F.col("fid").alias("id"), *(((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xyz"))
+    points = splats(spark, d).select("id", (F.col("x") + 0.05).alias("x"), "y", "z")
+    near = knn.knn(centres, 24, points).select("i", F.col("j").alias("fid"))
+    return mesh.nearest_face_distance(points, near.join(corners, "fid")).select("i", r6("distance").alias("distance"))
+
+
+_BONES = [(0, (1.0, 0.0, 0.0, 0.1)), (1, (0.0, -1.0, 0.0, 0.0)), (2, (0.6, 0.0, 0.8, -0.2))]
+
+
+@BOOK.query(
+    f"WITH {SPLATS}, w AS (SELECT l_partkey % n AS vid, l_linenumber % 3 AS bone, sum(l_quantity) AS w FROM lineitem, (SELECT count(*) AS n FROM embeddings) GROUP BY ALL), s AS (SELECT vid, bone, w / sum(w) OVER (PARTITION BY vid) AS share FROM w WHERE w > 0), b AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({b}, {r[0]}::DOUBLE, {r[1]}::DOUBLE, {r[2]}::DOUBLE, {r[3]}::DOUBLE)" for b, r in _BONES)
+    + f") t(bone, m0, m1, m2, m3)) SELECT vid, {q6('sum(share * (m0 * x + m1 * y + m2 * z + m3))', 'x')} FROM s JOIN b USING (bone) JOIN splats ON id = vid GROUP BY vid"
+)
+def skinning(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    weights = table(spark, d, "lineitem").join(F.broadcast(n)).groupBy((F.col("l_partkey") % F.col("n")).alias("vid"), (F.col("l_linenumber") % 3).alias("bone")).agg(F.sum("l_quantity").alias("w"))
+    bones = spark.createDataFrame([(b, *r) for b, r in _BONES], "bone int, m00 double, m01 double, m02 double, m03 double")
+    for row in (1, 2):
+        bones = bones.withColumns({f"m{row}{k}": F.lit(0.0) for k in range(4)})
+    return mesh.skinned(vertices(spark, d), weights, F.broadcast(bones)).select("vid", r6("x").alias("x"))
