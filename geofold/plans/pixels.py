@@ -1,3 +1,177 @@
-from geofold.plans.book import Book
+"""Tiles, compositing, rasters, maps, level crossings and image measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geofold.functions.geom import r6
+from geofold.operators import field, mesh, ordering, raster, stats
+from geofold.operators.shared import stash
+from geofold.plans.book import Book, q6
+from geofold.plans.fixtures import CORNERED, IMAGE, LOG, faces, image, log, splats, table, vertices
+from geofold.plans.geometry import EWA, screen
 
 BOOK = Book()
+W = H = 64
+#: Side of the raster of triangles, many of which reach across it.
+R = 16
+
+TILED = EWA + f""", boxes AS (SELECT *, CAST(least({W // 16}, greatest(0, floor((u - radius) / 16))) AS INTEGER) AS x0, CAST(least({W // 16}, greatest(0, floor((u + radius + 15) / 16))) AS INTEGER) AS x1, CAST(least({H // 16}, greatest(0, floor((v - radius) / 16))) AS INTEGER) AS y0, CAST(least({H // 16}, greatest(0, floor((v + radius + 15) / 16))) AS INTEGER) AS y1 FROM screen WHERE zc > 0.2),
+tiled AS (SELECT b.*, CAST(ty * {W // 16} + tx AS INTEGER) AS tile FROM boxes b, LATERAL (SELECT unnest(range(y0, y1)) AS ty) t1, LATERAL (SELECT unnest(range(x0, x1)) AS tx) t2)"""
+
+
+def _screen(spark, d):
+    """Written once: filters on places in the image would else be pushed into the long arithmetic behind them."""
+    return stash(screen(spark, d), "screen")
+
+
+def _tiled(spark, d):
+    return raster.tiles(_screen(spark, d).where("depth > 0.2"), W, H)
+
+
+@BOOK.query(f"WITH {TILED} SELECT id, tile FROM tiled")
+def tile_expand(spark: SparkSession, d: str) -> DataFrame:
+    return _tiled(spark, d).select("id", "tile")
+
+
+@BOOK.query(f"WITH {TILED}, n AS (SELECT tile, row_number() OVER (ORDER BY tile, zc, id) - 1 AS n FROM tiled) SELECT tile, min(n) AS first, max(n) + 1 AS last FROM n GROUP BY tile")
+def tile_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.run_ranges(_tiled(spark, d), ["tile"], ["depth", "id"])
+
+
+PIXELS = TILED + f", pixels AS (SELECT t.*, row, col FROM tiled t, LATERAL (SELECT unnest(range(tile // {W // 16} * 16, least(tile // {W // 16} * 16 + 16, {H}))) AS row) a, LATERAL (SELECT unnest(range(tile % {W // 16} * 16, least(tile % {W // 16} * 16 + 16, {W}))) AS col) b), powers AS (SELECT *, -0.5 * (k0 * (u - col) ** 2 + k2 * (v - row) ** 2) - k1 * (u - col) * (v - row) AS power FROM pixels), alphas AS (SELECT *, least(0.99, opacity * exp(power)) AS alpha FROM powers WHERE power <= 0), lit AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY row, col ORDER BY zc, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS t FROM alphas WHERE alpha >= 1 / 255.0), used AS (SELECT * FROM lit WHERE t * (1 - alpha) >= 1e-4)"
+
+
+def _fragments(spark, d):
+    power, alpha = raster.splat_alpha()
+    return raster.tile_pixels(_tiled(spark, d), W, H).withColumn("power", power).where("power <= 0").withColumn("alpha", alpha)
+
+
+@BOOK.query(f"WITH {PIXELS} SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(f0 * alpha * t), 5) + 0.0 AS value, round(min(t * (1 - alpha)), 5) + 0.0 AS light, count(*) AS layers FROM used GROUP BY row, col")
+def splat_render(spark: SparkSession, d: str) -> DataFrame:
+    """Colour of every pixel, nearest splats first."""
+    out = raster.composited(_fragments(spark, d), ["row", "col"], ["depth", "id"], ["f0"])
+    return out.select("row", "col", r6("f0", 5).alias("value"), r6("light", 5).alias("light"), "layers")
+
+
+@BOOK.query(f"WITH {PIXELS} SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(zc * alpha * t), 5) + 0.0 AS depth, round(sum(abs(nz) * alpha * t), 5) + 0.0 AS normal FROM used GROUP BY row, col")
+def depth_normal_render(spark: SparkSession, d: str) -> DataFrame:
+    """Depth and camera-facing normal by the same blending."""
+    rows = _fragments(spark, d).withColumn("normal", F.abs("nz"))
+    out = raster.composited(rows, ["row", "col"], ["depth", "id"], ["depth", "normal"])
+    return out.select("row", "col", r6("depth", 5).alias("depth"), r6("normal", 5).alias("normal"))
+
+
+@BOOK.query(f"WITH {LOG}, a AS (SELECT run, iteration, least(0.99, value / 300) AS alpha, value FROM log), lit AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS t FROM a WHERE alpha >= 1 / 255.0), used AS (SELECT * FROM lit WHERE t * (1 - alpha) >= 1e-4) SELECT run, round(sum(value * alpha * t) + min(t * (1 - alpha)), 5) AS value, count(*) AS layers FROM used GROUP BY run")
+def alpha_composite(spark: SparkSession, d: str) -> DataFrame:
+    rows = log(spark, d).withColumn("alpha", F.least(F.lit(0.99), F.col("value") / 300))
+    return raster.composited(rows, ["run"], ["iteration"], ["value"], background=1.0).select("run", F.round("value", 5).alias("value"), "layers")
+
+
+def _flat(spark, d):
+    corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
+    place = [((F.col(f"{k}{c}") + 0.5) * R).alias(f"{k}{n}") for k in "abc" for c, n in (("x", "u"), ("y", "v"))]
+    return corners.select("fid", *place, *(F.col(f"{k}z") for k in "abc"))
+
+
+FLAT = CORNERED + f", flat AS (SELECT fid, (ax + 0.5) * {R} AS au, (ay + 0.5) * {R} AS av, (bx + 0.5) * {R} AS bu, (by_ + 0.5) * {R} AS bv, (cx + 0.5) * {R} AS cu, (cy + 0.5) * {R} AS cv, az, bz, cz FROM cornered), " + f"centres AS (SELECT r.i AS row, c.i AS col, c.i + 0.5 AS x, r.i + 0.5 AS y FROM range({R}) r(i), range({R}) c(i))"
+SIDES = FLAT + ", sides AS (SELECT row, col, fid, az, bz, cz, (cu - bu) * (y - bv) - (cv - bv) * (x - bu) AS e0, (au - cu) * (y - cv) - (av - cv) * (x - cu) AS e1, (bu - au) * (y - av) - (bv - av) * (x - au) AS e2 FROM flat JOIN centres ON x BETWEEN least(au, bu, cu) AND greatest(au, bu, cu) AND y BETWEEN least(av, bv, cv) AND greatest(av, bv, cv)), hits AS (SELECT row, col, fid, (e0 * az + e1 * bz + e2 * cz) / (e0 + e1 + e2) AS z FROM sides WHERE e0 + e1 + e2 <> 0 AND e0 * (e0 + e1 + e2) >= 0 AND e1 * (e0 + e1 + e2) >= 0 AND e2 * (e0 + e1 + e2) >= 0), nearest AS (SELECT row, col, min(z) AS z FROM hits GROUP BY row, col)"
+
+
+@BOOK.query(f"WITH {SIDES} SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, {q6('z', 'z')} FROM nearest")
+def triangle_raster(spark: SparkSession, d: str) -> DataFrame:
+    return raster.triangle_pixels(_flat(spark, d), R, R).select("row", "col", r6("z").alias("z"))
+
+
+@BOOK.query(f"WITH {SIDES} SELECT {q6(f'(SELECT count(*) FROM nearest) / {R * R}', 'coverage')}, {q6('coalesce((SELECT quantile_cont(z, 0.01) FROM nearest), 0)', 'low')}, {q6('coalesce((SELECT quantile_cont(z, 0.99) FROM nearest), 1)', 'high')}")
+def pixel_coverage(spark: SparkSession, d: str) -> DataFrame:
+    hit = raster.triangle_pixels(_flat(spark, d), R, R)
+    return hit.agg(r6(F.count("*") / (R * R)).alias("coverage"), r6(F.coalesce(F.percentile("z", F.lit(0.01)), F.lit(0.0))).alias("low"), r6(F.coalesce(F.percentile("z", F.lit(0.99)), F.lit(1.0))).alias("high"))
+
+
+@BOOK.query(f"WITH {SIDES}, one AS (SELECT n.row, n.col, n.z, min(fid) AS fid FROM nearest n JOIN hits h ON h.row = n.row AND h.col = n.col AND h.z = n.z GROUP BY ALL) SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, {q6('f0', 'f0')} FROM one JOIN splats ON splats.id = fid // 2 % (SELECT count(*) FROM splats)")
+def pixel_face_splat(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel to face to the splat bound to it."""
+    n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    hit = raster.triangle_pixels(_flat(spark, d), R, R).join(F.broadcast(n)).withColumn("id", F.floor(F.col("fid") / 2) % F.col("n"))
+    return hit.join(splats(spark, d).select("id", "f0"), "id").select("row", "col", r6("f0").alias("f0"))
+
+
+@BOOK.query(f"WITH {IMAGE} SELECT img, row, col, {q6('coalesce((lead(value) OVER a - lag(value) OVER a) / 2, 0)', 'd_col')}, {q6('coalesce((lead(value) OVER b - lag(value) OVER b) / 2, 0)', 'd_row')} FROM image WINDOW a AS (PARTITION BY img, row ORDER BY col), b AS (PARTITION BY img, col ORDER BY row)")
+def central_difference(spark: SparkSession, d: str) -> DataFrame:
+    g = raster.central_differences(image(spark, d), "value", ["img"])
+    return g.select("img", "row", "col", r6("d_col").alias("d_col"), r6("d_row").alias("d_row"))
+
+
+DEPTH = IMAGE + ", depth AS (SELECT img, row, col, CASE WHEN value > -0.15 THEN 2 + value END AS depth FROM image), d AS (SELECT img, row, col, coalesce(depth, 0) AS depth FROM depth), g AS (SELECT *, lag(depth) OVER a AS l, lead(depth) OVER a AS r, lag(depth) OVER b AS u, lead(depth) OVER b AS o FROM d WINDOW a AS (PARTITION BY img, row ORDER BY col), b AS (PARTITION BY img, col ORDER BY row)), mask AS (SELECT *, depth > 0 AND coalesce(l, 0) > 0 AND coalesce(r, 0) > 0 AND coalesce(u, 0) > 0 AND coalesce(o, 0) > 0 AND row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6 AND sqrt(coalesce((r - l) / 2, 0) ** 2 + coalesce((o - u) / 2, 0) ** 2) / greatest(depth, 1e-8) < 0.05 AS valid FROM g)"
+
+
+def _valid(spark, d):
+    grid = image(spark, d).select("img", "row", "col", F.when(F.col("value") > -0.15, 2 + F.col("value")).otherwise(0.0).alias("depth"))
+    return raster.valid_depth(grid, ["img"], 8, 8, border=1, most_gradient=0.05)
+
+
+@BOOK.query(f"WITH {DEPTH} SELECT img, row, col, valid FROM mask")
+def dnc_mask(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(spark, d).select("img", "row", "col", "valid")
+
+
+@BOOK.query(f"WITH {DEPTH} SELECT {q6('coalesce(sum((1 - abs(cos(depth))) * CAST(valid AS INTEGER)), 0) / greatest(coalesce(sum(CAST(valid AS INTEGER)), 0), 1)', 'loss')} FROM mask")
+def masked_loss(spark: SparkSession, d: str) -> DataFrame:
+    return stats.masked_mean(_valid(spark, d), 1 - F.abs(F.cos("depth")), F.col("valid")).select(r6("loss").alias("loss"))
+
+
+@BOOK.query(f"WITH {IMAGE}, l AS (SELECT img, lag(value) OVER a + lead(value) OVER a + lag(value) OVER b + lead(value) OVER b - 4 * value AS lap FROM image WINDOW a AS (PARTITION BY img, row ORDER BY col), b AS (PARTITION BY img, col ORDER BY row)) SELECT img, {q6('var_pop(lap)', 'sharpness')} FROM l WHERE lap IS NOT NULL GROUP BY img")
+def sharpness(spark: SparkSession, d: str) -> DataFrame:
+    return raster.laplacian_variance(image(spark, d), "value", ["img"]).select("img", r6("sharpness").alias("sharpness"))
+
+
+@BOOK.query(f"WITH {IMAGE}, e AS (SELECT a.value - b.value AS d FROM image a JOIN image b ON b.img = a.img AND b.row = a.col AND b.col = a.row) SELECT {q6('avg(abs(d))', 'l1')}, {q6('avg(d * d)', 'mse')}, {q6('-10 * log10(avg(d * d))', 'psnr')} FROM e")
+def image_errors(spark: SparkSession, d: str) -> DataFrame:
+    img = image(spark, d)
+    e = raster.image_errors(img, img.select("img", F.col("col").alias("row"), F.col("row").alias("col"), "value"), ["img", "row", "col"], "value")
+    return e.select(*(r6(c).alias(c) for c in ("l1", "mse", "psnr")))
+
+
+@BOOK.query()
+def image_ssim(spark: SparkSession, d: str) -> DataFrame:
+    """Structural similarity of all vectors, seen as one tall image, with their mirror images."""
+    tall = image(spark, d).select((F.col("img") * 8 + F.col("row")).cast("int").alias("row"), "col", F.col("value"))
+    mirrored = tall.select("row", (7 - F.col("col")).alias("col"), "value")
+    return raster.ssim(tall, mirrored, "value").select(r6("ssim").alias("ssim"))
+
+
+@BOOK.query(f"WITH {IMAGE}, p AS (SELECT img % 10 AS cam, img % 7 AS texel, min((row, col, img, value)) AS m FROM image GROUP BY ALL) SELECT texel, {q6('avg(m[4])', 'value')}, count(*) AS n FROM p GROUP BY texel".replace("min((row, col, img, value)) AS m", "arg_min(value, (row, col, img)) AS m").replace("avg(m[4])", "avg(m)"))
+def texture_average(spark: SparkSession, d: str) -> DataFrame:
+    hits = image(spark, d).select((F.col("img") % 10).alias("cam"), (F.col("img") % 7).alias("texel"), "row", "col", "img", "value")
+    return raster.texture_average(hits, ["texel"], "cam", ["row", "col", "img"], ["value"]).select("texel", r6("value").alias("value"), "n")
+
+
+@BOOK.query(f"WITH {EWA}, {IMAGE}, mean AS (SELECT row, col, avg(value) AS value FROM image GROUP BY ALL), asked AS (SELECT id, least(greatest(u / 8, 0), 7) AS u, least(greatest(v / 8, 0), 7) AS v FROM screen), k AS (SELECT id, u - floor(u) AS fu, v - floor(v) AS fv, r.i AS r, c.i AS c, least(floor(v) + r.i, 7) AS row, least(floor(u) + c.i, 7) AS col FROM asked, range(2) r(i), range(2) c(i)) SELECT id, {q6('sum((CASE WHEN c = 1 THEN fu ELSE 1 - fu END) * (CASE WHEN r = 1 THEN fv ELSE 1 - fv END) * value)', 'value')} FROM k JOIN mean USING (row, col) GROUP BY id")
+def bilinear_lookup(spark: SparkSession, d: str) -> DataFrame:
+    grid = image(spark, d).groupBy("row", "col").agg(F.avg("value").alias("value"))
+    asked = _screen(spark, d).select("id", (F.col("u") / 8).alias("u"), (F.col("v") / 8).alias("v"))
+    return raster.bilinear(grid, asked, "value", 8, 8).select("id", r6("value").alias("value"))
+
+
+@BOOK.query(f"WITH {EWA}, {IMAGE}, mean AS (SELECT row, col, avg(value) + 1 AS depth FROM image GROUP BY ALL) SELECT s.id FROM screen s JOIN mean ON row = CAST(least(greatest(floor(v / 8), 0), 7) AS INTEGER) AND col = CAST(least(greatest(floor(u / 8), 0), 7) AS INTEGER) WHERE abs(depth - zc) < 3 * s2")
+def near_surface(spark: SparkSession, d: str) -> DataFrame:
+    depth = image(spark, d).groupBy("row", "col").agg((F.avg("value") + 1).alias("map_depth"))
+    cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / 8), F.lit(0)), F.lit(7)).cast("int")
+    rows = _screen(spark, d).withColumn("row", cell("v")).withColumn("col", cell("u"))
+    return rows.join(depth, ["row", "col"]).where(F.abs(F.col("map_depth") - F.col("depth")) < 3 * F.col("s2")).select("id")
+
+
+@BOOK.query(f"WITH {LOG}, r AS (SELECT run, iteration, value, lag(value) OVER w AS v0, first(value) OVER w AS f FROM log WINDOW w AS (PARTITION BY run ORDER BY iteration)), c AS (SELECT run, arg_min((value, v0, iteration), iteration) AS c FROM r WHERE value > 60 AND v0 IS NOT NULL AND f < 60 GROUP BY run) SELECT run, {q6('c[3] - 1 + (60 - c[2]) / (c[1] - c[2])', 'at')} FROM c".replace("arg_min((value, v0, iteration), iteration) AS c", "arg_min(value, iteration) AS a, arg_min(v0, iteration) AS b, min(iteration) AS t").replace("c[3] - 1 + (60 - c[2]) / (c[1] - c[2])", "t - 1 + (60 - b) / (a - b)"))
+def level_crossing(spark: SparkSession, d: str) -> DataFrame:
+    return field.first_crossing(log(spark, d).select("run", F.col("iteration").cast("double").alias("at"), "value"), "run", "at", "value", 60.0).select("run", r6("at").alias("at"))
+
+
+@BOOK.query("SELECT 512 AS cells, round(sum(x), 6) AS x, round(sum(x * y * z), 6) AS xyz FROM (SELECT a.i / 7.0 AS x, b.i / 7.0 AS y, c.i / 7.0 AS z FROM range(8) a(i), range(8) b(i), range(8) c(i))".replace("512 AS cells", "count(*) AS cells"))
+def probe_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """A cube of probes: one row for each cell, made from its number."""
+    n = 8
+    i = spark.range(n**3)
+    rows = i.select((F.col("id") % n / (n - 1)).alias("x"), (F.floor(F.col("id") / n) % n / (n - 1)).alias("y"), (F.floor(F.col("id") / n**2) / (n - 1)).alias("z"))
+    return rows.agg(F.count("*").alias("cells"), F.round(F.sum("x"), 6).alias("x"), F.round(F.sum(F.col("x") * F.col("y") * F.col("z")), 6).alias("xyz"))
