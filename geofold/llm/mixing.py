@@ -204,9 +204,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = lambda a, b, c: F.xxhash64(a.cast("string"), b.cast("string"), c)
     pieces, places, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     own = docs.withColumn("__key", key(docs[id_col], docs[source_col], docs[text_col])).dropDuplicates(["__key"])
-    text_of = places.select("row_id", F.col("key"))
-    spans = pieces.join(text_of, "row_id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("__spans"))
-    joined = own.join(spans, own["__key"] == spans["key"])
+    text_of = places.select("row_id", F.col("key").alias("__mix_key"))
+    spans = pieces.join(text_of, "row_id").groupBy("__mix_key").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("__spans"))
+    joined = own.join(spans, own["__key"] == spans["__mix_key"])
 
     @F.pandas_udf("string")
     def cut(texts, all_spans):
