@@ -2,53 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geofold.operators.shared import stash, unstash
+
+__all__ = ["JAVA_WORD", "doc_crc", "stash", "table", "text_bytes", "unstash"]
+
 #: Words are maximal runs without ASCII white space; bytes.split() has exactly this rule on UTF-8.
 JAVA_WORD = r"[^\x20\x09-\x0D]+"
-#: Held by Spark when it is set; a local folder only stands in where it isn't (tests).
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='geofold-checkpoint-')}"
-        spark.conf.set(CHECKPOINT_CONF, path)
-    return path.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
-
-    Cuts the lineage; the files survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/geofold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._geofold_path = path
-    return out
-
-
-def unstash(df: DataFrame | None) -> None:
-    """Delete a table written by ``stash`` that no later step reads."""
-    path = getattr(df, "_geofold_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa
