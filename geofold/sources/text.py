@@ -28,7 +28,7 @@ def intrinsics(spark: SparkSession, path: str) -> DataFrame:
 
 def extrinsics(spark: SparkSession, path: str) -> DataFrame:
     """Two lines for each image: the pose, then its points. A file is one partition's lines in order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.filter(F.split("value", r"\r?\n"), lambda x: ~F.startswith(x, F.lit("#"))).alias("lines"))
+    rows = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: ~F.startswith(x, F.lit("#"))).alias("lines"))
     heads = rows.select(F.posexplode("lines").alias("p", "head"), "lines").where("p % 2 = 0 AND trim(head) != ''").select(F.split(F.trim("head"), r"\s+").alias("w"), F.split(F.trim(F.coalesce(F.get("lines", F.col("p") + 1), F.lit(""))), r"\s+").alias("pts"))
     n = F.floor(F.size("pts") / 3).cast("int")
     at = lambda i, k: F.get("pts", 3 * i + k).try_cast("double")
@@ -73,7 +73,7 @@ def posed_cameras(images: DataFrame, cameras: DataFrame) -> DataFrame:
 def camera_list(spark: SparkSession, path: str, removed: tuple[int, ...] = ()) -> DataFrame:
     """Cameras of a JSON list without those at the removed places; of equal names the last stays; sorted by name."""
     schema = "array<struct<id:int,img_name:string,width:int,height:int,position:array<double>,rotation:array<array<double>>,fx:double,fy:double>>"
-    items = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", schema)).alias("at", "c"))
+    items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("at", "c"))
     kept = items.where(~F.col("at").isin(*removed)) if removed else items
     return kept.groupBy(F.col("c.img_name").alias("k")).agg(F.max_by("c", "at").alias("c")).select("c.*").orderBy("img_name")
 
@@ -125,7 +125,7 @@ def grid_settings(spark: SparkSession, path: str) -> DataFrame:
 
 def patch_counts(spark: SparkSession, path: str) -> DataFrame:
     """(patch, file, added, removed) of unified diffs; a patch's lines are taken in order."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("patch"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("patch"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     file = F.last(F.nullif(F.regexp_extract("line", r"^\+\+\+ (?:b/)?(\S+)", 1), F.lit("")), ignorenulls=True).over(Window.partitionBy("patch").orderBy("n"))
     rows = docs.withColumn("file", file).where("file IS NOT NULL")
     plus = F.startswith("line", F.lit("+")) & ~F.startswith("line", F.lit("+++"))
