@@ -39,7 +39,7 @@ MAX_EPOCHS = 2
 SHARDS = 256
 SEED = 7
 #: Rows that one window orders, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS) -> list[float]:
