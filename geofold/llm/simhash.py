@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp"), block))
     named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written, so that a root with very many nodes is a skewed join's key that Spark can split
+    ids = stash(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-ids")
     labels = stash(named.join(ids, "root").select(F.col("fp").alias("node_fp"), "component_id"), "simhash-labels")
     return fp.join(labels, fp["fp"] == labels["node_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
