@@ -4,8 +4,8 @@ A line is normalised (ASCII lower case, single spaces, digits as 0) and hashed.
 Over the documents with different texts of a host (copies of one text count once),
 each line is counted once for a document. A line is over the limit if more than
 ``max(MIN_DOCS, MAX_SHARE * documents of the host)`` documents hold it. It is removed;
-a document whose remaining words are fewer than ``MIN_LEFT`` of its words, or
-than ``MIN_WORDS``, is depleted and rejected. Base rules on the whole text come first.
+a document whose remaining words are fewer than ``MIN_LEFT`` of its words is depleted
+and rejected. Base rules on the whole text come first.
 
 Counts are aggregated before they are shuffled, so a line that a third of all documents
 hold is a few rows in each task.
@@ -113,7 +113,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     left = F.col("n_words") - F.col("removed_words")
     joined = described.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    depleted = (F.col("removed_words") > 0) & ((left < min_left * F.col("n_words")) | (left < MIN_WORDS))
+    depleted = (F.col("removed_words") > 0) & (left < min_left * F.col("n_words"))
     return joined.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted).drop("row_id")
 
 
