@@ -111,7 +111,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def plan(places: DataFrame, weights=WEIGHTS, total_share=TOTAL_SHARE, max_epochs=MAX_EPOCHS, block_words=BLOCK_WORDS) -> list[dict]:
-    """For each source, in order: name, size, target, blocks, draws and the words of its last draw. One driver row a source."""
+    """For each source, in order: name, size, target, blocks and draws. The driver holds one row and SHARDS counts for each source."""
     found = places.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     out = []
@@ -152,8 +152,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not any(s["draws"] for s in sources):
         none = places.where("false").select(F.lit(0).alias("shard"), F.lit(0).alias("source_no"), F.lit(0).cast("long").alias("draw"), F.lit(0).cast("long").alias("block"), "row_id", "doc_id", F.col("start").alias("first_word"), F.col("size").alias("words"))
         return none, places, sources
-    names = spark.createDataFrame([(i, s["source"], s["blocks"], s["size"], int(s["target"])) for i, s in enumerate(sources)], "source_no int, name string, blocks long, source_words long, target_words long")
-    own = places.where("size > 0").join(F.broadcast(names), places["source"].eqNullSafe(names["name"]))
+    names = spark.createDataFrame([(i, s["source"], s["blocks"], s["size"], int(s["target"]), _turn_of(s, i, seed)) for i, s in enumerate(sources)], "source_no int, name string, blocks long, source_words long, target_words long, last_at long")
+    own = places.where("size > 0").join(names, places["source"].eqNullSafe(names["name"]))
     spans = own.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))).select(
         "source_no", "block", "row_id", "doc_id", "start",
         F.greatest("start", F.col("block") * block_words).alias("from"),
@@ -163,10 +163,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # draw j of a source: words before it, if only the source's last block is short
     n = F.col("blocks")
     short = n * block_words - F.col("source_words")
-    last_at = F.element_at(F.array(*(F.lit(_turn_of(s, i, seed)).cast("long") for i, s in enumerate(sources))), F.col("source_no") + 1)
-    passed = F.floor(F.col("draw") / n) + (F.col("draw") % n > last_at).cast("long")
+    passed = F.floor(F.col("draw") / n) + (F.col("draw") % n > F.col("last_at")).cast("long")
     allowed = F.col("target_words") - (F.col("draw") * block_words - passed * short)
-    room = taken.join(F.broadcast(names.drop("name")), "source_no").withColumn("allowed", allowed).where("allowed > 0").select("shard", "source_no", "draw", "block", "allowed")
+    room = taken.join(names.drop("name"), "source_no").withColumn("allowed", allowed).where("allowed > 0").select("shard", "source_no", "draw", "block", "allowed")
     joined = room.join(spans, ["source_no", "block"])
     end = F.least(F.col("to"), F.col("block") * block_words + F.col("allowed"))
     pieces = joined.withColumn("words", end - F.col("from")).where("words > 0")
@@ -192,7 +191,7 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     names = spark.createDataFrame([(s["source"], s["size"], s["target"]) for s in sources], "name string, source_size long, target double")
     taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
     joined = places.join(taken, "row_id", "left")
-    return joined.join(F.broadcast(names), joined["source"].eqNullSafe(names["name"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return joined.join(names, joined["source"].eqNullSafe(names["name"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:

@@ -35,6 +35,8 @@ OVERHEAD = 16
 #: Bytes of a range that one task sorts, at most about; there are at least RANGES_PER_SHARD ranges for each shard.
 RANGE_BYTES = 256 << 20
 RANGES_PER_SHARD = 8
+#: Most ranges, so that splitters and their sample are bounded; a range's rows are sorted as narrow ones, without texts.
+MAX_RANGES = 16_384
 #: Sampled rows for each range, on average.
 SAMPLES = 16
 #: A row over this part of a shard's share is dealt on its own.
@@ -129,7 +131,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     dealt = ranked.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(n, shard, slot)")), "n").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
     rest = total - sum(loads)
-    ranges = max(1, shards * RANGES_PER_SHARD, rest // RANGE_BYTES)
+    ranges = max(1, shards * RANGES_PER_SHARD, min(MAX_RANGES, rest // RANGE_BYTES))
     limit = max(1.0, 2.0 * rest / ranges)
     placed = _subdivided(_ranged(small, stash(_sampled_splitters(small, rest, ranges), "splitters")), limit)
     cell = ["no", "part"]
