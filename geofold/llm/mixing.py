@@ -38,10 +38,16 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 SHARDS = 256
 SEED = 7
+#: The table of sources is broadcast up to this many rows; beyond, its joins shuffle.
+FEW_SOURCES = 50_000
 #: Rows that one window orders, about.
 RANGE_ROWS = 1_000
 
 
+def _sent(names: DataFrame, sources: list[dict]) -> DataFrame:
+    return F.broadcast(names) if len(sources) <= FEW_SOURCES else names
+
+
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS) -> list[float]:
     """Words to take from each source (in the sources' order)."""
     w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
@@ -153,7 +159,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         none = places.where("false").select(F.lit(0).alias("shard"), F.lit(0).alias("source_no"), F.lit(0).cast("long").alias("draw"), F.lit(0).cast("long").alias("block"), "row_id", "doc_id", F.col("start").alias("first_word"), F.col("size").alias("words"))
         return none, places, sources
     names = spark.createDataFrame([(i, s["source"], s["blocks"], s["size"], int(s["target"]), _turn_of(s, i, seed)) for i, s in enumerate(sources)], "source_no int, name string, blocks long, source_words long, target_words long, last_at long")
-    own = places.where("size > 0").join(names, places["source"].eqNullSafe(names["name"]))
+    own = places.where("size > 0").join(_sent(names, sources), places["source"].eqNullSafe(names["name"]))
     spans = own.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))).select(
         "source_no", "block", "row_id", "doc_id", "start",
         F.greatest("start", F.col("block") * block_words).alias("from"),
@@ -165,7 +171,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     short = n * block_words - F.col("source_words")
     passed = F.floor(F.col("draw") / n) + (F.col("draw") % n > F.col("last_at")).cast("long")
     allowed = F.col("target_words") - (F.col("draw") * block_words - passed * short)
-    room = taken.join(names.drop("name"), "source_no").withColumn("allowed", allowed).where("allowed > 0").select("shard", "source_no", "draw", "block", "allowed")
+    room = taken.join(_sent(names.drop("name"), sources), "source_no").withColumn("allowed", allowed).where("allowed > 0").select("shard", "source_no", "draw", "block", "allowed")
     joined = room.join(spans, ["source_no", "block"])
     end = F.least(F.col("to"), F.col("block") * block_words + F.col("allowed"))
     pieces = joined.withColumn("words", end - F.col("from")).where("words > 0")
@@ -191,7 +197,7 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     names = spark.createDataFrame([(s["source"], s["size"], s["target"]) for s in sources], "name string, source_size long, target double")
     taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
     joined = places.join(taken, "row_id", "left")
-    return joined.join(names, joined["source"].eqNullSafe(names["name"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return joined.join(_sent(names, sources), joined["source"].eqNullSafe(names["name"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
