@@ -12,8 +12,8 @@
    indexes; no block comes up a second time before all have come up once.
 5. Draws join the documents' pieces by (source, block index).
 
-Places in a line are sums over hash ranges of a source, then inside a range, so a source with a third
-of all rows is spread over many tasks.
+Places in a line are sums over groups of hash ranges of a source, then over ranges, then inside a range, so
+a source with a third of all rows is spread over many tasks.
 
 Defined cases: null texts have no words and are not taken; null sources are one
 source, ordered last; equal rows are placed each on its own; a source without
@@ -41,7 +41,9 @@ SEED = 7
 #: The table of sources is broadcast up to this many rows; beyond, its joins shuffle.
 FEW_SOURCES = 50_000
 #: Rows that one window orders, about.
-RANGE_ROWS = 1_000
+RANGE_ROWS = 250
+#: Ranges whose starts one window sums.
+RANGES_TOGETHER = 1_000
 
 
 def _sent(names: DataFrame, sources: list[dict]) -> DataFrame:
@@ -108,9 +110,11 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     ranges = max(1, rows.count() // RANGE_ROWS)
     cut = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * ranges)
     rows = rows.withColumn("range", F.least(cut, F.lit(ranges - 1)).cast("long")).withColumn("s", F.xxhash64("source"))
-    sums = rows.groupBy("s", "range").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("s", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("from"))
+    sums = rows.groupBy("s", "range").agg(F.sum("size").alias("words")).withColumn("many", F.floor(F.col("range") / RANGES_TOGETHER))
+    earlier = lambda keys, order: F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = sums.groupBy("s", "many").agg(F.sum("words").alias("words")).select("s", "many", earlier(["s"], "many").alias("base"))
+    fine = sums.select("s", "many", "range", earlier(["s", "many"], "range").alias("from"))
+    starts = fine.join(coarse, ["s", "many"]).select("s", "range", (F.col("base") + F.col("from")).alias("from"))
     inside = Window.partitionBy("s", "range").orderBy("h", "doc_id", "row_id")
     line = rows.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return stash(line.join(starts, ["s", "range"]).select("row_id", "doc_id", "source", "size", "key", (F.col("from") + F.col("upto") - F.col("size")).alias("start")), "mix-places")

@@ -435,3 +435,12 @@ def test_probabilities_of_a_state_sum_to_one():
         _, _, first = lm.traverse(np.array([5], np.uint64), states, words, arcs, 22, 3)
         total += 10 ** (score - first)
     assert total == pytest.approx(1.0) and at
+
+
+def test_mixing_places_do_not_depend_on_ranges(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), "en", None if i % 11 == 0 else "ab"[i % 2], 9) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = {(r["doc_id"], r["start"]) for r in mixing.placed(docs).collect()}
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "RANGES_TOGETHER", 8)
+    assert {(r["doc_id"], r["start"]) for r in mixing.placed(docs).collect()} == one
