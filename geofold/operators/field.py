@@ -64,3 +64,23 @@ def first_crossing(samples: DataFrame, ray: str, t: str, value: str, level: floa
     found = over.groupBy(ray).agg(F.min_by(at, t).alias("c"))
     share = (level - F.col("c.__v0")) / (F.col(f"c.{value}") - F.col("c.__v0"))
     return found.select(ray, (F.col("c.__t0") + share * (F.col(f"c.{t}") - F.col("c.__t0"))).alias(t))
+
+
+def level_points(rays: DataFrame, near: DataFrame, level: float, half: float = 3.0, steps: int = 21) -> DataFrame:
+    """(i, t, lx ly lz, nx ny nz): where rays first go over a density level, with the outward normal there.
+
+    rays: (i, place px py pz, direction ux uy uz, deviation sd), sampled at ``steps`` places within ``half``
+    deviations of the place. near: (i, splat columns), the splats whose shares are summed along ray i.
+    A ray without a crossing gives no row; neither does one whose density has no slope there.
+    """
+    along = [(F.col(f"p{c}") + F.col("t") * F.col(f"u{c}")).alias(f"p{c}") for c in "xyz"]
+    splat = [F.col(c) for c in SPLAT]
+    places = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("sd") * half * (2 * k / (steps - 1) - 1))
+    samples = near.join(rays, "i").withColumn("t", F.explode(places)).select("i", "t", *along, *splat)
+    raw = weights(samples).groupBy("i", "t").agg(F.sum("w").alias("raw"))
+    held = raw.select("i", "t", F.when(F.col("raw") >= 1, F.col("raw") / (F.col("raw") + 1e-12)).otherwise(F.col("raw")).alias("density"))
+    points = first_crossing(held, "i", "t", "density", level).join(rays, "i").select("i", "t", *along)
+    slope = gradient(near.join(points, "i").select("i", "px", "py", "pz", *splat))
+    steep = F.sqrt(dot(["gx", "gy", "gz"], ["gx", "gy", "gz"]))
+    out = points.join(slope, "i").withColumn("__steep", steep).where("__steep > 0")
+    return out.select("i", "t", *(F.col(f"p{c}").alias(f"l{c}") for c in "xyz"), *((-F.col(f"g{c}") / F.col("__steep")).alias(f"n{c}") for c in "xyz"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,62 @@ def dense_enough(least_opacity: float, max_radius: float | None, extent) -> Colu
     return keep
 
 
+def visible(radius: str = "radius") -> Column:
+    """Drawn with a radius on screen."""
+    return F.coalesce(F.col(radius) > 0, F.lit(False))
+
+
+#: What a step's condition may hold besides ``${name}``.
+STEP_WORDS = ("not", "and", "or", "is", "in")
+
+
+def step_runs(condition: str, settings: dict[str, bool]) -> bool:
+    """Whether a pipeline step runs: a condition of names ``${name}`` and not, and, or; `is` and `in` compare two names.
+
+    Raises ValueError on anything else, an unknown name included.
+    """
+    words = re.findall(r"\$\{\w+\}|\S+", condition)
+    if not words or any(not re.fullmatch(r"\$\{\w+\}", w) and w not in STEP_WORDS for w in words):
+        raise ValueError(f"not a step condition: {condition!r}")
+
+    def operand():
+        if not words:
+            raise ValueError(f"not a step condition: {condition!r}")
+        word = words.pop(0)
+        if word in STEP_WORDS or word[2:-1] not in settings:
+            raise ValueError(f"unknown in a step condition: {word!r}")
+        return settings[word[2:-1]]
+
+    def comparison():
+        if words and words[0] == "not":
+            words.pop(0)
+            return not comparison()
+        value = operand()
+        if words and words[0] == "is":
+            words.pop(0)
+            turned = bool(words) and words[0] == "not" and bool(words.pop(0))
+            return (value is operand()) != turned
+        if words and (words[0] == "in" or words[:2] == ["not", "in"]):
+            turned = words.pop(0) == "not" and bool(words.pop(0))
+            return (value in operand()) != turned
+        return value
+
+    def conjunction():
+        value = comparison()
+        while words and words[0] == "and":
+            words.pop(0)
+            value = comparison() and value
+        return value
+
+    value = conjunction()
+    while words and words[0] == "or":
+        words.pop(0)
+        value = conjunction() or value
+    if words:
+        raise ValueError(f"not a step condition: {condition!r}")
+    return bool(value)
+
+
 def finite(*columns: str) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns))
 

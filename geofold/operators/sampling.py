@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.operators.ordering import prefix_sum
+from geofold.operators.ordering import numbered, prefix_sum
 from geofold.operators.shared import stash
 
 
@@ -35,6 +36,12 @@ def shuffled(df: DataFrame, ids: list[str], epoch: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(*ids, F.lit(epoch)), *ids)
 
 
+def stacked(objects: list[DataFrame], order: list[str]) -> DataFrame:
+    """Objects' rows as one scene: columns of the objects, object (its place in the list) and row, numbered through the scene."""
+    parts = [o.withColumn("object", F.lit(i)) for i, o in enumerate(objects)]
+    return numbered(reduce(DataFrame.unionByName, parts), ["object", *order], "row")
+
+
 def weighted(df: DataFrame, order: list[str], weight: str, n: int, seed: int = 0, slices: int = 4096) -> DataFrame:
     """n draws with replacement, chances in proportion to weight: (draw, columns of df).
 

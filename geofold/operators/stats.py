@@ -83,3 +83,9 @@ def masked_mean(df: DataFrame, value: Column, mask: Column) -> DataFrame:
     """Sum of masked values over the mask's size, 1 at least."""
     m = mask.cast("double")
     return df.agg((F.coalesce(F.sum(value * m), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(m), F.lit(0.0)), F.lit(1.0))).alias("loss"))
+
+
+def robust_range(df: DataFrame, by: list[str], value: str, hit: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(by, low, high): exact outer percentiles of the hit values of each group; 0 and 1 for a group without a hit."""
+    only = F.when(hit, F.col(value))
+    return df.groupBy(*by).agg(F.coalesce(F.percentile(only, F.lit(low)), F.lit(0.0)).alias("low"), F.coalesce(F.percentile(only, F.lit(high)), F.lit(1.0)).alias("high"))

@@ -145,3 +145,52 @@ def test_crossing_must_start_under_the_level(spark):
     rows = [(0, 0.0, 0.2), (0, 1.0, 0.6), (0, 2.0, 0.9), (1, 0.0, 0.7), (1, 1.0, 0.9), (2, 0.0, 0.1), (2, 1.0, 0.3)]
     got = field.first_crossing(spark.createDataFrame(rows, "ray int, t double, d double"), "ray", "t", "d", 0.5).collect()
     assert [(r.ray, round(r.t, 6)) for r in got] == [(0, 0.75)]
+
+
+def test_level_surface_is_closed_and_faces_outward(spark):
+    import random
+
+    from geofold.operators import isosurface
+
+    rng, n = random.Random(3), 7
+    inner = lambda *p: all(0 < x < n - 1 for x in p)
+    noise = [(i, j, k, rng.uniform(-1, 1) if inner(i, j, k) else -1.0) for i in range(n) for j in range(n) for k in range(n)]
+    ball = [(i, j, k, 5.0 - (i - 3) ** 2 - (j - 3) ** 2 - (k - 3) ** 2) for i in range(n) for j in range(n) for k in range(n)]
+    for grid in (noise, ball):
+        v, f = isosurface.level_surface(spark.createDataFrame(grid, "i int, j int, k int, value double"), 0.0)
+        place, faces = {r["vid"]: (r["x"], r["y"], r["z"]) for r in v.collect()}, [tuple(r) for r in f.collect()]
+        assert len({x[0] for x in faces}) == len(faces) and {x for _, *t in faces for x in t} == set(place)
+        value = {p[:3]: p[3] for p in grid}
+        crossed = sum((value[p] > 0) != (value[q] > 0) for p in value for q in ((p[0] + 1, *p[1:]), (p[0], p[1] + 1, p[2]), (*p[:2], p[2] + 1)) if q in value)
+        assert len(place) == crossed
+        directed = {}
+        for _, a, b, c in faces:
+            for e in ((a, b), (b, c), (c, a)):
+                directed[e] = directed.get(e, 0) + 1
+        assert all(directed.get((b, a)) == m for (a, b), m in directed.items())
+        volume = sum(sum(p[x] * (q[(x + 1) % 3] * r[(x + 2) % 3] - q[(x + 2) % 3] * r[(x + 1) % 3]) for x in range(3)) for p, q, r in (tuple(place[x] for x in t) for _, *t in faces)) / 6
+        assert volume > 0
+    assert 30 < volume < 47  # a ball of radius sqrt(5) has 46.8
+    holed = [p for p in ball if p[:3] != (3, 3, 5)] + [(9, 9, 9, None)]
+    assert 0 < isosurface.level_surface(spark.createDataFrame(holed, "i int, j int, k int, value double"), 0.0)[1].count() < len(faces)
+
+
+def test_step_conditions():
+    from geofold.operators.filters import step_runs
+
+    on = {"a": True, "b": False}
+    assert step_runs("${a} and not ${b}", on) and not step_runs("${b} or not ${a}", on) and step_runs("${b} is not ${a}", on)
+    assert step_runs("not ${b} and ${a} or ${b}", on) and step_runs("${b} is ${b}", on)
+    for bad in ("", "${a} and", "__import__('os')", "${c}", "${a} ${b}", "1"):
+        with pytest.raises(ValueError):
+            step_runs(bad, on)
+
+
+def test_level_points_of_one_splat(spark):
+    from geofold.operators import field
+
+    rays = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0), (2, 0.0, 9.0, 0.0, 1.0, 0.0, 0.0, 1.0)], "i int, px double, py double, pz double, ux double, uy double, uz double, sd double")
+    near = spark.createDataFrame([(i, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.9) for i in (1, 2)], ["i", *field.SPLAT])
+    (got,) = field.level_points(rays, near, 0.3).collect()
+    assert got["i"] == 1 and got["lx"] == pytest.approx(-np.sqrt(2 * np.log(3)), abs=0.02) and got["nx"] == pytest.approx(-1) and got["ny"] == pytest.approx(0)
+    assert field.level_points(rays, near.where("false"), 0.3).collect() == []
