@@ -8,7 +8,7 @@ from array import array
 from functools import cache
 
 #: Words kept in each of a worker's two memos before it starts anew.
-MEMO = 100_000
+MEMO = 400_000
 #: Fixed value: the byte-level split.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
