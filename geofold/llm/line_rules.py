@@ -2,10 +2,13 @@
 
 A line is normalised (ASCII lower case, single spaces, digits as 0) and hashed.
 Over the documents with different texts of a host (copies of one text count once),
-each line is counted once for a document. A line is over the limit if more than
-``max(MIN_DOCS, MAX_SHARE * documents of the host)`` documents hold it. It is removed;
-a document whose remaining words are fewer than ``MIN_LEFT`` of its words is depleted
-and rejected. Base rules on the whole text come first.
+each line is counted once for a document, and so over all hosts together. A line that more
+than ``MIN_DOCS`` documents of a host hold is removed from that host's documents; one that more
+than ``ALL_DOCS`` documents of all hosts hold, from every document. Limits are numbers of documents, the same for
+small and large hosts. A document whose remaining words are fewer than ``MIN_LEFT`` of its words is depleted
+and rejected. Base rules on the whole text come first. Near copies share most of their lines: a document that
+would be depleted keeps the lines that it is the first (smallest id) to hold, if that leaves it enough,
+so one of many near copies stays.
 
 Counts are aggregated before they are shuffled, so a line that a third of all documents
 hold is a few rows in each task.
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from geofold.llm.common import stash, text_bytes
 
-MAX_SHARE = 0.10
 MIN_DOCS = 10
+ALL_DOCS = 50
 MIN_LEFT = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -96,24 +99,34 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return chosen.mapInArrow(run, f"row_id long, doc_id long, host string, text_hash long, {_FACTS}, {_LINES}")
 
 
-def frequent_lines(described: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(host_key, line) of the lines over their host's limit; host_key: the host's hash."""
+def frequent_lines(described: DataFrame, min_docs: int = MIN_DOCS, all_docs: int = ALL_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(host_key, line) of the lines over the limit in a host, and (line) of those over the limit in all hosts; host_key: the host's hash."""
     held = described.select(F.xxhash64("host").alias("host_key"), "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
-    per_line = held.groupBy("host_key", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    per_host = described.select(F.xxhash64("host").alias("host_key"), "text_hash").distinct().groupBy("host_key").agg(F.count("*").alias("docs"))
-    return per_line.join(per_host, "host_key").where(F.col("n") > F.greatest(F.lit(float(min_docs)), F.col("docs") * max_share)).select("host_key", "line", "n", "docs")
+    per_line = stash(held.groupBy("host_key", "line").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > min_docs, F.col("host_key"))).alias("hosts")).where((F.col("n") > all_docs) | (F.size("hosts") > 0)), "line-counts")
+    # a text that several hosts hold counts once: only lines that might be over the limit are counted again
+    maybe = per_line.where(F.col("n") > all_docs).select("line")
+    everywhere = stash(held.join(maybe, "line", "left_semi").select("text_hash", "line").distinct().groupBy("line").count().where(F.col("count") > all_docs).select("line"), "lines-everywhere")
+    return per_line.select(F.explode("hosts").alias("host_key"), "line").join(everywhere, "line", "left_anti").select("host_key", "line"), everywhere
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, all_docs: int = ALL_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Facts, base_failed, removed_words, removed_lines (hashes) and kept for every row of docs."""
     described = stash(describe(docs, id_col, text_col, host_col), "lines")
-    frequent = stash(frequent_lines(described, max_share, min_docs), "frequent-lines")
-    each = described.select("row_id", F.xxhash64("host").alias("host_key"), F.explode("lines").alias("x")).select("row_id", "host_key", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    removed = each.join(frequent.select("host_key", "line"), ["host_key", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
-    left = F.col("n_words") - F.col("removed_words")
-    joined = described.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    of_host, everywhere = frequent_lines(described, min_docs, all_docs)
+    each = described.select("row_id", "doc_id", "text_hash", F.xxhash64("host").alias("host_key"), F.explode("lines").alias("x")).select("row_id", "doc_id", "text_hash", "host_key", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    # a line removed everywhere has one first holder; one of a host has one there
+    over = each.join(everywhere, "line").withColumn("host_key", F.lit(None).cast("long")).unionByName(each.join(of_host, ["host_key", "line"]))
+    found = stash(over.groupBy("row_id", "doc_id", "text_hash", "host_key", "line").agg(F.sum("words").alias("words")), "frequent-lines")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.groupBy("host_key", "line").agg(F.min(order)["text_hash"].alias("first_hash")).withColumnRenamed("host_key", "first_host").withColumnRenamed("line", "first_line")
+    owned = found.join(first, found["host_key"].eqNullSafe(first["first_host"]) & (found["line"] == first["first_line"])).withColumn("own", F.col("text_hash") == F.col("first_hash"))
+    removed = owned.groupBy("row_id").agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("own"), 0).otherwise(F.col("words"))).alias("other_words"), F.collect_list("line").alias("all_lines"), F.collect_list(F.when(~F.col("own"), F.col("line"))).alias("other_lines"))
+    least = min_left * F.col("n_words")
+    returned = (F.col("n_words") - F.col("all_words") < least) & (F.col("n_words") - F.col("other_words") >= least)
+    joined = described.drop("lines").join(removed, "row_id", "left")
+    joined = joined.withColumn("removed_words", F.coalesce(F.when(returned, F.col("other_words")).otherwise(F.col("all_words")), F.lit(0)).cast("long")).withColumn("removed_lines", F.when(returned, F.col("other_lines")).otherwise(F.col("all_lines"))).drop("all_words", "other_words", "all_lines", "other_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    depleted = (F.col("removed_words") > 0) & (left < min_left * F.col("n_words"))
+    depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < least)
     return joined.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted).drop("row_id")
 
 
