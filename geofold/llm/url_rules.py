@@ -5,8 +5,10 @@ wins. Pages that a rule allows or blocks make their host a seed: its trust (dist
 share of its pages so ruled. Trust follows links, as in personalised PageRank from the
 trusted seeds; distrust runs against them, from blocked hosts to those that link there. Both
 are the sum of seed + DAMPING * what arrives, over ``ROUNDS`` rounds, so a host without
-links keeps its seed. Pages without a rule are blocked if their host's distrust is at least
-``THRESHOLD`` and above its trust.
+links keeps its seed. Trust is divided among a host's links. Distrust isn't divided among the hosts that
+link to a blocked one: a host takes the mean distrust of where its own links lead, so its
+verdict depends on its links and not on how many others link there. Pages without a rule are
+blocked if their host's distrust is at least ``THRESHOLD`` and above its trust.
 
 Everything is keyed by host: votes of pages are aggregated before they are shuffled.
 
@@ -85,9 +87,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         trust, distrust = (x.select("host", F.col("seed").alias("rank")) for x in (trust_seeds, distrust_seeds))
     else:
         out = links.groupBy("host").agg(F.sum("pages").alias("all"))
-        into = links.groupBy(F.col("to").alias("t")).agg(F.sum("pages").alias("all"))
         forth = stash(links.join(out, "host").select(F.col("host").alias("from"), "to", (F.col("pages") / F.col("all")).alias("share")), "links-forth")
-        back = stash(links.join(into, links["to"] == into["t"]).select(F.col("to").alias("from"), F.col("host").alias("to"), (F.col("pages") / F.col("all")).alias("share")), "links-back")
+        back = forth.select(F.col("to").alias("from"), F.col("from").alias("to"), "share")
         trust, distrust = spread(forth, trust_seeds, damping, rounds), spread(back, distrust_seeds, damping, rounds)
     ranks = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0.0)
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
