@@ -6,8 +6,9 @@ comments, code and styles) leave lines of length zero, as do lines that are most
 the page marks an article, so do all lines outside of it. Lengths are summed over
 sliding windows of ``WINDOW`` lines: the text surges where a window's sum rises above
 ``SURGE`` after silence, and dives where ``WINDOW`` windows stay at zero. The
-lines between each surge and its dive are kept, if together they have at least
-``LEAST_SHARE`` of the longest such stretch; so stray lines far from the article go.
+lines between each surge and its dive are kept on pages without a marked article if some window
+in them sums up to ``LEAST_SUM`` characters, whatever other stretches hold; so stray lines far from
+the text go. Where no stretch does, all are kept.
 
 Defined cases: null, empty and text-free pages give an empty text; markup cut off
 at the end of a page is dropped, text before it stays; unclosed elements end with their
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 0
-LEAST_SHARE = 0.1
+LEAST_SUM = 60
 LINK_SHARE = 0.6
 
 # HTML's element names.
@@ -149,6 +150,11 @@ def surges(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list
     return out
 
 
+def peak(lengths: list[int], window: int = WINDOW) -> int:
+    """Largest sum of a window."""
+    return max((sum(lengths[i : i + window]) for i in range(len(lengths))), default=0)
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     if not page:
         return ""
@@ -160,9 +166,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         return 0 if bad or (marked and not article) or (not marked and linked > LINK_SHARE * len(text)) else len(text)
 
     lengths = [length(x) for x in lines]
-    found = [(a, b, sum(lengths[a:b])) for a, b in surges(lengths, window, surge)]
-    most = max((n for _, _, n in found), default=0)
-    kept = [i for a, b, n in found if marked or n >= LEAST_SHARE * most for i in range(a, b) if lengths[i]]
+    found = surges(lengths, window, surge)
+    high = found if marked else [(a, b) for a, b in found if peak(lengths[a:b], window) >= LEAST_SUM]
+    kept = [i for a, b in high or found for i in range(a, b) if lengths[i]]
     return "\n\n".join(lines[i][0] for i in kept)
 
 
