@@ -3,7 +3,7 @@
 Markup is stripped into lines, one for each block of the page. Elements that never hold
 an article (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, code and styles) leave lines of length zero, as do lines that are mostly links. If
-the page marks an article, so do all lines outside of it. Lengths are summed over
+the page marks an article, so do all lines outside of it, and these rules alone choose its lines. Lengths are summed over
 sliding windows of ``WINDOW`` lines: the text surges where a window's sum rises above
 ``SURGE`` after silence, and dives where ``WINDOW`` windows stay at zero. The
 lines between each surge and its dive are kept on pages without a marked article if some window
