@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.operators.shared import stash, unstash
 
-__all__ = ["JAVA_WORD", "doc_crc", "stash", "table", "text_bytes", "unstash"]
+__all__ = ["JAVA_WORD", "doc_crc", "mapped", "release", "stash", "table", "text_bytes", "unstash"]
 
 #: Words are maximal runs without ASCII white space; bytes.split() has exactly this rule on UTF-8.
 JAVA_WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that Python workers get, in sessions that don't say.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes; a worker gives memory back at each task's end."""
+    bounded(df.sparkSession)
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes in sessions that don't, so that very long texts don't add up."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
+def trim() -> None:
+    """Hands free memory of this worker back to the machine: other workers and the JVM share its bound."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan needs any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from geofold.llm.common import mapped
 from geofold.llm.tokens import encoder
 
 MAX_TOKENS = 1024
@@ -165,12 +166,11 @@ def _packed(df: DataFrame, path: str, max_tokens, max_segments, max_loss, buffer
         packer = Packer(TaskContext.get().partitionId() * STRIDE, max_tokens, max_segments, max_loss, buffer)
         encode = encoder(path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            prompts = batch.column(1) if prompted else [None] * len(texts)
-            for key, prompt, text in zip(batch.column(0).to_pylist(), prompts, texts, strict=True):
-                ids, loss = encode(text.as_py() or "") + end, None
+            texts = encode.batch(batch.column(batch.schema.get_field_index("text")))
+            prompts = encode.batch(batch.column(1)) if prompted else [b""] * len(texts)
+            for key, head, ids in zip(batch.column(0).to_pylist(), prompts, texts, strict=True):
+                ids, loss = ids + end, None
                 if prompted:
-                    head = encode(prompt.as_py() or "")
                     loss = np.repeat([0, 1], [len(head) // 4, len(ids) // 4])
                     ids = head + ids
                 packer.add(key, ids, loss)
@@ -179,4 +179,4 @@ def _packed(df: DataFrame, path: str, max_tokens, max_segments, max_loss, buffer
         packer.finish()
         yield rows(packer.pieces())
 
-    return df.mapInArrow(pack, SCHEMA)
+    return mapped(df, pack, SCHEMA)
