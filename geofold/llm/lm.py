@@ -1,31 +1,36 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton of n-grams.
 
-States are words; an arc from word u to word w carries the smoothed probability of the pair,
-interpolated absolute discounting:
+States are histories, the last ``ORDER`` - 1 tokens or fewer. An arc from state h reads a token w and carries, by
+interpolated absolute discounting over the n-grams that occur at least ``MIN_COUNT`` times,
 
-    P(w | u) = max(c(u w) - D, 0) / c(u) + L(u) P(w),   L(u) = 1 - sum over arcs of (c(u w) - D) / c(u)
+    P(w | h) = (c(h w) - D) / c(h) + L(h) P(w | h'),   L(h) = 1 - sum over kept arcs of (c(h w) - D) / c(h)
 
-with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). Where u has no arc for w, the failure arc of weight L(u)
-leads to the root, whose arcs are the single words. Words rarer than ``CONTEXT_SHARE`` of all tokens
-have no state of their own: after them the automaton stands at the root. A text is read once from
-left to right; the state is carried and log-probabilities are summed.
+where h' is h without its oldest token: the failure arc of weight L(h) leads there. Where h has no arc for
+w (or isn't a state), only the failure arc counts. The root's arcs are the single tokens,
+(c(w) + 0.1) / (N + 0.1 (V + 1)). A text is read once from left to right: each token's state
+is the one of the tokens before it, and the logarithms of all transitions are summed.
 
-The automaton isn't gathered anywhere as a whole. Documents form groups of neighbouring rows
-of a file. A group counts its words and pairs (numpy), cut into buckets by key; a task of a
-bucket adds up the groups' counts and sends each group the totals of its own keys. A group so gets the
-part of the automaton that its texts can reach. Only the states' words (at most 1 / CONTEXT_SHARE)
-with their failure weights are sent to all tasks.
+Nothing holds the automaton as a whole. Documents form groups of neighbouring rows of a file, long
+ones in pieces of ``PIECE`` tokens, so a group is bounded. A group counts its n-grams of all orders in one pass; sorted
+keys are cut into buckets by history, so a bucket's task sees all arcs of its states and computes
+counts and failure weights, which it sends back in the order of each group's keys. A group so gets the part of the automaton
+that its texts can reach, without keys. Arcs of histories that make up a large part of a bucket (found on a
+sample of rows, which decides nothing but the task) are spread over all buckets by their key;
+their weights are summed over buckets and sent to all groups. These histories are at most 1 / ``LEAST_HOT``.
 
-Counts cover all training documents. Arcs need ``MIN_PAIRS`` occurrences.
+A key has 64 bits: the first tell the history, the last the token (``TOKEN_BITS``). Counts cover all training documents.
+Every n-gram that occurs ``MIN_COUNT`` times has an arc, whatever the size of the corpus.
 
-Defined cases: null and empty texts have one token, the end; words never seen in training
-have c = 0; without training documents every word is unseen and scores are log10 of
+Defined cases: null and empty texts have one token, the end; tokens never seen in training
+have c = 0; without training documents every token is unseen, and scores are log10 of
 0.1 / 0.1 = 0; repeated rows are counted and scored each on their own; null ids count as the empty
-text in the split; an empty table gives no rows; extra columns are ignored.
+text in the split; very long texts are scored piece by piece, each piece with the tokens before it as
+history; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,244 +39,356 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm.common import doc_crc, stash, text_bytes
+from geofold.llm.common import doc_crc, mapped, release, stash, unstash
+from geofold.llm.words import LOWER, fast_order, joined_key, mixed, unmixed, words_of
 
 SMOOTH = 0.1
 DISCOUNT = 0.75
-MIN_PAIRS = 2
-#: Share of all training tokens from which a word is a state; so there are at most its inverse.
-CONTEXT_SHARE = 1 / 60_000
-#: Rows of a file that form a group.
-GROUP_ROWS = 8192
-#: Tokens that a counting task holds before it hands on sums.
-HELD = 3_000_000
-#: Training tokens for each bucket of counts, about.
-BUCKET_TOKENS = 2_000_000
-MEMO = 400_000
-END = b"\n"  # no word holds white space
-
-_BLOB = "g long, bucket int, keys binary, counts binary"
-
-
-class _Hashes(dict):
-    """XXH64 of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def tokens(data: bytes) -> np.ndarray:
-    """Hashes of the lower-cased words and of the end."""
-    words = data.lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out[-1] = _hashes[END]
-    return out
-
-
-def counted(keys: list[np.ndarray], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often they occur in training rows (0: elsewhere only)."""
-    own = [k for k, t in zip(keys, train, strict=True) if t]
-    a, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    other = [k for k, t in zip(keys, train, strict=True) if not t]
-    b = np.setdiff1d(np.concatenate(other), a) if other else np.zeros(0, np.uint64)
-    return np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), np.int64)])
-
-
-def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-
-
-def _blobs(g: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    at = _spread(keys, buckets)
-    order = np.lexsort((keys, at))
-    keys, counts, at = keys[order], counts[order], at[order]
-    edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
-    cut = lambda x, kind: [p.astype(kind).tobytes() for p in np.split(x, edges[1:])] if len(edges) else []
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(edges), g, np.int64)), pa.array(at[edges]), pa.array(cut(keys, "<u8"), pa.binary()), pa.array(cut(counts, "<u4"), pa.binary())],
-        ["g", "bucket", "keys", "counts"],
-    )
-
-
-def _count(docs: DataFrame, buckets: int, keys_of) -> DataFrame:
-    """Counts of keys by group and bucket; docs: g, doc_id, train, text, neighbouring rows of a group together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, keys, train, held = None, [], [], 0
-        for b in batches:
-            for own, t, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3)), strict=True):
-                if keys and (own != g or held > HELD):
-                    yield _blobs(g, *counted(keys, train), buckets)
-                    keys, train, held = [], [], 0
-                k = keys_of(tokens(data))
-                g, held = own, held + len(k)
-                keys.append(k)
-                train.append(t)
-        if keys:
-            yield _blobs(g, *counted(keys, train), buckets)
-
-    return docs.mapInArrow(run, _BLOB)
-
-
-def _totals(groups: list[int], keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All keys of a bucket, their sums, and each blob's keys."""
-    own = [np.frombuffer(k, "<u8") for k in keys]
-    every, at = np.unique(np.concatenate(own), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([np.frombuffer(c, "<u4") for c in counts]), minlength=len(every)).astype(np.int64)
-    return every, total, own
-
-
-def _model_rows(groups, every, total, own, keep) -> dict:
-    blobs = []
-    for k in own:
-        at = np.searchsorted(every, k)
-        at = at[keep[at]]
-        blobs.append((every[at].astype("<u8").tobytes(), total[at].astype("<i8").tobytes()))
-    return {"g": list(groups), "keys": [b[0] for b in blobs], "counts": [b[1] for b in blobs]}
-
-
-def _sum_words(t: pa.Table) -> pa.Table:
-    groups = t["g"].to_pylist()
-    every, total, own = _totals(groups, t["keys"].to_pylist(), t["counts"].to_pylist())
-    rows = _model_rows(groups, every, total, own, total > 0)
-    n = len(groups)
-    often = total > 1
-    empty = np.zeros(0, np.int64)
-    return pa.table(
-        {
-            "g": pa.array([*rows["g"], None], pa.int64()), "keys": pa.array([*rows["keys"], None], pa.binary()), "counts": pa.array([*rows["counts"], None], pa.binary()),
-            "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
-            "often": pa.array([empty] * n + [every[often].view(np.int64)], pa.list_(pa.int64())), "times": pa.array([empty] * n + [total[often]], pa.list_(pa.int64())),
-        }
-    )
-
-
-def _sum_pairs(t: pa.Table) -> pa.Table:
-    groups = t["g"].to_pylist()
-    every, total, own = _totals(groups, t["keys"].to_pylist(), t["counts"].to_pylist())
-    keep = total >= MIN_PAIRS
-    rows = _model_rows(groups, every, total, own, keep)
-    state, at = np.unique(every[keep] >> np.uint64(32), return_inverse=True)
-    mass = np.bincount(at, weights=total[keep] - DISCOUNT, minlength=len(state))
-    n, empty = len(groups), np.zeros(0)
-    return pa.table(
-        {
-            "g": pa.array([*rows["g"], None], pa.int64()), "keys": pa.array([*rows["keys"], None], pa.binary()), "counts": pa.array([*rows["counts"], None], pa.binary()),
-            "states": pa.array([empty.astype(int)] * n + [state.astype(np.int64)], pa.list_(pa.int64())), "mass": pa.array([empty] * n + [mass], pa.list_(pa.float64())),
-        }
-    )
-
-
-class States:
-    """The automaton's states: sorted hashes, their counts as histories, and failure weights. Number 0 is the start."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, starts: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], np.r_[starts, counts[order]].astype(float)
-        self.failure = np.ones(len(self.counts))
-
-    def numbers(self, t: np.ndarray) -> np.ndarray:
-        """State of each token, -1 for the root."""
-        if not len(self.hashes):
-            return np.full(len(t), -1)
-        at = np.minimum(np.searchsorted(self.hashes, t), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == t, at + 1, -1)
-
-    def pairs(self, t: np.ndarray) -> np.ndarray:
-        """(state before, state of the token) as one key, where both exist."""
-        now = self.numbers(t)
-        before = np.r_[0, now[:-1]]
-        both = (now > 0) & (before >= 0)
-        return (before[both].astype(np.uint64) << np.uint64(32)) | now[both].astype(np.uint64)
-
-    def set_failures(self, states: np.ndarray, mass: np.ndarray) -> None:
-        self.failure = np.ones(len(self.counts))
-        self.failure[states] -= mass / np.maximum(self.counts[states], 1)
-
-
-def _table(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(k, "<u8") for k, _ in rows]) if rows else np.zeros(0, np.uint64)
-    counts = np.concatenate([np.frombuffer(c, "<i8") for _, c in rows]) if rows else np.zeros(0, np.int64)
-    keys, first = np.unique(keys, return_index=True)
-    return keys, counts[first]
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(asked), np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], 0)
-
-
-def traverse(t: np.ndarray, states: States, words, arcs, n: int, v: int) -> tuple[int, float, float]:
-    """(known tokens, base score, score) of one text: all its transitions from left to right."""
-    c = _look_up(*words, t)
-    single = (c + SMOOTH) / (n + SMOOTH * (v + 1))
-    now = states.numbers(t)
-    before = np.r_[0, now[:-1]]
-    keys = (np.maximum(before, 0).astype(np.uint64) << np.uint64(32)) | np.maximum(now, 0).astype(np.uint64)
-    pair = np.where((before >= 0) & (now > 0), _look_up(*arcs, keys), 0)
-    at = np.maximum(before, 0)
-    arc = np.maximum(pair - DISCOUNT, 0) / np.maximum(states.counts[at], 1)
-    p = np.where(before >= 0, arc + states.failure[at] * single, single)
-    return int((c > 0).sum()), float(np.log10(single).sum()), float(np.log10(p).sum())
+MIN_COUNT = 2
+ORDER = 3
+#: Rows of a file that form a group, and tokens of a document in one of its groups: together they bound a group.
+GROUP_ROWS, PIECE = 2048, 1024
+#: Tokens whose n-grams a counting task holds before it hands on counts.
+HELD = 2_500_000
+#: Tokens for each bucket, about, and the least number of buckets.
+BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 16
+#: A history is hot if it makes up this part of a bucket, and this part of all tokens.
+HOT_PART, LEAST_HOT = 0.25, 1e-6
+#: One row of so many is looked at for hot histories.
+HOT_SAMPLE = 64
+START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+
+_ROWS = "g long, path long, row long, doc_id long, train boolean, context int, last boolean, text string"
+_BLOBS = "g long, first long, final long, bucket int, kind int, keys binary, counts binary"
+_SCORED = pa.schema([("path", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SUMS = "g long, first long, final long, bucket int, kind int, counts binary, states binary, tokens long, distinct long, hot array<struct<kind:int,history:long,count:long,kept:long,arcs:long>>"
+
+
+def token_bits(order: int) -> int:
+    """Bits of a key of this order that tell the token."""
+    return 28 if order == 2 else 22
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, lowest first; planes of zeros at the end are left out."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8")[:, 0]
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the steps from each to the next; their number comes first."""
+    return np.array([len(keys), keys[0]], "<u8").tobytes() + pack(np.diff(keys))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    n, first = np.frombuffer(data[:16], "<u8")
+    return np.cumsum(np.r_[first, unpack(data[16:], int(n) - 1)], dtype=np.uint64)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the keys' upper bits, so sorted keys have sorted buckets."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+class Grams:
+    """N-grams of pieces of texts. Kind 1 is single tokens, 2 to order the longer ones; -2 to -order those of hot histories."""
+
+    def __init__(self, texts, context: np.ndarray, last: np.ndarray, order: int, hot: dict[int, np.ndarray]):
+        words = words_of(texts)
+        n, last = words.counts, last.astype(np.int64)
+        size = n + last
+        upto = np.cumsum(size)
+        token = np.empty(int(size.sum()), np.uint64)
+        token[np.arange(len(words)) + np.repeat(np.cumsum(last) - last, n)] = words.hashes(LOWER)
+        token[upto[last > 0] - 1] = END
+        place = np.arange(len(token)) - np.repeat(upto - size, size)
+        own = place >= np.repeat(context, size)
+        #: Which text each token belongs to; tokens that are only context are left out.
+        self.text = np.repeat(np.arange(len(size)), size)[own]
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # kind: which tokens, their keys
+        self.histories: dict[int, np.ndarray] = {}  # of every token
+        all_ = np.arange(len(self.text))
+        self.keys[1] = all_, token[own]
+        history, follower = None, mixed(token[own] ^ START)
+        for o in range(2, order + 1):
+            before = np.r_[np.full(min(o - 1, len(token)), START), token[: max(0, len(token) - o + 1)]]
+            before = np.where(place >= o - 1, before, START)
+            history = before if history is None else joined_key(before, history)
+            bits = np.uint64(token_bits(o))
+            state = history[own] >> bits
+            keys = (state << bits) | (follower >> (np.uint64(64) - bits))
+            is_hot = _member(hot.get(o), state)
+            self.keys[o] = all_[~is_hot], keys[~is_hot]
+            self.keys[-o] = all_[is_hot], mixed(keys[is_hot])
+            self.histories[o] = state
+
+
+def _member(among: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    if among is None or not len(among):
+        return np.zeros(len(x), bool)
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+
+
+def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often they occur in training texts (0: elsewhere only)."""
+    a, n = np.unique(keys[train], return_counts=True)
+    b = np.unique(keys[~train])
+    new = ~_member(a, b)
+    at = np.searchsorted(a, b[new])
+    return np.insert(a, at, b[new]), np.insert(n, at, 0)
+
+
+def states_of(kind: int, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(history of each state, state of each distinct key) for sorted keys of a kind other than 1."""
+    history = (unmixed(distinct) if kind < 0 else distinct) >> np.uint64(token_bits(abs(kind)))
+    return np.unique(history, return_inverse=True)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Batches of path, row, doc_id, train, text as batches by ``_ROWS``."""
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    for b in batches:
+        texts = b.column(4).cast(pa.string()).fill_null("")
+        words = words_of(texts)
+        n = words.counts
+        path, row = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        chunk = joined_key(path.view(np.uint64), (row // GROUP_ROWS).view(np.uint64))
+        group = lambda i, p: int(joined_key(chunk[i : i + 1], np.array([p], np.uint64)).view(np.int64)[0])  # noqa: B023, E731
+        short = np.flatnonzero(n < PIECE)
+        if len(short):
+            at = pa.array(short)
+            g = joined_key(chunk[short], np.zeros(len(short), np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(path[short]), pa.array(row[short]), b.column(2).take(at), b.column(3).take(at), pa.array(np.zeros(len(short), np.int32)), pa.array(np.ones(len(short), bool)), texts.take(at)], names)
+        for i in np.flatnonzero(n >= PIECE):
+            first, total = int(words.upto[i]), int(n[i])
+            rows = []
+            for p in range(total // PIECE + 1):
+                a, z = max(0, p * PIECE - order + 1), min(total, (p + 1) * PIECE)
+                cut = words.data[words.start[first + a] : words.stop[first + z - 1]].tobytes() if z > a else b""
+                rows.append((group(i, p + 1), int(path[i]), int(row[i]), b.column(2)[i].as_py(), b.column(3)[i].as_py(), p * PIECE - a, p == total // PIECE, cut.decode("utf-8", "replace")))
+                if len(rows) == 512:
+                    yield _row_batch(rows, names)
+                    rows = []
+            if rows:
+                yield _row_batch(rows, names)
+
+
+def _row_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _number(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, hot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counts of each group's n-grams by bucket; a group whose rows come in several batches or tasks may give several blobs, told apart by rows."""
+    held: dict[int, list[pa.RecordBatch]] = defaultdict(list)
+    tokens, chunk = 0, None
+
+    def blobs() -> Iterator[pa.RecordBatch]:
+        for g, parts in held.items():
+            t = pa.Table.from_batches(parts)
+            rows, train = _number(t["row"]), _number(t["train"]).astype(bool)
+            grams = Grams(t["text"], _number(t["context"]), _number(t["last"]), order, hot)
+            out = []
+            for kind, (who, keys) in grams.keys.items():
+                if not len(keys):
+                    continue
+                distinct, n = counted(keys, train[grams.text[who]])
+                bucket = bucket_of(distinct, buckets)
+                edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+                out += [(g, int(rows.min()), int(rows.max()), int(bucket[a]), kind, pack_sorted(distinct[a:z]), pack(n[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _BLOBS.split(", ")])
+
+    for b in batches:
+        groups, rows = _number(b.column(0)), _number(b.column(2))
+        for g, now in dict(zip(groups.tolist(), (rows // GROUP_ROWS).tolist(), strict=True)).items():
+            if held and (now != chunk or tokens > HELD):
+                yield from blobs()
+                held.clear()
+                tokens = 0
+            chunk = now
+            part = b.filter(pa.array(groups == g))
+            held[g].append(part)
+            tokens += part.column(7).nbytes // 6 + 1
+    if held:
+        yield from blobs()
+
+
+def _sum(t: pa.Table) -> pa.Table:
+    """Totals of one bucket: for each blob its keys' counts and its states' weights, and what only the whole bucket tells."""
+    blobs = t.select(["g", "first", "final", "bucket", "kind"]).to_pylist()
+    out: list[dict] = []
+    tokens = distinct_tokens = 0
+    hot = []
+    for kind in sorted({b["kind"] for b in blobs}):
+        at = [i for i, b in enumerate(blobs) if b["kind"] == kind]
+        own = [unpack_sorted(t["keys"][i].as_py()) for i in at]
+        keys = np.concatenate(own)
+        counts = np.concatenate([unpack(t["counts"][i].as_py(), len(k)) for i, k in zip(at, own, strict=True)]).astype(np.int64)
+        order = fast_order(keys)
+        starts = np.flatnonzero(np.r_[True, keys[order[1:]] != keys[order[:-1]]])
+        distinct, total = keys[order[starts]], np.add.reduceat(counts[order], starts)
+        where = np.empty(len(keys), np.int64)
+        where[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
+        if kind == 1:
+            tokens, distinct_tokens = int(total.sum()), int((total > 0).sum())
+            kept = total
+        else:
+            kept = np.where(total >= MIN_COUNT, total, 0)
+            history, state = states_of(kind, distinct)
+            add = lambda x: np.bincount(state, weights=x, minlength=len(history)).astype(np.int64)  # noqa: B023, E731
+            weights = np.array([add(total), add(kept), add(kept > 0)])
+            if kind < 0:
+                hot += [{"kind": -kind, "history": h, "count": c, "kept": k, "arcs": a} for h, c, k, a in zip(history.astype(np.int64).tolist(), *weights.tolist(), strict=True)]
+            weights[:, weights[2] == 0] = 0
+        upto = np.cumsum([len(k) for k in own])
+        for i, a, z in zip(at, upto - [len(k) for k in own], upto, strict=True):
+            b = blobs[i]
+            states = b""
+            if kind > 1:
+                s = state[where[a:z]]
+                states = pack(weights[:, s[np.r_[True, s[1:] != s[:-1]]]].ravel())
+            out.append(b | {"counts": pack(kept[where[a:z]]), "states": states, "tokens": 0, "distinct": 0, "hot": []})
+    out.append(dict.fromkeys(("g", "first", "final", "bucket", "kind", "counts", "states")) | {"tokens": tokens, "distinct": distinct_tokens, "hot": hot})
+    kind = pa.schema([("g", pa.int64()), ("first", pa.int64()), ("final", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("states", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("hot", pa.list_(pa.struct([("kind", pa.int32()), ("history", pa.int64()), ("count", pa.int64()), ("kept", pa.int64()), ("arcs", pa.int64())])))])
+    return pa.Table.from_pylist(out, kind)
+
+
+class HotStates:
+    """Counts and arcs of the hot histories, summed over all buckets."""
+
+    def __init__(self, rows: list, tokens: int, distinct: int):
+        self.tokens, self.distinct = tokens, distinct
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for kind in {r["kind"] for r in rows}:
+            found = sorted((r["history"], r["count"], r["kept"], r["arcs"]) for r in rows if r["kind"] == kind)
+            table = np.array(found, np.int64).T
+            self.of[kind] = table[0].astype(np.uint64), table[1:]
+
+
+def transitions(grams: Grams, counts: dict[int, np.ndarray], states: dict[int, np.ndarray], hot: HotStates, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, probability as a single token, probability in its state) of each token. counts: of the sorted distinct keys by kind; states: (count, kept, arcs) of their sorted histories."""
+    n = len(grams.text)
+    single = p = known = None
+    for o in range(1, order + 1):
+        arc, weights = np.zeros(n), np.zeros((3, n))
+        for kind in (o, -o) if o > 1 else (1,):
+            who, keys = grams.keys[kind]
+            if not len(who):
+                continue
+            at = fast_order(keys)
+            new = np.r_[True, keys[at[1:]] != keys[at[:-1]]]
+            key_no = np.cumsum(new) - 1
+            if kind not in counts or len(counts[kind]) != key_no[-1] + 1:
+                raise RuntimeError("the counts sent back are not those of this group's keys")
+            arc[who[at]] = counts[kind][key_no]
+            if kind > 1:
+                history = keys[at] >> np.uint64(token_bits(o))
+                weights[:, who[at]] = states[kind][:, np.cumsum(np.r_[True, history[1:] != history[:-1]]) - 1]
+            elif kind < 0:
+                histories, table = hot.of[o]
+                weights[:, who] = table[:, np.searchsorted(histories, grams.histories[o][who])]
+        if o == 1:
+            known = arc
+            single = p = (arc + SMOOTH) / (hot.tokens + SMOOTH * (hot.distinct + 1))
+        else:
+            count = np.maximum(weights[0], 1)
+            failure = 1 - (weights[1] - DISCOUNT * weights[2]) / count
+            p = np.where(arc > 0, arc - DISCOUNT, 0) / count + failure * p
+    return known, single, p
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """g, doc_id, train and text; g: rows of a file that stand together, the same on every reading."""
+    """path (hash), row, doc_id, train and text; path and row: where a file holds the row, the same on every reading."""
     chosen = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
+    path, row = F.xxhash64("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")
     try:
-        rows = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), *chosen)
+        rows = docs.select(path, row, *chosen)
     except AnalysisException:
-        rows = stash(docs.select(*chosen), "lm-docs").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), "doc_id", "text")
-    return rows.select(F.xxhash64("path", F.floor(F.col("row") / GROUP_ROWS)).alias("g"), "doc_id", (doc_crc() % 10 != 0).alias("train"), "text")
+        rows = stash(docs.select(*chosen), "lm-docs").select(path, row, "doc_id", "text")
+    return rows.select("path", "row", "doc_id", (doc_crc() % 10 != 0).alias("train"), "text")
+
 
+def hot_histories(rows: DataFrame, order: int, share: float, sample: int = HOT_SAMPLE) -> dict[int, np.ndarray]:
+    """Sorted histories, by order, that make up at least this share of a sample's tokens; at most (order - 1) / share of them."""
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_share: float = CONTEXT_SHARE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches, order):
+            grams = Grams(b.column(7), _number(b.column(5)), _number(b.column(6)), order, {})
+            for o, state in grams.histories.items():
+                h, n = np.unique(state, return_counts=True)
+                # what is rare in a batch may be hot only in sum: it is handed on in full
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), o, np.int32)), pa.array(h.astype(np.int64)), pa.array(n)], ["kind", "history", "n"])
+
+    looked = mapped(rows.where(F.pmod(F.xxhash64("path", "row"), F.lit(sample)) == 0), run, "kind int, history long, n long").groupBy("kind", "history").agg(F.sum("n").alias("n"))
+    looked = stash(looked, "lm-sample")
+    total = looked.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    found = looked.where(F.col("n") >= max(2.0, share * total)).select("kind", "history").collect()
+    unstash(looked)
+    return {o: np.array(sorted(r["history"] for r in found if r["kind"] == o), np.uint64) for o in range(2, order + 1)}
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS, hot_sample: int = HOT_SAMPLE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     context = docs.sparkSession.sparkContext
     rows = _grouped(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first()
-    buckets, starts = max(1, int((size[0] or 0) // (6 * BUCKET_TOKENS))), size[1] or 0
-
-    schema = "g long, keys binary, counts binary, tokens long, distinct long, often array<long>, times array<long>"
-    words = stash(_count(rows, buckets, lambda t: t).groupBy("bucket").applyInArrow(_sum_words, schema), "lm-words")
-    n, v = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("distinct")).first())
-    # at most 1 / context_share words, by their definition
-    found = words.where("g IS NULL").select(F.explode(F.arrays_zip("often", "times")).alias("x")).where(F.col("x.times") >= max(2.0, context_share * n)).select("x.often", "x.times").collect()
-    states = States(np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64), starts)
-
-    known = context.broadcast(states)
-    schema = "g long, keys binary, counts binary, states array<long>, mass array<double>"
-    pairs = stash(_count(rows, buckets, lambda t: known.value.pairs(t)).groupBy("bucket").applyInArrow(_sum_pairs, schema), "lm-pairs")
-    mass = pairs.where("g IS NULL").select(F.explode(F.arrays_zip("states", "mass")).alias("x")).groupBy("x.states").agg(F.sum("x.mass")).collect()
-    states.set_failures(np.array([r[0] for r in mass], np.int64), np.array([r[1] for r in mass], float))
-    whole = context.broadcast((states, int(n), int(v)))
-
-    model = words.where("g IS NOT NULL").select("g", F.lit(0).alias("kind"), "keys", "counts").unionByName(pairs.where("g IS NOT NULL").select("g", F.lit(1).alias("kind"), "keys", "counts"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, int(size // (6 * bucket_tokens)))
+    hot = hot_histories(rows, order, max(LEAST_HOT, HOT_PART / buckets), hot_sample)
+
+    blobs = mapped(rows, lambda batches: _count(_pieces(batches, order), order, buckets, hot), _BLOBS)
+    sums = stash(blobs.groupBy("bucket").applyInArrow(_sum, _SUMS), "lm-sums")
+    del blobs
+    release(docs.sparkSession)
+    tokens, distinct = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("distinct")).first())
+    # at most as many as the hot histories above
+    found = sums.where("g IS NULL").select(F.explode("hot").alias("x")).groupBy("x.kind", "x.history").agg(F.sum("x.count").alias("count"), F.sum("x.kept").alias("kept"), F.sum("x.arcs").alias("arcs")).collect()
+    sent = context.broadcast(HotStates(found, int(tokens), int(distinct)))
 
     def run(texts: pa.Table, parts: pa.Table) -> pa.Table:
-        states, n, v = whole.value
-        kinds, blobs = parts["kind"].to_pylist(), list(zip(parts["keys"].to_pylist(), parts["counts"].to_pylist(), strict=True))
-        own, arcs = (_table([b for k, b in zip(kinds, blobs, strict=True) if k == kind]) for kind in (0, 1))
+        texts = texts.sort_by("row")
+        row = _number(texts["row"])
+        blobs: dict[tuple[int, int], list] = defaultdict(list)
+        for i, (a, z) in enumerate(zip(parts["first"].to_pylist(), parts["final"].to_pylist(), strict=True)):
+            blobs[a, z].append((parts["kind"][i].as_py(), parts["bucket"][i].as_py(), i))
         out = []
-        for batch in texts.to_batches(max_chunksize=256):
-            for key, train, data in zip(batch["doc_id"].to_pylist(), batch["train"].to_pylist(), text_bytes(batch["text"]), strict=True):
-                t = tokens(data)
-                out.append((key, not train, len(t), *traverse(t, states, own, arcs, n, v)))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = rows.groupBy("g").cogroup(model.groupBy("g")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+        for (a, z), own in sorted(blobs.items()):
+            part = texts.slice(at := int(np.searchsorted(row, a)), int(np.searchsorted(row, z, "right")) - at)
+            grams = Grams(part["text"], _number(part["context"]), _number(part["last"]), order, hot)
+            counts: dict[int, list] = defaultdict(list)
+            states: dict[int, list] = defaultdict(list)
+            edges: dict[int, np.ndarray] = {}
+            for kind in {k for k, _, _ in own}:
+                keys = np.unique(grams.keys[kind][1])
+                bucket = bucket_of(keys, buckets)
+                history = keys >> np.uint64(token_bits(abs(kind)))
+                heads = np.r_[True, history[1:] != history[:-1]]
+                edges[kind] = np.array([np.bincount(bucket, minlength=buckets), np.bincount(bucket, weights=heads, minlength=buckets)], np.int64)
+            for kind, bucket, i in sorted(own):
+                n, m = edges[kind][:, bucket]
+                counts[kind].append(unpack(parts["counts"][i].as_py(), int(n)))
+                if kind > 1:
+                    states[kind].append(unpack(parts["states"][i].as_py(), 3 * int(m)).reshape(3, -1))
+            known, single, p = transitions(grams, {k: np.concatenate(v) for k, v in counts.items()}, {k: np.concatenate(v, axis=1) for k, v in states.items()}, sent.value, order)
+            total = lambda x: np.bincount(grams.text, weights=x, minlength=len(part))  # noqa: B023, E731
+            columns = [pa.array(total(np.ones(len(p))).astype(np.int64)), pa.array(total(known > 0).astype(np.int64)), pa.array(total(np.log10(single))), pa.array(total(np.log10(p)))]
+            out.append(pa.Table.from_arrays([part["path"], part["row"], part["doc_id"], part["train"], *columns], ["path", "row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(out) if out else pa.Table.from_pylist([], _SCORED)
+
+    cut = mapped(rows, lambda batches: _pieces(batches, order), _ROWS)
+    parts = sums.where("g IS NOT NULL").select("g", "first", "final", "bucket", "kind", "counts", "states")
+    scored = cut.groupBy("g").cogroup(parts.groupBy("g")).applyInArrow(run, "path long, row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    whole = scored.groupBy("path", "row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return whole.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -393,50 +393,6 @@ def test_search_is_exact(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-# ---- 10
-
-
-def test_scores_match_a_plain_automaton(docs, rows, empty):
-    got = lm.score(docs).collect()
-    texts = [[*(r.text or "").encode().lower().split(), b"\n"] for r in rows]
-    train = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 != 0 for r in rows]
-    c = Counter(w for t, own in zip(texts, train, strict=True) if own for w in t)
-    n, v = sum(c.values()), len(c)
-    states = {w for w in c if c[w] >= max(2, n / 60_000)}
-    pairs = Counter((a, b) for t, own in zip(texts, train, strict=True) if own for a, b in zip([b"<s>", *t], t, strict=False) if b in states and (a == b"<s>" or a in states))
-    arcs = {k: m for k, m in pairs.items() if m >= 2}
-    history = {**c, b"<s>": sum(train)}
-    failure = defaultdict(lambda: 1.0)
-    for (a, _), m in arcs.items():
-        failure[a] -= (m - 0.75) / history[a]
-    expected = []
-    for r, t, own in zip(rows, texts, train, strict=True):
-        base = score = 0.0
-        for a, w in zip([b"<s>", *t], t, strict=False):
-            one = (c[w] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(one)
-            known = a == b"<s>" or a in states
-            score += math.log10(max(arcs.get((a, w), 0) - 0.75, 0) / history[a] + failure[a] * one if known else one)
-        expected.append((r.doc_id or -1, not own, len(t), sum(c[w] > 0 for w in t), n, round(base, 4), round(score, 4)))
-    mine = [(r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got]
-    assert sorted(mine) == sorted(expected)
-    assert lm.score(empty).collect() == []
-
-
-def test_probabilities_of_a_state_sum_to_one():
-    states = lm.States(np.array([5, 9], np.uint64), np.array([10, 10]), 4)
-    words = (np.array([3, 5, 9], np.uint64), np.array([2, 10, 10]))
-    at = {5: 1, 9: 2}
-    arcs = (np.array(sorted([(1 << 32) | 2, (1 << 32) | 1]), np.uint64), np.array([3, 6]))
-    states.set_failures(np.array([1]), np.array([(3 - 0.75) + (6 - 0.75)]))
-    total = 0.0
-    for w in (3, 5, 9, 77):
-        _, base, score = lm.traverse(np.array([5, w], np.uint64), states, words, arcs, 22, 3)
-        _, _, first = lm.traverse(np.array([5], np.uint64), states, words, arcs, 22, 3)
-        total += 10 ** (score - first)
-    assert total == pytest.approx(1.0) and at
-
-
 def test_mixing_places_do_not_depend_on_ranges(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 7), "en", None if i % 11 == 0 else "ab"[i % 2], 9) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
