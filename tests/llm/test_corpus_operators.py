@@ -293,7 +293,7 @@ def test_classifier_without_labels(docs, rows, empty, spark):
         (None, ""), ("", ""), ("<html></html>", ""), ("plain &amp; simple", "plain & simple"),
         ("<body><nav><a href=x>Menu</a></nav><article><h1>T &eacute;</h1><p>One <b>two</b><br>three<p>Four</article><footer>&copy; x</footer>", "T é\n\nOne two three\n\nFour"),
         ("<div class='cookie-notice'>We use</div><div><h2>Head</h2><p>Body  text\n here</p></div><section id=comments><p>bad</p></section>", "Head\n\nBody text here"),
-        ("<article><header><h1>A</h1></header><p>x</p><aside>no</aside><form><p>no</p></form><div class='share'>no</div><p>y", "A\n\nx\n\ny"),
+        ("<article><header><h1>A</h1></header><p>x</p><aside>no</aside><form><p>no</p></form><div class='advert'>no</div><p>y", "A\n\nx\n\ny"),
         ("<p>cut &am", "cut &am"), ("<p>cut <a hre", "cut"), ("<script>var t='</p>';</script><p>a<!-- <p>no -->b</p>", "ab"),
     ],
 )
@@ -301,11 +301,6 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
-def test_surges_and_dives():
-    assert html_text.surges([0, 5, 0, 0, 7, 0, 0, 0, 3], window=3) == [(1, 5), (8, 9)]
-    assert html_text.surges([], 3) == []
-
-
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, "v", "<p>" + "long " * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract(pages).collect()

@@ -1,8 +1,12 @@
-"""Stretches of text are judged by their own windows, not by the longest one."""
+"""Windows' sums, surges and dives choose the text; marks and names only weigh."""
 
+import time
+
+import pytest
 from geofold.llm import html_text
 
 ADVERTS = "<div class=ad>buy</div>" * 4
+LONG = "A sentence of the story that is long enough. " * 6
 
 
 def page(*stretches):
@@ -20,3 +24,48 @@ def test_windowed_sums_choose_stretches_of_pages_without_an_article():
     body = ["a line of some text " * 4]
     assert html_text.main_text(page(["Top of page"], ["Title", *body, "The end."], ["12 May"])) == "Title\n\n" + body[0].strip() + "\n\nThe end."
     assert html_text.main_text(page(["one"], ["two"])) == "one\n\ntwo"
+
+
+def test_surges_and_dives_by_hand():
+    #                        0  1  2   3  4  5   6  7  8  9 10 11  12
+    assert html_text.surges([4, 0, 0, 30, 5, 0, 40, 2, 0, 0, 0, 9, 50], 30) == [(3, 8), (11, 13)]
+    assert html_text.surges([5, 5, 5], 15) == [(0, 3)] and html_text.surges([5, 5, 4], 15) == [] and html_text.surges([], 1) == []
+    assert html_text.window_sums([1, 2, 3, 4]) == [6, 9, 7, 4]
+
+
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "extra, kept",
+    [
+        ("<div class='notice-period'><p>Three months of notice.</p></div>", "Three months of notice."), ("<div class='related-work'>Others wrote on it.</div>", "Others wrote on it."),
+        ("<p>With <span class='tags'>tags</span> inside</p>", "With tags inside"), ("<div class='ad'>Buy now</div>", None), ("<div id=reader-comments><p>First! I was here before.</p></div>", None),
+        ("<aside>See also</aside>", None), ("<form><p>Your mail</p><input></form>", None), ("<p hidden>never shown</p>", None), ("<div class='cookieNotice'>We use cookies</div>", None), ("<ul><li>a point</li><li>two</li></ul>", "a point\n\ntwo"),
+    ],
+)
+def test_blocks_inside_an_article(mark, extra, kept):
+    got = html_text.main_text(f"<html><body><nav><a href=/>Home</a> <a href=/x>X</a></nav><div class=banner><p>Today only</p></div><{mark}><h1>Head</h1><p>{LONG}</p>{extra}<p>{LONG}</p><p>End.</p></{mark}><footer>All rights</footer></body></html>")
+    body = " ".join(LONG.split())
+    assert got == "\n\n".join(x for x in ("Head", body, kept, body, "End.") if x)
+
+
+def test_a_story_outside_of_a_marked_teaser_wins():
+    assert html_text.main_text(f"<main><p>Teaser</p></main><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div>") == "\n\n".join(["Title", *[" ".join(LONG.split())] * 2])
+
+
+def test_long_reader_comments_and_link_lists_go():
+    comments = "".join(f"<div class=comment><p>{LONG[:120]}</p></div>" for _ in range(30))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another story with a long title {i}</a></li>" for i in range(20)) + "</ul>"
+    for mark in ("article", "div"):
+        got = html_text.main_text(f"{links}<{mark}><p>{LONG}</p><p>{LONG}</p><section id=comments>{comments}</section></{mark}>{links}")
+        assert got == "\n\n".join([" ".join(LONG.split())] * 2)
+
+
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "</i>" * n, lambda n: "<i><p>" + "<b>" * n + "</i>" * n, lambda n: "<div>" + "<b>" * n + "<h1></h1>" * n, lambda n: "<div>" * n + "</span>" * n, lambda n: "<p>a</p><nav>b</nav>" * n, lambda n: "<a href=" * n, lambda n: "<!--" * n, lambda n: "<div class='" * n])
+def test_time_is_linear(make):
+    def took(n):
+        start = time.process_time()
+        html_text.main_text(make(n))
+        return time.process_time() - start
+
+    took(500)
+    assert took(16_000) < 24 * max(took(2_000), 0.004) + 0.3
