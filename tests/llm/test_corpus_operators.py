@@ -363,8 +363,8 @@ def test_rules_and_trust(spark):
     )
     got = {r.page_id: r for r in url_rules.judge(pages, URL_RULES).collect()}
     verdicts = {k: (r.rule, r.verdict) for k, r in got.items()}
-    assert verdicts == {1: (None, "block"), 2: (None, "block"), 3: ("net/", "block"), 4: (None, "allow"), 5: ("org/fr/", "allow"), 6: (None, "allow"), 7: ("example.net/en/", "allow"), 8: ("example.com/de/", "block"), 9: (None, "allow"), 10: (None, "allow")}
-    assert got[1].distrust == pytest.approx(0.85) and got[2].distrust == pytest.approx(0.7225) and got[6].trust == pytest.approx(0.85)
+    assert verdicts == {1: (None, "block"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "allow"), 5: ("org/fr/", "allow"), 6: (None, "allow"), 7: ("example.net/en/", "allow"), 8: ("example.com/de/", "block"), 9: (None, "allow"), 10: (None, "allow")}
+    assert got[1].distrust_share == pytest.approx(1) and got[2].distrust_share == pytest.approx(0.85 / 1.85 * 1.0) and got[6].trust_share == pytest.approx(1)
     assert (got[3].host, got[3].path, got[4].host, got[5].host) == ("b.net", "/q", "", "g.org")
     assert url_rules.judge(pages, URL_RULES).count() == 11 and url_rules.judge(pages.limit(0), URL_RULES).count() == 0
 
