@@ -1,26 +1,25 @@
 """Quality classifier: random-indexing word vectors, pooled, then a small calibrated network.
 
 Every document has a sparse random index vector (a few +1 and -1, drawn from its text's hash). A
-word's vector is the sum of the index vectors of all documents that hold it. Words count as their
-folded form and, apart from it, as their shape (letter case, digits, punctuation); words and shapes are hashed
-into a fixed number of rows, so the table's size doesn't depend on the corpus. A document's
-features are the mean vectors of its words and of its shapes. A two-layer numpy network learns
-the labels; its logits are divided by a temperature fitted on labelled rows that it wasn't trained on.
-
-The table covers every document: tasks hand out blocks of partial sums (whole
-numbers, so any order gives the same), which are added in two levels. The network is fitted on
+word's vector is the sum of the index vectors of all documents that hold it, scaled to length 1. Words are runs of
+letters and digits, and runs of punctuation, as they are written; they are hashed
+into ``ROWS`` rows, so the table's size doesn't depend on the corpus, and rare words share rows. A document's
+features are its word vectors pooled: their mean, their spread and the correlation of neighbouring ones, each by component. A
+two-layer numpy network learns the labels from these alone; its logits are divided by a temperature fitted on labelled rows that it
+wasn't trained on.
+
+The table covers every document: tasks hand out compressed blocks of partial sums (whole
+numbers of 64 bits, so any order gives the same), which are added in two levels. The network is fitted on
 at most ``MAX_LABELLED`` labelled rows, those of the smallest hashes of ids. What the driver
-holds is the table (about 1 MB) and that sample's features.
+holds is the table (8 MB as it is sent) and that sample's features.
 
-Defined cases: null and empty texts have zero features and get a score; labels that are null or
+Defined cases: null and empty texts have zero features and get a score; very long texts are pooled in steps; labels that are null or
 repeat for a document are averaged (1 from one half on); without labels of both classes every score is
-the share of label 1, or 0.5 without any label; repeated rows get equal scores; an empty table gives no rows.
+the share of label 1, or 0.5 without any label; repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import operator
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,103 +27,122 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm.common import doc_crc, text_bytes
+from geofold.llm.common import doc_crc, mapped
+from geofold.llm.words import LETTERS, Words, words_of
 
-WORD_ROWS, SHAPE_ROWS = 8192, 256
-ROWS = WORD_ROWS + SHAPE_ROWS
+ROWS = 1 << 16
 DIM = 32
 ONES = 8
-BLOCK = 256
+BLOCK = 4096
 #: Labelled rows that the network is fitted on, at most.
 MAX_LABELLED = 20_000
 HIDDEN = 32
 EPOCHS = 60
-MEMO = 300_000
 #: Tasks whose sums are added by one task of the first level.
 FAN_IN = 64
+#: Words pooled at a time.
+STEP = 1 << 15
+#: Keeps correlations of words that hardly differ near 0.
+LEAST_SPREAD = 1e-4
 
-_LOWER, _UPPER, _DIGITS = re.compile("[^\\W\\d_A-ZÀ-ÖØ-Þ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[0-9]+")
 
+def rows_of(words: Words) -> np.ndarray:
+    """Table row of each word."""
+    return (words.hashes() % np.uint64(ROWS)).astype(np.int64)
 
-class Vocabulary(dict):
-    """Rows of a word: WORD_ROWS * shape row + word row."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh32_intdigest
-
-        if len(self) >= MEMO:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        shape = _LOWER.sub("a", _UPPER.sub("A", _DIGITS.sub("0", text)))[:12]
-        folded = "".join(c for c in text.lower() if c.isalnum()) or text
-        self[word] = row = WORD_ROWS * (xxh32_intdigest(shape) % (SHAPE_ROWS - 1)) + xxh32_intdigest(folded) % WORD_ROWS
-        return row
-
-
-_vocabulary = Vocabulary()
-
-
-def rows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of the words and of the shapes; the last shape row stands for "as the word before"."""
-    words = data.split()
-    both = np.fromiter(map(_vocabulary.__getitem__, words), np.int64, len(words))
-    again = sum(map(operator.eq, words[1:], words))
-    return both % WORD_ROWS, np.r_[WORD_ROWS + both // WORD_ROWS, np.full(again, ROWS - 1)].astype(np.int64)
-
-
-def index_vector(data: bytes) -> np.ndarray:
+def index_vectors(words: Words) -> np.ndarray:
+    """A sparse vector for each text, drawn from its bytes."""
     from xxhash import xxh64_intdigest
 
-    h, out = xxh64_intdigest(data), np.zeros(DIM, np.int32)
+    data = memoryview(words.data.tobytes())
+    n = len(words.ends) - 1
+    h = np.array([xxh64_intdigest(data[a:z]) for a, z in zip(words.ends[:-1], words.ends[1:], strict=True)], np.uint64)
+    out = np.zeros((n, DIM), np.int16)
     for i in range(ONES):
-        out[h % DIM] += 1 if i % 2 else -1
-        h //= DIM
+        np.add.at(out, (np.arange(n), ((h >> np.uint64(5 * i)) % np.uint64(DIM)).astype(np.int64)), 1 if i % 2 else -1)
     return out
 
 
+def add_index_vectors(total: np.ndarray, words: Words) -> None:
+    """Adds each text's index vector to the rows of its distinct words."""
+    n = len(words.ends) - 1
+    pairs = np.unique(rows_of(words) * n + np.repeat(np.arange(n), words.counts)) if n else np.zeros(0, np.int64)
+    if not len(pairs):
+        return
+    vectors = index_vectors(words)
+    for at in range(0, len(pairs), STEP):
+        row, text = np.divmod(pairs[at : at + STEP], n)
+        heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        total[row[heads]] += np.add.reduceat(vectors[text], heads, axis=0, dtype=np.int64)
+
+
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """ROWS x DIM whole numbers over all documents."""
-    blocks = ROWS // BLOCK
+    schema = "block int, part int, sums binary"
+    names = ["block", "part", "sums"]
+
+    def blob(keys: list[tuple[int, int]], sums: list[np.ndarray]) -> pa.RecordBatch:
+        data = [pa.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) for x in sums]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(data, pa.binary())], names)
+
+    def opened(data: bytes) -> np.ndarray:
+        planes = np.frombuffer(pa.decompress(data, 8 * BLOCK * DIM, "zstd"), np.uint8).reshape(8, -1)
+        return np.ascontiguousarray(planes.T).view("<i8")[:, 0].reshape(BLOCK, DIM)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros((ROWS, DIM), np.int32)
+        total = np.zeros((ROWS, DIM), np.int64)
         for b in batches:
-            for data in text_bytes(b.column(0)):
-                words, shapes = rows_of(data)
-                total[np.unique(np.r_[words, shapes])] += index_vector(data)
-        parts = total.reshape(blocks, BLOCK, DIM)
-        at = [i for i in range(blocks) if parts[i].any()]
+            add_index_vectors(total, words_of(b.column(0), LETTERS))
         part = TaskContext.get().partitionId() // FAN_IN
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array([parts[i].tobytes() for i in at], pa.binary())], ["block", "part", "sums"])
+        for i in range(ROWS // BLOCK):
+            own = total[i * BLOCK : (i + 1) * BLOCK]
+            if own.any():
+                yield blob([(i, part)], [own])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for block, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = np.frombuffer(data, np.int32)
-                if (block, part) in sums:
-                    sums[block, part] += got
-                else:
-                    sums[block, part] = got.copy()
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "part", "sums"])
-
-    schema = "block int, part int, sums binary"
-    counted = docs.select(docs[text_col].alias("text")).mapInArrow(count, schema)
-    first = counted.repartition("block", "part").mapInArrow(add, schema)
-    second = first.withColumn("part", F.lit(0)).repartition("block").mapInArrow(add, schema)
-    table = np.zeros((blocks, BLOCK * DIM), np.int64)
-    for r in second.collect():  # one row for each of the table's blocks
-        table[r["block"]] += np.frombuffer(r["sums"], np.int32)
-    return table.reshape(ROWS, DIM)
-
-
-def features(data: bytes, vectors: np.ndarray) -> np.ndarray:
-    words, shapes = rows_of(data)
-    if not len(words):
-        return np.zeros(2 * DIM, np.float32)
-    return np.concatenate([vectors[words].mean(axis=0), vectors[shapes].mean(axis=0)])
+                sums[block, part] = opened(data) + sums.get((block, part), 0)
+        for key, x in sums.items():
+            yield blob([key], [x])
+
+    counted = mapped(docs.select(docs[text_col].alias("text")), count, schema)
+    first = mapped(counted.repartition("block", "part"), add, schema)
+    second = mapped(first.withColumn("part", F.lit(0)).repartition("block"), add, schema)
+    table = np.zeros((ROWS, DIM), np.int64)
+    for r in second.collect():  # one row for each of the table's ROWS / BLOCK blocks
+        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += opened(r["sums"])
+    return table
+
+
+def features(words: Words, vectors: np.ndarray) -> np.ndarray:
+    """Mean, spread and neighbours' correlation of each text's word vectors. Sums of 64 bits, so steps don't show."""
+    n = len(words.ends) - 1
+    counts = words.counts
+    text = np.repeat(np.arange(n), counts)
+    rows = rows_of(words)
+    one, two, both = (np.zeros((n, DIM)) for _ in range(3))
+    for at in range(0, len(rows), STEP):
+        v = vectors[rows[at : at + STEP + 1]]
+        own = text[at : at + STEP + 1]
+        step = min(STEP, len(rows) - at)
+        heads = np.flatnonzero(np.r_[True, own[1:step] != own[: step - 1]])
+        add = lambda x: np.add.reduceat(x, heads, axis=0, dtype=np.float64)  # noqa: B023, E731
+        one[own[heads]] += add(v[:step])
+        two[own[heads]] += add(v[:step] ** 2)
+        next_ = np.zeros((step, DIM), np.float32)
+        m = len(v) - 1
+        next_[:m] = v[:m] * v[1:] * (own[1:] == own[:-1])[:, None]
+        both[own[heads]] += add(next_)
+    c = np.maximum(counts, 1)[:, None]
+    mean = one / c
+    spread = np.maximum(two / c - mean**2, 0)
+    near = np.where(counts[:, None] > 1, (both / np.maximum(counts - 1, 1)[:, None] - mean**2) / (spread + LEAST_SPREAD), 0)
+    return np.hstack([mean, np.sqrt(spread), near])
 
 
 class Network:
@@ -176,10 +194,10 @@ def fit(sample: DataFrame, vectors: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(d, vectors).astype(np.float32).tobytes() for d in text_bytes(b.column(1))]
+            x = [row.tobytes() for row in features(words_of(b.column(1), LETTERS), vectors).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], ["h", "y", "x"])
 
-    rows = sorted(sample.mapInArrow(run, "h long, y int, x binary").collect(), key=lambda r: (r["h"], r["x"]))
+    rows = sorted(mapped(sample, run, "h long, y int, x binary").collect(), key=lambda r: (r["h"], r["x"]))
     if not rows:
         return Constant(0.5)
     y = np.array([r["y"] for r in rows])
@@ -205,11 +223,11 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, network = sent.value
         for b in batches:
-            x = np.array([features(d, table) for d in text_bytes(b.column(1))], float).reshape(len(b), 2 * DIM)
+            x = features(words_of(b.column(1), LETTERS), table)
             yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(network.score(x))], [*(f.name for f in b.schema if f.name != "text"), "score"])
 
     asked = own.select("doc_id", "text", (~usable).alias("held_out"), F.xxhash64("text").alias("text_hash"))
-    scored = asked.mapInArrow(run, "doc_id long, held_out boolean, text_hash long, score double")
+    scored = mapped(asked, run, "doc_id long, held_out boolean, text_hash long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

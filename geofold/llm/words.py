@@ -1,7 +1,7 @@
 """Words of many texts at once: places, hashes and n-gram keys by numpy, without a Python loop over words.
 
 A word is a maximal run of bytes other than ASCII white space (0x20, 0x09 to 0x0D); on UTF-8 that is
-the rule of ``JAVA_WORD``. A word's hash mixes its length and its bytes, eight at a time; what
+the rule of ``JAVA_WORD``. With ``LETTERS``, runs of punctuation are words of their own. A word's hash mixes its length and its bytes, eight at a time; what
 a very long word has beyond ``LONG`` bytes enters by XXH64.
 
 Defined cases: null texts are empty; texts without words have none; words of any
@@ -23,8 +23,12 @@ _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _POWER = np.uint64(0xD1342543DE82EF95)
 #: Keeps the first 0 to 8 bytes of a little-endian number.
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+#: Kinds of bytes: 0 parts words, a word has bytes of one kind.
+BYTES = np.ones(256, np.uint8)
+BYTES[[32, *range(9, 14)]] = 0
+#: Letters and digits (of all alphabets) apart from ASCII's punctuation.
+LETTERS = BYTES.copy()
+LETTERS[[x for x in range(33, 127) if not chr(x).isalnum()]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -35,13 +39,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def unmixed(x: np.ndarray) -> np.ndarray:
-    """What ``mixed`` made x of."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(pow(int(_MIX2), -1, 1 << 64))
-    x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * np.uint64(pow(int(_MIX), -1, 1 << 64))
-    return x ^ (x >> np.uint64(32))
-
-
 def fast_order(keys: np.ndarray) -> np.ndarray:
     """An order that sorts 64-bit keys: numbers made of upper bits and places are sorted, what their lost bits tell is mended."""
     n = len(keys)
@@ -81,17 +78,18 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of the texts of a column, in order."""
+    """Words of the texts of a column, in order: maximal runs of bytes of one kind."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, kinds: np.ndarray = BYTES):
         self.data, self.ends = data, ends
-        open_ = ~_SPACE[data] if len(data) else np.zeros(0, bool)
-        first, last = open_.copy(), open_.copy()
+        kind = kinds[data]
+        first, last = kind > 0, kind > 0
         if len(data):
-            edge = np.zeros(len(data) + 1, bool)
-            edge[ends] = True
-            first[1:] &= ~open_[:-1] | edge[1:-1]
-            last[:-1] &= ~open_[1:] | edge[1:-1]
+            cut = kind[1:] != kind[:-1]
+            inner = ends[(ends > 0) & (ends < len(data))]
+            cut[inner - 1] = True
+            first[1:] &= cut
+            last[:-1] &= cut
         self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         #: words before each text, and of all
         self.upto = np.searchsorted(self.start, ends)
@@ -125,5 +123,5 @@ class Words:
         return out
 
 
-def words_of(column) -> Words:
-    return Words(*flat(column))
+def words_of(column, kinds: np.ndarray = BYTES) -> Words:
+    return Words(*flat(column), kinds)
