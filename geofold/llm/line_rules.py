@@ -1,8 +1,8 @@
 """Quality rules: lines that many of a host's documents share are removed; documents left with little are rejected.
 
 A line is normalised (ASCII lower case, single spaces, digits as 0) and hashed.
-Over the documents with different texts of a host (copies of one text count once),
-each line is counted once for a document, and so over all hosts together. A line that more
+Over the distinct documents of a host (those with different texts: copies of one text are one, as which of
+them stays is near-duplicate detection's to say; ``copies=True`` counts every row), each line is counted once for a document, and so over all hosts together. A line that more
 than ``MIN_DOCS`` documents of a host hold is removed from that host's documents; one that more
 than ``ALL_DOCS`` documents of all hosts hold, from every document. Limits are numbers of documents, the same for
 small and large hosts. A document whose remaining words are fewer than ``MIN_LEFT`` of its words is depleted
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm.common import stash, text_bytes
+from geofold.llm.common import mapped, stash, text_bytes
 
 MIN_DOCS = 10
 ALL_DOCS = 50
@@ -96,23 +96,24 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             row += len(b)
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[host_col].cast("string").alias("host"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, f"row_id long, doc_id long, host string, text_hash long, {_FACTS}, {_LINES}")
+    return mapped(chosen, run, f"row_id long, doc_id long, host string, text_hash long, {_FACTS}, {_LINES}")
 
 
-def frequent_lines(described: DataFrame, min_docs: int = MIN_DOCS, all_docs: int = ALL_DOCS) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(described: DataFrame, min_docs: int = MIN_DOCS, all_docs: int = ALL_DOCS, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """(host_key, line) of the lines over the limit in a host, and (line) of those over the limit in all hosts; host_key: the host's hash."""
-    held = described.select(F.xxhash64("host").alias("host_key"), "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
+    document = F.col("row_id" if copies else "text_hash").alias("document")
+    held = described.select(F.xxhash64("host").alias("host_key"), document, F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
     per_line = stash(held.groupBy("host_key", "line").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > min_docs, F.col("host_key"))).alias("hosts")).where((F.col("n") > all_docs) | (F.size("hosts") > 0)), "line-counts")
     # a text that several hosts hold counts once: only lines that might be over the limit are counted again
     maybe = per_line.where(F.col("n") > all_docs).select("line")
-    everywhere = stash(held.join(maybe, "line", "left_semi").select("text_hash", "line").distinct().groupBy("line").count().where(F.col("count") > all_docs).select("line"), "lines-everywhere")
+    everywhere = stash(held.join(maybe, "line", "left_semi").select("document", "line").distinct().groupBy("line").count().where(F.col("count") > all_docs).select("line"), "lines-everywhere")
     return per_line.select(F.explode("hosts").alias("host_key"), "line").join(everywhere, "line", "left_anti").select("host_key", "line"), everywhere
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, all_docs: int = ALL_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, all_docs: int = ALL_DOCS, min_left: float = MIN_LEFT, copies: bool = False) -> DataFrame:
     """Facts, base_failed, removed_words, removed_lines (hashes) and kept for every row of docs."""
     described = stash(describe(docs, id_col, text_col, host_col), "lines")
-    of_host, everywhere = frequent_lines(described, min_docs, all_docs)
+    of_host, everywhere = frequent_lines(described, min_docs, all_docs, copies)
     each = described.select("row_id", "doc_id", "text_hash", F.xxhash64("host").alias("host_key"), F.explode("lines").alias("x")).select("row_id", "doc_id", "text_hash", "host_key", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
     # a line removed everywhere has one first holder; one of a host has one there
     over = each.join(everywhere, "line").withColumn("host_key", F.lit(None).cast("long")).unionByName(each.join(of_host, ["host_key", "line"]))
