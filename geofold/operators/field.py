@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.functions.geom import apply, dot, inverse_root, quaternion_matrix, sub
+from geofold.functions.geom import apply, dot, inverse_root, norm, quaternion_matrix, sub, transposed
 
 #: Columns of a splat that the field needs, as payload of a neighbour join.
 SPLAT = ("x", "y", "z", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity")
@@ -43,16 +43,43 @@ def gradient(pairs: DataFrame, density_factor: float = 1.0) -> DataFrame:
     return rows.groupBy("i").agg(*(F.sum(-F.col("w") * v).alias(f"g{c}") for c, v in zip("xyz", apply(m, scaled), strict=True)))
 
 
-def overlap(pairs: DataFrame) -> DataFrame:
-    """(i, overlap): mean share of a splat's centre in its neighbours."""
-    return weights(pairs.withColumn("opacity", F.lit(1.0))).groupBy("i").agg(F.avg("w").alias("overlap"))
+def _normal(q: list[str], s: list[str]) -> list:
+    """Direction of a splat's least axis (the first of equals)."""
+    m = transposed(quaternion_matrix(q))
+    least = F.least(*s)
+    return [F.when(F.col(s[0]) == least, m[0][k]).when(F.col(s[1]) == least, m[1][k]).otherwise(m[2][k]) for k in range(3)]
 
 
-def alignment(pairs: DataFrame) -> DataFrame:
-    """(i, alignment): mean of |distance / (deviation + deviation) - 1| along the line to the neighbours; own scales are o0..o2."""
-    dist = F.sqrt("d2")
-    own, other = F.greatest("o0", "o1", "o2"), F.greatest("s0", "s1", "s2")
-    return pairs.groupBy("i").agg(F.avg(F.abs(dist / (own + other) - 1)).alias("alignment"))
+def overlap(pairs: DataFrame, by_normals: bool = False) -> DataFrame:
+    """(i, overlap): mean share of a splat's centre in its neighbours; by_normals weighs each by |cos| of the angle between both normals (own quaternion p0..p3, scales o0..o2)."""
+    return weights(pairs.withColumn("opacity", F.lit(1.0))).groupBy("i").agg(F.avg(F.col("w") * _facing() if by_normals else F.col("w")).alias("overlap"))
+
+
+def _facing():
+    return F.abs(dot(_normal([f"p{k}" for k in range(4)], ["o0", "o1", "o2"]), _normal([f"q{k}" for k in range(4)], ["s0", "s1", "s2"])))
+
+
+def alignment(pairs: DataFrame, factor: float = 1.0, by_normals: bool = False) -> DataFrame:
+    """(i, alignment): mean of |distance / (factor * (own + other deviation)) - 1| over the neighbours.
+
+    A splat's deviation is that along the line between both: the length of its scales times the line's
+    direction in its own frame. Own scales are o0..o2, the own quaternion p0..p3; distance and the sum are 1e-8 at least.
+    """
+    shift = sub(["x", "y", "z"], ["px", "py", "pz"])
+    dist = F.greatest(norm(shift), F.lit(1e-8))
+    along = [c / dist for c in shift]
+    deviation = lambda q, s: norm([c * F.col(k) for c, k in zip(apply(transposed(quaternion_matrix(q)), along), s, strict=True)])
+    own, other = deviation([f"p{k}" for k in range(4)], ["o0", "o1", "o2"]), deviation([f"q{k}" for k in range(4)], ["s0", "s1", "s2"])
+    value = F.abs(dist / F.greatest((own + other) * factor, F.lit(1e-8)) - 1)
+    return pairs.groupBy("i").agg(F.avg(value * _facing() if by_normals else value).alias("alignment"))
+
+
+def sdf_gradient(pairs: DataFrame, density_factor: float = 1.0, most: float = 10.0, least: float = 1e-16) -> DataFrame:
+    """(i, gx, gy, gz): the signed distance's gradient, beta / (d * sqrt(-2 ln d)) times the density's falling slope, each part held within ``most``."""
+    d = F.greatest("density", F.lit(least))
+    factor = F.col("beta") / F.greatest(d * F.sqrt(-2 * F.ln(d)), F.lit(least))
+    rows = gradient(pairs, density_factor).join(density(pairs, density_factor), "i")
+    return rows.select("i", *(F.least(F.greatest(-factor * F.col(f"g{c}"), F.lit(-most)), F.lit(most)).alias(f"g{c}") for c in "xyz"))
 
 
 def first_crossing(samples: DataFrame, ray: str, t: str, value: str, level: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.functions.geom import angle_degrees, dot, face_normal, norm, point_triangle_squared
+from geofold.functions.geom import angle_degrees, dot, face_normal, norm, point_triangle_squared, sub
 from geofold.operators.components import connected_components
 from geofold.operators.ordering import numbered
 
@@ -150,3 +150,17 @@ def skinned(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFr
     rows = weights.where("w > 0").withColumn("share", share).join(bones, "bone").join(vertices, "vid")
     moved = [F.sum(F.col("share") * (dot([F.col(f"m{r}{k}") for k in range(3)], list("xyz")) + F.col(f"m{r}3"))).alias(c) for r, c in enumerate("xyz")]
     return rows.groupBy("vid").agg(*moved)
+
+
+def deformation(faces: DataFrame, vertices: DataFrame, reference: DataFrame, most: float = 2.0) -> DataFrame:
+    """(fid, ratio, kept): largest ratio of a corner's distance to its face's centre to that distance in the reference mesh. Faces up to ``most`` are kept."""
+    def spans(v: DataFrame) -> DataFrame:
+        c = with_corners(faces, v)
+        mid = [(F.col(f"a{x}") + F.col(f"b{x}") + F.col(f"c{x}")) / 3 for x in "xyz"]
+        return c.select("fid", *(norm(sub([f"{k}{x}" for x in "xyz"], mid)).alias(f"{k}d") for k in "abc"))
+
+    now = spans(vertices)
+    then = spans(reference).withColumnsRenamed({f"{k}d": f"{k}r" for k in "abc"})
+    # a corner on its reference centre: any distance is beyond every limit, none is no change
+    ratio = F.greatest(*(F.when(F.col(f"{k}r") > 0, F.col(f"{k}d") / F.col(f"{k}r")).when(F.col(f"{k}d") > 0, F.lit(float("inf"))) for k in "abc"))
+    return now.join(then, "fid").select("fid", ratio.alias("ratio")).withColumn("kept", F.coalesce(F.col("ratio") <= most, F.lit(False)))

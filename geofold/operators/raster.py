@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,15 +80,25 @@ def central_differences(grid: DataFrame, value: str, by: list[str]) -> DataFrame
     return grid.withColumn("d_col", half("col", "row")).withColumn("d_row", half("row", "col"))
 
 
-def valid_depth(grid: DataFrame, by: list[str], height: int, width: int, border: int = 1, most_gradient: float = 0.1) -> DataFrame:
-    """grid (row, col, depth) with ``valid``: depth and its four neighbours exist, relative gradient is small, away from the border."""
+def valid_depth(grid: DataFrame, by: list[str], height: int, width: int, max_depth, border: int = 2, most_gradient: float = 0.05, background: float = 0.98, normal: str | None = None, least_normal: float = 0.1) -> DataFrame:
+    """grid (row, col, depth) with ``valid``.
+
+    A pixel is valid if it and its four neighbours lie nearer than ``background * max_depth``, the larger of both central
+    differences is under ``most_gradient`` of its depth, it is no part of the ``border`` outer rings, and the length
+    in column ``normal``, if given, is over ``least_normal``. max_depth: a number or a Column.
+    """
     across, down = Window.partitionBy(*by, "row").orderBy("col"), Window.partitionBy(*by, "col").orderBy("row")
-    near = [F.coalesce(f("depth").over(w), F.lit(0.0)) for w in (across, down) for f in (F.lag, F.lead)]
-    d = central_differences(grid, "depth", by)
-    steep = F.sqrt(F.col("d_col") ** 2 + F.col("d_row") ** 2) / F.greatest("depth", F.lit(1e-8))
-    inside = F.col("row").between(border, height - 1 - border) & F.col("col").between(border, width - 1 - border)
-    whole = (F.col("depth") > 0) & (near[0] > 0) & (near[1] > 0) & (near[2] > 0) & (near[3] > 0)
-    return d.withColumn("valid", whole & inside & (steep < most_gradient))
+    depth = F.col("depth")
+    sides = [[f("depth").over(w) for f in (F.lag, F.lead)] for w in (across, down)]
+    near = F.lit(background) * max_depth
+    whole = (depth < near) & reduce(lambda a, b: a & F.coalesce(b < near, F.lit(False)), (x for pair in sides for x in pair), F.lit(True))
+    steep = F.greatest(*(F.abs(b - a) / 2 for a, b in sides))
+    ring = max(border, 1)
+    inside = F.col("row").between(ring, height - 1 - ring) & F.col("col").between(ring, width - 1 - ring)
+    valid = whole & inside & (steep < most_gradient * F.abs(depth))
+    if normal:
+        valid = valid & (F.col(normal) > least_normal)
+    return grid.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
 def laplacian_variance(grid: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -21,14 +21,19 @@ def outer_merged(parts: dict[str, DataFrame], key: str = "run") -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full_outer"), named)
 
 
-def inherited(runs: DataFrame, parents: DataFrame, columns: list[str], key: str = "run", parent: str = "parent") -> DataFrame:
-    """Missing values come from the parent run; ``source`` says where a row's values are from."""
+def inherited(runs: DataFrame, parents: DataFrame, groups: dict[str, list[str]], key: str = "run", parent: str = "parent") -> DataFrame:
+    """What a run lacks comes from its parent run, each group of columns on its own: a group that is null throughout is the parent's,
+    if the parent has any of it. ``<group>_source`` says where a group is from. Parents aren't followed further."""
+    columns = [c for own in groups.values() for c in own]
     above = runs.select(F.col(key).alias(parent), *(F.col(c).alias(f"__{c}") for c in columns))
     joined = runs.join(parents, key, "left").join(above, parent, "left")
-    lacks = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in columns))
-    source = F.when(~lacks, F.lit("own")).when(F.col(parent).isNotNull(), F.concat(F.lit("inherited:"), F.col(parent))).otherwise(F.lit("missing"))
-    rest = [c for c in runs.columns if c not in columns]
-    return joined.select(*rest, *(F.when(lacks, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns), source.alias("source"))
+    none = lambda names: reduce(lambda a, b: a & b, (F.col(c).isNull() for c in names))
+    out = [F.col(c) for c in runs.columns if c not in columns]
+    for name, own in groups.items():
+        takes = none(own) & ~none([f"__{c}" for c in own])
+        out += [F.when(takes, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in own]
+        out.append(F.when(~none(own), F.lit("own")).when(takes, F.concat(F.lit("inherited:"), F.col(parent))).otherwise(F.lit("missing")).alias(f"{name}_source"))
+    return joined.select(*out)
 
 
 def first_present(*candidates: tuple[str, float]) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofold.functions.geom import apply, quaternion_matrix
 from geofold.operators.ordering import numbered, prefix_sum
 from geofold.operators.shared import stash
 
@@ -65,13 +66,15 @@ def random_points(spark, n: int = 100_000, half: float = 1.3, seed: int = 0) ->
 def densified(splats: DataFrame, small: Column, large: Column, parts: int = 2, shrink: float = 0.8, seed: int = 0) -> DataFrame:
     """Splats after one growth step: small ones of high gradient are cloned, large ones replaced by shrunk parts.
 
-    splats: id, x, y, z, s0, s1, s2; new rows have ``part`` > 0 and keep the id they come from.
+    splats: id, x, y, z, s0, s1, s2, q0..q3; new rows have ``part`` > 0 and keep the id they come from. A part's
+    offset is drawn in the splat's own frame, each axis by its scale, and turned by its quaternion.
     """
     rest = splats.where(~F.coalesce(large, F.lit(False))).withColumn("part", F.lit(0))
     clones = splats.where(small).withColumn("part", F.lit(1))
     split = splats.where(large).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(parts))))
-    for k, c in enumerate("xyz"):
-        split = split.withColumn(c, F.col(c) + normal(seed + 10 * k, "id", "part") * F.col(f"s{k}"))
+    split = split.withColumns({f"__o{k}": normal(seed + 10 * k, "id", "part") * F.col(f"s{k}") for k in range(3)})
+    turned = apply(quaternion_matrix([f"q{k}" for k in range(4)]), ["__o0", "__o1", "__o2"])
+    split = split.withColumns({c: F.col(c) + o for c, o in zip("xyz", turned, strict=True)}).drop("__o0", "__o1", "__o2")
     for k in range(3):
         split = split.withColumn(f"s{k}", F.col(f"s{k}") / (shrink * parts))
     return rest.unionByName(clones).unionByName(split)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +31,24 @@ def share_below(df: DataFrame, value: str, limit: float) -> DataFrame:
 
 
 def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, window: int = 5) -> DataFrame:
-    """df with the trailing mean; before the start, the first value is repeated."""
+    """df with the trailing mean; before the start, the first value is repeated. A series shorter than the window has one of its own length."""
     w = Window.partitionBy(*by).orderBy(*order)
-    recent = w.rowsBetween(-(window - 1), 0)
-    missing = window - F.count("*").over(recent)
-    return df.withColumn("smooth", (F.sum(value).over(recent) + missing * F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))) / window)
+    n = F.least(F.lit(window), F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    recent = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-(window - 1), 0))
+    own = F.slice(recent, F.greatest(F.size(recent) - n + 1, F.lit(1)), n)
+    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x["v"])
+    return df.withColumn("smooth", (total + (n - F.size(own)) * F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))) / n)
 
 
-def ema(df: DataFrame, by: list[str], order: list[str], value: str, weight: float = 0.4, levels: int = 80) -> DataFrame:
+def ema(df: DataFrame, by: list[str], order: list[str], value: str, weight: float = 0.4, least: float = 1e-18) -> DataFrame:
     """df with weight * x + (1 - weight) * previous, from 0, as a trailing weighted sum.
 
-    Terms past ``levels`` rows weigh less than (1 - weight) ** levels and are left out (2e-18 by default).
+    Terms that weigh less than ``least`` of the newest are left out: as many rows are looked back on as the weight asks for.
     """
+    if not 0 < weight <= 1:
+        raise ValueError("weight must be over 0 and at most 1")
     w = Window.partitionBy(*by).orderBy(*order)
+    levels = 0 if weight == 1 else math.ceil(math.log(least) / math.log1p(-weight))
     recent = F.collect_list(value).over(w.rowsBetween(-levels, 0))
     return df.withColumn("ema", F.aggregate(recent, F.lit(0.0), lambda s, x: (1 - weight) * s + weight * x))
 

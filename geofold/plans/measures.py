@@ -140,11 +140,14 @@ def run_outer_merge(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@BOOK.query("WITH r AS (SELECT c_custkey AS run, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS psnr FROM customer), p AS (SELECT c_custkey AS run, c_custkey // 10 AS parent FROM customer WHERE c_custkey // 10 <> c_custkey) SELECT r.run, CASE WHEN r.psnr IS NULL THEN a.psnr ELSE r.psnr END AS psnr, CASE WHEN r.psnr IS NOT NULL THEN 'own' WHEN parent IS NOT NULL THEN 'inherited:' || parent ELSE 'missing' END AS source FROM r LEFT JOIN p ON p.run = r.run LEFT JOIN r a ON a.run = p.parent")
+_OWN_OR_PARENT = ", ".join(f"CASE WHEN r.{c} IS NULL THEN a.{c} ELSE r.{c} END AS {c}, CASE WHEN r.{c} IS NOT NULL THEN 'own' WHEN a.{c} IS NOT NULL THEN 'inherited:' || parent ELSE 'missing' END AS {group}_source" for group, c in (("render", "psnr"), ("train", "loss")))
+
+
+@BOOK.query(f"WITH r AS (SELECT c_custkey AS run, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS psnr, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS loss FROM customer), p AS (SELECT c_custkey AS run, c_custkey // 10 AS parent FROM customer WHERE c_custkey // 10 <> c_custkey) SELECT r.run, {_OWN_OR_PARENT} FROM r LEFT JOIN p ON p.run = r.run LEFT JOIN r a ON a.run = p.parent")
 def provenance_inherit(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("psnr"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("psnr"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("loss"))
     parents = c.select("run", F.floor(F.col("run") / 10).alias("parent")).where("run != parent")
-    return runs.inherited(c, parents, ["psnr"])
+    return runs.inherited(c, parents, {"render": ["psnr"], "train": ["loss"]})
 
 
 @BOOK.query(f"WITH {RECORDS} SELECT run, {q6('coalesce(click, view / 60, purchase * 2)', 'minutes')} FROM records")
@@ -192,14 +195,23 @@ def head_tail_means(spark: SparkSession, d: str) -> DataFrame:
     return r.select("run", "n", "first", "middle", "last", r6("head").alias("head"), r6("tail").alias("tail"))
 
 
-@BOOK.query(f"WITH {LOG} SELECT event_id, {q6('(sum(value) OVER w + (5 - count(*) OVER w) * first(value) OVER (PARTITION BY run ORDER BY iteration)) / 5', 'smooth')} FROM log WINDOW w AS (PARTITION BY run ORDER BY iteration ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+#: Logs cut after 1 to 6 rows by user, so that some are shorter than a window.
+SHORT = LOG + ", short AS (SELECT *, count(*) OVER (PARTITION BY run) AS length FROM log WHERE iteration <= 1 + CAST(substr(run, 4) AS BIGINT) % 6)"
+
+
+@BOOK.query(f"WITH {SHORT}, pairs AS (SELECT a.event_id, a.run, least(5, any_value(a.length)) AS n, sum(b.value) AS total, count(*) AS seen FROM short a JOIN short b ON a.run = b.run AND b.iteration BETWEEN a.iteration - least(5, a.length) + 1 AND a.iteration GROUP BY a.event_id, a.run), heads AS (SELECT run, value AS head FROM short WHERE iteration = 1) SELECT event_id, {q6('(total + (n - seen) * head) / n', 'smooth')} FROM pairs JOIN heads ON heads.run = pairs.run")
 def moving_average_padded(spark: SparkSession, d: str) -> DataFrame:
-    return stats.moving_average(log(spark, d), ["run"], ["iteration"], "value").select("event_id", r6("smooth").alias("smooth"))
+    short = log(spark, d).where(F.col("iteration") <= 1 + F.substring("run", 4, 20).cast("long") % 6)
+    return stats.moving_average(short, ["run"], ["iteration"], "value").select("event_id", r6("smooth").alias("smooth"))
+
+
+_EMA = lambda w, name: f"round(sum({w} * b.value * pow({1 - w}, a.iteration - b.iteration)), 6) + 0.0 AS {name}"
 
 
-@BOOK.query(f"WITH {LOG}, pairs AS (SELECT a.event_id, sum(0.4 * b.value * pow(0.6, a.iteration - b.iteration)) AS ema FROM log a JOIN log b ON a.run = b.run AND b.iteration <= a.iteration GROUP BY a.event_id) SELECT event_id, {q6('ema', 'ema')} FROM pairs")
+@BOOK.query(f"WITH {LOG} SELECT a.event_id, {_EMA(0.4, 'ema')}, {_EMA(0.01, 'slow')} FROM log a JOIN log b ON a.run = b.run AND b.iteration <= a.iteration GROUP BY a.event_id")
 def ema_loss(spark: SparkSession, d: str) -> DataFrame:
-    return stats.ema(log(spark, d), ["run"], ["iteration"], "value").select("event_id", r6("ema").alias("ema"))
+    both = stats.ema(stats.ema(log(spark, d), ["run"], ["iteration"], "value").withColumnRenamed("ema", "fast"), ["run"], ["iteration"], "value", weight=0.01)
+    return both.select("event_id", r6("fast").alias("ema"), r6("ema").alias("slow"))
 
 
 @BOOK.query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS deep FROM events")

@@ -110,11 +110,14 @@ def face_vertex_join(spark: SparkSession, d: str) -> DataFrame:
     return corners.select("fid", *(r6((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xy"))
 
 
-@BOOK.query(f"WITH {CORNERED} SELECT fid, {q6('max(sqrt((x - (ax + bx + cx) / 3) ** 2)) / 0.1', 'ratio')} FROM (SELECT *, unnest([ax, bx, cx]) AS x FROM cornered) GROUP BY fid")
+_SPAN = lambda a, m: f"sqrt((x{a} - x{m}) ** 2 + (y{a} - y{m}) ** 2 + (z{a} - z{m}) ** 2)"
+
+
+@BOOK.query(f"WITH {SPLATS}, {FACES}, corners AS (SELECT fid, x AS x1, y AS y1, z AS z1, f0 AS x2, f1 AS y2, f2 AS z2 FROM (SELECT fid, unnest([a, b, c]) AS vid FROM faces) JOIN splats ON id = vid), middle AS (SELECT fid, " + ", ".join(f"sum({c}{n}) / 3 AS {c}{n + 2}" for c in "xyz" for n in (1, 2)) + f" FROM corners GROUP BY fid), ratios AS (SELECT fid, max({_SPAN(1, 3)} / {_SPAN(2, 4)}) AS ratio FROM corners JOIN middle USING (fid) GROUP BY fid) SELECT fid, {q6('ratio', 'ratio')}, ratio <= 2 AS kept FROM ratios")
 def deformation_ratio(spark: SparkSession, d: str) -> DataFrame:
-    corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
-    mid = (F.col("ax") + F.col("bx") + F.col("cx")) / 3
-    return corners.select("fid", r6(F.greatest(*(F.abs(F.col(f"{k}x") - mid) for k in "abc")) / 0.1).alias("ratio"))
+    """The mesh against the one that has its vertices at their splats' colours."""
+    reference = splats(spark, d).select(F.col("id").alias("vid"), F.col("f0").alias("x"), F.col("f1").alias("y"), F.col("f2").alias("z"))
+    return mesh.deformation(faces(spark, d), vertices(spark, d), reference).select("fid", r6("ratio").alias("ratio"), "kept")
 
 
 @BOOK.query()

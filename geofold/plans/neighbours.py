@@ -71,12 +71,16 @@ def local_variance(spark: SparkSession, d: str) -> DataFrame:
     return knn.local_variance(knn.knn(splats(spark, d), 9, payload=("f0",)), "f0").select("i", r6("variance").alias("variance"))
 
 
-def _pairs(spark, d, k: int) -> DataFrame:
-    """Splats with their k nearest ones, themselves left out: own place px py pz, scales o0 .. o2; the neighbour's columns as they are."""
+#: Splats near each splat whose shares are summed, itself the first of them.
+TRACKED = 16
+
+
+def _pairs(spark, d, itself: bool = True) -> DataFrame:
+    """Splats with those tracked near them: own place px py pz, scales o0 .. o2, quaternion p0 .. p3; the neighbour's columns as they are."""
     all_ = splats(spark, d)
-    near = knn.knn(all_.withColumns({"nx_": F.col("x"), "ny_": F.col("y"), "nz_": F.col("z")}), k + 1, payload=("nx_", "ny_", "nz_", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity")).where("i != j")
-    near = near.withColumnsRenamed({f"n{c}_": c for c in XYZ})
-    own = all_.select(F.col("id").alias("i"), *(F.col(c).alias(f"p{c}") for c in XYZ), *(F.col(f"s{n}").alias(f"o{n}") for n in range(3)))
+    near = knn.knn(all_.withColumns({"nx_": F.col("x"), "ny_": F.col("y"), "nz_": F.col("z")}), TRACKED, payload=("nx_", "ny_", "nz_", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity"))
+    near = (near if itself else near.where("i != j")).withColumnsRenamed({f"n{c}_": c for c in XYZ})
+    own = all_.select(F.col("id").alias("i"), *(F.col(c).alias(f"p{c}") for c in XYZ), *(F.col(f"s{n}").alias(f"o{n}") for n in range(3)), *(F.col(f"q{n}").alias(f"p{n}") for n in range(4)))
     return near.join(own, "i")
 
 
@@ -85,20 +89,28 @@ _OWN = [
     "2 * (i_ * j_ - w_ * k_) * dx + (1 - 2 * (i_ * i_ + k_ * k_)) * dy + 2 * (j_ * k_ + w_ * i_) * dz",
     "2 * (i_ * k_ + w_ * j_) * dx + 2 * (j_ * k_ - w_ * i_) * dy + (1 - 2 * (i_ * i_ + j_ * j_)) * dz",
 ]
-PAIRS = f"""{SPLATS}, {NEAR(9)}, joined AS (SELECT n.i, n.j, n.d2, o.s0 AS o0, o.s1 AS o1, o.s2 AS o2, s.s0, s.s1, s.s2, s.opacity, o.x - s.x AS dx, o.y - s.y AS dy, o.z - s.z AS dz,
-    sqrt(s.q0 ** 2 + s.q1 ** 2 + s.q2 ** 2 + s.q3 ** 2) AS n, s.q0, s.q1, s.q2, s.q3 FROM near n JOIN splats o ON o.id = n.i JOIN splats s ON s.id = n.j WHERE n.i <> n.j),
-    turned AS (SELECT *, q0 / n AS w_, q1 / n AS i_, q2 / n AS j_, q3 / n AS k_ FROM joined),
+PAIRS = f"""{SPLATS}, {NEAR(TRACKED)}, joined AS (SELECT n.i, n.j, n.d2, o.s0 AS o0, o.s1 AS o1, o.s2 AS o2, s.s0, s.s1, s.s2, s.opacity, o.x - s.x AS dx, o.y - s.y AS dy, o.z - s.z AS dz, sqrt(o.q0 ** 2 + o.q1 ** 2 + o.q2 ** 2 + o.q3 ** 2) AS on_, o.q0 AS p0, o.q1 AS p1, o.q2 AS p2, o.q3 AS p3,
+    sqrt(s.q0 ** 2 + s.q1 ** 2 + s.q2 ** 2 + s.q3 ** 2) AS n, s.q0, s.q1, s.q2, s.q3 FROM near n JOIN splats o ON o.id = n.i JOIN splats s ON s.id = n.j),
+    turned AS (SELECT *, q0 / n AS w_, q1 / n AS i_, q2 / n AS j_, q3 / n AS k_, p0 / on_ AS ow, p1 / on_ AS oi, p2 / on_ AS oj, p3 / on_ AS ok FROM joined),
     pairs AS (SELECT *, exp(-0.5 * least(1e8, (({_OWN[0]}) / s0) ** 2 + (({_OWN[1]}) / s1) ** 2 + (({_OWN[2]}) / s2) ** 2)) AS e FROM turned)"""
 
 
-@BOOK.query(f"WITH {PAIRS} SELECT i, {q6('avg(e)', 'overlap')} FROM pairs GROUP BY i")
+@BOOK.query(f"WITH {PAIRS} SELECT i, {q6('avg(e)', 'overlap')} FROM pairs WHERE i <> j GROUP BY i")
 def gaussian_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return field.overlap(_pairs(spark, d, 8)).select("i", r6("overlap").alias("overlap"))
+    return field.overlap(_pairs(spark, d, itself=False)).select("i", r6("overlap").alias("overlap"))
+
+
+_OTHER = [x.replace("w_", "ow").replace("i_", "oi").replace("j_", "oj").replace("k_", "ok") for x in _OWN]
+
 
+def _along(turned: list[str], scales: str) -> str:
+    """SQL of a splat's deviation along (dx, dy, dz)."""
+    return "sqrt(" + " + ".join(f"({scales}{k} * ({x})) ** 2" for k, x in enumerate(turned)) + ") / greatest(sqrt(d2), 1e-8)"
 
-@BOOK.query(f"WITH {PAIRS} SELECT i, {q6('avg(abs(sqrt(d2) / (greatest(o0, o1, o2) + greatest(s0, s1, s2)) - 1))', 'alignment')} FROM pairs GROUP BY i")
+
+@BOOK.query(f"WITH {PAIRS} SELECT i, {q6(f'avg(abs(greatest(sqrt(d2), 1e-8) / greatest({_along(_OTHER, 'o')} + {_along(_OWN, 's')}, 1e-8) - 1))', 'alignment')} FROM pairs WHERE i <> j GROUP BY i")
 def gaussian_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return field.alignment(_pairs(spark, d, 8)).select("i", r6("alignment").alias("alignment"))
+    return field.alignment(_pairs(spark, d, itself=False)).select("i", r6("alignment").alias("alignment"))
 
 
 FIELD = PAIRS + ", field AS (SELECT i, sum(opacity * e) AS raw, avg(least(s0, s1, s2)) AS beta, sum(opacity * e * least(s0, s1, s2)) / greatest(sum(opacity * e), 1e-12) AS weighted FROM pairs GROUP BY i), dens AS (SELECT *, CASE WHEN raw >= 1 THEN raw / (raw + 1e-12) ELSE raw END AS density FROM field)"
@@ -106,12 +118,12 @@ FIELD = PAIRS + ", field AS (SELECT i, sum(opacity * e) AS raw, avg(least(s0, s1
 
 @BOOK.query(f"WITH {FIELD} SELECT i, {q6('density', 'density')}, {q6('beta', 'beta')}, {q6('weighted', 'weighted_beta')} FROM dens")
 def density_field(spark: SparkSession, d: str) -> DataFrame:
-    return field.density(_pairs(spark, d, 8)).select("i", *(r6(c).alias(c) for c in ("density", "beta", "weighted_beta")))
+    return field.density(_pairs(spark, d)).select("i", *(r6(c).alias(c) for c in ("density", "beta", "weighted_beta")))
 
 
 @BOOK.query(f"WITH {FIELD} SELECT i, {q6('beta * (sqrt(-2 * ln(greatest(least(density, 1), 1e-12))) - sqrt(2 * ln(2)))', 'sdf')} FROM dens")
 def beta_sdf(spark: SparkSession, d: str) -> DataFrame:
-    return field.signed_distance(field.density(_pairs(spark, d, 8))).select("i", r6("sdf").alias("sdf"))
+    return field.signed_distance(field.density(_pairs(spark, d))).select("i", r6("sdf").alias("sdf"))
 
 
 _BACK = [
@@ -122,7 +134,16 @@ _BACK = [
 
 @BOOK.query(f"WITH {PAIRS}, v AS (SELECT *, ({_OWN[0]}) / s0 ** 2 AS v0, ({_OWN[1]}) / s1 ** 2 AS v1, ({_OWN[2]}) / s2 ** 2 AS v2 FROM pairs) SELECT i, {q6(f'sum(-opacity * e * ({_BACK[0]}))', 'gx')}, {q6(f'sum(-opacity * e * ({_BACK[1]}))', 'gy')} FROM v GROUP BY i")
 def density_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return field.gradient(_pairs(spark, d, 8)).select("i", r6("gx").alias("gx"), r6("gy").alias("gy"))
+    return field.gradient(_pairs(spark, d)).select("i", r6("gx").alias("gx"), r6("gy").alias("gy"))
+
+
+_SLOPE = "WITH " + FIELD + ", v AS (SELECT *, " + ", ".join(f"({x}) / s{k} ** 2 AS v{k}" for k, x in enumerate(_OWN)) + " FROM pairs), g AS (SELECT i, " + ", ".join(f"sum(opacity * e * ({x})) AS g{k}" for k, x in enumerate(_BACK)) + " FROM v GROUP BY i)"
+_FACTOR = "beta / greatest(greatest(density, 1e-16) * sqrt(-2 * ln(greatest(density, 1e-16))), 1e-16)"
+
+
+@BOOK.query(f"{_SLOPE} SELECT g.i, round(greatest(least({_FACTOR} * g0, 10), -10), 5) + 0.0 AS gx, round(greatest(least({_FACTOR} * g1, 10), -10), 5) + 0.0 AS gy FROM g JOIN dens ON dens.i = g.i")
+def sdf_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return field.sdf_gradient(_pairs(spark, d)).select("i", r6("gx", 5).alias("gx"), r6("gy", 5).alias("gy"))
 
 
 @BOOK.query(f"WITH {SPLATS}, {NEAR(20)}, m AS (SELECT i, avg(sqrt(d2)) AS mean_d FROM near GROUP BY i), l AS (SELECT avg(mean_d) + 2 * stddev_samp(mean_d) AS most FROM m) SELECT i, {q6('mean_d', 'mean_d')}, mean_d <= most AS kept FROM m, l")
@@ -226,7 +247,7 @@ def uniform_subsample(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.query(f"WITH {SPLATS}, c AS (SELECT id, abs(nx) > 0.1 AND s0 <= 0.05 AS small, abs(nx) > 0.1 AND s0 > 0.05 AS large, s0 FROM splats), rows AS (SELECT id, 0 AS part, s0 FROM c WHERE NOT large UNION ALL SELECT id, 1, s0 FROM c WHERE small UNION ALL SELECT id, unnest([1, 2]), s0 / 1.6 FROM c WHERE large) SELECT id, CAST(part AS INTEGER) AS part, {q6('s0', 's0')} FROM rows")
 def densify_clone_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = splats(spark, d).select("id", *XYZ, "s0", "s1", "s2", "nx")
+    rows = splats(spark, d).select("id", *XYZ, "s0", "s1", "s2", "q0", "q1", "q2", "q3", "nx")
     steep = F.abs("nx") > 0.1
     return sampling.densified(rows, steep & (F.col("s0") <= 0.05), steep & (F.col("s0") > 0.05)).select("id", "part", r6("s0").alias("s0"))
 

@@ -104,12 +104,14 @@ def central_difference(spark: SparkSession, d: str) -> DataFrame:
     return g.select("img", "row", "col", r6("d_col").alias("d_col"), r6("d_row").alias("d_row"))
 
 
-DEPTH = IMAGE + ", depth AS (SELECT img, row, col, CASE WHEN value > -0.15 THEN 2 + value END AS depth FROM image), d AS (SELECT img, row, col, coalesce(depth, 0) AS depth FROM depth), g AS (SELECT *, lag(depth) OVER a AS l, lead(depth) OVER a AS r, lag(depth) OVER b AS u, lead(depth) OVER b AS o FROM d WINDOW a AS (PARTITION BY img, row ORDER BY col), b AS (PARTITION BY img, col ORDER BY row)), mask AS (SELECT *, depth > 0 AND coalesce(l, 0) > 0 AND coalesce(r, 0) > 0 AND coalesce(u, 0) > 0 AND coalesce(o, 0) > 0 AND row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6 AND sqrt(coalesce((r - l) / 2, 0) ** 2 + coalesce((o - u) / 2, 0) ** 2) / greatest(depth, 1e-8) < 0.05 AS valid FROM g)"
+#: Depths of pixels without a hit are the background's.
+BACKGROUND = 4.0
+DEPTH = IMAGE + f", depth AS (SELECT img, row, col, CASE WHEN value > -0.15 THEN 2 + value ELSE {BACKGROUND} END AS depth, 0.2 + value AS normal FROM image), g AS (SELECT *, lag(depth) OVER a AS l, lead(depth) OVER a AS r, lag(depth) OVER b AS u, lead(depth) OVER b AS o FROM depth WINDOW a AS (PARTITION BY img, row ORDER BY col), b AS (PARTITION BY img, col ORDER BY row)), mask AS (SELECT *, depth < 0.98 * {BACKGROUND} AND coalesce(l < 0.98 * {BACKGROUND} AND r < 0.98 * {BACKGROUND} AND u < 0.98 * {BACKGROUND} AND o < 0.98 * {BACKGROUND}, false) AND row BETWEEN 2 AND 5 AND col BETWEEN 2 AND 5 AND coalesce(greatest(abs(r - l), abs(o - u)) / 2 < 0.05 * abs(depth), false) AND normal > 0.1 AS valid FROM g)"
 
 
 def _valid(spark, d):
-    grid = image(spark, d).select("img", "row", "col", F.when(F.col("value") > -0.15, 2 + F.col("value")).otherwise(0.0).alias("depth"))
-    return raster.valid_depth(grid, ["img"], 8, 8, border=1, most_gradient=0.05)
+    grid = image(spark, d).select("img", "row", "col", F.when(F.col("value") > -0.15, 2 + F.col("value")).otherwise(BACKGROUND).alias("depth"), (0.2 + F.col("value")).alias("normal"))
+    return raster.valid_depth(grid, ["img"], 8, 8, F.lit(BACKGROUND), normal="normal")
 
 
 @BOOK.query(f"WITH {DEPTH} SELECT img, row, col, valid FROM mask")

@@ -131,7 +131,7 @@ def test_a_plane_has_its_gradient_everywhere(spark):
     grid = spark.createDataFrame([(0, r, c, 1.0 + 0.01 * r + 0.02 * c) for r in range(6) for c in range(6)], "img int, row int, col int, depth double")
     inner = raster.central_differences(grid, "depth", ["img"]).where("row BETWEEN 1 AND 4 AND col BETWEEN 1 AND 4").collect()
     assert all(r.d_col == pytest.approx(0.02) and r.d_row == pytest.approx(0.01) for r in inner)
-    assert raster.valid_depth(grid, ["img"], 6, 6).where("valid").count() == 16
+    assert raster.valid_depth(grid, ["img"], 6, 6, F.lit(100.0), border=1).where("valid").count() == 16
 
 
 def test_masked_mean_and_base_of_zero(spark):
@@ -194,3 +194,67 @@ def test_level_points_of_one_splat(spark):
     (got,) = field.level_points(rays, near, 0.3).collect()
     assert got["i"] == 1 and got["lx"] == pytest.approx(-np.sqrt(2 * np.log(3)), abs=0.02) and got["nx"] == pytest.approx(-1) and got["ny"] == pytest.approx(0)
     assert field.level_points(rays, near.where("false"), 0.3).collect() == []
+
+
+def test_alignment_uses_the_deviation_along_the_line(spark):
+    # two long splats, one along the line between them (turned by 90 degrees about z), one across it
+    half = 0.5**0.5
+    row = (0, 0.0, 0.0, 0.0, 3.0, 0.1, 0.1, 1.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 3.0, 0.2, 0.2, half, 0.0, 0.0, half)
+    names = "i px py pz o0 o1 o2 p0 p1 p2 p3 x y z s0 s1 s2 q0 q1 q2 q3".split()
+    df = spark.createDataFrame([row], ["i", *names[1:]])
+    assert field.alignment(df).first().alignment == pytest.approx(abs(2 / (3.0 + 0.2) - 1))
+    assert field.alignment(df, factor=2.0).first().alignment == pytest.approx(abs(2 / (2 * 3.2) - 1))
+    # least axes: y of the first; the second's y axis is turned onto x
+    assert field.alignment(df.withColumn("o2", F.lit(0.5)).withColumn("s2", F.lit(0.5)), by_normals=True).first().alignment == pytest.approx(0, abs=1e-12)
+
+
+def test_depth_mask_by_a_plain_loop(spark):
+    rng = np.random.default_rng(2)
+    h, w, far = 9, 11, 5.0
+    depth = np.where(rng.random((h, w)) < 0.06, far, 2 + 0.08 * rng.random((h, w)).cumsum(axis=1))
+    normal = rng.random((h, w))
+    df = spark.createDataFrame([(0, r, c, float(depth[r, c]), float(normal[r, c])) for r in range(h) for c in range(w)], "img int, row int, col int, depth double, normal double")
+    got = {(r.row, r.col) for r in raster.valid_depth(df, ["img"], h, w, 5.0, normal="normal", least_normal=0.2).where("valid").collect()}
+    want = set()
+    for r in range(2, h - 2):
+        for c in range(2, w - 2):
+            near = all(depth[r + a, c + b] < 0.98 * far for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)))
+            steep = max(abs(depth[r, c + 1] - depth[r, c - 1]), abs(depth[r + 1, c] - depth[r - 1, c])) / 2
+            if near and steep < 0.05 * depth[r, c] and normal[r, c] > 0.2:
+                want.add((r, c))
+    assert got == want and 0 < len(want) < (h - 4) * (w - 4)
+
+
+def test_each_group_of_values_is_inherited_on_its_own(spark):
+    rows = spark.createDataFrame([("p", 1.0, 2.0, 3.0), ("c", None, None, 5.0), ("d", None, 7.0, None), ("e", None, None, None), ("f", None, None, None)], "run string, psnr double, ssim double, loss double")
+    parents = spark.createDataFrame([("c", "p"), ("d", "p"), ("e", "gone"), ("f", "e")], "run string, parent string")
+    got = {r.run: tuple(r)[1:] for r in runs.inherited(rows, parents, {"render": ["psnr", "ssim"], "train": ["loss"]}).select("run", "psnr", "ssim", "render_source", "loss", "train_source").collect()}
+    assert got["c"] == (1.0, 2.0, "inherited:p", 5.0, "own") and got["d"] == (None, 7.0, "own", 3.0, "inherited:p")
+    assert got["e"] == got["f"] == (None, None, "missing", None, "missing") and got["p"] == (1.0, 2.0, "own", 3.0, "own")
+
+
+def test_short_windows_and_slow_averages(spark):
+    rows = [("a", i, float(v)) for i, v in enumerate((1, 4, 7))] + [("b", 0, 9.0)] + [("c", i, 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "run string, i int, v double")
+    got = {(r.run, r.i): r.smooth for r in stats.moving_average(df, ["run"], ["i"], "v").collect()}
+    assert [got["a", i] for i in range(3)] == pytest.approx([1, 2, 4]) and got["b", 0] == 9 and got["c", 399] == 1
+    slow = {(r.run, r.i): r.ema for r in stats.ema(df, ["run"], ["i"], "v", weight=0.01).collect()}
+    assert slow["c", 299] == pytest.approx(1 - 0.99**300) and slow["a", 2] == pytest.approx(0.01 * (7 + 4 * 0.99 + 0.99**2))
+    assert stats.ema(df, ["run"], ["i"], "v", weight=1).where("run = 'a' AND i = 2").first().ema == 7
+
+
+def test_parts_of_a_turned_splat_lie_along_its_axis(spark):
+    half = 0.5**0.5
+    df = spark.createDataFrame([(i, 0.0, 0.0, 0.0, 2.0, 1e-9, 1e-9, half, 0.0, 0.0, half) for i in range(60)], "id long, x double, y double, z double, s0 double, s1 double, s2 double, q0 double, q1 double, q2 double, q3 double")
+    got = sampling.densified(df, F.lit(False), F.lit(True)).collect()
+    assert len(got) == 120 and max(abs(r.x) + abs(r.z) for r in got) < 1e-6 and np.std([r.y for r in got]) == pytest.approx(2, rel=0.25)
+
+
+def test_deformation_of_a_stretched_face(spark):
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 2, 3)], "fid long, a long, b long, c long")
+    points = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (1.0, 1.0, 1.0)]
+    at = lambda k: spark.createDataFrame([(i, p[0], p[1], p[2] * k) for i, p in enumerate(points)], "vid long, x double, y double, z double")
+    got = {r.fid: (r.ratio, r.kept) for r in mesh.deformation(faces, at(6.0), at(1.0)).collect()}
+    tri = np.array(points[1:])
+    span = lambda k: np.linalg.norm(tri * [1, 1, k] - (tri * [1, 1, k]).mean(axis=0), axis=1)
+    assert got[0] == (pytest.approx(1), True) and got[1] == (pytest.approx((span(6) / span(1)).max()), False)
