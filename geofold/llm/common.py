@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geofold.operators.shared import stash, unstash
 
-__all__ = ["JAVA_WORD", "doc_crc", "mapped", "release", "stash", "table", "text_bytes", "unstash"]
+__all__ = ["JAVA_WORD", "doc_crc", "mapped", "stash", "table", "text_bytes", "unstash"]
 
 #: Words are maximal runs without ASCII white space; bytes.split() has exactly this rule on UTF-8.
 JAVA_WORD = r"[^\x20\x09-\x0D]+"
@@ -48,12 +47,6 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no plan needs any more; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ that its texts can reach, without keys. Arcs of histories that make up a large p
 sample of rows, which decides nothing but the task) are spread over all buckets by their key;
 their weights are summed over buckets and sent to all groups. These histories are at most 1 / ``LEAST_HOT``.
 
-A key has 64 bits: the first tell the history, the last the token (``TOKEN_BITS``). Counts cover all training documents.
+A key has at most 64 bits, some for the history and some for the token (``Bits``). Counts cover all training documents.
 Every n-gram that occurs ``MIN_COUNT`` times has an arc, whatever the size of the corpus.
 
 Defined cases: null and empty texts have one token, the end; tokens never seen in training
@@ -39,47 +39,67 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm.common import doc_crc, mapped, release, stash, unstash
-from geofold.llm.words import LOWER, fast_order, joined_key, mixed, unmixed, words_of
+from geofold.llm.common import doc_crc, mapped, stash, unstash
+from geofold.llm.words import LOWER, fast_order, joined_key, mixed, words_of
 
 SMOOTH = 0.1
 DISCOUNT = 0.75
 MIN_COUNT = 2
 ORDER = 3
 #: Rows of a file that form a group, and tokens of a document in one of its groups: together they bound a group.
-GROUP_ROWS, PIECE = 2048, 1024
+GROUP_ROWS, PIECE = 2048, 8192
 #: Tokens whose n-grams a counting task holds before it hands on counts.
-HELD = 2_500_000
+HELD = 2_000_000
 #: Tokens for each bucket, about, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 16
 #: A history is hot if it makes up this part of a bucket, and this part of all tokens.
 HOT_PART, LEAST_HOT = 0.25, 1e-6
 #: One row of so many is looked at for hot histories.
 HOT_SAMPLE = 64
+#: Bits of a history beyond those that number the corpus' tokens.
+SPARE = 12
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
-_ROWS = "g long, path long, row long, doc_id long, train boolean, context int, last boolean, text string"
+_ROWS = pa.schema([("path", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("context", pa.int32()), ("last", pa.bool_()), ("text", pa.string())])
 _BLOBS = "g long, first long, final long, bucket int, kind int, keys binary, counts binary"
 _SCORED = pa.schema([("path", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SUMS = "g long, first long, final long, bucket int, kind int, counts binary, states binary, tokens long, distinct long, hot array<struct<kind:int,history:long,count:long,kept:long,arcs:long>>"
 
 
-def token_bits(order: int) -> int:
-    """Bits of a key of this order that tell the token."""
-    return 28 if order == 2 else 22
+class Bits:
+    """How many bits of a key tell the history, and how many the token. Histories get ``SPARE`` bits more than the corpus has tokens, so as many share a key by chance at any size."""
+
+    def __init__(self, size: int, order: int):
+        tokens = max(1, size // 6).bit_length()
+        self.token = {1: 56, 2: 28} | dict.fromkeys(range(3, order + 1), 20)
+        self.history = {1: 0, 2: 36} | dict.fromkeys(range(3, order + 1), min(44, tokens + SPARE))
+
+    def key(self, order: int, state: np.ndarray, token: np.ndarray, hot: bool) -> np.ndarray:
+        """History first, so that a state's arcs are neighbours; token first for hot histories, so that they are spread."""
+        h, t = np.uint64(self.history[order]), np.uint64(self.token[order])
+        return (token << h) | state if hot else (state << t) | token
+
+    def state(self, kind: int, key: np.ndarray) -> np.ndarray:
+        h, t = np.uint64(self.history[abs(kind)]), np.uint64(self.token[abs(kind)])
+        return key & ((np.uint64(1) << h) - np.uint64(1)) if kind < 0 else key >> t
+
+    def bucket(self, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+        """Buckets are ranges of the keys' upper bits, so sorted keys have sorted buckets."""
+        upper = keys >> np.uint64(self.history[abs(kind)] + self.token[abs(kind)] - 32)
+        return ((upper * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers as planes of their bytes, lowest first; planes of zeros at the end are left out."""
+    """Whole numbers as compressed planes of their bytes, lowest first."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n:
-        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
+        out[:, : data[0]] = np.frombuffer(pa.decompress(data[1:], data[0] * n, "zstd"), np.uint8).reshape(-1, n).T
     return out.view("<u8")[:, 0]
 
 
@@ -93,15 +113,10 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.r_[first, unpack(data[16:], int(n) - 1)], dtype=np.uint64)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the keys' upper bits, so sorted keys have sorted buckets."""
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
 class Grams:
     """N-grams of pieces of texts. Kind 1 is single tokens, 2 to order the longer ones; -2 to -order those of hot histories."""
 
-    def __init__(self, texts, context: np.ndarray, last: np.ndarray, order: int, hot: dict[int, np.ndarray]):
+    def __init__(self, texts, context: np.ndarray, last: np.ndarray, order: int, hot: dict[int, np.ndarray], bits: Bits):
         words = words_of(texts)
         n, last = words.counts, last.astype(np.int64)
         size = n + last
@@ -116,18 +131,18 @@ class Grams:
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # kind: which tokens, their keys
         self.histories: dict[int, np.ndarray] = {}  # of every token
         all_ = np.arange(len(self.text))
-        self.keys[1] = all_, token[own]
-        history, follower = None, mixed(token[own] ^ START)
+        follower = mixed(token[own] ^ START)
+        self.keys[1] = all_, follower >> np.uint64(64 - bits.token[1])
+        history = None
         for o in range(2, order + 1):
             before = np.r_[np.full(min(o - 1, len(token)), START), token[: max(0, len(token) - o + 1)]]
             before = np.where(place >= o - 1, before, START)
             history = before if history is None else joined_key(before, history)
-            bits = np.uint64(token_bits(o))
-            state = history[own] >> bits
-            keys = (state << bits) | (follower >> (np.uint64(64) - bits))
+            state = mixed(history[own]) >> np.uint64(64 - bits.history[o])
+            last_bits = follower >> np.uint64(64 - bits.token[o])
             is_hot = _member(hot.get(o), state)
-            self.keys[o] = all_[~is_hot], keys[~is_hot]
-            self.keys[-o] = all_[is_hot], mixed(keys[is_hot])
+            for kind, who in ((o, all_[~is_hot]), (-o, all_[is_hot])):
+                self.keys[kind] = who, bits.key(o, state[who], last_bits[who], kind < 0)
             self.histories[o] = state
 
 
@@ -146,51 +161,50 @@ def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(a, at, b[new]), np.insert(n, at, 0)
 
 
-def states_of(kind: int, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history of each state, state of each distinct key) for sorted keys of a kind other than 1."""
-    history = (unmixed(distinct) if kind < 0 else distinct) >> np.uint64(token_bits(abs(kind)))
-    return np.unique(history, return_inverse=True)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Batches of path, row, doc_id, train, text as batches by ``_ROWS``."""
-    names = [x.split()[0] for x in _ROWS.split(", ")]
+def _pieces(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of path, row, doc_id, train, text as (group, batch by ``_ROWS``), rows of a group in order. Texts of ``PIECE`` words or more are cut, each piece with the words before it."""
     for b in batches:
         texts = b.column(4).cast(pa.string()).fill_null("")
         words = words_of(texts)
         n = words.counts
-        path, row = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        path, row = (_number(b.column(i)).astype(np.int64) for i in (0, 1))
         chunk = joined_key(path.view(np.uint64), (row // GROUP_ROWS).view(np.uint64))
-        group = lambda i, p: int(joined_key(chunk[i : i + 1], np.array([p], np.uint64)).view(np.int64)[0])  # noqa: B023, E731
-        short = np.flatnonzero(n < PIECE)
-        if len(short):
-            at = pa.array(short)
-            g = joined_key(chunk[short], np.zeros(len(short), np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(path[short]), pa.array(row[short]), b.column(2).take(at), b.column(3).take(at), pa.array(np.zeros(len(short), np.int32)), pa.array(np.ones(len(short), bool)), texts.take(at)], names)
-        for i in np.flatnonzero(n >= PIECE):
+        short = n < PIECE
+        for c in dict.fromkeys(chunk[short].tolist()):
+            at = np.flatnonzero(short & (chunk == c))
+            whole = [pa.array(path[at]), pa.array(row[at]), b.column(2).take(pa.array(at)), b.column(3).take(pa.array(at)), pa.array(np.zeros(len(at), np.int32)), pa.array(np.ones(len(at), bool)), texts.take(pa.array(at))]
+            yield _group(c, 0), pa.RecordBatch.from_arrays(whole, schema=_ROWS)
+        for i in np.flatnonzero(~short):
             first, total = int(words.upto[i]), int(n[i])
-            rows = []
             for p in range(total // PIECE + 1):
                 a, z = max(0, p * PIECE - order + 1), min(total, (p + 1) * PIECE)
-                cut = words.data[words.start[first + a] : words.stop[first + z - 1]].tobytes() if z > a else b""
-                rows.append((group(i, p + 1), int(path[i]), int(row[i]), b.column(2)[i].as_py(), b.column(3)[i].as_py(), p * PIECE - a, p == total // PIECE, cut.decode("utf-8", "replace")))
-                if len(rows) == 512:
-                    yield _row_batch(rows, names)
-                    rows = []
-            if rows:
-                yield _row_batch(rows, names)
+                cut = words.data[words.start[first + a] : words.stop[first + z - 1]].tobytes().decode("utf-8", "replace") if z > a else ""
+                piece = [[path[i]], [row[i]], b.column(2).slice(i, 1), b.column(3).slice(i, 1), [p * PIECE - a], [p == total // PIECE], [cut]]
+                yield _group(int(chunk[i]), p + 1), pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(piece, _ROWS.types, strict=True)], schema=_ROWS)
+
+
+def _group(chunk: int, piece: int) -> int:
+    return int(joined_key(np.array([chunk], np.uint64), np.array([piece], np.uint64)).view(np.int64)[0])
 
 
-def _row_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _sent(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Each group's rows as compressed Arrow data, first row first."""
+    for g, b in _pieces(batches, order):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "data"])
+
+
+def _received(data: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in data]).sort_by("row").combine_chunks()
 
 
 def _number(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, hot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, hot: dict[int, np.ndarray], bits: Bits) -> Iterator[pa.RecordBatch]:
     """Counts of each group's n-grams by bucket; a group whose rows come in several batches or tasks may give several blobs, told apart by rows."""
     held: dict[int, list[pa.RecordBatch]] = defaultdict(list)
     tokens, chunk = 0, None
@@ -199,34 +213,32 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, hot: dic
         for g, parts in held.items():
             t = pa.Table.from_batches(parts)
             rows, train = _number(t["row"]), _number(t["train"]).astype(bool)
-            grams = Grams(t["text"], _number(t["context"]), _number(t["last"]), order, hot)
+            grams = Grams(t["text"], _number(t["context"]), _number(t["last"]), order, hot, bits)
             out = []
             for kind, (who, keys) in grams.keys.items():
                 if not len(keys):
                     continue
                 distinct, n = counted(keys, train[grams.text[who]])
-                bucket = bucket_of(distinct, buckets)
+                bucket = bits.bucket(kind, distinct, buckets)
                 edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
                 out += [(g, int(rows.min()), int(rows.max()), int(bucket[a]), kind, pack_sorted(distinct[a:z]), pack(n[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _BLOBS.split(", ")])
 
-    for b in batches:
-        groups, rows = _number(b.column(0)), _number(b.column(2))
-        for g, now in dict(zip(groups.tolist(), (rows // GROUP_ROWS).tolist(), strict=True)).items():
-            if held and (now != chunk or tokens > HELD):
-                yield from blobs()
-                held.clear()
-                tokens = 0
-            chunk = now
-            part = b.filter(pa.array(groups == g))
-            held[g].append(part)
-            tokens += part.column(7).nbytes // 6 + 1
+    for g, b in _pieces(batches, order):
+        now = (b.column(0)[0].as_py(), b.column(1)[0].as_py() // GROUP_ROWS)
+        if held and (now != chunk or tokens > HELD):
+            yield from blobs()
+            held.clear()
+            tokens = 0
+        chunk = now
+        held[g].append(b)
+        tokens += b.column(6).nbytes // 6 + 1
     if held:
         yield from blobs()
 
 
-def _sum(t: pa.Table) -> pa.Table:
+def _sum(t: pa.Table, bits: Bits) -> pa.Table:
     """Totals of one bucket: for each blob its keys' counts and its states' weights, and what only the whole bucket tells."""
     blobs = t.select(["g", "first", "final", "bucket", "kind"]).to_pylist()
     out: list[dict] = []
@@ -247,7 +259,7 @@ def _sum(t: pa.Table) -> pa.Table:
             kept = total
         else:
             kept = np.where(total >= MIN_COUNT, total, 0)
-            history, state = states_of(kind, distinct)
+            history, state = np.unique(bits.state(kind, distinct), return_inverse=True)
             add = lambda x: np.bincount(state, weights=x, minlength=len(history)).astype(np.int64)  # noqa: B023, E731
             weights = np.array([add(total), add(kept), add(kept > 0)])
             if kind < 0:
@@ -278,7 +290,7 @@ class HotStates:
             self.of[kind] = table[0].astype(np.uint64), table[1:]
 
 
-def transitions(grams: Grams, counts: dict[int, np.ndarray], states: dict[int, np.ndarray], hot: HotStates, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def transitions(grams: Grams, counts: dict[int, np.ndarray], states: dict[int, np.ndarray], hot: HotStates, order: int, bits: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, probability as a single token, probability in its state) of each token. counts: of the sorted distinct keys by kind; states: (count, kept, arcs) of their sorted histories."""
     n = len(grams.text)
     single = p = known = None
@@ -295,7 +307,7 @@ def transitions(grams: Grams, counts: dict[int, np.ndarray], states: dict[int, n
                 raise RuntimeError("the counts sent back are not those of this group's keys")
             arc[who[at]] = counts[kind][key_no]
             if kind > 1:
-                history = keys[at] >> np.uint64(token_bits(o))
+                history = bits.state(kind, keys[at])
                 weights[:, who[at]] = states[kind][:, np.cumsum(np.r_[True, history[1:] != history[:-1]]) - 1]
             elif kind < 0:
                 histories, table = hot.of[o]
@@ -321,12 +333,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("path", "row", "doc_id", (doc_crc() % 10 != 0).alias("train"), "text")
 
 
-def hot_histories(rows: DataFrame, order: int, share: float, sample: int = HOT_SAMPLE) -> dict[int, np.ndarray]:
+def hot_histories(rows: DataFrame, order: int, bits: Bits, share: float, sample: int = HOT_SAMPLE) -> dict[int, np.ndarray]:
     """Sorted histories, by order, that make up at least this share of a sample's tokens; at most (order - 1) / share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, order):
-            grams = Grams(b.column(7), _number(b.column(5)), _number(b.column(6)), order, {})
+        for _, b in _pieces(batches, order):
+            grams = Grams(b.column(6), _number(b.column(4)), _number(b.column(5)), order, {}, bits)
             for o, state in grams.histories.items():
                 h, n = np.unique(state, return_counts=True)
                 # what is rare in a batch may be hot only in sum: it is handed on in full
@@ -346,19 +358,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = _grouped(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(size // (6 * bucket_tokens)))
-    hot = hot_histories(rows, order, max(LEAST_HOT, HOT_PART / buckets), hot_sample)
+    bits = Bits(size, order)
+    hot = hot_histories(rows, order, bits, max(LEAST_HOT, HOT_PART / buckets), hot_sample)
 
-    blobs = mapped(rows, lambda batches: _count(_pieces(batches, order), order, buckets, hot), _BLOBS)
-    sums = stash(blobs.groupBy("bucket").applyInArrow(_sum, _SUMS), "lm-sums")
-    del blobs
-    release(docs.sparkSession)
+    blobs = mapped(rows, lambda batches: _count(batches, order, buckets, hot, bits), _BLOBS)
+    sums = stash(blobs.groupBy("bucket").applyInArrow(lambda t: _sum(t, bits), _SUMS), "lm-sums")
     tokens, distinct = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("distinct")).first())
     # at most as many as the hot histories above
     found = sums.where("g IS NULL").select(F.explode("hot").alias("x")).groupBy("x.kind", "x.history").agg(F.sum("x.count").alias("count"), F.sum("x.kept").alias("kept"), F.sum("x.arcs").alias("arcs")).collect()
     sent = context.broadcast(HotStates(found, int(tokens), int(distinct)))
 
     def run(texts: pa.Table, parts: pa.Table) -> pa.Table:
-        texts = texts.sort_by("row")
+        texts = _received(texts["data"].to_pylist())
         row = _number(texts["row"])
         blobs: dict[tuple[int, int], list] = defaultdict(list)
         for i, (a, z) in enumerate(zip(parts["first"].to_pylist(), parts["final"].to_pylist(), strict=True)):
@@ -366,14 +377,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         out = []
         for (a, z), own in sorted(blobs.items()):
             part = texts.slice(at := int(np.searchsorted(row, a)), int(np.searchsorted(row, z, "right")) - at)
-            grams = Grams(part["text"], _number(part["context"]), _number(part["last"]), order, hot)
+            grams = Grams(part["text"], _number(part["context"]), _number(part["last"]), order, hot, bits)
             counts: dict[int, list] = defaultdict(list)
             states: dict[int, list] = defaultdict(list)
             edges: dict[int, np.ndarray] = {}
             for kind in {k for k, _, _ in own}:
                 keys = np.unique(grams.keys[kind][1])
-                bucket = bucket_of(keys, buckets)
-                history = keys >> np.uint64(token_bits(abs(kind)))
+                bucket, history = bits.bucket(kind, keys, buckets), bits.state(kind, keys)
                 heads = np.r_[True, history[1:] != history[:-1]]
                 edges[kind] = np.array([np.bincount(bucket, minlength=buckets), np.bincount(bucket, weights=heads, minlength=buckets)], np.int64)
             for kind, bucket, i in sorted(own):
@@ -381,13 +391,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 counts[kind].append(unpack(parts["counts"][i].as_py(), int(n)))
                 if kind > 1:
                     states[kind].append(unpack(parts["states"][i].as_py(), 3 * int(m)).reshape(3, -1))
-            known, single, p = transitions(grams, {k: np.concatenate(v) for k, v in counts.items()}, {k: np.concatenate(v, axis=1) for k, v in states.items()}, sent.value, order)
+            known, single, p = transitions(grams, {k: np.concatenate(v) for k, v in counts.items()}, {k: np.concatenate(v, axis=1) for k, v in states.items()}, sent.value, order, bits)
             total = lambda x: np.bincount(grams.text, weights=x, minlength=len(part))  # noqa: B023, E731
             columns = [pa.array(total(np.ones(len(p))).astype(np.int64)), pa.array(total(known > 0).astype(np.int64)), pa.array(total(np.log10(single))), pa.array(total(np.log10(p)))]
             out.append(pa.Table.from_arrays([part["path"], part["row"], part["doc_id"], part["train"], *columns], ["path", "row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out) if out else pa.Table.from_pylist([], _SCORED)
 
-    cut = mapped(rows, lambda batches: _pieces(batches, order), _ROWS)
+    cut = mapped(rows, lambda batches: _sent(batches, order), "g long, data binary")
     parts = sums.where("g IS NOT NULL").select("g", "first", "final", "bucket", "kind", "counts", "states")
     scored = cut.groupBy("g").cogroup(parts.groupBy("g")).applyInArrow(run, "path long, row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     whole = scored.groupBy("path", "row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from geofold.llm import lm
-from geofold.llm.words import LOWER, fast_order, mixed, unmixed, words_of
+from geofold.llm.words import LOWER, fast_order, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{a}{b}" for a in "abcdefgh" for b in "kl"]
@@ -101,9 +101,10 @@ def _last_token(rows, asked):
     """Probability of each asked text's last word (or of the end, for id 0) by the operator's own counting and transitions, without Spark."""
     texts = [t for _, t in rows] + [t for _, t in asked]
     train = np.array([True] * len(rows) + [False] * len(asked))
-    grams = lm.Grams(pa.array(texts), np.zeros(len(texts), int), np.array([True] * len(rows) + [i == 0 for i, _ in asked]), 3, {})
+    bits = lm.Bits(10_000, 3)
+    grams = lm.Grams(pa.array(texts), np.zeros(len(texts), int), np.array([True] * len(rows) + [i == 0 for i, _ in asked]), 3, {}, bits)
     blob = [(1, 0, 9, 0, k, lm.pack_sorted(d), lm.pack(c)) for k, (who, keys) in grams.keys.items() if len(keys) for d, c in [lm.counted(keys, train[grams.text[who]])]]
-    t = lm._sum(pa.Table.from_pylist([dict(zip(("g", "first", "final", "bucket", "kind", "keys", "counts"), b, strict=True)) for b in blob]))
+    t = lm._sum(pa.Table.from_pylist([dict(zip(("g", "first", "final", "bucket", "kind", "keys", "counts"), b, strict=True)) for b in blob]), bits)
     counts, states, n, v = {}, {}, 0, 0
     for r in t.to_pylist():
         n, v = n + r["tokens"], v + r["distinct"]
@@ -111,8 +112,8 @@ def _last_token(rows, asked):
             keys = np.unique(grams.keys[r["kind"]][1])
             counts[r["kind"]] = lm.unpack(r["counts"], len(keys))
             if r["kind"] > 1:
-                states[r["kind"]] = lm.unpack(r["states"], 3 * len(np.unique(keys >> np.uint64(lm.token_bits(r["kind"]))))).reshape(3, -1)
-    _, _, p = lm.transitions(grams, counts, states, lm.HotStates([], n, v), 3)
+                states[r["kind"]] = lm.unpack(r["states"], 3 * len(np.unique(bits.state(r["kind"], keys)))).reshape(3, -1)
+    _, _, p = lm.transitions(grams, counts, states, lm.HotStates([], n, v), 3, bits)
     ends = np.cumsum(np.bincount(grams.text, minlength=len(texts))) - 1
     return p[ends[len(rows) :]].tolist()
 
@@ -128,5 +129,5 @@ def test_words_and_orders():
     assert len({int(words_of(pa.array(["y" * n])).hashes()[0]) for n in range(1, 300)}) == 299
     x = np.random.default_rng(0).integers(0, 1 << 64, 5000, np.uint64)
     x[::3] = x[0] + (np.arange(len(x[::3])) % 5).astype(np.uint64)
-    assert (np.diff(x[fast_order(x)].astype(object)) >= 0).all() and (unmixed(mixed(x)) == x).all()
+    assert (np.diff(x[fast_order(x)].astype(object)) >= 0).all()
     assert (lm.unpack(lm.pack(x), len(x)) == x).all() and (lm.unpack_sorted(lm.pack_sorted(np.sort(x))) == np.sort(x)).all()
