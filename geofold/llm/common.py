@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geofold.operators.shared import stash, unstash
 
-__all__ = ["JAVA_WORD", "doc_crc", "mapped", "stash", "table", "text_bytes", "unstash"]
+__all__ = ["JAVA_WORD", "doc_crc", "fresh", "mapped", "stash", "table", "text_bytes", "unstash"]
 
 #: Words are maximal runs without ASCII white space; bytes.split() has exactly this rule on UTF-8.
 JAVA_WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +58,16 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with marks in front until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def doc_crc(column="doc_id"):
     """crc32 of the decimal text of an id; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

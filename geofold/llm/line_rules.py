@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm.common import mapped, stash, text_bytes
+from geofold.llm.common import fresh, mapped, stash, text_bytes
 
 MIN_DOCS = 10
 ALL_DOCS = 50
@@ -133,9 +133,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", **limits) -> DataFrame:
     """docs without rejected rows; removed lines are gone from the texts. Columns stay as they are."""
-    verdicts = judge(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("__gone")).dropDuplicates(["__id", "__host", "__hash"])
-    same = docs[id_col].cast("long").eqNullSafe(verdicts["__id"]) & docs[host_col].cast("string").eqNullSafe(verdicts["__host"]) & (F.xxhash64(docs[text_col]) == verdicts["__hash"])
-    joined = docs.join(verdicts, same).drop("__id", "__host", "__hash")
+    id_, host, hash_, gone, text = fresh(docs, "__id", "__host", "__hash", "__gone", "__text")
+    verdicts = judge(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col("doc_id").alias(id_), F.col("host").alias(host), F.col("text_hash").alias(hash_), F.coalesce("removed_lines", F.array().cast("array<long>")).alias(gone)).dropDuplicates([id_, host, hash_])
+    same = docs[id_col].cast("long").eqNullSafe(verdicts[id_]) & docs[host_col].cast("string").eqNullSafe(verdicts[host]) & (F.xxhash64(docs[text_col]) == verdicts[hash_])
+    joined = docs.join(verdicts, same)
 
     @F.pandas_udf("string")
     def without(texts, gone):
@@ -147,7 +148,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             out.append("\n".join(x for x in t.split("\n") if not x.split() or line_hash(x.encode()) not in hashes) if hashes else t)
         return pd.Series(out, dtype=object)
 
-    cleaned = F.when(F.size("__gone") > 0, without(text_col, "__gone")).otherwise(F.col(text_col))
-    changed = joined.withColumn("__text", cleaned)
-    columns = [F.col("__text").alias(c) if c == text_col else F.when(F.size("__gone") > 0, F.length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    changed = joined.withColumn(text, F.when(F.size(gone) > 0, without(text_col, gone)).otherwise(F.col(text_col)))
+    columns = [F.col(text).alias(c) if c == text_col else F.when(F.size(gone) > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return changed.select(*columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm.common import stash, text_bytes
+from geofold.llm.common import fresh, mapped, stash, text_bytes
 from geofold.operators.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -69,7 +69,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x, words) for x in text_bytes(b.column(1))], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    return mapped(chosen, run, "doc_id long, fp long, text_hash long")
 
 
 def _keys():
@@ -173,7 +174,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.least(x, own) * F.col("blocks") + F.greatest(x, own)).cast("long"))
     )
     rows = dealt.join(hot, "key", "left").select("key", F.explode(cells).alias("cell"), "fp")
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "fp").mapInArrow(_link, "a long, b long").distinct()
+    return mapped(rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "fp"), _link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
@@ -196,4 +197,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group = F.coalesce(F.col("component_id").cast("string"), "fingerprint")
     first = labels.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     same = docs[id_col].cast("long").eqNullSafe(first["kept_id"]) & (F.xxhash64(docs[text_col]) == first["kept_hash"])
-    return docs.join(first, same, "left_semi").withColumn("__text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    (text_hash,) = fresh(docs, "__text_hash")
+    return docs.join(first, same, "left_semi").withColumn(text_hash, F.xxhash64(text_col)).dropDuplicates([id_col, text_hash]).drop(text_hash)

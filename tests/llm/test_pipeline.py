@@ -1,6 +1,9 @@
 """The pipeline's stages keep their promises, and every registered query runs."""
 
+from collections import Counter
+
 import corpus_pipeline
+import numpy as np
 from geofold.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
@@ -29,3 +32,32 @@ def test_queries_are_named_by_number_and_return_all_rows(spark):
     for name in ("op1", "op3", "op4", "op5", "op7", "op10"):
         q = next(f for k, f in QUERIES.items() if k.startswith(name + "_"))
         assert q(spark, SF).count() == n, name
+
+
+def test_stages_on_odd_rows(spark):
+    rng = np.random.default_rng(1)
+    prose = lambda n: "\n".join(" ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(12)) for _ in range(n))
+    rows = [(i, prose(6), "en", ["a", None, "b"][i % 3], 0) for i in range(60)]
+    again = prose(8)
+    rows += [(100, again, "en", "a", 0)] * 3 + [(None, prose(7), None, None, None), (None, prose(7), "en", "a", 0), (200, None, None, None, None), (201, "", "en", "a", 0), (202, " \n\t", "en", "a", 0), (203, prose(4000), "en", "a", 0)]
+    names = ["row_id", "host", "key", "node", "root", "text_hash", "score", "g", "__text"]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    docs, sizes = plain, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == plain.columns, name
+        docs = spark.createDataFrame(found := docs.collect(), plain.schema)
+        sizes[name] = Counter(r.doc_id for r in found)
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in found) and not {200, 201, 202} & set(sizes[name])
+    assert sizes["quality_rules"][100] == 3 and sizes["quality_rules"][None] == 2 and sizes["quality_rules"][203] == 1
+    assert sizes["near_duplicates"].get(100, 0) <= 1 and max(sizes["source_mixing"].values()) <= 2
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(sizes["source_mixing"])
+
+
+def test_stages_on_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect() == []
