@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geofold.functions.geom import sigmoid
 from geofold.operators.ordering import numbered
+from geofold.operators.stats import quantiles
 
 XYZ = ("x", "y", "z")
 
@@ -105,8 +106,7 @@ def over_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     """Rows not below the exact q-quantile; all rows if q is 0."""
     if q == 0:
         return df
-    limit = df.agg(F.percentile(value, F.lit(q)).alias("__limit"))
-    return df.join(F.broadcast(limit)).where(F.col(value) >= F.col("__limit")).drop("__limit")
+    return df.where(F.col(value) >= F.lit(quantiles(df, value, [q])[0]))
 
 
 def without_contention(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:

@@ -1,31 +1,139 @@
-"""Exact nearest neighbours in space by equality joins on grid cells.
+"""Exact nearest neighbours in space by a k-d partition.
 
-A query looks at the 27 cells around its own. Its k-th distance is certain if it doesn't
-exceed one cell's width; queries that aren't certain go on with cells three times as
-wide. So no round compares all pairs, and each query is dealt out 27 times at most.
+Medians of a sample of the points cut space into leaves of about ``LEAF`` points, wherever the points are, so a dense
+foreground in a huge background has leaves as full as an even cloud. A query is compared with its own leaf first, then
+with the leaves whose boxes are nearer than its k-th distance, nearest boxes first, until none is left. The tree (at most ``MAX_LEAVES`` leaves)
+and its boxes are all that the driver holds and sends.
+
+Points of one place are as good as the k of them with the smallest ids, and queries of one place have one answer, so copies
+never meet copies. What meets in a leaf is dealt to pieces of ``PIECE`` rows on both sides; a task compares one piece with
+one, by numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.functions.geom import squared_distance
 from geofold.operators.shared import stash, unstash
 
-#: Points that the cells around a query hold at first, on average, for each neighbour asked for.
-FILL = 3.0
 XYZ = ("x", "y", "z")
-
-
-def _cells(width: float, around: bool = False):
-    own = [F.floor(F.col(c) / width).cast("long") for c in XYZ]
-    if not around:
-        return F.struct(*(c.alias(n) for c, n in zip(own, XYZ, strict=True)))
-    step = F.array(*(F.struct(*(F.lit(d).cast("long").alias(n) for d, n in zip((a, b, c), XYZ, strict=True))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    return F.transform(step, lambda s: F.struct(*((o + s[n]).alias(n) for o, n in zip(own, XYZ, strict=True))))
+#: Points of a leaf, about, and the most leaves: beyond MAX_LEAVES * LEAF points leaves get fuller.
+LEAF, MAX_LEAVES = 2000, 1 << 17
+#: Sampled points for each leaf.
+SAMPLED = 8
+#: Rows of either side that one task compares.
+PIECE = 8192
+#: Leaves that a query visits in the first round after its own one; each further round twice as many.
+VISITS = 8
+BLOCK = 256
+
+
+class Tree:
+    """Splits at a sample's medians along the widest side; leaves are numbered from 0."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.dim, self.value, self.child = [], [], []  # of inner nodes; child: node number, or -1 - leaf
+        self.leaves = 0
+        self.root = self._grow(sample, leaves)
+        self.dim, self.value, self.child = np.array(self.dim, np.int64), np.array(self.value, float), np.array(self.child, np.int64).reshape(-1, 2)
+        self.low, self.high = np.full((self.leaves, 3), np.inf), np.full((self.leaves, 3), -np.inf)
+
+    def _grow(self, p: np.ndarray, leaves: int) -> int:
+        sides = np.ptp(p, axis=0) if len(p) else np.zeros(3)
+        if leaves < 2 or len(p) < 2 or not sides.max() > 0:
+            self.leaves += 1
+            return -self.leaves
+        d = int(sides.argmax())
+        values = np.sort(p[:, d])
+        cut = values[len(values) // 2]
+        if cut == values[0]:  # more than half of them lie on the lower side
+            cut = values[values > cut][0]
+        under = p[:, d] < cut
+        node = len(self.dim)
+        self.dim.append(d)
+        self.value.append(float(cut))
+        self.child.append((0, 0))
+        self.child[node] = (self._grow(p[under], leaves // 2), self._grow(p[~under], leaves - leaves // 2))
+        return node
+
+    def leaf_of(self, p: np.ndarray) -> np.ndarray:
+        at = np.full(len(p), self.root)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            at[inner] = self.child[node, (p[inner, self.dim[node]] >= self.value[node]).astype(int)]
+        return -1 - at
+
+    def set_boxes(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Boxes of the points that leaves hold (empty ones: inside out), and of inner nodes."""
+        self.low, self.high = low, high
+        self.node_low, self.node_high = np.full((len(self.dim), 3), np.inf), np.full((len(self.dim), 3), -np.inf)
+        for node in range(len(self.dim) - 1, -1, -1):  # children have higher numbers
+            for c in self.child[node]:
+                lo, hi = (self.node_low[c], self.node_high[c]) if c >= 0 else (low[-1 - c], high[-1 - c])
+                self.node_low[node], self.node_high[node] = np.minimum(self.node_low[node], lo), np.maximum(self.node_high[node], hi)
+
+    def _distance(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        inner = (at >= 0)[:, None]
+        lo = np.where(inner, self.node_low[np.maximum(at, 0)] if len(self.dim) else np.inf, self.low[np.maximum(-1 - at, 0)])
+        hi = np.where(inner, self.node_high[np.maximum(at, 0)] if len(self.dim) else -np.inf, self.high[np.maximum(-1 - at, 0)])
+        away = np.maximum(np.maximum(lo - p, p - hi), 0)
+        return away[:, 0] ** 2 + away[:, 1] ** 2 + away[:, 2] ** 2
+
+    def within(self, p: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf, squared distance of the box) of all leaves not farther than the queries' bounds, by query, then distance."""
+        query, at = np.arange(len(p)), np.full(len(p), self.root)
+        found = []
+        while len(query):
+            d = self._distance(p[query], at)
+            near = (d <= bound[query]) & (d < np.inf)
+            query, at, d = query[near], at[near], d[near]
+            leaf = at < 0
+            found.append((query[leaf], -1 - at[leaf], d[leaf]))
+            query, at = np.repeat(query[~leaf], 2), self.child[at[~leaf]].ravel()
+        query, leaf, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((leaf, d, query))
+        return query[order], leaf[order], d[order]
+
+
+def _compare(k: int):
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        columns = lambda t, *names: [t[c].to_numpy() for c in names]
+        q = np.array(columns(queries, *XYZ)).reshape(3, -1)
+        bound = columns(queries, "bound")[0]
+        j, *p = columns(points, "j", *(f"p{c}" for c in XYZ))
+        order = np.argsort(j, kind="stable")
+        j, p = j[order], [c[order] for c in p]
+        who, ids, far = [], [], []
+        for at in range(0, q.shape[1] if len(j) else 0, BLOCK):
+            own = q[:, at : at + BLOCK]
+            d = (own[0][:, None] - p[0]) ** 2 + (own[1][:, None] - p[1]) ** 2 + (own[2][:, None] - p[2]) ** 2
+            most = np.minimum(bound[at : at + BLOCK], np.partition(d, k - 1, axis=1)[:, k - 1] if len(j) > k else np.inf)
+            for i in range(own.shape[1]):
+                near = np.flatnonzero(d[i] <= most[i])
+                near = near[np.argsort(d[i][near], kind="stable")][:k]
+                who.append(np.full(len(near), at + i))
+                ids.append(j[near])
+                far.append(d[i][near])
+        who = np.concatenate(who) if who else np.zeros(0, np.int64)
+        return pa.table([*(pa.array(c[who], pa.float64()) for c in q), pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(far) if far else [], pa.float64())], [*XYZ, "j", "d2"])
+
+    return run
+
+
+def _pieces(n: int) -> int:
+    return max(1, -(-n // PIECE))
+
+
+def _by_leaf(leaf: str, counts: dict[int, int]) -> Column:
+    """Pieces of a leaf's rows; most leaves have one."""
+    many = [F.lit(x) for k, n in counts.items() if _pieces(n) > 1 for x in (k, _pieces(n))]
+    return F.coalesce(F.create_map(*many)[F.col(leaf)], F.lit(1)) if many else F.lit(1)
 
 
 def knn(points: DataFrame, k: int, queries: DataFrame | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
@@ -35,35 +143,78 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, payload: tu
     neighbours and find themselves too. Rows with null or non-finite places take no part.
     """
     finite = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in XYZ))
-    points = points.select("id", *XYZ, *payload).where(finite)
-    left = (points if queries is None else queries).select(F.col("id").alias("i"), *XYZ).where(finite)
-    box = points.agg(F.count("*"), *(f(c) for c in XYZ for f in (F.min, F.max))).first()
-    n, extent = box[0], [box[2 + 2 * a] - box[1 + 2 * a] for a in range(3)] if box[0] else [0.0] * 3
-    reach = max([*extent, *(abs(v) for v in box[1:] if v is not None)], default=0.0)
-    solid = [e for e in extent if e > 1e-9 * (reach or 1)]
-    width = (reduce(lambda a, b: a * b, solid, 1.0) * FILL * k / max(n, 1)) ** (1 / max(len(solid), 1)) / 3 if solid else 1.0
-    found, pending = [], None
+    place = [F.col(c).cast("double").alias(c) for c in XYZ]
+    all_ = points.where(finite)
+    asked = (points if queries is None else queries).where(finite).select(F.col("id").alias("i"), *place)
+    first = Window.partitionBy(*(f"p{c}" for c in XYZ)).orderBy("j")
+    useful = all_.select(F.col("id").cast("long").alias("j"), *(c.alias(f"p{n}") for c, n in zip(place, XYZ, strict=True))).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
+    useful = stash(useful, "knn-points")
+    n = useful.count()
+    leaves = max(1, min(MAX_LEAVES, n // LEAF))
+    share = min(1.0, SAMPLED * leaves / max(n, 1))
+    sample = useful.where(F.pmod(F.xxhash64("j"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*(f"p{c}" for c in XYZ)).toArrow() if leaves > 1 else None
+    tree = Tree(np.array([c.to_numpy() for c in sample.columns]).T if sample is not None else np.zeros((0, 3)), leaves)
+
+    def leaf_udf(t: Tree):
+        @F.pandas_udf("int")
+        def leaf(x, y, z):
+            import pandas as pd
+
+            return pd.Series(t.leaf_of(np.column_stack([x, y, z])), dtype="int32")
+
+        return leaf
+
+    home = leaf_udf(tree) if tree.leaves > 1 else lambda *_: F.lit(0)
+    leafed = stash(useful.withColumn("leaf", home(*(f"p{c}" for c in XYZ))), "knn-leaves") if tree.leaves > 1 else useful.withColumn("leaf", F.lit(0))
+    boxes = leafed.groupBy("leaf").agg(F.count("*"), *(f(f"p{c}") for f in (F.min, F.max) for c in XYZ)).collect()
+    held = {r[0]: r[1] for r in boxes}
+    low, high = np.full((tree.leaves, 3), np.inf), np.full((tree.leaves, 3), -np.inf)
+    for r in boxes:
+        low[r[0]], high[r[0]] = r[2:5], r[5:8]
+    tree.set_boxes(low, high)
+
+    state = asked.select(*XYZ).distinct().withColumn("home", home(*XYZ)).withColumn("done", F.lit(0)).withColumn("bound", F.lit(float("inf")))
+    state = stash(state, "knn-state")
+    visits, best, turn = state.select(*XYZ, "bound", F.col("home").alias("leaf")), None, VISITS
     while True:
-        last = width > 2 * reach + 1 or n == 0  # every point lies in the cells around any query near the box
-        dealt = points.withColumn("cell", _cells(width)).select("cell", F.col("id").alias("j"), *(F.col(c).alias(f"p{c}") for c in XYZ), *payload)
-        asked = left.withColumn("cell", F.explode(_cells(width, around=True)))
-        if last:
-            dealt, asked = dealt.withColumn("cell", F.lit(0)), left.withColumn("cell", F.lit(0))
-        pairs = asked.join(dealt, "cell").withColumn("d2", squared_distance([F.col(c) for c in XYZ], [F.col(f"p{c}") for c in XYZ]))
-        order = Window.partitionBy("i").orderBy("d2", "j")
-        best = stash(pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("i", "rank", "j", "d2", *payload), "knn")
-        if last:
-            found.append(best)
+        visits = stash(visits, "knn-visits")
+        counts = {r[0]: r[1] for r in visits.groupBy("leaf").count().collect()}
+        if best is not None and not counts:
             break
-        sure = best.where((F.col("rank") == min(k, n) - 1) & (F.col("d2") <= width * width)).select("i")
-        found.append(best.join(sure, "i", "left_semi"))
-        after = stash(left.join(sure, "i", "left_anti"), "knn-left")
-        unstash(pending)
-        left = pending = after
-        if left.isEmpty():
+        own = F.pmod(F.xxhash64(*XYZ), _by_leaf("leaf", counts)).cast("int")
+        left = visits.withColumn("qp", own).withColumn("pp", F.explode(F.sequence(F.lit(0), _by_leaf("leaf", held) - 1)))
+        right = leafed.withColumn("pp", F.pmod(F.xxhash64("j"), _by_leaf("leaf", held)).cast("int")).withColumn("qp", F.explode(F.sequence(F.lit(0), _by_leaf("leaf", counts) - 1)))
+        met = left.groupBy("leaf", "qp", "pp").cogroup(right.groupBy("leaf", "qp", "pp")).applyInArrow(_compare(k), "x double, y double, z double, j long, d2 double")
+        ranked = (met if best is None else met.unionByName(best.select(*XYZ, "j", "d2"))).withColumn("rank", F.row_number().over(Window.partitionBy(*XYZ).orderBy("d2", "j")) - 1)
+        after = stash(ranked.where(F.col("rank") < k), "knn")
+        unstash(best)
+        unstash(visits)
+        best = after
+        if tree.leaves == 1:
             break
-        width *= 3
-    return reduce(DataFrame.unionByName, found)
+        bounds = best.where(F.col("rank") == k - 1).select(*XYZ, F.col("d2").alias("now"))
+        state = stash(state.drop("bound").join(bounds, list(XYZ), "left").withColumn("bound", F.coalesce("now", F.lit(float("inf")))).drop("now"), "knn-state")
+        visits, state, turn = *_next_visits(state, tree, turn), turn * 2
+    answers = asked.join(best, list(XYZ)).select("i", "rank", "j", "d2")
+    return answers.join(all_.select(F.col("id").cast("long").alias("j"), *payload), "j").select("i", "rank", "j", "d2", *payload) if payload else answers
+
+
+def _next_visits(state: DataFrame, tree: Tree, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The next leaves of each query that may hold nearer points, and the state after them. Leaves come in the order of their boxes, own ones aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, z, home, done, bound = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            query, leaf, _ = tree.within(np.column_stack([x, y, z]), bound)
+            other = leaf != home[query]
+            query, leaf = query[other], leaf[other]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            now = (place >= done[query]) & (place < done[query] + turn)
+            query, leaf = query[now], leaf[now]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[query]) for c in (x, y, z, bound)), pa.array(leaf.astype(np.int32))], [*XYZ, "bound", "leaf"])
+
+    visits = state.select(*XYZ, "home", "done", "bound").mapInArrow(run, "x double, y double, z double, bound double, leaf int")
+    return visits, state.withColumn("done", F.col("done") + turn)
 
 
 def mean_squared(neighbours: DataFrame, ranks: tuple[int, int]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geofold.functions.geom import angle_degrees, dot, face_normal, norm, point_triangle_squared, sub
 from geofold.operators.components import connected_components
 from geofold.operators.ordering import numbered
+from geofold.operators.shared import stash
 
 CORNERS = ("a", "b", "c")
 
@@ -55,7 +56,7 @@ def normals(faces: DataFrame, vertices: DataFrame, least: float = 1e-20) -> Data
 
 def dihedral_angles(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """(f, g, raw, folded): angle between neighbouring faces' normals in degrees; folded ignores orientation."""
-    n = normals(faces, vertices)
+    n = stash(normals(faces, vertices), "normals")  # both sides read it
     left = n.select(F.col("fid").alias("f"), *(F.col(f"n{x}").alias(f"f{x}") for x in "xyz"))
     right = n.select(F.col("fid").alias("g"), *(F.col(f"n{x}").alias(f"g{x}") for x in "xyz"))
     cosine = dot(["fx", "fy", "fz"], ["gx", "gy", "gz"])

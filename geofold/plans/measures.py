@@ -30,9 +30,9 @@ def camera_extent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxed(spark, d):
-    box = splats(spark, d).agg(*(F.percentile(c, F.lit(q)).alias(f"{n}{c}") for c in XYZ for n, q in (("lo", 0.25), ("hi", 0.75))))
-    fg = filters.inside_box([F.col(f"lo{c}") for c in XYZ], [F.col(f"hi{c}") for c in XYZ])
-    return splats(spark, d).join(F.broadcast(box)).withColumn("fg", fg)
+    box = {c: stats.quantiles(splats(spark, d), c, [0.25, 0.75]) for c in XYZ}
+    sides = {f"{n}{c}": F.lit(box[c][k]) for c in XYZ for k, n in enumerate(("lo", "hi"))}
+    return splats(spark, d).withColumns(sides).withColumn("fg", filters.inside_box([F.col(f"lo{c}") for c in XYZ], [F.col(f"hi{c}") for c in XYZ]))
 
 
 BOXED = SPLATS + ", box AS (SELECT " + ", ".join(f"quantile_cont({c}, {q}) AS {n}{c}" for c in XYZ for n, q in (("lo", 0.25), ("hi", 0.75))) + " FROM splats), boxed AS (SELECT *, " + " AND ".join(f"{c} > lo{c} AND {c} < hi{c}" for c in XYZ) + " AS fg FROM splats, box)"
@@ -294,10 +294,10 @@ def top_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.query(f"WITH {CAMERAS}, {{}} SELECT id, {q6('m', 'mean_distance')} FROM d".replace("{}", "d AS (SELECT c.id, avg(sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2 + (c.z - p.z) ** 2)) AS m FROM cameras c, splats p GROUP BY c.id)"))
 def camera_point_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Cameras are a scene's few views: a broadcast of them meets every point once."""
+    """Every point from every view."""
     cams = cameras(spark, d).select(F.col("id").alias("cam"), *(F.col(c).alias(f"c{c}") for c in XYZ))
     dist = norm([F.col(c) - F.col(f"c{c}") for c in XYZ])
-    return splats(spark, d).join(F.broadcast(cams)).groupBy(F.col("cam").alias("id")).agg(r6(F.avg(dist)).alias("mean_distance"))
+    return stats.with_each(splats(spark, d).select(*XYZ), cams).groupBy(F.col("cam").alias("id")).agg(r6(F.avg(dist)).alias("mean_distance"))
 
 
 @BOOK.query(f"WITH {RECORDS} SELECT run, {q6('click', 'click')} FROM records WHERE click IS NOT NULL EXCEPT SELECT run, {q6('view', 'click')} FROM records")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import morton, r6
-from geofold.operators import cluster, field, filters, knn, mesh, sampling
+from geofold.operators import cluster, field, filters, knn, mesh, sampling, stats
 from geofold.operators.knn import XYZ
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CAMERAS, SPLATS, cameras, faces, splats, vertices
@@ -30,11 +30,13 @@ def _points(spark, d):
 )
 def octree_depth(spark: SparkSession, d: str) -> DataFrame:
     """Depth of an octree whose leaves match the splats' spacing: squared distances over a box's length, as the rule has it."""
-    ext = F.broadcast(extent(cameras(spark, d)))
+    box = extent(cameras(spark, d))
+    ext = F.broadcast(box)
     inside = filters.inside_box([F.col(f"c{c}") - F.col("radius") for c in XYZ], [F.col(f"c{c}") + F.col("radius") for c in XYZ])
     picked = splats(spark, d).where(filters.opaque()).join(ext).where(inside).select("id", *XYZ)
     near = knn.knn(picked, 2).where("rank = 1").join(ext)
-    raw = near.agg((-F.log2(100 * F.percentile(F.col("d2") / (2 * F.col("radius")), F.lit(0.1)))).alias("raw"))
+    (low,) = stats.quantiles(near, F.col("d2") / (2 * F.col("radius")), [0.1])
+    raw = box.select((-F.log2(100 * F.lit(low).cast("double"))).alias("raw"))
     return raw.select(r6("raw").alias("raw_depth"), F.least(F.floor("raw"), F.lit(10)).cast("int").alias("depth"))
 
 
@@ -181,7 +183,8 @@ EPS = 0.09
 @BOOK.query(f"WITH {SPLATS}, {NEAR(6)} SELECT {q6('quantile_cont(sqrt(d2), 0.5)', 'eps')} FROM near WHERE rank = 5")
 def eps_percentile(spark: SparkSession, d: str) -> DataFrame:
     near = knn.knn(_points(spark, d), 6).where("rank = 5")
-    return near.agg(r6(F.percentile(F.sqrt("d2"), F.lit(0.5))).alias("eps"))
+    (eps,) = stats.quantiles(near, F.sqrt("d2"), [0.5])
+    return spark.range(1).select(r6(F.lit(eps).cast("double")).alias("eps"))
 
 
 CLUSTERS = f"""WITH RECURSIVE {SPLATS}, close AS (SELECT p.id AS i, q.id AS j FROM splats p JOIN splats q ON (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= {EPS} ** 2 AND p.id <> q.id),

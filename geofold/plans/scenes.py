@@ -80,7 +80,8 @@ def octree_depth_background(spark: SparkSession, d: str) -> DataFrame:
     picked = _boxed(spark, d).where(~F.col("fg")).select("id", *XYZ)
     side = picked.agg(F.greatest(*(F.max(c) - F.min(c) for c in XYZ)).alias("side"))
     near = knn.knn(picked, 2).where("rank = 1").join(F.broadcast(side))
-    raw = -F.log2(100 * F.percentile(F.col("d2") / F.col("side"), F.lit(0.1)))
+    (low,) = stats.quantiles(near, F.col("d2") / F.col("side"), [0.1])
+    raw = -F.log2(100 * F.lit(low).cast("double"))
     return near.agg(F.least(F.floor(raw), F.lit(10)).cast("int").alias("depth"), F.count("*").alias("points"))
 
 

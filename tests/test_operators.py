@@ -12,11 +12,15 @@ def cloud(spark, p, first=0):
     return spark.createDataFrame([(i + first, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
 
 
+@pytest.mark.parametrize("leaf", [2000, 9])
 @pytest.mark.parametrize("kind", ["even", "clumped", "line", "equal", "one"])
-def test_neighbours_are_exact(spark, kind):
+def test_neighbours_are_exact(spark, monkeypatch, kind, leaf):
     rng = np.random.default_rng(3)
     p = {"even": rng.random((150, 3)), "clumped": np.r_[rng.normal(0, 1e-3, (100, 3)), rng.normal(50, 9, (40, 3))], "line": np.c_[rng.random(90), np.zeros((90, 2))], "equal": np.ones((30, 3)), "one": np.zeros((1, 3))}[kind]
     q = np.r_[p[:10], [[300.0, -300.0, 5.0]]]
+    monkeypatch.setattr(knn, "LEAF", leaf)
+    monkeypatch.setattr(knn, "PIECE", 16 if leaf < 100 else 8192)
+    monkeypatch.setattr(knn, "VISITS", 2)
     got = {(r.i, r.rank): r.j for r in knn.knn(cloud(spark, p), 4, cloud(spark, q)).collect()}
     d = ((q[:, None] - p[None]) ** 2).sum(-1)
     for i in range(len(q)):
@@ -258,3 +262,22 @@ def test_deformation_of_a_stretched_face(spark):
     tri = np.array(points[1:])
     span = lambda k: np.linalg.norm(tri * [1, 1, k] - (tri * [1, 1, k]).mean(axis=0), axis=1)
     assert got[0] == (pytest.approx(1), True) and got[1] == (pytest.approx((span(6) / span(1)).max()), False)
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = np.r_[rng.lognormal(0, 6, 700), -rng.lognormal(0, 6, 300), np.full(500, 3.25), 1.7e308, -1.7e308, 5e-324]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    qs = [0.0, 0.001, 0.1, 0.25, 0.5, 0.731, 0.9, 1.0]
+    for few in (stats.FEW, 10):
+        monkeypatch.setattr(stats, "FEW", few)
+        got = stats.quantiles(df, "v", qs)
+        assert got == pytest.approx(np.quantile(values, qs).tolist(), rel=1e-12)
+    assert stats.quantiles(df.limit(0), "v", [0.5]) == [None] and stats.quantiles(df.where("v = 3.25"), "v", [0.5]) == [3.25]
+    assert stats.deciles(df.limit(0), "v").collect() == [] and stats.distribution(df.limit(0), "v").first().median is None
+
+
+def test_with_each_sends_blocks(spark):
+    a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(11).withColumnRenamed("id", "b")
+    got = {(r.a, r.b) for r in stats.with_each(a, b, most=3).collect()}
+    assert len(got) == 77
