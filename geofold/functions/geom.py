@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SH_C0 = 0.28209479177387814
 SH_C1 = 0.4886025119029199
 SH_C2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
+SH_C4 = (2.5033429417967046, -1.7701307697799304, 0.9461746957575601, -0.6690465435572892, 0.10578554691520431, -0.6690465435572892, 0.47308734787878004, -1.7701307697799304, 0.6258357354491761)
 SH_C3 = (-0.5900435899266435, 2.890611442640554, -0.4570457994644658, 0.3731763325901154, -0.4570457994644658, 1.445305721320277, -0.5900435899266435)
 
 Vec = list
@@ -163,6 +164,7 @@ def conic_radius(a, b, c, floor: float = 0.1) -> tuple[Vec, Column]:
 
 
 def sh_basis(d: Vec, degree: int) -> Vec:
+    """Real spherical harmonics of a unit direction, degrees 0 to 4."""
     x, y, z = (col(c) for c in d)
     out = [F.lit(SH_C0)]
     if degree > 0:
@@ -175,6 +177,10 @@ def sh_basis(d: Vec, degree: int) -> Vec:
             SH_C3[0] * y * (3 * xx - yy), SH_C3[1] * x * y * z, SH_C3[2] * y * (4 * zz - xx - yy), SH_C3[3] * z * (2 * zz - 3 * xx - 3 * yy),
             SH_C3[4] * x * (4 * zz - xx - yy), SH_C3[5] * z * (xx - yy), SH_C3[6] * x * (xx - 3 * yy),
         ]
+    if degree > 3:
+        plane, steep, flat = xx - yy, 7 * zz - 1, 7 * zz - 3
+        terms = [x * y * plane, y * z * (3 * xx - yy), x * y * steep, y * z * flat, 35 * zz * zz - 30 * zz + 3, x * z * flat, plane * steep, x * z * (xx - 3 * yy), xx * xx - 6 * xx * yy + yy * yy]
+        out += [c * t for c, t in zip(SH_C4, terms, strict=True)]
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofold.functions.camera import affine_inverse, affine_product
 from geofold.functions.geom import angle_degrees, dot, face_normal, norm, point_triangle_squared, sub
 from geofold.operators.components import connected_components
 from geofold.operators.ordering import numbered
@@ -153,6 +154,13 @@ def skinned(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFr
     return rows.groupBy("vid").agg(*moved)
 
 
+def pose_from_rest(bones: DataFrame) -> DataFrame:
+    """(bone, m00..m23): each bone's pose after the inverse of its rest; bones have p00..p23 (pose) and r00..r23 (rest)."""
+    rows = lambda k: [[F.col(f"{k}{r}{c}") for c in range(4)] for r in range(3)]
+    m = affine_product(rows("p"), affine_inverse(rows("r")))
+    return bones.select("bone", *(m[r][c].alias(f"m{r}{c}") for r in range(3) for c in range(4)))
+
+
 def deformation(faces: DataFrame, vertices: DataFrame, reference: DataFrame, most: float = 2.0) -> DataFrame:
     """(fid, ratio, kept): largest ratio of a corner's distance to its face's centre to that distance in the reference mesh. Faces up to ``most`` are kept."""
     def spans(v: DataFrame) -> DataFrame:

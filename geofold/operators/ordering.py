@@ -32,3 +32,11 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, name: str, inclusive
 def run_ranges(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """(key, first, last): numbers of the rows that each key spans when rows are sorted by key, then order."""
     return numbered(df.select(*dict.fromkeys([*key, *order])), [*key, *order]).groupBy(*key).agg(F.min("n").alias("first"), (F.max("n") + 1).alias("last"))
+
+
+def around(df: DataFrame, order: list[str], reach: int, keep: list[str], others: list[str]) -> DataFrame:
+    """Pairs of a row (columns keep) and each other row at most ``reach`` places away in order (columns others, with other_ in front)."""
+    rows = numbered(df, order, "__place")
+    left = rows.select("__place", *keep).withColumn("__at", F.explode(F.array(*(F.col("__place") + d for d in range(-reach, reach + 1) if d))))
+    right = rows.select(F.col("__place").alias("__at"), *(F.col(c).alias(f"other_{c}") for c in others))
+    return left.join(right, "__at").drop("__at", "__place")

@@ -145,6 +145,18 @@ def texture_average(hits: DataFrame, texel: list[str], camera: str, pixel: list[
     return one.groupBy(*texel).agg(*(F.avg(f"p.{c}").alias(c) for c in channels), F.count("*").alias("n"))
 
 
+def texture_filled(texels: DataFrame, hits: DataFrame, faces: DataFrame, texel: list[str], camera: str, pixel: list[str], channels: list[str], face: str = "fid") -> DataFrame:
+    """texels (texel, face) with the mean of what cameras saw there; else the mean of what they saw of the face; else the face's own colour.
+
+    hits: texel, face, camera, pixel and channels; faces: face and channels. A camera counts once for a texel and once for a face.
+    """
+    seen = texture_average(hits, texel, camera, pixel, channels).select(*texel, *(F.col(c).alias(f"__t{c}") for c in channels))
+    of_face = texture_average(hits, [face], camera, pixel, channels).select(face, *(F.col(c).alias(f"__f{c}") for c in channels))
+    own = faces.select(face, *(F.col(c).alias(f"__o{c}") for c in channels))
+    joined = texels.join(seen, texel, "left").join(of_face, face, "left").join(own, face, "left")
+    return joined.select(*texel, face, *(F.coalesce(f"__t{c}", f"__f{c}", f"__o{c}").alias(c) for c in channels))
+
+
 def bilinear(grid: DataFrame, lookups: DataFrame, value: str, height: int, width: int) -> DataFrame:
     """lookups (id, u, v in pixels) with the value between the four pixels around, the border repeated."""
     u, v = F.least(F.greatest(F.col("u"), F.lit(0.0)), F.lit(width - 1.0)), F.least(F.greatest(F.col("v"), F.lit(0.0)), F.lit(height - 1.0))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.functions.geom import apply, quaternion_matrix
+from geofold.functions.geom import apply, from_spherical, quaternion_matrix
 from geofold.operators.ordering import numbered, prefix_sum
 from geofold.operators.shared import stash
 
@@ -78,3 +78,11 @@ def densified(splats: DataFrame, small: Column, large: Column, parts: int = 2, s
     for k in range(3):
         split = split.withColumn(f"s{k}", F.col(f"s{k}") / (shrink * parts))
     return rest.unionByName(clones).unionByName(split)
+
+
+def sphere_lattice(spark, elevations: int = 10, azimuths: int = 20, poles: bool = False) -> DataFrame:
+    """(id, elevation, azimuth, x, y, z): a lattice of unit directions in degrees, y up; poles adds one point near each."""
+    rows = spark.range(elevations * azimuths).select((F.col("id") + int(poles)).alias("id"), (-90 + (F.floor(F.col("id") / azimuths) + 1) / (elevations + 1) * 180.0).alias("elevation"), (360.0 * (F.col("id") % azimuths) / azimuths).alias("azimuth"))
+    if poles:
+        rows = rows.unionByName(spark.createDataFrame([(0, -89.9, 0.0), (elevations * azimuths + 1, 89.9, 0.0)], rows.schema))
+    return rows.select("*", *(c.alias(n) for c, n in zip(from_spherical(F.radians("elevation"), F.radians("azimuth")), "xyz", strict=True)))

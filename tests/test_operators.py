@@ -281,3 +281,24 @@ def test_with_each_sends_blocks(spark):
     a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(11).withColumnRenamed("id", "b")
     got = {(r.a, r.b) for r in stats.with_each(a, b, most=3).collect()}
     assert len(got) == 77
+
+
+def test_models_are_stored_and_read_in_the_present_form(spark, tmp_path):
+    from geofold.operators import checkpoints
+
+    old = spark.createDataFrame([(1, [0.0, 1.0, 2.0], [[9.0] * 3] * 4, [1.0, 0.0, 0.0, 0.0, 5.0, 6.0, 7.0])], "id long, points array<double>, sh_coordinates array<array<double>>, radiuses array<double>")
+    checkpoints.save(old, f"file://{tmp_path}/model", {"levels": 3, "name": "a"})
+    splats, settings = checkpoints.load(spark, f"file://{tmp_path}/model")
+    r = splats.first()
+    assert settings == {"levels": 3, "name": "a"} and r._points == [0, 1, 2] and len(r._sh_coordinates_dc) == 1 and len(r._sh_coordinates_rest) == 3
+    assert r._quaternions == [1, 0, 0, 0] and r._scales == [5, 6, 7] and not {"points", "sh_coordinates", "radiuses"} & set(splats.columns)
+    assert checkpoints.present_form(splats).columns == splats.columns
+
+
+def test_harmonics_of_degree_four_are_orthonormal(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20_000, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(v.tolist(), "x double, y double, z double")
+    b = np.array(df.select(*(c.alias(f"b{k}") for k, c in enumerate(geom.sh_basis(["x", "y", "z"], 4)))).collect())
+    assert np.abs(b.T @ b / len(b) * 4 * np.pi - np.eye(25)).max() < 0.12
