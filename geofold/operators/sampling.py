@@ -13,9 +13,14 @@ from geofold.operators.ordering import numbered, prefix_sum
 from geofold.operators.shared import stash
 
 
+def order_key(seed: int, *ids) -> Column:
+    """MD5 of the ids and the seed, set apart by bars: an order that any engine can repeat."""
+    return F.md5(F.concat_ws("|", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in ids), F.lit(str(seed))))
+
+
 def uniform(seed: int, *ids) -> Column:
-    """In (0, 1), by the ids."""
-    return (F.shiftrightunsigned(F.xxhash64(*ids, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    """In (0, 1), by the ids: the first 52 bits of their key."""
+    return (F.conv(F.substring(order_key(seed, *ids), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def normal(seed: int, *ids) -> Column:
@@ -24,17 +29,18 @@ def normal(seed: int, *ids) -> Column:
 
 def capped(df: DataFrame, by: list[str], ids: list[str], most: int, seed: int = 0) -> DataFrame:
     """At most so many rows of each group, chosen at random."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids)
+    w = Window.partitionBy(*by).orderBy(order_key(seed, *ids), *ids)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
 def subsample(df: DataFrame, ids: list[str], n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement."""
-    return df.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
+    return df.orderBy(order_key(seed, *ids), *ids).limit(n)
 
 
 def shuffled(df: DataFrame, ids: list[str], epoch: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(*ids, F.lit(epoch)), *ids)
+    """df with ``place``, its rows' order in an epoch, from 0; numbered without a single task."""
+    return numbered(df.withColumn("__key", order_key(epoch, *ids)), ["__key", *ids], "place").drop("__key")
 
 
 def stacked(objects: list[DataFrame], order: list[str]) -> DataFrame:

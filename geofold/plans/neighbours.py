@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geofold.functions.geom import morton, r6
+from geofold.functions.geom import apply, morton, quaternion_matrix, r6
 from geofold.operators import cluster, field, filters, knn, mesh, sampling, stats
 from geofold.operators.knn import XYZ
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CAMERAS, SPLATS, cameras, faces, splats, vertices
-from geofold.plans.measures import EXTENT, extent
+from geofold.plans.measures import BOXED, EXTENT, extent
 
 BOOK = Book()
 
@@ -171,7 +171,7 @@ def knn_edge_centres(spark: SparkSession, d: str) -> DataFrame:
     """The 8 edge midpoints nearest to each edge midpoint of the mesh."""
     e = mesh.edge_usage(faces(spark, d))
     ends = [vertices(spark, d).select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in XYZ)) for k in "uv"]
-    mids = e.join(ends[0], "u").join(ends[1], "v").select((F.col("u") * 1_000_000 + F.col("v")).alias("id"), *(((F.col(f"u{c}") + F.col(f"v{c}")) / 2).alias(c) for c in XYZ))
+    mids = e.join(ends[0], "u").join(ends[1], "v").select((F.shiftleft(F.col("u").cast("long"), 32) + F.col("v")).alias("id"), *(((F.col(f"u{c}") + F.col(f"v{c}")) / 2).alias(c) for c in XYZ))
     return knn.knn(mids, 8).select("i", F.col("rank").cast("long").alias("rank"), "j", r6("d2").alias("d2"))
 
 
@@ -209,7 +209,21 @@ def large_cluster_keep(spark: SparkSession, d: str) -> DataFrame:
     return cluster.kept_clusters(cluster.dbscan(_points(spark, d), EPS, 6), 0.05)
 
 
-@BOOK.query()
+PRUNED = f"""WITH RECURSIVE {BOXED}, rows AS (SELECT id, x, y, z, fg, opacity > 0.5 AS dense FROM boxed),
+    close AS (SELECT p.id AS i, q.id AS j FROM rows p JOIN rows q ON p.fg = q.fg AND p.dense AND q.dense AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= {EPS} ** 2 AND p.id <> q.id),
+    cores AS (SELECT i FROM close GROUP BY i HAVING count(*) + 1 >= 6), links AS (SELECT i, j FROM close WHERE i IN (FROM cores) AND j IN (FROM cores)),
+    reach AS (SELECT i, i AS r FROM cores UNION SELECT l.j, reach.r FROM reach JOIN links l ON l.i = reach.i), roots AS (SELECT i, min(r) AS root FROM reach GROUP BY i),
+    border AS (SELECT c.i, min(root) AS near FROM close c JOIN roots ON roots.i = c.j GROUP BY c.i),
+    labels AS (SELECT rows.id, fg, coalesce(root, near, -1) AS label FROM rows LEFT JOIN roots ON roots.i = rows.id LEFT JOIN border ON border.i = rows.id WHERE dense),
+    sizes AS (SELECT fg, label, count(*) AS size FROM labels WHERE label >= 0 GROUP BY ALL), totals AS (SELECT fg, count(*) AS total FROM labels GROUP BY fg),
+    judged AS (SELECT s.fg, label, size >= 0.05 * total AS big, row_number() OVER (PARTITION BY s.fg ORDER BY size DESC, label) = 1 AS largest FROM sizes s JOIN totals t ON t.fg = s.fg),
+    parts AS (SELECT fg, bool_or(big) AS any_big FROM judged GROUP BY fg),
+    kept AS (SELECT l.id, l.label, CASE WHEN p.fg IS NULL THEN true WHEN any_big THEN coalesce(big, false) ELSE coalesce(largest, false) END AS kept FROM labels l LEFT JOIN parts p ON p.fg = l.fg LEFT JOIN judged j ON j.fg = l.fg AND j.label = l.label),
+    counts AS (SELECT fg, count(*) AS points, count(*) FILTER (NOT coalesce(kept, true)) AS pruned, count(*) FILTER (label = -1) AS noise FROM rows LEFT JOIN kept USING (id) GROUP BY fg)
+    SELECT CASE WHEN fg THEN 'fg' ELSE 'bg' END AS part, points, pruned, noise, {q6('pruned / points', 'ratio')}, {q6('pruned / points')} > 0.3 AS warn FROM counts"""
+
+
+@BOOK.query(PRUNED)
 def fg_bg_prune_stats(spark: SparkSession, d: str) -> DataFrame:
     """Foreground and background are clustered apart; low opacity passes by and is kept."""
     from functools import reduce
@@ -230,22 +244,39 @@ def fg_bg_prune_stats(spark: SparkSession, d: str) -> DataFrame:
 # ---- samples
 
 
-@BOOK.query("SELECT label, least(count(*), 20) AS n FROM embeddings GROUP BY 1")
+_UNIFORM = lambda c, seed: f"((CAST('0x' || substr(md5({c} || '|{seed}'), 1, 13) AS BIGINT) + 0.5) / {float(1 << 52)!r})"
+_NORMAL = lambda c, seed: f"(sqrt(-2 * ln({_UNIFORM(c, seed)})) * cos(2 * pi() * {_UNIFORM(c, seed + 1)}))"
+
+
+@BOOK.query("SELECT vec_id AS id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|5'), vec_id) <= 20")
 def per_camera_cap(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.capped(splats(spark, d), ["label"], ["id"], 20, seed=5).groupBy("label").agg(F.count("*").alias("n"))
+    return sampling.capped(splats(spark, d), ["label"], ["id"], 20, seed=5).select("id", "label")
 
 
-@BOOK.query()
+_FRAME = [
+    "(1 - 2 * (j * j + k * k)) * o0 + 2 * (i * j - w * k) * o1 + 2 * (i * k + w * j) * o2",
+    "2 * (i * j + w * k) * o0 + (1 - 2 * (i * i + k * k)) * o1 + 2 * (j * k - w * i) * o2",
+    "2 * (i * k - w * j) * o0 + 2 * (j * k + w * i) * o1 + (1 - 2 * (i * i + j * j)) * o2",
+]
+
+
+@BOOK.query(
+    f"WITH {SPLATS}, line AS (SELECT *, sum(s0 * s1 * s2) OVER (ORDER BY id) AS upto, s0 * s1 * s2 AS volume, sqrt(q0 ** 2 + q1 ** 2 + q2 ** 2 + q3 ** 2) AS n FROM splats), draws AS (SELECT i AS draw, {_UNIFORM('i', 9)} * (SELECT max(upto) FROM line) AS spot, "
+    + ", ".join(f"{_NORMAL('i', 11 + 2 * a)} AS n{a}" for a in range(3)) + " FROM range(1000) t(i)), drawn AS (SELECT draw, id, x, y, z, q0 / n AS w, q1 / n AS i, q2 / n AS j, q3 / n AS k, s0 * n0 AS o0, s1 * n1 AS o1, s2 * n2 AS o2 FROM draws JOIN line ON spot >= upto - volume AND spot < upto) SELECT draw, id, "
+    + ", ".join(q6(f"{c} + {_FRAME[a]}", c) for a, c in enumerate("xyz")) + " FROM drawn"
+)
 def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Draws in proportion to volume, moved inside the drawn splat."""
+    """Draws in proportion to volume, each moved inside the drawn splat's own frame."""
     rows = splats(spark, d).withColumn("volume", F.col("s0") * F.col("s1") * F.col("s2"))
-    drawn = sampling.weighted(rows.select("id", *XYZ, "s0", "volume"), ["id"], "volume", 1000, seed=9)
-    return drawn.select("draw", "id", r6(F.col("x") + F.col("s0") * sampling.normal(11, "draw")).alias("x"))
+    frame = ["s0", "s1", "s2", "q0", "q1", "q2", "q3"]
+    drawn = sampling.weighted(rows.select("id", *XYZ, *frame, "volume"), ["id"], "volume", 1000, seed=9)
+    offset = apply(quaternion_matrix(frame[3:]), [F.col(f"s{a}") * sampling.normal(11 + 2 * a, "draw") for a in range(3)])
+    return drawn.select("draw", "id", *(r6(F.col(c) + o).alias(c) for c, o in zip(XYZ, offset, strict=True)))
 
 
-@BOOK.query("SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS different")
+@BOOK.query("SELECT vec_id AS id FROM embeddings ORDER BY md5(vec_id || '|0'), vec_id LIMIT 50")
 def uniform_subsample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.subsample(splats(spark, d).select("id"), ["id"], 50).agg(F.count("*").alias("n"), F.countDistinct("id").alias("different"))
+    return sampling.subsample(splats(spark, d).select("id"), ["id"], 50)
 
 
 @BOOK.query(f"WITH {SPLATS}, c AS (SELECT id, abs(nx) > 0.1 AND s0 <= 0.05 AS small, abs(nx) > 0.1 AND s0 > 0.05 AS large, s0 FROM splats), rows AS (SELECT id, 0 AS part, s0 FROM c WHERE NOT large UNION ALL SELECT id, 1, s0 FROM c WHERE small UNION ALL SELECT id, unnest([1, 2]), s0 / 1.6 FROM c WHERE large) SELECT id, CAST(part AS INTEGER) AS part, {q6('s0', 's0')} FROM rows")
@@ -255,7 +286,6 @@ def densify_clone_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.densified(rows, steep & (F.col("s0") <= 0.05), steep & (F.col("s0") > 0.05)).select("id", "part", r6("s0").alias("s0"))
 
 
-@BOOK.query("SELECT CAST(100000 AS BIGINT) AS n, true AS inside")
+@BOOK.query("SELECT i AS id, " + ", ".join(q6(f"(2 * {_UNIFORM('i', a)} - 1) * 1.3", c) for a, c in enumerate("xyz")) + " FROM range(100000) t(i)")
 def random_point_cloud(spark: SparkSession, d: str) -> DataFrame:
-    p = sampling.random_points(spark)
-    return p.agg(F.count("*").alias("n"), (F.max(F.greatest(*(F.abs(c) for c in XYZ))) <= 1.3).alias("inside"))
+    return sampling.random_points(spark).select("id", *(r6(c).alias(c) for c in XYZ))
