@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geofold.llm.common import doc_crc, mapped
-from geofold.llm.words import LETTERS, Words, words_of
+from geofold.llm.words import LETTERS, Words, distinct_sorted, words_of
 
 ROWS = 1 << 16
 DIM = 32
@@ -67,7 +67,7 @@ def index_vectors(words: Words) -> np.ndarray:
 def add_index_vectors(total: np.ndarray, words: Words) -> None:
     """Adds each text's index vector to the rows of its distinct words."""
     n = len(words.ends) - 1
-    pairs = np.unique(rows_of(words) * n + np.repeat(np.arange(n), words.counts)) if n else np.zeros(0, np.int64)
+    pairs = distinct_sorted(rows_of(words) * n + np.repeat(np.arange(n), words.counts))
     if not len(pairs):
         return
     vectors = index_vectors(words)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geofold.llm.common import doc_crc, mapped, stash, unstash
-from geofold.llm.words import LOWER, fast_order, joined_key, mixed, words_of
+from geofold.llm.words import LOWER, distinct_sorted, fast_order, joined_key, mixed, words_of
 
 SMOOTH = 0.1
 DISCOUNT = 0.75
@@ -155,7 +155,7 @@ def _member(among: np.ndarray | None, x: np.ndarray) -> np.ndarray:
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often they occur in training texts (0: elsewhere only)."""
     a, n = np.unique(keys[train], return_counts=True)
-    b = np.unique(keys[~train])
+    b = distinct_sorted(keys[~train])
     new = ~_member(a, b)
     at = np.searchsorted(a, b[new])
     return np.insert(a, at, b[new]), np.insert(n, at, 0)
@@ -259,7 +259,12 @@ def _sum(t: pa.Table, bits: Bits) -> pa.Table:
             kept = total
         else:
             kept = np.where(total >= MIN_COUNT, total, 0)
-            history, state = np.unique(bits.state(kind, distinct), return_inverse=True)
+            history = bits.state(kind, distinct)
+            if kind > 0:  # sorted, as the keys are
+                heads = np.r_[True, history[1:] != history[:-1]]
+                history, state = history[heads], np.cumsum(heads) - 1
+            else:
+                history, state = np.unique(history, return_inverse=True)
             add = lambda x: np.bincount(state, weights=x, minlength=len(history)).astype(np.int64)  # noqa: B023, E731
             weights = np.array([add(total), add(kept), add(kept > 0)])
             if kind < 0:
@@ -382,7 +387,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             states: dict[int, list] = defaultdict(list)
             edges: dict[int, np.ndarray] = {}
             for kind in {k for k, _, _ in own}:
-                keys = np.unique(grams.keys[kind][1])
+                keys = distinct_sorted(grams.keys[kind][1])
                 bucket, history = bits.bucket(kind, keys, buckets), bits.state(kind, keys)
                 heads = np.r_[True, history[1:] != history[:-1]]
                 edges[kind] = np.array([np.bincount(bucket, minlength=buckets), np.bincount(bucket, weights=heads, minlength=buckets)], np.int64)
