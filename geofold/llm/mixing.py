@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.llm.common import JAVA_WORD, stash
+from geofold.llm.common import JAVA_WORD, bounded, fresh, mapped, stash
 
 BLOCK_WORDS = 256
 WEIGHTS = (5, 2, 1)
@@ -42,6 +42,8 @@ SEED = 7
 FEW_SOURCES = 50_000
 #: Rows that one window orders, about.
 RANGE_ROWS = 250
+#: Draws that one task makes, about, until there is a task for each shard.
+DRAWS_TOGETHER = 50_000
 #: Ranges whose starts one window sums.
 RANGES_TOGETHER = 1_000
 
@@ -84,21 +86,30 @@ def shard_counts(wanted: list[int], shards: int = SHARDS, seed: int = SEED) -> n
     return out
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed permutation of 0..n-1 at the given indexes: a four-round Feistel network, walked until inside."""
+def _network(n: int, key: int) -> tuple[np.uint64, np.ndarray]:
+    """Bits of half a number and the rounds' keys of the permutation of 0..n-1."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    keys = np.random.default_rng([key, n & 0xFFFFFFFF]).integers(1, 1 << 62, 4, dtype=np.uint64)
+    return np.uint64(half), np.random.default_rng([key, n & 0xFFFFFFFF]).integers(1, 1 << 62, 4, dtype=np.uint64)
+
+
+def _round(right: np.ndarray, k: np.uint64, mask: np.uint64) -> np.ndarray:
+    mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(32)) & mask
+
+
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A keyed permutation of 0..n-1 at the given indexes, or its inverse: a four-round Feistel network, walked until inside."""
+    half, keys = _network(n, key)
+    mask = (np.uint64(1) << half) - np.uint64(1)
     x = index.astype(np.uint64)
     todo = np.ones(len(x), bool)
     while todo.any():
-        left, right = x[todo] >> np.uint64(half), x[todo] & mask
-        for k in keys:
-            mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
-        x[todo] = (left << np.uint64(half)) | right
+        left, right = x[todo] >> half, x[todo] & mask
+        for k in keys[::-1] if back else keys:
+            left, right = (right ^ _round(left, k, mask), left) if back else (right, left ^ _round(right, k, mask))
+        x[todo] = (left << half) | right
         todo = x >= n
     return x.astype(np.int64)
 
@@ -146,8 +157,8 @@ def draws(spark, sources: list[dict], shards: int = SHARDS, seed: int = SEED) ->
                     block = permuted(j % blocks[source], blocks[source], seed * 1_000_003 + source)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), source, np.int32)), pa.array(j), pa.array(block)], ["shard", "source_no", "draw", "block"])
 
-    given = spark.createDataFrame(rows, "shard int, source_no int, first long, n long").repartition(max(1, min(shards, len(rows))), "shard")
-    return given.mapInArrow(run, "shard int, source_no int, draw long, block long")
+    given = spark.createDataFrame(rows, "shard int, source_no int, first long, n long").repartition(max(1, min(shards, sum(r[3] for r in rows) // DRAWS_TOGETHER)), "shard")
+    return mapped(given, run, "shard int, source_no int, draw long, block long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -185,13 +196,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def _turn_of(source: dict, number: int, seed: int) -> int:
     """In which draw of a round the source's short last block comes up."""
     n = source["blocks"]
-    if n < 2:
-        return 0
-    for at in range(0, n, 1 << 20):
-        hit = np.flatnonzero(permuted(np.arange(at, min(n, at + (1 << 20))), n, seed * 1_000_003 + number) == n - 1)
-        if len(hit):
-            return at + int(hit[0])
-    raise AssertionError("a permutation takes every value")
+    return int(permuted(np.array([n - 1]), n, seed * 1_000_003 + number, back=True)[0]) if n else 0
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
@@ -211,11 +216,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once, then what is taken a second time; words not taken are gone. Equal rows become one.
     """
     key = lambda a, b, c: F.xxhash64(a.cast("string"), b.cast("string"), c)
+    own_key, mix_key, spans_of, text = fresh(docs, "__key", "__mix_key", "__spans", "__text")
     pieces, places, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    own = docs.withColumn("__key", key(docs[id_col], docs[source_col], docs[text_col])).dropDuplicates(["__key"])
-    text_of = places.select("row_id", F.col("key").alias("__mix_key"))
-    spans = pieces.join(text_of, "row_id").groupBy("__mix_key").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("__spans"))
-    joined = own.join(spans, own["__key"] == spans["__mix_key"])
+    own = docs.withColumn(own_key, key(docs[id_col], docs[source_col], docs[text_col])).dropDuplicates([own_key])
+    text_of = places.select("row_id", F.col("key").alias(mix_key))
+    spans = pieces.join(text_of, "row_id").groupBy(mix_key).agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias(spans_of))
+    joined = own.join(spans, own[own_key] == spans[mix_key])
 
     @F.pandas_udf("string")
     def cut(texts, all_spans):
@@ -223,8 +229,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return pd.Series([taken_text(t, [(x["first_word"], x["words"]) for x in s]) for t, s in zip(texts, all_spans, strict=True)], dtype=object)
 
-    changed = joined.withColumn("__text", cut(text_col, "__spans"))
-    columns = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    bounded(docs.sparkSession)
+    changed = joined.withColumn(text, cut(text_col, spans_of))
+    columns = [F.col(text).alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return changed.select(*columns)
 
 

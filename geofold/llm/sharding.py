@@ -8,7 +8,8 @@
    its quantiles are splitters: they cut the key space into ranges of about
    equal bytes. Exact bytes of each range are counted; an overfull range (many rows of
    one key) is subdivided evenly along the key,
-   by the id's hash where one text fills it.
+   by the id's hash where one text fills it; parts that are overfull still hold rows of one text and id, and are dealt
+   out by numbers of their own.
 4. Running sums inside ranges, plus the sums of the ranges before, place every
    row on one line of bytes. Shards are cut from this line where loads come out equal.
 
@@ -45,7 +46,7 @@ SIGN = -(1 << 63)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD) -> DataFrame:
-    """(doc_id, size, text_crc32, h, g): h orders by text, g by id."""
+    """(doc_id, size, text_crc32, h, g, r): h orders by text, g by id; r is any row's own number, fixed once it is written."""
     data = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
@@ -53,6 +54,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ov
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(docs[text_col]).alias("h"),
         F.xxhash64(docs[id_col]).alias("g"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("r"),
     )
 
 
@@ -99,6 +101,13 @@ def _subdivided(ranged: DataFrame, limit: float) -> DataFrame:
     return ranged.join(F.broadcast(full), ranged["range.range"] == full["no"], "left").withColumn("part", part.cast("long")).drop("no", "parts")
 
 
+def _dealt(placed: DataFrame, limit: float) -> DataFrame:
+    """placed (no, part, ...) with ``piece``: where a part is overfull, rows are dealt to pieces by their own numbers."""
+    full = placed.groupBy("no", "part").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit).select(F.col("no").alias("__no"), F.col("part").alias("__part"), F.ceil(F.col("bytes") / limit).alias("pieces"))
+    joined = placed.join(F.broadcast(full), (F.col("no") == F.col("__no")) & (F.col("part") == F.col("__part")), "left").drop("__no", "__part")
+    return joined.withColumn("piece", F.coalesce(F.pmod("r", "pieces"), F.lit(0)).cast("long")).drop("pieces", "r")
+
+
 def level(loads: list[int], extra: int) -> list[float]:
     """What each load gets of extra so that the lowest ones rise to one level."""
     order, sunk = sorted(loads), 0.0
@@ -134,13 +143,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     ranges = max(1, shards * RANGES_PER_SHARD, min(MAX_RANGES, rest // RANGE_BYTES))
     limit = max(1.0, 2.0 * rest / ranges)
     placed = _subdivided(_ranged(small, stash(_sampled_splitters(small, rest, ranges), "splitters")), limit)
-    cell = ["no", "part"]
-    placed = stash(placed.select("doc_id", "size", "text_crc32", "h", "g", F.col("range.range").alias("no"), "part"), "shard-ranges")
+    cell = ["no", "part", "piece"]
+    placed = stash(placed.select("doc_id", "size", "text_crc32", "h", "g", "r", F.col("range.range").alias("no"), "part"), "shard-parts")
+    placed = stash(_dealt(placed, limit), "shard-ranges")
 
     # the line of cells: sums by two levels, so that no task orders all cells of a large input
     sums = placed.groupBy(*cell).agg(F.sum("size").alias("bytes"))
     by_range = sums.groupBy("no").agg(F.sum("bytes").alias("range_bytes")).withColumn("range_from", F.sum("range_bytes").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("no").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.join(F.broadcast(by_range.select(F.col("no"), "range_from")), "no").select(*cell, (F.coalesce("range_from", F.lit(0)) + F.coalesce(F.sum("bytes").over(inside), F.lit(0))).alias("cell_from"))
     order = Window.partitionBy(*cell).orderBy("h", "g", "doc_id", "size")
     running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -156,7 +166,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     # slots: rows of the shard in cells before, then rows before in the cell
     held = sharded.groupBy("shard", *cell).agg(F.count("*").alias("n"))
     ranges_held = held.groupBy("shard", "no").agg(F.sum("n").alias("n")).withColumn("range_slot", F.sum("n").over(Window.partitionBy("shard").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)))
-    in_range = Window.partitionBy("shard", "no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("shard", "no").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     cells = held.join(ranges_held.select("shard", "no", "range_slot"), ["shard", "no"]).select("shard", *cell, (F.coalesce("range_slot", F.lit(0)) + F.coalesce(F.sum("n").over(in_range), F.lit(0))).alias("cell_slot"))
     base = F.element_at(F.array(*(F.lit(c) for c in counts)), F.col("shard") + 1)
     slot = base + F.col("cell_slot") + F.row_number().over(Window.partitionBy("shard", *cell).orderBy("h", "g", "doc_id", "size")) - 1

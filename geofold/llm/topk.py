@@ -4,11 +4,12 @@ Every task turns the vectors it reads into an approximation file: each component
 range is cut into ``CELLS`` cells, and a vector is kept as its cells' numbers. For a
 query, cells bound the score from above and below. Vectors whose upper bound is under
 the k-th best lower bound are out; the others' exact scores are read in the order
-of upper bounds until no bound can reach the k-th result. Tasks report k rows for each query;
+of upper bounds until no bound can reach the k-th result. A task goes on with its best k of each query from
+file to file, so what earlier files gave prunes later ones, and reports k rows for each query;
 a grouping keeps the best k of them.
 
-Queries are sent to the tasks in blocks of at most ``QUERY_BLOCK`` vectors, so a broadcast
-is bounded whatever the number of queries; each block scans the table once.
+Queries are sent to the tasks in blocks of about ``QUERY_BLOCK`` vectors, so a broadcast and what the driver holds
+are bounded whatever the number of queries; each block scans the table once and is written before the next is read.
 
 Components are floor(256 * x). Bounds and scores are whole numbers below 2**53, so
 double arithmetic is exact; vectors that could exceed this are scored in Python's integers.
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofold.llm.common import mapped, stash
+
 SCALE = 256
 CELLS = 64
 QUERY_BLOCK = 8192
@@ -65,8 +68,8 @@ class ApproximationFile:
         reach = queries * (self.width - 1)
         return base + np.minimum(reach, 0).sum(axis=1)[:, None], base + np.maximum(reach, 0).sum(axis=1)[:, None]
 
-    def top(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """(query_id, vec_id, score) of the best k for each query."""
+    def top(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> None:
+        """Puts each query's better vectors into its list in ``best``: (-score, vec_id) of the k best so far, sorted."""
         for at in range(0, len(queries), STEP):
             q, q_ids = queries[at : at + STEP], query_ids[at : at + STEP]
             lower, upper = self.bounds(q.astype(float))
@@ -74,29 +77,31 @@ class ApproximationFile:
             lower[own], upper[own] = -np.inf, -np.inf
             n = min(k, len(ids))
             sure = np.partition(lower, len(ids) - n, axis=1)[:, len(ids) - n]
+            held = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best[at : at + STEP]])
+            sure = np.maximum(sure, held)  # what earlier files gave prunes this one
             for i in range(len(q)):
                 near = np.flatnonzero((upper[i] >= sure[i]) & (upper[i] > -np.inf))
-                yield from ((int(q_ids[i]), v, s) for s, v in self._read(ids, q[i], near[np.argsort(-upper[i][near], kind="stable")], upper[i], k))
+                if len(near):
+                    best[at + i] = self._read(ids, q[i], near[np.argsort(-upper[i][near], kind="stable")], upper[i], k, best[at + i])
 
-    def _read(self, ids, query, order, upper, k) -> list[tuple[int, int]]:
+    def _read(self, ids, query, order, upper, k, best) -> list[tuple[int, int]]:
         """Exact scores in the order of bounds, in growing steps, until the k-th is certain."""
-        best: list[tuple[int, int]] = []
         at, step = 0, 2 * k
-        while at < len(order) and (len(best) < k or upper[order[at]] >= best[-1][0]):
+        while at < len(order) and (len(best) < k or upper[order[at]] >= -best[-1][0]):
             part = order[at : at + step]
             scores = self.exact[part] @ query
-            best = sorted([*best, *zip(map(int, scores), map(int, ids[part]), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+            best = sorted([*best, *zip(map(int, -scores), map(int, ids[part]), strict=True)])[:k]
             at, step = at + step, 2 * step
         return best
 
 
-def _plain_top(ids, vectors, query_ids, queries, k) -> Iterator[tuple[int, int, int]]:
+def _plain_top(ids, vectors, query_ids, queries, k, best) -> None:
     """For numbers beyond double arithmetic; scores outside a long are held at its ends."""
     rows = [[int(x) for x in v] for v in vectors]
-    for q_id, q in zip(query_ids, queries, strict=True):
+    for n, (q_id, q) in enumerate(zip(query_ids, queries, strict=True)):
         q = [int(x) for x in q]
-        scored = ((max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v, strict=True)))), int(i)) for i, v in zip(ids, rows, strict=True) if i != q_id)
-        yield from ((int(q_id), i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:k])
+        scored = ((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v, strict=True)))), int(i)) for i, v in zip(ids, rows, strict=True) if i != q_id)
+        best[n] = sorted([*best[n], *scored])[:k]
 
 
 def _by_length(ids: list[int], vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -106,22 +111,22 @@ def _by_length(ids: list[int], vectors: list) -> dict[int, tuple[np.ndarray, np.
     return {n: (np.array([ids[i] for i in at], np.int64), np.array([vectors[i] for i in at], np.int64)) for n, at in groups.items()}
 
 
-def _scan(candidates: DataFrame, queries: list, k: int) -> DataFrame:
-    """Each task's best k for one block of queries."""
-    block = candidates.sparkSession.sparkContext.broadcast(_by_length([r["vec_id"] for r in queries], [r["v"] for r in queries]))
-
-    def results(ids: list, vectors: list) -> pa.RecordBatch:
-        out: list[tuple[int, int, int]] = []
-        for n, (own_ids, own) in _by_length(ids, vectors).items():
-            if n in block.value:
-                q_ids, q = block.value[n]
-                most = max(int(abs(own).max()), 1) * max(int(abs(q).max()), 1) * n * 4
-                safe = most < EXACT and min(own.min(), q.min()) > -(1 << 62)
-                out += ApproximationFile(own).top(own_ids, q_ids, q, k) if safe else _plain_top(own_ids, own, q_ids, q, k)
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+def _scan(candidates: DataFrame, block, k: int) -> DataFrame:
+    """Each task's best k for one block of queries. block: a broadcast of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: [[] for _ in q_ids] for n, (q_ids, _) in block.value.items()}
+
+        def read(ids: list, vectors: list) -> None:
+            for n, (own_ids, own) in _by_length(ids, vectors).items():
+                if n in block.value:
+                    q_ids, q = block.value[n]
+                    most = max(int(abs(own).max()), 1) * max(int(abs(q).max()), 1) * n * 4
+                    if most < EXACT and min(own.min(), q.min()) > -(1 << 62):
+                        ApproximationFile(own).top(own_ids, q_ids, q, k, best[n])
+                    else:
+                        _plain_top(own_ids, own, q_ids, q, k, best[n])
+
         ids, vectors = [], []
         for b in batches:
             ids += b.column(0).to_pylist()
@@ -129,12 +134,16 @@ def _scan(candidates: DataFrame, queries: list, k: int) -> DataFrame:
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.diff(np.r_[0, np.cumsum([len(x) for x in lists])]).cumsum()
             vectors += np.split(flat, ends[:-1]) if len(ends) else []
             while len(ids) >= FILE_ROWS:
-                yield results(ids[:FILE_ROWS], vectors[:FILE_ROWS])
+                read(ids[:FILE_ROWS], vectors[:FILE_ROWS])
                 ids, vectors = ids[FILE_ROWS:], vectors[FILE_ROWS:]
         if ids:
-            yield results(ids, vectors)
+            read(ids, vectors)
+        for n, found in best.items():
+            out = [(int(q), v, -s) for q, own in zip(block.value[n][0], found, strict=True) for s, v in own]
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+    return mapped(candidates, run, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -142,11 +151,15 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     rows = whole(vectors, id_col, vector_col)
     asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // query_block))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = []
     for b in range(blocks):
-        # hash blocks: about query_block rows each
+        # hash blocks: about query_block rows each, one at a time on the driver
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        found.append(_scan(rows, block, k))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        sent = vectors.sparkSession.sparkContext.broadcast(_by_length([r["vec_id"] for r in block], [r["v"] for r in block]))
+        ranked = _scan(rows, sent, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if blocks > 1:
+            ranked = stash(ranked, "topk")
+            sent.destroy()
+        found.append(ranked)
+    return reduce(DataFrame.unionByName, found).select("query_id", "rank", "vec_id", "score")

@@ -76,7 +76,7 @@ def slow_fingerprint(text):
 
 
 def test_simhash_matches_all_pairs(docs, rows):
-    fps = [slow_fingerprint(r.text[:4000] if r.text and len(r.text) > 4000 else r.text) for r in rows]
+    fps = [slow_fingerprint(r.text) for r in rows]
     linked = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     root = union_find(len(rows), linked)
     first = {}
@@ -213,6 +213,20 @@ def test_one_text_may_fill_many_shards(spark):
     assert len(loads) == 8 and max(loads) - min(loads) <= 0.01 * max(loads) + 100
 
 
+def test_equal_rows_fill_no_window(spark, monkeypatch):
+    rows = [(7, "one text and one id", None, None, 0)] * 4000 + [(i, f"text {i} " * 3, None, None, 0) for i in range(2000)]
+    most = []
+    dealt = sharding._dealt
+    monkeypatch.setattr(sharding, "_dealt", lambda placed, limit: (lambda out: most.append(out.groupBy("no", "part", "piece").count().agg(F.max("count")).first()[0]) or out)(dealt(placed, limit)))
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, DOCS), 8).collect()
+    loads, slots = Counter(), defaultdict(list)
+    for g in got:
+        loads[g.shard] += g.size
+        slots[g.shard].append(g.slot)
+    assert len(got) == 6000 and max(loads.values()) - min(loads.values()) <= 100 and most[0] < 400
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.shard_by_bytes(empty).collect() == []
 
@@ -320,7 +334,9 @@ def test_shard_counts_and_permutations():
     counts = mixing.shard_counts([100, 7, 0, 3000], shards=16)
     assert counts.sum(axis=0).tolist() == [100, 7, 0, 3000] and np.ptp(counts.sum(axis=1)) <= 1
     for n in (1, 2, 3, 1000, 4097):
-        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+        there = mixing.permuted(np.arange(n), n, 5)
+        assert sorted(there.tolist()) == list(range(n)) and mixing.permuted(there, n, 5, back=True).tolist() == list(range(n))
+        assert there[mixing._turn_of({"blocks": n}, 5 - 7 * 1_000_003, 7)] == n - 1
 
 
 def test_mix_meets_targets(docs, rows, empty):
