@@ -49,9 +49,9 @@ ORDER = 3
 #: Rows of a file that form a group, and tokens of a document in one of its groups: together they bound a group.
 GROUP_ROWS, PIECE = 2048, 8192
 #: Tokens whose n-grams a counting task holds before it hands on counts.
-HELD = 2_000_000
+HELD = 1_500_000
 #: Tokens for each bucket, about, and the least number of buckets.
-BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 16
+BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 16
 #: A history is hot if it makes up this part of a bucket, and this part of all tokens.
 HOT_PART, LEAST_HOT = 0.25, 1e-6
 #: One row of so many is looked at for hot histories.
@@ -116,7 +116,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 class Grams:
     """N-grams of pieces of texts. Kind 1 is single tokens, 2 to order the longer ones; -2 to -order those of hot histories."""
 
-    def __init__(self, texts, context: np.ndarray, last: np.ndarray, order: int, hot: dict[int, np.ndarray], bits: Bits):
+    def __init__(self, texts, context: np.ndarray, last: np.ndarray, order: int, hot: dict[int, np.ndarray], bits: Bits, all_histories: bool = False):
         words = words_of(texts)
         n, last = words.counts, last.astype(np.int64)
         size = n + last
@@ -124,13 +124,13 @@ class Grams:
         token = np.empty(int(size.sum()), np.uint64)
         token[np.arange(len(words)) + np.repeat(np.cumsum(last) - last, n)] = words.hashes(LOWER)
         token[upto[last > 0] - 1] = END
-        place = np.arange(len(token)) - np.repeat(upto - size, size)
+        place = np.arange(len(token), dtype=np.int32) - np.repeat((upto - size).astype(np.int32), size)
         own = place >= np.repeat(context, size)
         #: Which text each token belongs to; tokens that are only context are left out.
-        self.text = np.repeat(np.arange(len(size)), size)[own]
+        self.text = np.repeat(np.arange(len(size), dtype=np.int32), size)[own]
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # kind: which tokens, their keys
-        self.histories: dict[int, np.ndarray] = {}  # of every token
-        all_ = np.arange(len(self.text))
+        self.histories: dict[int, np.ndarray] = {}  # of every token, or of those of kind -order
+        all_ = np.arange(len(self.text), dtype=np.int32)
         follower = mixed(token[own] ^ START)
         self.keys[1] = all_, follower >> np.uint64(64 - bits.token[1])
         history = None
@@ -141,9 +141,9 @@ class Grams:
             state = mixed(history[own]) >> np.uint64(64 - bits.history[o])
             last_bits = follower >> np.uint64(64 - bits.token[o])
             is_hot = _member(hot.get(o), state)
-            for kind, who in ((o, all_[~is_hot]), (-o, all_[is_hot])):
+            for kind, who in ((o, all_[~is_hot] if is_hot.any() else all_), (-o, all_[is_hot])):
                 self.keys[kind] = who, bits.key(o, state[who], last_bits[who], kind < 0)
-            self.histories[o] = state
+            self.histories[o] = state if all_histories else state[is_hot]
 
 
 def _member(among: np.ndarray | None, x: np.ndarray) -> np.ndarray:
@@ -316,7 +316,7 @@ def transitions(grams: Grams, counts: dict[int, np.ndarray], states: dict[int, n
                 weights[:, who[at]] = states[kind][:, np.cumsum(np.r_[True, history[1:] != history[:-1]]) - 1]
             elif kind < 0:
                 histories, table = hot.of[o]
-                weights[:, who] = table[:, np.searchsorted(histories, grams.histories[o][who])]
+                weights[:, who] = table[:, np.searchsorted(histories, grams.histories[o])]
         if o == 1:
             known = arc
             single = p = (arc + SMOOTH) / (hot.tokens + SMOOTH * (hot.distinct + 1))
@@ -343,7 +343,7 @@ def hot_histories(rows: DataFrame, order: int, bits: Bits, share: float, sample:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b in _pieces(batches, order):
-            grams = Grams(b.column(6), _number(b.column(4)), _number(b.column(5)), order, {}, bits)
+            grams = Grams(b.column(6), _number(b.column(4)), _number(b.column(5)), order, {}, bits, all_histories=True)
             for o, state in grams.histories.items():
                 h, n = np.unique(state, return_counts=True)
                 # what is rare in a batch may be hot only in sum: it is handed on in full

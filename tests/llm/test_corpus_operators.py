@@ -393,7 +393,7 @@ def test_search_is_exact(spark):
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.2, 12).astype(np.float32)]) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(8)] + [(50, rows[9][1])]
     odd = [(2000, None), (2050, [1.0, None] * 6), (2100, [float("nan")] * 12), (2150, [float("inf")] * 12), (2200, []), (2250, [0.5, 0.5]), (2251, [0.25, 1.0]), (None, rows[0][1]), (2300, [1e12] * 12)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(5)
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(5).selectExpr("*", "1 AS v", "'x' AS rank", "2 AS score", "3 AS query_id")
     got = topk.search(df, F.col("vec_id") % 50 == 0, 5, query_block=6).collect()
     usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows + odd[5:7] + odd[8:] if i is not None]
     for q, qv in usable:
