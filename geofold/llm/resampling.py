@@ -160,7 +160,8 @@ def gumbel(column: str, seed: int) -> Column:
 
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", share: tuple[int, int] = SHARE, least_words: int = LEAST_WORDS, max_n: int = MAX_N, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score, rank) of every row of docs; rank, from 1, of the drawn ones only."""
-    found = stash(gains(bucket_counts(docs, text_col, max_n, buckets), bucket_counts(target, target_text_col, max_n, buckets), buckets), "resampling-gains").toPandas()  # one row for each bucket
+    own, other = (stash(bucket_counts(d, c, max_n, buckets), "resampling-buckets") for d, c in ((docs, text_col), (target, target_text_col)))
+    found = gains(own, other, buckets).toPandas()  # one row for each bucket
     gain = np.zeros(buckets, np.int64)
     gain[found["bucket"].to_numpy()] = found["gain"].to_numpy()
     rows = stash(weights(docs, gain, id_col, text_col, max_n).withColumn("score", F.col("weight") + gumbel("doc_id", seed)), "resampling-weights")
