@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geofold.functions.geom import sigmoid
 from geofold.operators.ordering import numbered
+from geofold.operators.quantiles import quantile_columns
 from geofold.operators.stats import quantiles
 
 XYZ = ("x", "y", "z")
@@ -111,7 +112,7 @@ def over_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
 
 def without_contention(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
     """Rows not over factor times the median."""
-    limit = df.agg((F.median(value) * factor).alias("__limit"))
+    limit = quantile_columns(df, {"__median": (value, 0.5)}).select((F.col("__median") * factor).alias("__limit"))
     return df.join(F.broadcast(limit)).where(F.col(value) <= F.col("__limit")).drop("__limit")
 
 

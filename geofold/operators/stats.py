@@ -8,70 +8,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.operators.shared import stash, unstash
-
-
-#: Parts into which a bracket is cut in each round, and values that are few enough to be sorted on the driver.
-PARTS, FEW = 1024, 20_000
+from geofold.operators.quantiles import beside, quantile_columns, quantile_rows
 
 
 def quantiles(df: DataFrame, value, qs: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, as numbers; nulls and NaN don't count, None without a value.
+    """Exact quantiles with linear interpolation, as numbers; nulls and NaN don't count, None without a value."""
+    found = {r["q"]: r["value"] for r in quantile_rows(df, {"x": value}, qs).collect()}  # one row for each q
+    return [found.get(float(q)) for q in qs]
 
-    Brackets around the wanted places are cut into equal parts whose rows are counted, until what is
-    left of each is a single value or a few; no task and no machine holds the values themselves.
-    """
-    x = F.col(value) if isinstance(value, str) else value
-    rows = stash(df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")), "quantile-values")
-    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(qs)
-    places = [q * (n - 1) for q in qs]
-    wanted = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    bracket = dict.fromkeys(wanted, (low, high, 0, n))  # least and largest value, rows below, rows inside
-    found: dict[int, float] = {}
-    while open_ := [r for r in wanted if r not in found]:
-        cuts = sorted({bracket[r] for r in open_})
-        for a, z, below, inside in cuts:
-            own = [r for r in open_ if bracket[r] == (a, z, below, inside)]
-            if a == z:
-                found.update(dict.fromkeys(own, a))
-            elif inside <= FEW:
-                values = sorted(r["x"] for r in rows.where((F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(z))).collect())
-                found.update({r: values[r - below] for r in own})
-        cuts = sorted({bracket[r] for r in wanted if r not in found})
-        if not cuts:
-            break
-        part = [F.when((F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(z)), F.struct(F.lit(i).alias("cut"), F.least(F.floor((F.col("x") / F.lit(z - a) - F.lit(a / (z - a))) * PARTS) if math.isfinite(z - a) else F.floor((F.col("x") / 2 - F.lit(a / 2)) / F.lit(z / 2 - a / 2) * PARTS), F.lit(PARTS - 1)).alias("part"))) for i, (a, z, _, _) in enumerate(cuts)]
-        sums = rows.select("x", F.explode(F.filter(F.array(*part), lambda s: s.isNotNull())).alias("s")).groupBy("s.cut", "s.part").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z")).collect()
-        for i, cut in enumerate(cuts):
-            below = cut[2]
-            for s in sorted((r for r in sums if r["cut"] == i), key=lambda r: r["a"]):
-                for r in wanted:
-                    if r not in found and bracket[r] == cut and below <= r < below + s["n"]:
-                        bracket[r] = (s["a"], s["z"], below, s["n"])
-                below += s["n"]
-    unstash(rows)
-    at = lambda p: found[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * found[math.floor(p)] + (p - math.floor(p)) * found[math.ceil(p)]
-    return [at(p) for p in places]
-
-
-def _number(x: float | None) -> Column:
-    return F.lit(x).cast("double")
-
-
-def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Mean, median, p90, population deviation and count; quantiles are exact with linear interpolation. With ``by``, a group's distinct values meet in one task."""
-    if by:
-        return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"), F.stddev_pop(value).alias("std"))
-    median, p90 = quantiles(df, value, [0.5, 0.9])
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).select("n", "mean", _number(median).alias("median"), _number(p90).alias("p90"), "std")
+
+def distribution(df: DataFrame, value: str, by: list[str] | tuple = ()) -> DataFrame:
+    """Mean, median, p90, population deviation and count; quantiles are exact with linear interpolation."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    found = quantile_columns(df, {"median": (value, 0.5), "p90": (value, 0.9)}, by)
+    both = beside(plain, found, list(by)) if by else plain.join(F.broadcast(found))
+    return both.select(*by, "n", "mean", "median", "p90", "std")
 
 
 def deciles(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
     """(step, q): exact quantiles step / parts; without a value none."""
-    found = quantiles(df, value, [i / parts for i in range(parts + 1)])
-    return df.sparkSession.createDataFrame([(i, q) for i, q in enumerate(found) if q is not None], "step int, q double")
+    return quantile_rows(df, {"x": value}, [i / parts for i in range(parts + 1)]).select(F.round(F.col("q") * parts).cast("int").alias("step"), F.col("value").alias("q"))
 
 
 def with_each(points: DataFrame, few: DataFrame, most: int = 4096) -> DataFrame:
@@ -157,4 +113,5 @@ def masked_mean(df: DataFrame, value: Column, mask: Column) -> DataFrame:
 def robust_range(df: DataFrame, by: list[str], value: str, hit: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(by, low, high): exact outer percentiles of the hit values of each group; 0 and 1 for a group without a hit."""
     only = F.when(hit, F.col(value))
-    return df.groupBy(*by).agg(F.coalesce(F.percentile(only, F.lit(low)), F.lit(0.0)).alias("low"), F.coalesce(F.percentile(only, F.lit(high)), F.lit(1.0)).alias("high"))
+    found = quantile_columns(df, {"low": (only, low), "high": (only, high)}, by)
+    return beside(df.select(*by).distinct(), found, by).select(*by, F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))

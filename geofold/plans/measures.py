@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geofold.functions.geom import norm, r6, sigmoid, squared_distance
 from geofold.operators import filters, ordering, runs, stats
+from geofold.operators.quantiles import quantile_columns
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CAMERAS, LOG, RECORDS, SPLATS, cameras, log, records, splats, table
 
@@ -30,9 +31,8 @@ def camera_extent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxed(spark, d):
-    box = {c: stats.quantiles(splats(spark, d), c, [0.25, 0.75]) for c in XYZ}
-    sides = {f"{n}{c}": F.lit(box[c][k]) for c in XYZ for k, n in enumerate(("lo", "hi"))}
-    return splats(spark, d).withColumns(sides).withColumn("fg", filters.inside_box([F.col(f"lo{c}") for c in XYZ], [F.col(f"hi{c}") for c in XYZ]))
+    box = quantile_columns(splats(spark, d), {f"{n}{c}": (c, q) for c in XYZ for n, q in (("lo", 0.25), ("hi", 0.75))})
+    return splats(spark, d).join(F.broadcast(box)).withColumn("fg", filters.inside_box([F.col(f"lo{c}") for c in XYZ], [F.col(f"hi{c}") for c in XYZ]))
 
 
 BOXED = SPLATS + ", box AS (SELECT " + ", ".join(f"quantile_cont({c}, {q}) AS {n}{c}" for c in XYZ for n, q in (("lo", 0.25), ("hi", 0.75))) + " FROM splats), boxed AS (SELECT *, " + " AND ".join(f"{c} > lo{c} AND {c} < hi{c}" for c in XYZ) + " AS fg FROM splats, box)"

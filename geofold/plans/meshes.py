@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geofold.functions.geom import r6
 from geofold.operators import knn, mesh, stats
+from geofold.operators.quantiles import quantile_columns
 from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CORNERED, EDGES, FACES, SPLATS, TRIPLES, corner_triples, faces, splats, table, vertices
@@ -51,8 +52,8 @@ def face_normals(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.query(f"WITH {ANGLES} SELECT count(*) AS n, round(avg(raw), 4) AS mean, round(median(raw), 4) AS median, round(quantile_cont(folded, 0.9), 4) AS p90 FROM angles")
 def dihedral_stats(spark: SparkSession, d: str) -> DataFrame:
     a = stash(mesh.dihedral_angles(faces(spark, d), vertices(spark, d)), "angles")
-    (median,), (p90,) = stats.quantiles(a, "raw", [0.5]), stats.quantiles(a, "folded", [0.9])
-    return a.agg(F.count("*").alias("n"), F.round(F.avg("raw"), 4).alias("mean")).select("n", "mean", F.round(F.lit(median).cast("double"), 4).alias("median"), F.round(F.lit(p90).cast("double"), 4).alias("p90"))
+    found = quantile_columns(a, {"median": ("raw", 0.5), "p90": ("folded", 0.9)})
+    return a.agg(F.count("*").alias("n"), F.round(F.avg("raw"), 4).alias("mean")).join(F.broadcast(found)).select("n", "mean", F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"))
 
 
 @BOOK.query(f"WITH {ANGLES}, n AS (SELECT CAST(least(floor(raw / 10), 17) AS INTEGER) AS bin, count(*) AS n FROM angles GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(18) t(i) LEFT JOIN n ON bin = i")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geofold.functions.geom import r6
 from geofold.operators import field, mesh, ordering, raster, stats
+from geofold.operators.quantiles import quantile_columns
 from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CORNERED, IMAGE, LOG, faces, image, log, splats, table, vertices
@@ -87,7 +88,9 @@ def triangle_raster(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.query(f"WITH {SIDES} SELECT {q6(f'(SELECT count(*) FROM nearest) / {R * R}', 'coverage')}, {q6('coalesce((SELECT quantile_cont(z, 0.01) FROM nearest), 0)', 'low')}, {q6('coalesce((SELECT quantile_cont(z, 0.99) FROM nearest), 1)', 'high')}")
 def pixel_coverage(spark: SparkSession, d: str) -> DataFrame:
     hit = raster.triangle_pixels(_flat(spark, d), R, R)
-    return hit.agg(r6(F.count("*") / (R * R)).alias("coverage"), r6(F.coalesce(F.percentile("z", F.lit(0.01)), F.lit(0.0))).alias("low"), r6(F.coalesce(F.percentile("z", F.lit(0.99)), F.lit(1.0))).alias("high"))
+    hit = stash(hit, "hits")  # read twice
+    outer = quantile_columns(hit, {"low": ("z", 0.01), "high": ("z", 0.99)})
+    return hit.agg(r6(F.count("*") / (R * R)).alias("coverage")).join(F.broadcast(outer)).select("coverage", r6(F.coalesce("low", F.lit(0.0))).alias("low"), r6(F.coalesce("high", F.lit(1.0))).alias("high"))
 
 
 @BOOK.query(f"WITH {SIDES}, one AS (SELECT n.row, n.col, n.z, min(fid) AS fid FROM nearest n JOIN hits h ON h.row = n.row AND h.col = n.col AND h.z = n.z GROUP BY ALL) SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, {q6('f0', 'f0')} FROM one JOIN splats ON splats.id = fid // 2 % (SELECT count(*) FROM splats)")

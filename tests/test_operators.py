@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geofold.functions import geom
-from geofold.operators import cluster, field, knn, mesh, ordering, raster, runs, sampling, stats
+from geofold.operators import cluster, field, knn, mesh, ordering, quantiles, raster, runs, sampling, stats
 
 
 def cloud(spark, p, first=0):
@@ -269,14 +269,44 @@ def test_quantiles_are_exact(spark, monkeypatch):
     values = np.r_[rng.lognormal(0, 6, 700), -rng.lognormal(0, 6, 300), np.full(500, 3.25), 1.7e308, -1.7e308, 5e-324]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
     qs = [0.0, 0.001, 0.1, 0.25, 0.5, 0.731, 0.9, 1.0]
-    for few in (stats.FEW, 10):
-        monkeypatch.setattr(stats, "FEW", few)
+    for blocks in (4096, 3):
+        monkeypatch.setattr(quantiles, "BLOCKS", blocks)
         got = stats.quantiles(df, "v", qs)
         assert got == pytest.approx(np.quantile(values, qs).tolist(), rel=1e-12)
     assert stats.quantiles(df.limit(0), "v", [0.5]) == [None] and stats.quantiles(df.where("v = 3.25"), "v", [0.5]) == [3.25]
     assert stats.deciles(df.limit(0), "v").collect() == [] and stats.distribution(df.limit(0), "v").first().median is None
 
 
+def test_quantiles_by_group_of_several_columns(spark):
+    """One group of 90 % of the rows, one of copies, one of infinities, one without a value, a null group."""
+    rng = np.random.default_rng(8)
+    inf = float("inf")
+    rows = [("hot", float(round(x, 2)), float(-x)) for x in rng.normal(size=45_000)] + [("copies", 2.5, None)] * 3000
+    rows += [("ends", v, v) for v in (-inf, -inf, 1.0, inf, inf, inf)] + [("none", None, float("nan"))] * 3 + [(None, float(i), 1.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(5)
+    qs = [0.0, 0.01, 0.3, 0.5, 0.9, 1.0]
+    got = {(r.g, r.name, r.q): r.value for r in quantiles.quantile_rows(df, {"a": "a", "b": F.col("b") * 2}, qs, ["g"]).collect()}
+    want = {}
+    for g in ("hot", "copies", "ends", None):
+        for name, k, times in (("a", 1, 1), ("b", 2, 2)):
+            own = sorted(r[k] * times for r in rows if r[0] == g and r[k] is not None)
+            for q in qs if own else ():
+                p = q * (len(own) - 1)
+                low, high = own[int(p)], own[min(int(p) + (p > int(p)), len(own) - 1)]
+                want[g, name, q] = low if low == high else (1 - p % 1) * low + p % 1 * high
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12, nan_ok=True) for k in want)
+    summary = {r.g: r for r in stats.distribution(df, "a", ["g"]).collect()}
+    assert summary["none"].median is None and summary["none"].n == 0 and summary[None].median == 4.5 and summary["copies"].p90 == 2.5
+    ranges = {r.g: (r.low, r.high) for r in stats.robust_range(df, ["g"], "a", F.col("a") > 100).collect()}
+    assert ranges == dict.fromkeys(["hot", "copies", "none", None], (0.0, 1.0)) | {"ends": (inf, inf)}
+
+
+def test_quantiles_with_infinities_end(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") == 7, float("inf")).when(F.col("id") == 8, float("-inf")).otherwise(F.col("id").cast("double")).alias("v"))
+    assert stats.quantiles(df, "v", [0.0, 0.5, 1.0]) == [float("-inf"), 15000.5, float("inf")]
+    assert np.isnan(stats.quantiles(df.where("id IN (7, 8)"), "v", [0.5])[0])
+
+
 def test_with_each_sends_blocks(spark):
     a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(11).withColumnRenamed("id", "b")
     got = {(r.a, r.b) for r in stats.with_each(a, b, most=3).collect()}
