@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofold.functions.camera import affine_inverse, affine_product
-from geofold.functions.geom import angle_degrees, dot, face_normal, norm, point_triangle_squared, sub
+from geofold.functions.geom import angle_degrees, dot, face_normal, norm, sub
 from geofold.operators.components import connected_components
 from geofold.operators.ordering import numbered
 from geofold.operators.shared import stash
@@ -141,9 +141,19 @@ def subdivided(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFr
 
 def nearest_face_distance(points: DataFrame, candidates: DataFrame) -> DataFrame:
     """(i, distance): least distance to any candidate face. candidates: i and the faces' corners ax ... cz; points: id, x, y, z."""
+    import numpy as np
+    import pandas as pd
+
+    from geofold.operators.boxes import CORNERS as NUMBERS
+    from geofold.operators.boxes import point_triangle
+
+    @F.pandas_udf("double")
+    def squared(*c):  # as an expression it is too long to be compiled
+        p = np.column_stack(c).reshape(-1, 4, 3)
+        return pd.Series(point_triangle(*(p[:, k] for k in range(4))))
+
     own = points.select(F.col("id").alias("i"), *"xyz")
-    d2 = point_triangle_squared([F.col(c) for c in "xyz"], *(corner(k) for k in CORNERS))
-    return candidates.join(own, "i").groupBy("i").agg(F.sqrt(F.min(d2)).alias("distance"))
+    return candidates.join(own, "i").select("i", squared(*"xyz", *NUMBERS).alias("d2")).groupBy("i").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
 def skinned(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import r6
-from geofold.operators import knn, mesh, stats
+from geofold.operators import boxes, knn, mesh, stats
 from geofold.operators.quantiles import quantile_columns
 from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
@@ -123,14 +123,39 @@ def deformation_ratio(spark: SparkSession, d: str) -> DataFrame:
     return mesh.deformation(faces(spark, d), vertices(spark, d), reference).select("fid", r6("ratio").alias("ratio"), "kept")
 
 
-@BOOK.query()
+#: Squared distance of a point to a triangle: p, u and v are the point and two corners seen from the third; t along each side, then the plane's foot.
+_SIDE = lambda along, size, off: f"({off}) - 2 * t * ({along}) + t * t * ({size}) FROM (SELECT greatest(0, least(1, coalesce(({along}) / nullif({size}, 0), 0))) AS t)"
+_SEEN = ", ".join(f"q.{c} - a{c} AS p{c}, {'by_' if c == 'y' else 'b' + c} - a{c} AS u{c}, c{c} - a{c} AS v{c}" for c in "xyz")
+_DOTS = ", ".join(f"{a}x * {b}x + {a}y * {b}y + {a}z * {b}z AS {a}{b}" for a, b in ("pp", "pu", "pv", "uu", "uv", "vv"))
+_FAR = f"""dots AS (SELECT i, fid, {_DOTS} FROM seen), feet AS (SELECT *, (pu * vv - pv * uv) / nullif(uu * vv - uv * uv, 0) AS s, (pv * uu - pu * uv) / nullif(uu * vv - uv * uv, 0) AS r FROM dots),
+    far AS (SELECT i, fid, least((SELECT {_SIDE('pu', 'uu', 'pp')}), (SELECT {_SIDE('pv', 'vv', 'pp')}), (SELECT {_SIDE('pv - uv - pu + uu', 'uu + vv - 2 * uv', 'pp - 2 * pu + uu')}), CASE WHEN s >= 0 AND r >= 0 AND s + r <= 1 THEN pp - s * pu - r * pv ELSE 1e300 END) AS d2 FROM feet)"""
+
+
+def _beside(spark, d):
+    return splats(spark, d).select("id", (F.col("x") + 0.05).alias("x"), "y", "z")
+
+
+@BOOK.query(f"WITH {CORNERED}, q AS (SELECT id, x + 0.05 AS x, y, z FROM splats), seen AS (SELECT q.id AS i, fid, {_SEEN} FROM q, cornered), {_FAR} SELECT i, {q6('sqrt(greatest(min(d2), 0))', 'distance')} FROM far GROUP BY i")
 def point_triangle_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of every vector, moved aside, to the nearest of the 24 faces with the nearest centres."""
+    """Distance of every vector, moved aside, to the mesh."""
+    found = boxes.triangle_distances(_beside(spark, d), mesh.with_corners(faces(spark, d), vertices(spark, d)))
+    return found.select("i", r6(F.sqrt("d2")).alias("distance"))
+
+
+#: Faces with the nearest centres that the independent check looks at.
+CANDIDATES = 96
+
+
+@BOOK.query(
+    f"WITH {CORNERED}, q AS (SELECT id, x + 0.05 AS x, y, z FROM splats), ranked AS (SELECT q.id AS i, fid, row_number() OVER (PARTITION BY q.id ORDER BY (q.x - (ax + bx + cx) / 3) ** 2 + (q.y - (ay + by_ + cy) / 3) ** 2 + (q.z - (az + bz + cz) / 3) ** 2, fid) AS rank FROM q, cornered), "
+    f"near AS (SELECT * FROM ranked WHERE rank <= {CANDIDATES}), seen AS (SELECT i, near.fid, {_SEEN} FROM near JOIN cornered USING (fid) JOIN q ON q.id = i), {_FAR} SELECT i, {q6('sqrt(greatest(min(d2), 0))', 'distance')} FROM far GROUP BY i"
+)
+def point_triangle_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The same distance over the faces with the nearest centres only, an upper bound."""
     corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
     centres = corners.select(F.col("fid").alias("id"), *(((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xyz"))
-    points = splats(spark, d).select("id", (F.col("x") + 0.05).alias("x"), "y", "z")
-    near = knn.knn(centres, 24, points).select("i", F.col("j").alias("fid"))
-    return mesh.nearest_face_distance(points, near.join(corners, "fid")).select("i", r6("distance").alias("distance"))
+    near = knn.knn(centres, CANDIDATES, _beside(spark, d)).select("i", F.col("j").alias("fid"))
+    return mesh.nearest_face_distance(_beside(spark, d), near.join(corners, "fid")).select("i", r6("distance").alias("distance"))
 
 
 _BONES = [(0, (1.0, 0.0, 0.0, 0.1)), (1, (0.0, -1.0, 0.0, 0.0)), (2, (0.6, 0.0, 0.8, -0.2))]
