@@ -22,9 +22,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("u"), "v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or hangs on one centre only."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("hangs")), F.struct(F.col("v").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("hangs"))))
+    seen = edges.select(ends.alias("e")).groupBy("e.node").agg(F.max("e.centre").alias("centre"), F.sum("e.hangs").alias("hangs"))
+    return seen.where("hangs > 1 OR (centre = 1 AND hangs > 0)").isEmpty()
+
+
+def connected_components(edges: DataFrame, stars: bool = False) -> DataFrame:
     """(node, root) of every node that has an edge; root: the component's smallest node.
 
+    With ``stars``, rounds end as soon as the edges are stars, which takes a grouping for each round but saves the last one.
+
     Minima are taken by partially aggregated groupings and joined back, so a node
     with very many neighbours is never gathered in one task. Each round's edges are
     written to the shared folder.
@@ -33,8 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stash(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct(), "edges")
     seen = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not state[0]:
+        state = _are_stars(now) if stars else now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (state if stars else seen == state or not state[0]):
             return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         seen = state
         large = _large_star(now).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
