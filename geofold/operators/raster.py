@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofold.operators.shared import stash
+
 TILE = 16
+#: Splats that are blended at once.
+SPLATS = 64
 LEAST_ALPHA, MOST_ALPHA, LEAST_LIGHT = 1 / 255, 0.99, 1e-4
 
 
@@ -24,21 +30,6 @@ def tiles(splats: DataFrame, width: int, height: int, tile: int = TILE) -> DataF
     return seen.withColumn("ty", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("tx", F.explode(F.sequence("x0", F.col("x1") - 1))).withColumn("tile", F.col("ty") * across + F.col("tx")).drop("x0", "x1", "y0", "y1", "tx", "ty")
 
 
-def tile_pixels(tiled: DataFrame, width: int, height: int, tile: int = TILE) -> DataFrame:
-    """One row for each splat and pixel of its tiles: row, col."""
-    across = -(-width // tile)
-    y, x = F.floor(F.col("tile") / across) * tile, F.col("tile") % across * tile
-    rows = tiled.withColumn("row", F.explode(F.sequence(y.cast("int"), F.least(y + tile, F.lit(height)).cast("int") - 1)))
-    return rows.withColumn("col", F.explode(F.sequence(x.cast("int"), F.least(x + tile, F.lit(width)).cast("int") - 1)))
-
-
-def splat_alpha() -> tuple[Column, Column]:
-    """(power, alpha) of a splat with conic c0, c1, c2 at a pixel."""
-    dx, dy = F.col("u") - F.col("col"), F.col("v") - F.col("row")
-    power = -0.5 * (F.col("c0") * dx * dx + F.col("c2") * dy * dy) - F.col("c1") * dx * dy
-    return power, F.least(F.lit(MOST_ALPHA), F.col("opacity") * F.exp(power))
-
-
 def composited(fragments: DataFrame, pixel: list[str], order: list[str], features: list[str], alpha: str = "alpha", background: float = 0.0) -> DataFrame:
     """Front-to-back blending; a pixel stops before the fragment that would take its light below the least.
 
@@ -52,6 +43,73 @@ def composited(fragments: DataFrame, pixel: list[str], order: list[str], feature
     return sums.select(*pixel, *((F.col(f) + F.col("light") * background).alias(f) for f in features), "light", "layers")
 
 
+def _blended(rows: pa.Table, light: np.ndarray, features: list[str], across: int, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One tile's splats, nearest first, over all its pixels at once, until all are dark: (row, col) of its pixels, sums of features, least light, layers; and the light that all splats let through."""
+    get = lambda c: rows[c].to_numpy()
+    order = np.lexsort((get("id"), get("depth")))
+    u, v, c0, c1, c2, opacity = (get(c)[order] for c in ("u", "v", "c0", "c1", "c2", "opacity"))
+    values = np.array([get(f)[order] for f in features]).reshape(len(features), len(order))
+    at = rows["tile"][0].as_py()
+    row, col = (x.ravel() for x in np.mgrid[0:tile, 0:tile])
+    row, col = row + at // across * tile, col + at % across * tile
+    now, least, layers = light.copy(), np.ones(tile * tile), np.zeros(tile * tile, np.int64)
+    sums = np.zeros((len(features), tile * tile))
+    for a in range(0, len(u), SPLATS):
+        k = slice(a, a + SPLATS)
+        dx, dy = u[k, None] - col, v[k, None] - row
+        power = -0.5 * (c0[k, None] * dx * dx + c2[k, None] * dy * dy) - c1[k, None] * dx * dy
+        alpha = np.minimum(MOST_ALPHA, opacity[k, None] * np.exp(np.minimum(power, 0)))
+        alpha = np.where((power <= 0) & (alpha >= LEAST_ALPHA), alpha, 0)
+        after = np.cumprod(1 - alpha, axis=0) * now
+        used = (alpha > 0) & (after >= LEAST_LIGHT)
+        sums += values[:, k] @ np.where(used, alpha * np.concatenate([now[None], after[:-1]]), 0)
+        least = np.minimum(least, np.where(used, after, 1).min(0))
+        layers += used.sum(0)
+        now = after[-1]
+        if (now < LEAST_LIGHT).all():
+            break
+    return np.array([row, col]), sums, least, layers, now
+
+
+def rendered(tiled: DataFrame, width: int, height: int, features: list[str], background: float = 0.0, tile: int = TILE) -> DataFrame:
+    """(row, col, features, light, layers) of the pixels that some splat lights: the splats of each tile blended front to back.
+
+    tiled: a row for each splat and tile it touches, with u, v, conic c0 .. c2, opacity, depth, id, tile and features.
+    Rows are sorted by tile and depth in ranges. A range holds whole tiles, or a stretch of depths of a very full one; such stretches first
+    say how much light they let through, and start with what those in front leave. A task holds one stretch of one tile; no row is written for a pixel and a splat.
+    """
+    across = -(-width // tile)
+    columns = ["tile", "depth", "id", "u", "v", "c0", "c1", "c2", "opacity", *(f for f in features if f != "depth")]
+    number = [F.col(c).cast("double" if c not in ("tile", "id") else "long").alias(c) for c in columns]
+    parts = stash(tiled.select(*number).repartitionByRange("tile", "depth", "id").withColumn("part", F.spark_partition_id().cast("long")), "raster-parts")
+    split = parts.select("tile", "part").distinct().groupBy("tile").agg(F.count("*").alias("n")).where("n > 1").select("tile")  # fewer than parts
+
+    def passed(rows: pa.Table) -> pa.Table:
+        light = _blended(rows, np.ones(tile * tile), [], across, tile)[-1]
+        return pa.table({"tile": rows["tile"][:1], "part": rows["part"][:1], "light": pa.array([light.tobytes()], pa.binary())})
+
+    def left(stretches: pa.Table) -> pa.Table:
+        t = stretches.sort_by("part")
+        light = np.cumprod([np.ones(tile * tile), *(np.frombuffer(x) for x in t["light"].to_pylist()[:-1])], axis=0)
+        return t.set_column(2, "light", pa.array([x.tobytes() for x in light], pa.binary()))
+
+    kinds = "tile long, part long, light binary"
+    full = parts.join(F.broadcast(split), "tile", "left_semi")
+    starts = full.toDF(*full.columns).groupBy("tile", "part").applyInArrow(passed, kinds).groupBy("tile").applyInArrow(left, kinds)
+
+    def run(rows: pa.Table, start: pa.Table) -> pa.Table:
+        light = np.frombuffer(start["light"][0].as_py()) if len(start) else np.ones(tile * tile)
+        (row, col), sums, least, layers, _ = _blended(rows, light, features, across, tile)
+        seen = (layers > 0) & (row < height) & (col < width)
+        names = ["row", "col", *features, "light", "layers"]
+        return pa.table([pa.array(x[seen]) for x in (row.astype(np.int32), col.astype(np.int32), *sums, least, layers)], names)
+
+    schema = "row int, col int, " + "".join(f"{f} double, " for f in features) + "light double, layers long"
+    lit = parts.groupBy("tile", "part").cogroup(starts.groupBy("tile", "part")).applyInArrow(run, schema)
+    sums = lit.groupBy("row", "col").agg(*(F.sum(f).alias(f) for f in features), F.min("light").alias("light"), F.sum("layers").alias("layers"))
+    return sums.select("row", "col", *((F.col(f) + F.col("light") * background).alias(f) for f in features), "light", "layers")
+
+
 def triangle_pixels(faces: DataFrame, width: int, height: int) -> DataFrame:
     """(row, col, fid, z, b0, b1, b2) of the nearest face at each pixel centre. faces: fid and au, av, az ... of the corners in pixels."""
     us, vs = ["au", "bu", "cu"], ["av", "bv", "cv"]

@@ -44,24 +44,24 @@ def tile_ranges(spark: SparkSession, d: str) -> DataFrame:
 PIXELS = TILED + f", pixels AS (SELECT t.*, row, col FROM tiled t, LATERAL (SELECT unnest(range(tile // {W // 16} * 16, least(tile // {W // 16} * 16 + 16, {H}))) AS row) a, LATERAL (SELECT unnest(range(tile % {W // 16} * 16, least(tile % {W // 16} * 16 + 16, {W}))) AS col) b), powers AS (SELECT *, -0.5 * (k0 * (u - col) ** 2 + k2 * (v - row) ** 2) - k1 * (u - col) * (v - row) AS power FROM pixels), alphas AS (SELECT *, least(0.99, opacity * exp(power)) AS alpha FROM powers WHERE power <= 0), lit AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY row, col ORDER BY zc, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS t FROM alphas WHERE alpha >= 1 / 255.0), used AS (SELECT * FROM lit WHERE t * (1 - alpha) >= 1e-4)"
 
 
-def _fragments(spark, d):
-    power, alpha = raster.splat_alpha()
-    return raster.tile_pixels(_tiled(spark, d), W, H).withColumn("power", power).where("power <= 0").withColumn("alpha", alpha)
-
-
 @BOOK.query(f"WITH {PIXELS} SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(f0 * alpha * t), 5) + 0.0 AS value, round(min(t * (1 - alpha)), 5) + 0.0 AS light, count(*) AS layers FROM used GROUP BY row, col")
 def splat_render(spark: SparkSession, d: str) -> DataFrame:
     """Colour of every pixel, nearest splats first."""
-    out = raster.composited(_fragments(spark, d), ["row", "col"], ["depth", "id"], ["f0"])
+    out = raster.rendered(_tiled(spark, d), W, H, ["f0"])
     return out.select("row", "col", r6("f0", 5).alias("value"), r6("light", 5).alias("light"), "layers")
 
 
-@BOOK.query(f"WITH {PIXELS} SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(zc * alpha * t), 5) + 0.0 AS depth, round(sum(abs(nz) * alpha * t), 5) + 0.0 AS normal FROM used GROUP BY row, col")
+@BOOK.query(
+    f"WITH {PIXELS}, faced AS (SELECT row, col, zc, alpha * t AS w, nx * f AS nx, ny * f AS ny FROM (SELECT *, sign(-nx * x - ny * y - nz * zc) AS f FROM used)), summed AS (SELECT row, col, sum(zc * w) AS depth, sum(nx * w) AS nx, sum(ny * w) AS ny FROM faced GROUP BY row, col) "
+    "SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(depth, 5) + 0.0 AS depth, round(nx, 5) + 0.0 AS nx, round(ny, 5) + 0.0 AS ny, round(-sqrt(1 - least(1, nx * nx + ny * ny)), 5) + 0.0 AS nz FROM summed"
+)
 def depth_normal_render(spark: SparkSession, d: str) -> DataFrame:
-    """Depth and camera-facing normal by the same blending."""
-    rows = _fragments(spark, d).withColumn("normal", F.abs("nz"))
-    out = raster.composited(rows, ["row", "col"], ["depth", "id"], ["depth", "normal"])
-    return out.select("row", "col", r6("depth", 5).alias("depth"), r6("normal", 5).alias("normal"))
+    """Depth and normals by the same blending; normals are turned to face the camera, and the third component follows from the other two."""
+    facing = F.signum(-F.col("nx") * F.col("x") - F.col("ny") * F.col("y") - F.col("nz") * F.col("depth"))
+    rows = _tiled(spark, d).withColumns({"nx": F.col("nx") * facing, "ny": F.col("ny") * facing})
+    out = raster.rendered(rows, W, H, ["depth", "nx", "ny"])
+    third = -F.sqrt(1 - F.least(F.lit(1.0), F.col("nx") ** 2 + F.col("ny") ** 2))
+    return out.select("row", "col", r6("depth", 5).alias("depth"), r6("nx", 5).alias("nx"), r6("ny", 5).alias("ny"), r6(third, 5).alias("nz"))
 
 
 @BOOK.query(f"WITH {LOG}, a AS (SELECT run, iteration, least(0.99, value / 300) AS alpha, value FROM log), lit AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS t FROM a WHERE alpha >= 1 / 255.0), used AS (SELECT * FROM lit WHERE t * (1 - alpha) >= 1e-4) SELECT run, round(sum(value * alpha * t) + min(t * (1 - alpha)), 5) AS value, count(*) AS layers FROM used GROUP BY run")

@@ -100,6 +100,43 @@ def test_blending_stops_before_the_last_light(spark):
     assert got.f == pytest.approx(colour + 2 * light) and got.light == pytest.approx(light) and got.layers == n
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_tiles_are_blended_in_stretches(spark, parts):
+    """A tile with most of the splats, in one stretch or in several, against blending splat by splat."""
+    rng = np.random.default_rng(3)
+    n = 500
+    rows = [(i, float(rng.integers(0, 9)), *map(float, (rng.normal(8, 2) if i % 5 else rng.uniform(0, 40), rng.normal(8, 2) if i % 5 else rng.uniform(0, 24))), 0.4, 0.1, 0.5, float(rng.uniform(0, 0.6)), 6.0, float(rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, depth double, u double, v double, c0 double, c1 double, c2 double, opacity double, radius double, f double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.row, r.col): (r.f, r.depth, r.light, r.layers) for r in raster.rendered(raster.tiles(df, 40, 24), 40, 24, ["f", "depth"], background=0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tiled = raster.tiles(df, 40, 24).select("id", "tile").collect()
+    of = {}
+    for r in tiled:
+        of.setdefault(r.tile, []).append(rows[r.id])
+    want = {}
+    for y in range(24):
+        for x in range(40):
+            light, out, depth, layers = 1.0, 0.0, 0.0, 0
+            for _, z, u, v, c0, c1, c2, o, _, f in sorted(of.get(y // 16 * 3 + x // 16, []), key=lambda r: (r[1], r[0])):
+                power = -0.5 * (c0 * (u - x) ** 2 + c2 * (v - y) ** 2) - c1 * (u - x) * (v - y)
+                a = min(0.99, o * np.exp(power)) if power <= 0 else 0
+                if a < 1 / 255:
+                    continue
+                if light * (1 - a) < 1e-4:
+                    break
+                out, depth, light, layers = out + f * a * light, depth + z * a * light, light * (1 - a), layers + 1
+            if layers:
+                want[y, x] = (out + light * 0.5, depth + light * 0.5, light, layers)
+    assert got.keys() == want.keys() and min(w[2] for w in want.values()) < 2e-4
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
 def test_ssim_of_equal_and_noisy_images(spark):
     rng = np.random.default_rng(2)
     a = rng.random((16, 16))
