@@ -1,4 +1,4 @@
-"""Binary files of reconstructions as tables. Files are read by Spark's own reader, so any store will do; records are decoded in tasks."""
+"""Binary files of reconstructions as tables. Clouds, meshes and arrays are read by ranges of bytes (``records``); small files and image heads by Spark's reader of whole files, a row each."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Camera models by number, with how many parameters each has.
 CAMERA_MODELS = {
@@ -27,22 +28,17 @@ def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
-def sparse_points(spark: SparkSession, path: str) -> DataFrame:
-    """point_id, place, colour, error and track length of each point."""
+def _opened(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
+    from geofold.sources import records
 
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        (n,), at, rows = struct.unpack_from("<Q", data), 8, []
-        for _ in range(n):
-            head = struct.unpack_from("<QdddBBBdQ", data, at)
-            rows.append(head)
-            at += 51 + 8 * head[8]
-            if len(rows) == 50_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
+    records.register(spark)
+    records.files(path)  # raises where there is none
+    return spark.read.format(kind).options(**options).load(path)
 
-    names = ["point_id", "x", "y", "z", "r", "g", "b", "error", "track_length"]
-    return _decoded(spark, path, decode, "point_id long, x double, y double, z double, r int, g int, b int, error double, track_length long")
+
+def sparse_points(spark: SparkSession, path: str) -> DataFrame:
+    """point_id, place, colour, error and track length of each point."""
+    return _opened(spark, "sparse_points", path).select("point_id", *"xyz", *"rgb", "error", F.size("track").cast("long").alias("track_length"))
 
 
 def intrinsics(spark: SparkSession, path: str) -> DataFrame:
@@ -79,90 +75,35 @@ def extrinsics(spark: SparkSession, path: str) -> DataFrame:
 
 def dense_array(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, channel, value) of "w&h&c&" arrays, stored column after column."""
-
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        width, height, channels, rest = data.split(b"&", 3)
-        w, h, c = int(width), int(height), int(channels)
-        values = np.frombuffer(rest, "<f4", w * h * c).reshape((w, h, c), order="F").transpose(1, 0, 2)
-        row, col, channel = np.indices(values.shape)
-        yield pd.DataFrame({"row": row.ravel(), "col": col.ravel(), "channel": channel.ravel(), "value": values.ravel().astype(float)})
-
-    return _decoded(spark, path, decode, "row int, col int, channel int, value double")
-
-
-def _ply_header(data: bytes) -> tuple[list[tuple[str, int, list]], str, int]:
-    """(elements with count and properties, byte order, where data begin). A list property is (name, count type, item type)."""
-    end = data.index(b"end_header\n") + 11
-    elements, order = [], "<"
-    for line in data[:end].decode("ascii").splitlines():
-        words = line.split()
-        if words[:1] == ["format"]:
-            if words[1] == "ascii":
-                raise ValueError("only binary PLY files are read")
-            order = ">" if "big" in words[1] else "<"
-        elif words[:1] == ["element"]:
-            elements.append((words[1], int(words[2]), []))
-        elif words[:1] == ["property"]:
-            elements[-1][2].append((words[4], PLY_TYPES[words[2]], PLY_TYPES[words[3]]) if words[1] == "list" else (words[2], PLY_TYPES[words[1]]))
-    return elements, order, end
-
-
-def ply_elements(data: bytes) -> dict[str, np.ndarray]:
-    """Each element of a PLY file as a structured array; faces must be triangles."""
-    elements, order, at = _ply_header(data)
-    out = {}
-    for name, n, properties in elements:
-        fields: list = []
-        for p in properties:
-            fields += [(p[0], order + p[1])] if len(p) == 2 else [("__n", order + p[1]), (p[0], order + p[2], (3,))]
-        kind = np.dtype(fields)
-        out[name] = np.frombuffer(data, kind, n, at)
-        if "__n" in (kind.names or ()) and n and (out[name]["__n"] != 3).any():
-            raise ValueError("a face is not a triangle")
-        at += kind.itemsize * n
-    return out
+    return _opened(spark, "dense_array", path)
 
 
 def mesh_vertices(spark: SparkSession, path: str) -> DataFrame:
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        v = ply_elements(data)["vertex"]
-        yield pd.DataFrame({"vid": np.arange(len(v)), **{c: v[c].astype(float) for c in "xyz"}})
-
-    return _decoded(spark, path, decode, "vid long, x double, y double, z double")
+    return _opened(spark, "ply", path).select(F.col("n").alias("vid"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
 
 
 def mesh_faces(spark: SparkSession, path: str) -> DataFrame:
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        f = ply_elements(data)["face"]
-        corners = f[next(n for n in f.dtype.names if n != "__n")].astype(np.int64)
-        yield pd.DataFrame({"fid": np.arange(len(f)), **{c: corners[:, i] for i, c in enumerate("abc")}})
-
-    return _decoded(spark, path, decode, "fid long, a long, b long, c long")
+    rows = _opened(spark, "ply", path, element="face")
+    corners = next(f.name for f in rows.schema if f.dataType.typeName() == "array")
+    return rows.select(F.col("n").alias("fid"), *(F.col(corners)[i].alias(c) for i, c in enumerate("abc")))
 
 
 def point_cloud(spark: SparkSession, path: str) -> DataFrame:
     """Place, normal (0 if none) and colour in 0..1."""
-
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        v = ply_elements(data)["vertex"]
-        get = lambda c, k=1.0: v[c].astype(float) / k if c in v.dtype.names else np.zeros(len(v))
-        yield pd.DataFrame({"id": np.arange(len(v)), **{c: get(c) for c in ("x", "y", "z", "nx", "ny", "nz")}, **{s: get(c, 255.0) for s, c in (("r", "red"), ("g", "green"), ("b", "blue"))}})
-
-    return _decoded(spark, path, decode, "id long, x double, y double, z double, nx double, ny double, nz double, r double, g double, b double")
+    rows = _opened(spark, "ply", path)
+    get = lambda c, k=1.0: F.col(c) / k if c in rows.columns else F.lit(0.0)
+    return rows.select(F.col("n").alias("id"), *(get(c).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")), *(get(c, 255.0).alias(s) for s, c in (("r", "red"), ("g", "green"), ("b", "blue"))))
 
 
 def splat_cloud(spark: SparkSession, path: str, degree: int | None = 3) -> DataFrame:
     """Splats; numbered columns are found by prefix and ordered by number. Checks the number of colour coefficients."""
-
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        v = ply_elements(data)["vertex"]
-        group = lambda p: np.stack([v[n] for n in sorted((n for n in v.dtype.names if n.startswith(p)), key=lambda n: int(n.rsplit("_", 1)[1]))] or [np.zeros(0)], axis=-1).astype(float)
-        rest = group("f_rest_")
-        if degree is not None and len(v) and rest.shape[-1] != 3 * (degree + 1) ** 2 - 3:
-            raise ValueError(f"{rest.shape[-1]} coefficients don't fit degree {degree}")
-        yield pd.DataFrame({"id": np.arange(len(v)), **{c: v[c].astype(float) for c in "xyz"}, "f_dc": list(group("f_dc_")), "f_rest": list(rest), "opacity_logit": v["opacity"].astype(float), "log_scale": list(group("scale_")), "quat": list(group("rot"))})
-
-    return _decoded(spark, path, decode, "id long, x double, y double, z double, f_dc array<double>, f_rest array<double>, opacity_logit double, log_scale array<double>, quat array<double>")
+    rows = _opened(spark, "ply", path)
+    group = lambda p: sorted((c for c in rows.columns if c.startswith(p)), key=lambda c: int(c.rsplit("_", 1)[1]))
+    rest = group("f_rest_")
+    if degree is not None and len(rest) != 3 * (degree + 1) ** 2 - 3:
+        raise ValueError(f"{len(rest)} coefficients don't fit degree {degree}")
+    array = lambda names: F.array(*names).cast("array<double>")
+    return rows.select(F.col("n").alias("id"), *"xyz", array(group("f_dc_")).alias("f_dc"), array(rest).alias("f_rest"), F.col("opacity").alias("opacity_logit"), array(group("scale_")).alias("log_scale"), array(group("rot")).alias("quat"))
 
 
 def image_headers(spark: SparkSession, path: str) -> DataFrame:

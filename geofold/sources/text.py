@@ -44,7 +44,7 @@ def with_fallback(spark: SparkSession, folder: str, name: str) -> DataFrame:
     readers = {"points3D": "sparse_points", "cameras": "intrinsics", "images": "extrinsics"}[name]
     try:
         return getattr(binary, readers)(spark, f"{folder}/{name}.bin")
-    except AnalysisException:
+    except (AnalysisException, FileNotFoundError):
         return globals()[readers](spark, f"{folder}/{name}.txt")
 
 

@@ -14,7 +14,7 @@ POINTS = [(7, 1.0, 2.0, 3.0, 10, 20, 30, 0.5, [(1, 2), (3, 4), (5, 6)]), (9, -1.
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "points3D.bin").write_bytes(sinks.sparse_point_bytes(POINTS))
+    (tmp_path / "points3D.bin").write_bytes(struct.pack("<Q", len(POINTS)) + b"".join(struct.pack("<QdddBBBdQ", *head, len(track)) + b"".join(struct.pack("<ii", *t) for t in track) for *head, track in POINTS))
     (tmp_path / "cameras.bin").write_bytes(struct.pack("<Q", 2) + struct.pack("<iiQQ4d", 1, 1, 64, 48, 60, 61, 32, 24) + struct.pack("<iiQQ3d", 2, 0, 10, 20, 5, 5, 10))
     image = struct.pack("<i7di", 3, 1, 0, 0, 0, 0.1, 0.2, 0.3, 1) + b"a b.png\0" + struct.pack("<Q", 2) + struct.pack("<ddqddq", 1.5, 2.5, 7, 3.5, 4.5, -1)
     (tmp_path / "images.bin").write_bytes(struct.pack("<Q", 1) + image)
@@ -47,7 +47,7 @@ def test_splat_file_round_trip(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, *map(float, rng.normal(size=3)), rng.normal(size=3).tolist(), rng.normal(size=45).tolist(), float(rng.normal()), rng.normal(size=3).tolist(), rng.normal(size=4).tolist()) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, x double, y double, z double, f_dc array<double>, f_rest array<double>, opacity_logit double, log_scale array<double>, quat array<double>")
-    (tmp_path / "s.ply").write_bytes(sinks.ply_bytes(sinks.splat_records(df)))
+    sinks.write_splats(df.repartition(3), f"{tmp_path}/s.ply")
     back = binary.splat_cloud(spark, f"{tmp_path}/s.ply").orderBy("id").collect()
     for a, b in zip(rows, back, strict=True):
         assert np.allclose(np.hstack(a[1:]), np.hstack(list(b)[1:]), atol=1e-6)
