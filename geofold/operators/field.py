@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofold.functions.geom import apply, dot, inverse_root, norm, quaternion_matrix, sub, transposed
+from geofold.functions.geom import apply, dot, inverse_root, norm, normalized, quaternion_matrix, sub, transposed
 
 #: Columns of a splat that the field needs, as payload of a neighbour join.
 SPLAT = ("x", "y", "z", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity")
@@ -82,32 +82,58 @@ def sdf_gradient(pairs: DataFrame, density_factor: float = 1.0, most: float = 10
     return rows.select("i", *(F.least(F.greatest(-factor * F.col(f"g{c}"), F.lit(-most)), F.lit(most)).alias(f"g{c}") for c in "xyz"))
 
 
-def first_crossing(samples: DataFrame, ray: str, t: str, value: str, level: float) -> DataFrame:
-    """(ray, t): where the value first goes over the level, having started under it; linear between samples."""
+def crossings(samples: DataFrame, ray: str, t: str, value: str, levels: list[float]) -> DataFrame:
+    """(ray, level, t): where the value first goes over each level, having started under it; linear between samples. One pass for all levels."""
     w = Window.partitionBy(ray).orderBy(t)
     rows = samples.withColumn("__v0", F.lag(value).over(w)).withColumn("__t0", F.lag(t).over(w)).withColumn("__first", F.first(value).over(w))
-    over = rows.where((F.col(value) > level) & F.col("__v0").isNotNull() & (F.col("__first") < level))
-    at = F.struct(t, value, "__v0", "__t0")
-    found = over.groupBy(ray).agg(F.min_by(at, t).alias("c"))
-    share = (level - F.col("c.__v0")) / (F.col(f"c.{value}") - F.col("c.__v0"))
-    return found.select(ray, (F.col("c.__t0") + share * (F.col(f"c.{t}") - F.col("c.__t0"))).alias(t))
+    each = rows.where(F.col("__v0").isNotNull()).withColumn("level", F.explode(F.array(*(F.lit(float(x)) for x in levels))))
+    over = each.where((F.col(value) > F.col("level")) & (F.col("__first") < F.col("level")))
+    found = over.groupBy(ray, "level").agg(F.min_by(F.struct(t, value, "__v0", "__t0"), t).alias("c"))
+    share = (F.col("level") - F.col("c.__v0")) / (F.col(f"c.{value}") - F.col("c.__v0"))
+    return found.select(ray, "level", (F.col("c.__t0") + share * (F.col(f"c.{t}") - F.col("c.__t0"))).alias(t))
+
+
+def first_crossing(samples: DataFrame, ray: str, t: str, value: str, level: float) -> DataFrame:
+    """(ray, t): where the value first goes over the level, having started under it; linear between samples."""
+    return crossings(samples, ray, t, value, [level]).select(ray, t)
+
+
+def pixel_rays(pixels: DataFrame, splats: DataFrame, centre: list) -> DataFrame:
+    """(i, owner, px py pz, ux uy uz, sd): the ray through each pixel's place, away from the camera's centre.
+
+    pixels: i, the place px py pz that its depth says and the splat seen there (owner); splats: id and the columns of ``SPLAT``.
+    sd is the owner's deviation along the line from it to the camera.
+    """
+    away = normalized(sub(["px", "py", "pz"], centre))
+    towards = normalized(sub(centre, ["x", "y", "z"]))
+    own = apply(transposed(quaternion_matrix([f"q{k}" for k in range(4)])), towards)
+    sd = norm([v * F.col(f"s{k}") for k, v in enumerate(own)])
+    spread = splats.select(F.col("id").alias("owner"), sd.alias("sd"))
+    return pixels.join(spread, "owner").select("i", "owner", "px", "py", "pz", *(v.alias(f"u{c}") for v, c in zip(away, "xyz", strict=True)), "sd")
 
 
 def level_points(rays: DataFrame, near: DataFrame, level: float, half: float = 3.0, steps: int = 21) -> DataFrame:
-    """(i, t, lx ly lz, nx ny nz): where rays first go over a density level, with the outward normal there.
+    """(i, t, lx ly lz, nx ny nz): ``level_surfaces`` of one level."""
+    return level_surfaces(rays, near, [level], half, steps).drop("level")
+
+
+def level_surfaces(rays: DataFrame, near: DataFrame, levels: list[float], half: float = 3.0, steps: int = 21, by: str = "i") -> DataFrame:
+    """(i, level, t, lx ly lz, nx ny nz): where rays first go over each density level, with the outward normal there.
 
     rays: (i, place px py pz, direction ux uy uz, deviation sd), sampled at ``steps`` places within ``half``
-    deviations of the place. near: (i, splat columns), the splats whose shares are summed along ray i.
+    deviations of the place; densities are computed once for all levels. near: (by, splat columns), the splats whose shares are summed along the
+    rays; ``by`` is the rays' column that names them: the ray itself, or the splat that its neighbours are near to.
     A ray without a crossing gives no row; neither does one whose density has no slope there.
     """
     along = [(F.col(f"p{c}") + F.col("t") * F.col(f"u{c}")).alias(f"p{c}") for c in "xyz"]
     splat = [F.col(c) for c in SPLAT]
     places = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("sd") * half * (2 * k / (steps - 1) - 1))
-    samples = near.join(rays, "i").withColumn("t", F.explode(places)).select("i", "t", *along, *splat)
+    samples = near.join(rays, by).withColumn("t", F.explode(places)).select("i", "t", *along, *splat)
     raw = weights(samples).groupBy("i", "t").agg(F.sum("w").alias("raw"))
     held = raw.select("i", "t", F.when(F.col("raw") >= 1, F.col("raw") / (F.col("raw") + 1e-12)).otherwise(F.col("raw")).alias("density"))
-    points = first_crossing(held, "i", "t", "density", level).join(rays, "i").select("i", "t", *along)
-    slope = gradient(near.join(points, "i").select("i", "px", "py", "pz", *splat))
+    points = crossings(held, "i", "t", "density", levels).join(rays, "i").select("i", "level", "t", *along, *([by] if by != "i" else []))
+    named = points.withColumn("__ray", F.col("i")).withColumn("i", F.struct("i", "level"))
+    slope = gradient(near.join(named, by) if by != "i" else near.withColumnRenamed("i", "__ray").join(named, "__ray"))
     steep = F.sqrt(dot(["gx", "gy", "gz"], ["gx", "gy", "gz"]))
-    out = points.join(slope, "i").withColumn("__steep", steep).where("__steep > 0")
-    return out.select("i", "t", *(F.col(f"p{c}").alias(f"l{c}") for c in "xyz"), *((-F.col(f"g{c}") / F.col("__steep")).alias(f"n{c}") for c in "xyz"))
+    out = named.join(slope, "i").withColumn("__steep", steep).where("__steep > 0")
+    return out.select("i.i", "i.level", "t", *(F.col(f"p{c}").alias(f"l{c}") for c in "xyz"), *((-F.col(f"g{c}") / F.col("__steep")).alias(f"n{c}") for c in "xyz"))

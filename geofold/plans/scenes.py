@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import apply, norm, normalized, quaternion_matrix, r6, transposed
-from geofold.operators import field, filters, isosurface, knn, losses, sampling, stats
+from geofold.operators import field, filters, isosurface, knn, losses, raster, sampling, stats
 from geofold.operators.knn import XYZ
+from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import EDGES, IMAGE, SPLATS, faces, image, splats, table, vertices
 from geofold.plans.meshes import ANGLES
 from geofold.plans.neighbours import _BACK, _OWN, _pairs, FIELD, NEAR
 from geofold.plans.measures import BOXED, _boxed
+from geofold.plans.pixels import R, SIDES, _flat
 from geofold.sources.text import posed_cameras
 
 BOOK = Book()
@@ -132,23 +134,34 @@ _THIRD = "2 * (i_ * k_ - w_ * j_) * v0 + 2 * (j_ * k_ + w_ * i_) * v1 + (1 - 2 *
 _PAIRED = "s.s0, s.s1, s.s2, s.opacity, s.w_, s.i_, s.j_, s.k_"
 
 
-@BOOK.query(
-    f"""WITH {SPLATS}, {NEAR(8)}, far AS (SELECT *, sqrt(x ** 2 + y ** 2 + (z + 2) ** 2) AS far, sqrt(q0 ** 2 + q1 ** 2 + q2 ** 2 + q3 ** 2) AS qn FROM splats),
-    turned AS (SELECT *, q0 / qn AS w_, q1 / qn AS i_, q2 / qn AS j_, q3 / qn AS k_, x / far AS dx, y / far AS dy, (z + 2) / far AS dz FROM far),
-    rays AS (SELECT id, x, y, z, dx AS ux, dy AS uy, dz AS uz, sqrt((({_OWN[0]}) * s0) ** 2 + (({_OWN[1]}) * s1) ** 2 + (({_OWN[2]}) * s2) ** 2) AS sd FROM turned),
-    steps AS (SELECT *, sd * 3 * (2 * k / 20 - 1) AS t FROM rays, range(21) r(k)),
-    shares AS (SELECT st.id AS i, st.t, st.x + t * ux - s.x AS dx, st.y + t * uy - s.y AS dy, st.z + t * uz - s.z AS dz, {_PAIRED} FROM steps st JOIN near n ON n.i = st.id JOIN turned s ON s.id = n.j),
+_FAR = "far AS (SELECT *, sqrt(x ** 2 + y ** 2 + (z + 2) ** 2) AS far, sqrt(q0 ** 2 + q1 ** 2 + q2 ** 2 + q3 ** 2) AS qn FROM splats), turned AS (SELECT *, q0 / qn AS w_, q1 / qn AS i_, q2 / qn AS j_, q3 / qn AS k_, x / far AS dx, y / far AS dy, (z + 2) / far AS dz FROM far)"
+_SD = f"sqrt((({_OWN[0]}) * s0) ** 2 + (({_OWN[1]}) * s1) ** 2 + (({_OWN[2]}) * s2) ** 2)"
+
+
+def _surfaces(levels: list[float], of: str) -> str:
+    """SQL from rays (id, x y z, ux uy uz, sd) to points with slopes; of: the rays' column that their splats are near to."""
+    return f"""steps AS (SELECT *, sd * 3 * (2 * k / 20 - 1) AS t FROM rays, range(21) r(k)),
+    shares AS (SELECT st.id AS i, st.t, st.x + t * ux - s.x AS dx, st.y + t * uy - s.y AS dy, st.z + t * uz - s.z AS dz, {_PAIRED} FROM steps st JOIN near n ON n.i = st.{of} JOIN turned s ON s.id = n.j),
     raw AS (SELECT i, t, sum(opacity * exp(-0.5 * least(1e8, (({_OWN[0]}) / s0) ** 2 + (({_OWN[1]}) / s1) ** 2 + (({_OWN[2]}) / s2) ** 2))) AS raw FROM shares GROUP BY i, t),
     held AS (SELECT i, t, CASE WHEN raw >= 1 THEN raw / (raw + 1e-12) ELSE raw END AS density FROM raw),
     lagged AS (SELECT *, lag(density) OVER w AS v0, lag(t) OVER w AS t0, first(density) OVER w AS f FROM held WINDOW w AS (PARTITION BY i ORDER BY t)),
-    crossed AS (SELECT i, arg_min(t0 + ({_LEVEL} - v0) / (density - v0) * (t - t0), t) AS t FROM lagged WHERE density > {_LEVEL} AND v0 IS NOT NULL AND f < {_LEVEL} GROUP BY i),
-    points AS (SELECT i, t, x + t * ux AS lx, y + t * uy AS ly, z + t * uz AS lz FROM crossed JOIN rays ON id = i),
-    again AS (SELECT p.i, lx - s.x AS dx, ly - s.y AS dy, lz - s.z AS dz, {_PAIRED} FROM points p JOIN near n ON n.i = p.i JOIN turned s ON s.id = n.j),
+    crossed AS (SELECT i, level, arg_min(t0 + (level - v0) / (density - v0) * (t - t0), t) AS t FROM lagged, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in levels)}]) AS level) WHERE density > level AND v0 IS NOT NULL AND f < level GROUP BY i, level),
+    points AS (SELECT i, level, {of} AS of_, t, x + t * ux AS lx, y + t * uy AS ly, z + t * uz AS lz FROM crossed JOIN rays ON id = i),
+    again AS (SELECT p.i, level, lx - s.x AS dx, ly - s.y AS dy, lz - s.z AS dz, {_PAIRED} FROM points p JOIN near n ON n.i = p.of_ JOIN turned s ON s.id = n.j),
     own AS (SELECT *, ({_OWN[0]}) / s0 AS o0, ({_OWN[1]}) / s1 AS o1, ({_OWN[2]}) / s2 AS o2 FROM again),
     v AS (SELECT *, o0 / s0 AS v0, o1 / s1 AS v1, o2 / s2 AS v2, opacity * exp(-0.5 * least(1e8, o0 ** 2 + o1 ** 2 + o2 ** 2)) AS w FROM own),
-    slope AS (SELECT i, sum(-w * ({_BACK[0]})) AS gx, sum(-w * ({_BACK[1]})) AS gy, sum(-w * ({_THIRD})) AS gz FROM v GROUP BY i)
-    SELECT p.i, {q6('lx', 'lx')}, {q6('ly', 'ly')}, {q6('lz', 'lz')}, {q6('-gx / sqrt(gx * gx + gy * gy + gz * gz)', 'nx')}, {q6('-gz / sqrt(gx * gx + gy * gy + gz * gz)', 'nz')} FROM points p JOIN slope USING (i)"""
-)
+    slope AS (SELECT i, level, sum(-w * ({_BACK[0]})) AS gx, sum(-w * ({_BACK[1]})) AS gy, sum(-w * ({_THIRD})) AS gz FROM v GROUP BY i, level)
+    SELECT p.i, level, {q6('lx', 'lx')}, {q6('ly', 'ly')}, {q6('lz', 'lz')}, {', '.join(q6(f'-g{c} / sqrt(gx * gx + gy * gy + gz * gz)', f'n{c}') for c in 'xyz')} FROM points p JOIN slope USING (i, level)"""
+
+
+_NEEDED = ("nx_", "ny_", "nz_", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity")
+
+
+def _near_splats(all_: DataFrame, k: int) -> DataFrame:
+    return knn.knn(all_.withColumns({f"n{c}_": F.col(c) for c in XYZ}), k, payload=_NEEDED).withColumnsRenamed({f"n{c}_": c for c in XYZ}).select("i", *field.SPLAT)
+
+
+@BOOK.query(f"WITH {SPLATS}, {NEAR(8)}, {_FAR}, rays AS (SELECT id, x, y, z, dx AS ux, dy AS uy, dz AS uz, {_SD} AS sd FROM turned), {_surfaces([_LEVEL], 'id')}".replace("GROUP BY i, level)\n    SELECT p.i, level,", "GROUP BY i, level)\n    SELECT p.i,"))
 def level_points(spark: SparkSession, d: str) -> DataFrame:
     """Surface points and normals on rays from one camera through all splats."""
     all_ = splats(spark, d)
@@ -156,10 +169,29 @@ def level_points(spark: SparkSession, d: str) -> DataFrame:
     own = apply(transposed(quaternion_matrix([f"q{k}" for k in range(4)])), u)
     sd = norm([v * F.col(f"s{k}") for k, v in enumerate(own)])
     rays = all_.select(F.col("id").alias("i"), *(F.col(c).alias(f"p{c}") for c in XYZ), *(v.alias(f"u{c}") for v, c in zip(u, XYZ, strict=True)), sd.alias("sd"))
-    payload = ("nx_", "ny_", "nz_", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity")
-    near = knn.knn(all_.withColumns({f"n{c}_": F.col(c) for c in XYZ}), 8, payload=payload).withColumnsRenamed({f"n{c}_": c for c in XYZ})
-    found = field.level_points(rays, near.select("i", *field.SPLAT), _LEVEL)
-    return found.select("i", *(r6(c).alias(c) for c in ("lx", "ly", "lz", "nx", "nz")))
+    found = field.level_points(rays, _near_splats(all_, 8), _LEVEL)
+    return found.select("i", *(r6(c).alias(c) for c in ("lx", "ly", "lz", "nx", "ny", "nz")))
+
+
+_LEVELS = [0.1, 0.3, 0.5]
+#: Pixels from which surfaces are sought.
+_PIXELS = 120
+
+
+@BOOK.query(
+    f"WITH {SIDES.replace('WITH ', '')}, {NEAR(8)}, {_FAR}, one AS (SELECT n.row * {R} + n.col AS pixel, n.row, n.col, n.z, min(fid) // 2 % (SELECT count(*) FROM splats) AS owner FROM nearest n JOIN hits h ON h.row = n.row AND h.col = n.col AND h.z = n.z GROUP BY ALL), "
+    f"picked AS (SELECT pixel AS id, owner, (col + 0.5) / {R} - 0.5 AS x, (row + 0.5) / {R} - 0.5 AS y, z FROM one ORDER BY md5(pixel || '|3'), pixel LIMIT {_PIXELS}), spread AS (SELECT id AS owner, {_SD} AS sd FROM turned), "
+    f"rays AS (SELECT id, p.owner, x, y, z, x / f AS ux, y / f AS uy, (z + 2) / f AS uz, sd FROM (SELECT *, sqrt(x ** 2 + y ** 2 + (z + 2) ** 2) AS f FROM picked) p JOIN spread USING (owner)), {_surfaces(_LEVELS, 'owner')}"
+)
+def level_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Surfaces of three levels from a subsample of a raster's pixels: rays through the pixels' depths, densities of the splats around the one seen there."""
+    n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    hit = raster.triangle_pixels(_flat(spark, d), R, R).join(F.broadcast(n))
+    pixels = hit.select((F.col("row") * R + F.col("col")).cast("long").alias("i"), (F.floor(F.col("fid") / 2) % F.col("n")).alias("owner"), *(((F.col(k) + 0.5) / R - 0.5).alias(f"p{c}") for c, k in (("x", "col"), ("y", "row"))), F.col("z").alias("pz"))
+    all_ = splats(spark, d)
+    rays = stash(field.pixel_rays(sampling.subsample(pixels, ["i"], _PIXELS, seed=3), all_, [F.lit(0.0), F.lit(0.0), F.lit(-2.0)]), "rays")
+    found = field.level_surfaces(rays, _near_splats(all_, 8).withColumnRenamed("i", "owner"), _LEVELS, by="owner")
+    return found.select("i", "level", *(r6(c).alias(c) for c in ("lx", "ly", "lz", "nx", "ny", "nz")))
 
 
 # ---- level surfaces: images stacked to a grid, image number by row by column
