@@ -43,7 +43,7 @@ def gradient(pairs: DataFrame, density_factor: float = 1.0) -> DataFrame:
     return rows.groupBy("i").agg(*(F.sum(-F.col("w") * v).alias(f"g{c}") for c, v in zip("xyz", apply(m, scaled), strict=True)))
 
 
-def _normal(q: list[str], s: list[str]) -> list:
+def splat_normal(q: list[str], s: list[str]) -> list:
     """Direction of a splat's least axis (the first of equals)."""
     m = transposed(quaternion_matrix(q))
     least = F.least(*s)
@@ -56,7 +56,7 @@ def overlap(pairs: DataFrame, by_normals: bool = False) -> DataFrame:
 
 
 def _facing():
-    return F.abs(dot(_normal([f"p{k}" for k in range(4)], ["o0", "o1", "o2"]), _normal([f"q{k}" for k in range(4)], ["s0", "s1", "s2"])))
+    return F.abs(dot(splat_normal([f"p{k}" for k in range(4)], ["o0", "o1", "o2"]), splat_normal([f"q{k}" for k in range(4)], ["s0", "s1", "s2"])))
 
 
 def alignment(pairs: DataFrame, factor: float = 1.0, by_normals: bool = False) -> DataFrame:

@@ -98,6 +98,56 @@ def merged_vertices(vertices: DataFrame, faces: DataFrame, digits: int = 9) -> t
     return vertices.join(first.select(F.col("kept").alias("vid")), "vid", "left_semi"), out.select("fid", *CORNERS)
 
 
+def areas(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(fid, area)."""
+    n = face_normal(*(corner(k) for k in CORNERS))
+    return with_corners(faces, vertices).select("fid", (norm(n) / 2).alias("area"))
+
+
+def non_manifold_edges(faces: DataFrame) -> DataFrame:
+    """(u, v, uses) of the edges that more than two faces share."""
+    return edge_usage(faces).where("uses > 2")
+
+
+def manifold_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces after dropping, smallest first (by area, then fid), each one that then still has an edge of more than two faces.
+
+    When a face's turn comes, all smaller faces on its edges have gone, as long as those edges were too full; so a
+    face stays if it is one of the two largest on each of its edges, and no round is needed. Two rows of an edge are kept before the shuffle.
+    Faces must have three different corners.
+    """
+    sized = edges(faces).join(areas(faces, vertices), "fid")
+    largest = Window.partitionBy("u", "v").orderBy(F.desc("area"), F.desc("fid"))
+    whole = sized.withColumn("__r", F.row_number().over(largest)).where("__r <= 2").groupBy("fid").agg(F.count("*").alias("__n")).where("__n = 3")
+    return faces.join(whole, "fid", "left_semi")
+
+
+def smooth_normals(faces: DataFrame, vertices: DataFrame, crease: float = 60.0) -> DataFrame:
+    """(fid, corner, vid, nx, ny, nz): a normal for each corner of each face, shared by the faces around the vertex that no crease parts.
+
+    Faces around a vertex are linked if they share an edge there (that two faces use) whose normals differ by at most ``crease`` degrees; a
+    linked part's normal is the mean of its faces' normals, weighed by area. Null where that is zero.
+    """
+    n = face_normal(*(corner(k) for k in CORNERS))
+    raw = stash(with_corners(faces, vertices).select("fid", *(c.alias(f"r{x}") for c, x in zip(n, "xyz", strict=True))), "face-normals")
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("corner"), F.col(k).alias("vid")) for i, k in enumerate(CORNERS))))
+    corners = faces.select("fid", at.alias("c")).select("fid", "c.corner", "c.vid", (3 * F.col("fid") + F.col("c.corner")).alias("node"))
+    flat = dihedral_angles(faces, vertices).where(F.col("raw") <= crease).select("f", "g")
+    shared = adjacent_faces(faces).join(flat, ["f", "g"]).select("f", "g", F.explode(F.array("u", "v")).alias("vid")).distinct()
+    side = lambda k, name: corners.select(F.col("fid").alias(k), "vid", F.col("node").alias(name))
+    links = shared.join(side("f", "i"), ["f", "vid"]).join(side("g", "j"), ["g", "vid"]).select("i", "j")
+    roots = connected_components(links, stars=True)
+    parted = corners.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).join(raw, "fid")
+    sums = parted.groupBy("part").agg(*(F.sum(f"r{x}").alias(f"s{x}") for x in "xyz"))
+    size = norm(["sx", "sy", "sz"])
+    return parted.join(sums, "part").select("fid", "corner", "vid", *(F.when(size > 0, F.col(f"s{x}") / size).alias(f"n{x}") for x in "xyz"))
+
+
+def bounds(vertices: DataFrame) -> DataFrame:
+    """One row: the vertices' box (low and high by axis) and their centroid."""
+    return vertices.agg(*(f(c).alias(f"{k}{c}") for k, f in (("lo", F.min), ("hi", F.max), ("c", F.avg)) for c in "xyz"))
+
+
 def submesh(faces: DataFrame, kept: DataFrame) -> DataFrame:
     """(fid, a, b, c) of the faces with all corners in kept(vid), renumbered densely in vid order."""
     new = numbered(kept.select("vid").distinct(), ["vid"], "new")

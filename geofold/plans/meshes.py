@@ -61,17 +61,57 @@ def dihedral_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(mesh.dihedral_angles(faces(spark, d), vertices(spark, d)), "raw", 10.0, 18)
 
 
-@BOOK.query()
+COMPONENTS = "WITH RECURSIVE " + EDGES + """, hubs AS (SELECT u, v, min(fid) AS hub FROM edges GROUP BY u, v), one AS (SELECT DISTINCT fid, hub FROM edges JOIN hubs USING (u, v) WHERE fid <> hub), links AS MATERIALIZED (SELECT fid AS a, hub AS b FROM one UNION ALL SELECT hub, fid FROM one),
+    labels(fid, component) USING KEY (fid) AS (SELECT fid, fid FROM faces UNION SELECT l.b, min(n.component) FROM labels n JOIN links l ON l.a = n.fid JOIN recurring.labels o ON o.fid = l.b WHERE n.component < o.component GROUP BY l.b)"""
+
+
+@BOOK.query(f"{COMPONENTS} SELECT fid, component FROM labels")
 def face_components(spark: SparkSession, d: str) -> DataFrame:
     return mesh.face_components(faces(spark, d))
 
 
-@BOOK.query()
+@BOOK.query(f"{COMPONENTS}, sizes AS (SELECT count(*) AS n FROM labels GROUP BY component) SELECT count(*) AS components, count(*) FILTER (n < 100) AS fragments, CAST(coalesce(sum(n) FILTER (n < 100), 0) AS BIGINT) AS fragment_faces, CAST(sum(n) AS BIGINT) AS faces, {q6('max(n) / sum(n)', 'largest_share')} FROM sizes")
 def fragment_stats(spark: SparkSession, d: str) -> DataFrame:
     s = mesh.fragment_stats(mesh.face_components(faces(spark, d)))
     return s.withColumn("largest_share", r6("largest_share"))
 
 
+@BOOK.query(f"WITH {EDGES} SELECT u, v, count(*) AS uses FROM edges GROUP BY u, v HAVING count(*) > 2")
+def non_manifold_edges(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.non_manifold_edges(faces(spark, d))
+
+
+_EDGED = "edges AS (SELECT fid, unnest([least(a, b), least(b, c), least(c, a)]) AS u, unnest([greatest(a, b), greatest(b, c), greatest(c, a)]) AS v FROM faces)"
+
+
+@BOOK.query(f"WITH {NORMALS}, {_EDGED}, sized AS (SELECT u, v, e.fid, row_number() OVER (PARTITION BY u, v ORDER BY sqrt(nx * nx + ny * ny + nz * nz) / 2 DESC, e.fid DESC) AS r FROM edges e JOIN cross_ USING (fid)) SELECT fid FROM sized WHERE r <= 2 GROUP BY fid HAVING count(*) = 3")
+def manifold_faces(spark: SparkSession, d: str) -> DataFrame:
+    """The faces that stay when edges of more than two lose their smallest ones."""
+    return mesh.manifold_faces(faces(spark, d), vertices(spark, d)).select("fid")
+
+
+_CREASE = 60.0
+
+
+@BOOK.query(
+    "WITH RECURSIVE " + ANGLES + f""", flat AS (SELECT f, g FROM angles WHERE raw <= {_CREASE}), shared AS (SELECT u, v, min(fid) AS f, max(fid) AS g FROM edges GROUP BY u, v HAVING count(*) = 2 AND min(fid) < max(fid)),
+    corners AS (SELECT fid, unnest([0, 1, 2]) AS corner, unnest([a, b, c]) AS vid FROM faces), met AS (SELECT DISTINCT f, g, unnest([u, v]) AS vid FROM shared JOIN flat USING (f, g)),
+    one AS (SELECT 3 * p.fid + p.corner AS i, 3 * q.fid + q.corner AS j FROM met JOIN corners p ON p.fid = f AND p.vid = met.vid JOIN corners q ON q.fid = g AND q.vid = met.vid), links AS MATERIALIZED (SELECT i AS a, j AS b FROM one UNION ALL SELECT j, i FROM one),
+    labels(node, part) USING KEY (node) AS (SELECT DISTINCT a, a FROM links UNION SELECT l.b, min(n.part) FROM labels n JOIN links l ON l.a = n.node JOIN recurring.labels o ON o.node = l.b WHERE n.part < o.part GROUP BY l.b),
+    parted AS (SELECT corners.*, coalesce(part, 3 * fid + corner) AS part FROM corners LEFT JOIN labels ON node = 3 * fid + corner), sums AS (SELECT part, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM parted JOIN cross_ USING (fid) GROUP BY part)
+    SELECT fid, CAST(corner AS INTEGER) AS corner, vid, """ + ", ".join(q6(f"s{x} / sqrt(sx * sx + sy * sy + sz * sz)", f"n{x}") for x in "xyz") + " FROM parted JOIN sums USING (part)"
+)
+def smooth_normals(spark: SparkSession, d: str) -> DataFrame:
+    """Normals of all corners, faces parted by creases."""
+    return mesh.smooth_normals(faces(spark, d), vertices(spark, d), _CREASE).select("fid", "corner", "vid", *(r6(f"n{x}").alias(f"n{x}") for x in "xyz"))
+
+
+@BOOK.query(f"WITH {SPLATS} SELECT " + ", ".join(q6(f"{f}({c})", f"{k}{c}") for k, f in (("lo", "min"), ("hi", "max"), ("c", "avg")) for c in "xyz") + " FROM splats")
+def mesh_bounds(spark: SparkSession, d: str) -> DataFrame:
+    b = mesh.bounds(vertices(spark, d))
+    return b.select(*(r6(c).alias(c) for c in b.columns))
+
+
 @BOOK.query(f"WITH {TRIPLES}, t AS (SELECT l_orderkey * 10 + l_linenumber AS fid, a, b, c FROM triples WHERE a <> b AND b <> c AND a <> c) SELECT count(*) AS faces, count(DISTINCT list_sort([a, b, c])) AS different FROM t")
 def dedupe_triangles(spark: SparkSession, d: str) -> DataFrame:
     t = corner_triples(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fid"), "a", "b", "c")
@@ -96,9 +136,9 @@ def mesh_union_offset(spark: SparkSession, d: str) -> DataFrame:
     return mesh.concatenated((vertices(spark, d), f), (vertices(spark, d), f))[1]
 
 
-@BOOK.query(f"WITH {EDGES}, {SPLATS}, pairs AS (SELECT DISTINCT u, v FROM edges), both_ AS (SELECT u AS vid, v AS o FROM pairs UNION ALL SELECT v, u FROM pairs), m AS (SELECT vid, avg(x) AS mx FROM both_ JOIN splats ON id = o GROUP BY vid) SELECT id AS vid, {q6('x + 0.5 * (coalesce(mx, x) - x)', 'x')} FROM splats LEFT JOIN m ON vid = id")
+@BOOK.query(f"WITH {EDGES}, {SPLATS}, pairs AS (SELECT DISTINCT u, v FROM edges), both_ AS (SELECT u AS vid, v AS o FROM pairs UNION ALL SELECT v, u FROM pairs), m AS (SELECT vid, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM both_ JOIN splats ON id = o GROUP BY vid) SELECT id AS vid, {', '.join(q6(f'{c} + 0.5 * (coalesce(m{c}, {c}) - {c})', c) for c in 'xyz')} FROM splats LEFT JOIN m ON vid = id")
 def laplacian_smooth(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.smoothed(vertices(spark, d), faces(spark, d)).select("vid", r6("x").alias("x"))
+    return mesh.smoothed(vertices(spark, d), faces(spark, d)).select("vid", *(r6(c).alias(c) for c in "xyz"))
 
 
 @BOOK.query(f"WITH {EDGES}, {SPLATS} SELECT (SELECT count(*) FROM splats) + (SELECT count(*) FROM (SELECT DISTINCT u, v FROM edges)) AS vertices, 4 * (SELECT count(*) FROM faces) AS faces")
@@ -107,10 +147,10 @@ def subdivide(spark: SparkSession, d: str) -> DataFrame:
     return v.agg(F.count("*").alias("vertices")).join(f.agg(F.count("*").alias("faces")))
 
 
-@BOOK.query(f"WITH {CORNERED} SELECT fid, {q6('(ax + bx + cx) / 3', 'x')}, {q6('(ay + by_ + cy) / 3', 'y')} FROM cornered")
+@BOOK.query(f"WITH {CORNERED} SELECT fid, {q6('(ax + bx + cx) / 3', 'x')}, {q6('(ay + by_ + cy) / 3', 'y')}, {q6('(az + bz + cz) / 3', 'z')} FROM cornered")
 def face_vertex_join(spark: SparkSession, d: str) -> DataFrame:
     corners = mesh.with_corners(faces(spark, d), vertices(spark, d))
-    return corners.select("fid", *(r6((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xy"))
+    return corners.select("fid", *(r6((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xyz"))
 
 
 _SPAN = lambda a, m: f"sqrt((x{a} - x{m}) ** 2 + (y{a} - y{m}) ** 2 + (z{a} - z{m}) ** 2)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import apply, morton, quaternion_matrix, r6
-from geofold.operators import cluster, field, filters, knn, mesh, sampling, stats
+from geofold.operators import cluster, field, filters, knn, losses, mesh, sampling, stats
 from geofold.operators.knn import XYZ
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CAMERAS, SPLATS, cameras, faces, splats, vertices
@@ -131,21 +131,45 @@ def beta_sdf(spark: SparkSession, d: str) -> DataFrame:
 _BACK = [
     "(1 - 2 * (j_ * j_ + k_ * k_)) * v0 + 2 * (i_ * j_ - w_ * k_) * v1 + 2 * (i_ * k_ + w_ * j_) * v2",
     "2 * (i_ * j_ + w_ * k_) * v0 + (1 - 2 * (i_ * i_ + k_ * k_)) * v1 + 2 * (j_ * k_ - w_ * i_) * v2",
+    "2 * (i_ * k_ - w_ * j_) * v0 + 2 * (j_ * k_ + w_ * i_) * v1 + (1 - 2 * (i_ * i_ + j_ * j_)) * v2",
 ]
 
 
-@BOOK.query(f"WITH {PAIRS}, v AS (SELECT *, ({_OWN[0]}) / s0 ** 2 AS v0, ({_OWN[1]}) / s1 ** 2 AS v1, ({_OWN[2]}) / s2 ** 2 AS v2 FROM pairs) SELECT i, {q6(f'sum(-opacity * e * ({_BACK[0]}))', 'gx')}, {q6(f'sum(-opacity * e * ({_BACK[1]}))', 'gy')} FROM v GROUP BY i")
+_AXES = [
+    ["1 - 2 * ({j} * {j} + {k} * {k})", "2 * ({i} * {j} + {w} * {k})", "2 * ({i} * {k} - {w} * {j})"],
+    ["2 * ({i} * {j} - {w} * {k})", "1 - 2 * ({i} * {i} + {k} * {k})", "2 * ({j} * {k} + {w} * {i})"],
+    ["2 * ({i} * {k} + {w} * {j})", "2 * ({j} * {k} - {w} * {i})", "1 - 2 * ({i} * {i} + {j} * {j})"],
+]
+
+
+def _normal_sql(s: str, of: dict, name: str) -> str:
+    """SQL of a splat's normal: the axis of its least scale."""
+    least = f"least({s}0, {s}1, {s}2)"
+    return ", ".join(f"CASE WHEN {s}0 = {least} THEN {_AXES[0][r].format(**of)} WHEN {s}1 = {least} THEN {_AXES[1][r].format(**of)} ELSE {_AXES[2][r].format(**of)} END AS {name}{r}" for r in range(3))
+
+
+@BOOK.query(
+    f"WITH {PAIRS}, n AS (SELECT *, {_normal_sql('s', dict(w='w_', i='i_', j='j_', k='k_'), 'n')}, {_normal_sql('o', dict(w='ow', i='oi', j='oj', k='ok'), 'm')} FROM pairs), "
+    "w AS (SELECT *, opacity * e * abs(dx * n0 + dy * n1 + dz * n2) / greatest(least(s0, s1, s2), 1e-6) ** 2 AS w, sign(n0 * m0 + n1 * m1 + n2 * m2) AS side FROM n), "
+    f"s AS (SELECT i, greatest(sum(w), 1e-6) AS total, {', '.join(f'any_value(m{r}) AS m{r}, sum(w * side * n{r}) AS a{r}' for r in range(3))} FROM w GROUP BY i) SELECT i, {q6(' + '.join(f'(m{r} - a{r} / total) ** 2' for r in range(3)), 'loss')} FROM s"
+)
+def better_normal_loss(spark: SparkSession, d: str) -> DataFrame:
+    """How far each splat's normal is from the one of the field around its centre."""
+    return losses.better_normal(_pairs(spark, d)).select("i", r6("loss").alias("loss"))
+
+
+@BOOK.query(f"WITH {PAIRS}, v AS (SELECT *, ({_OWN[0]}) / s0 ** 2 AS v0, ({_OWN[1]}) / s1 ** 2 AS v1, ({_OWN[2]}) / s2 ** 2 AS v2 FROM pairs) SELECT i, {q6(f'sum(-opacity * e * ({_BACK[0]}))', 'gx')}, {q6(f'sum(-opacity * e * ({_BACK[1]}))', 'gy')}, {q6(f'sum(-opacity * e * ({_BACK[2]}))', 'gz')} FROM v GROUP BY i")
 def density_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return field.gradient(_pairs(spark, d)).select("i", r6("gx").alias("gx"), r6("gy").alias("gy"))
+    return field.gradient(_pairs(spark, d)).select("i", *(r6(f"g{c}").alias(f"g{c}") for c in XYZ))
 
 
 _SLOPE = "WITH " + FIELD + ", v AS (SELECT *, " + ", ".join(f"({x}) / s{k} ** 2 AS v{k}" for k, x in enumerate(_OWN)) + " FROM pairs), g AS (SELECT i, " + ", ".join(f"sum(opacity * e * ({x})) AS g{k}" for k, x in enumerate(_BACK)) + " FROM v GROUP BY i)"
 _FACTOR = "beta / greatest(greatest(density, 1e-16) * sqrt(-2 * ln(greatest(density, 1e-16))), 1e-16)"
 
 
-@BOOK.query(f"{_SLOPE} SELECT g.i, round(greatest(least({_FACTOR} * g0, 10), -10), 5) + 0.0 AS gx, round(greatest(least({_FACTOR} * g1, 10), -10), 5) + 0.0 AS gy FROM g JOIN dens ON dens.i = g.i")
+@BOOK.query(_SLOPE + " SELECT g.i, " + ", ".join(f"round(greatest(least({_FACTOR} * g{k}, 10), -10), 5) + 0.0 AS g{c}" for k, c in enumerate(XYZ)) + " FROM g JOIN dens ON dens.i = g.i")
 def sdf_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return field.sdf_gradient(_pairs(spark, d)).select("i", r6("gx", 5).alias("gx"), r6("gy", 5).alias("gy"))
+    return field.sdf_gradient(_pairs(spark, d)).select("i", *(r6(f"g{c}", 5).alias(f"g{c}") for c in XYZ))
 
 
 @BOOK.query(f"WITH {SPLATS}, {NEAR(20)}, m AS (SELECT i, avg(sqrt(d2)) AS mean_d FROM near GROUP BY i), l AS (SELECT avg(mean_d) + 2 * stddev_samp(mean_d) AS most FROM m) SELECT i, {q6('mean_d', 'mean_d')}, mean_d <= most AS kept FROM m, l")

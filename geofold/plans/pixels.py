@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import r6
-from geofold.operators import field, mesh, ordering, raster, stats
+from geofold.operators import field, losses, mesh, ordering, raster, stats
 from geofold.operators.quantiles import quantile_columns
 from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import CORNERED, IMAGE, LOG, faces, image, log, splats, table, vertices
-from geofold.plans.geometry import EWA, screen
+from geofold.plans.geometry import CENTRE, EWA, FOCAL, screen
 
 BOOK = Book()
 W = H = 64
@@ -51,17 +51,37 @@ def splat_render(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row", "col", r6("f0", 5).alias("value"), r6("light", 5).alias("light"), "layers")
 
 
-@BOOK.query(
-    f"WITH {PIXELS}, faced AS (SELECT row, col, zc, alpha * t AS w, nx * f AS nx, ny * f AS ny FROM (SELECT *, sign(-nx * x - ny * y - nz * zc) AS f FROM used)), summed AS (SELECT row, col, sum(zc * w) AS depth, sum(nx * w) AS nx, sum(ny * w) AS ny FROM faced GROUP BY row, col) "
-    "SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(depth, 5) + 0.0 AS depth, round(nx, 5) + 0.0 AS nx, round(ny, 5) + 0.0 AS ny, round(-sqrt(1 - least(1, nx * nx + ny * ny)), 5) + 0.0 AS nz FROM summed"
-)
-def depth_normal_render(spark: SparkSession, d: str) -> DataFrame:
-    """Depth and normals by the same blending; normals are turned to face the camera, and the third component follows from the other two."""
+def _depth_and_normals(spark, d):
+    """(row, col, depth, nx, ny, nz): normals are turned to face the camera, and the third component follows from the other two."""
     facing = F.signum(-F.col("nx") * F.col("x") - F.col("ny") * F.col("y") - F.col("nz") * F.col("depth"))
     rows = _tiled(spark, d).withColumns({"nx": F.col("nx") * facing, "ny": F.col("ny") * facing})
     out = raster.rendered(rows, W, H, ["depth", "nx", "ny"])
-    third = -F.sqrt(1 - F.least(F.lit(1.0), F.col("nx") ** 2 + F.col("ny") ** 2))
-    return out.select("row", "col", r6("depth", 5).alias("depth"), r6("nx", 5).alias("nx"), r6("ny", 5).alias("ny"), r6(third, 5).alias("nz"))
+    return out.select("row", "col", "depth", "nx", "ny", (-F.sqrt(1 - F.least(F.lit(1.0), F.col("nx") ** 2 + F.col("ny") ** 2))).alias("nz"))
+
+
+_RENDER = "faced AS (SELECT row, col, zc, alpha * t AS w, nx * f AS nx, ny * f AS ny FROM (SELECT *, sign(-nx * x - ny * y - nz * zc) AS f FROM used)), summed AS (SELECT row, col, sum(zc * w) AS depth, sum(nx * w) AS nx, sum(ny * w) AS ny FROM faced GROUP BY row, col)"
+
+
+@BOOK.query(f"WITH {PIXELS}, {_RENDER} SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(depth, 5) + 0.0 AS depth, round(nx, 5) + 0.0 AS nx, round(ny, 5) + 0.0 AS ny, round(-sqrt(1 - least(1, nx * nx + ny * ny)), 5) + 0.0 AS nz FROM summed")
+def depth_normal_render(spark: SparkSession, d: str) -> DataFrame:
+    """Depth and normals by the same blending."""
+    return _depth_and_normals(spark, d).select("row", "col", *(r6(c, 5).alias(c) for c in ("depth", "nx", "ny", "nz")))
+
+
+
+@BOOK.query(
+    f"WITH {PIXELS}, {_RENDER}, grid AS (SELECT r.i AS row, c.i AS col, coalesce(depth, 0) AS depth, coalesce(nx, 0) AS nx, coalesce(ny, 0) AS ny FROM range({H}) r(i) CROSS JOIN range({W}) c(i) LEFT JOIN summed ON summed.row = r.i AND summed.col = c.i), "
+    f"places AS (SELECT *, -sqrt(1 - least(1, nx * nx + ny * ny)) AS nz, (col - {CENTRE[0]}) / {FOCAL[0]} * depth AS px, (row - {CENTRE[1]}) / {FOCAL[1]} * depth AS py, depth AS pz FROM grid), "
+    f"steps AS (SELECT *, {', '.join(f'lead(p{c}) OVER d - lag(p{c}) OVER d AS d{c}, lead(p{c}) OVER a - lag(p{c}) OVER a AS a{c}' for c in 'xyz')} FROM places WINDOW d AS (PARTITION BY col ORDER BY row), a AS (PARTITION BY row ORDER BY col)), "
+    "crossed AS (SELECT *, dy * az - dz * ay AS cx, dz * ax - dx * az AS cy, dx * ay - dy * ax AS cz FROM steps) "
+    f"SELECT {q6(f'avg(1 - CASE WHEN row BETWEEN 1 AND {H - 2} AND col BETWEEN 1 AND {W - 2} THEN (nx * cx + ny * cy + nz * cz) / greatest(sqrt(cx * cx + cy * cy + cz * cz), 1e-12) ELSE 0 END)', 'loss')} FROM crossed"
+)
+def depth_normal_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered normals against those that the rendered depth implies; pixels without a splat have depth 0 and face the camera."""
+    seen = _depth_and_normals(spark, d)
+    cells = spark.range(H * W).select(F.floor(F.col("id") / W).cast("int").alias("row"), (F.col("id") % W).cast("int").alias("col"))
+    whole = cells.join(seen, ["row", "col"], "left").na.fill(0.0, ["depth", "nx", "ny"]).na.fill(-1.0, ["nz"])
+    return losses.depth_normal_consistency(losses.depth_normals(whole, H, W, FOCAL, CENTRE)).select(r6("loss").alias("loss"))
 
 
 @BOOK.query(f"WITH {LOG}, a AS (SELECT run, iteration, least(0.99, value / 300) AS alpha, value FROM log), lit AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS t FROM a WHERE alpha >= 1 / 255.0), used AS (SELECT * FROM lit WHERE t * (1 - alpha) >= 1e-4) SELECT run, round(sum(value * alpha * t) + min(t * (1 - alpha)), 5) AS value, count(*) AS layers FROM used GROUP BY run")

@@ -130,7 +130,6 @@ def epoch_shuffle(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LEVEL = 0.3
-_THIRD = "2 * (i_ * k_ - w_ * j_) * v0 + 2 * (j_ * k_ + w_ * i_) * v1 + (1 - 2 * (i_ * i_ + j_ * j_)) * v2"
 _PAIRED = "s.s0, s.s1, s.s2, s.opacity, s.w_, s.i_, s.j_, s.k_"
 
 
@@ -150,7 +149,7 @@ def _surfaces(levels: list[float], of: str) -> str:
     again AS (SELECT p.i, level, lx - s.x AS dx, ly - s.y AS dy, lz - s.z AS dz, {_PAIRED} FROM points p JOIN near n ON n.i = p.of_ JOIN turned s ON s.id = n.j),
     own AS (SELECT *, ({_OWN[0]}) / s0 AS o0, ({_OWN[1]}) / s1 AS o1, ({_OWN[2]}) / s2 AS o2 FROM again),
     v AS (SELECT *, o0 / s0 AS v0, o1 / s1 AS v1, o2 / s2 AS v2, opacity * exp(-0.5 * least(1e8, o0 ** 2 + o1 ** 2 + o2 ** 2)) AS w FROM own),
-    slope AS (SELECT i, level, sum(-w * ({_BACK[0]})) AS gx, sum(-w * ({_BACK[1]})) AS gy, sum(-w * ({_THIRD})) AS gz FROM v GROUP BY i, level)
+    slope AS (SELECT i, level, sum(-w * ({_BACK[0]})) AS gx, sum(-w * ({_BACK[1]})) AS gy, sum(-w * ({_BACK[2]})) AS gz FROM v GROUP BY i, level)
     SELECT p.i, level, {q6('lx', 'lx')}, {q6('ly', 'ly')}, {q6('lz', 'lz')}, {', '.join(q6(f'-g{c} / sqrt(gx * gx + gy * gy + gz * gz)', f'n{c}') for c in 'xyz')} FROM points p JOIN slope USING (i, level)"""
 
 

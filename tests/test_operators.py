@@ -344,6 +344,42 @@ def test_quantiles_with_infinities_end(spark):
     assert np.isnan(stats.quantiles(df.where("id IN (7, 8)"), "v", [0.5])[0])
 
 
+def test_over_full_edges_lose_their_smallest_faces(spark):
+    """Against dropping faces one by one, smallest first."""
+    rng = np.random.default_rng(6)
+    places = rng.normal(size=(14, 3))
+    corners = sorted({tuple(sorted(rng.choice(14, 3, replace=False).tolist())) for _ in range(160)})
+    size = [float(np.linalg.norm(np.cross(places[b] - places[a], places[c] - places[a])) / 2) for a, b, c in corners]
+    uses = {}
+    sides = lambda f: [tuple(sorted(e)) for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))]
+    for f in corners:
+        for e in sides(f):
+            uses[e] = uses.get(e, 0) + 1
+    over = sorted((e, n) for e, n in uses.items() if n > 2)
+    kept = set(range(len(corners)))
+    for i in sorted(range(len(corners)), key=lambda i: (size[i], i)):
+        if any(uses[e] > 2 for e in sides(corners[i])):
+            kept.discard(i)
+            for e in sides(corners[i]):
+                uses[e] -= 1
+    v = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "fid long, a long, b long, c long").repartition(3)
+    assert {r.fid for r in mesh.manifold_faces(f, v).collect()} == kept and len(kept) < len(corners)
+    assert sorted(((r.u, r.v), r.uses) for r in mesh.non_manifold_edges(f).collect()) == over
+    assert mesh.non_manifold_edges(mesh.manifold_faces(f, v)).isEmpty()
+
+
+def test_normals_of_a_cube_with_and_without_creases(spark):
+    v = spark.createDataFrame([(i, float(i & 1), float(i >> 1 & 1), float(i >> 2)) for i in range(8)], "vid long, x double, y double, z double")
+    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
+    f = spark.createDataFrame([(2 * i + k, q[0], q[1 + k], q[2 + k]) for i, q in enumerate(quads) for k in range(2)], "fid long, a long, b long, c long")
+    hard = mesh.smooth_normals(f, v, 30.0).collect()
+    soft = mesh.smooth_normals(f, v, 100.0).collect()
+    assert len(hard) == len(soft) == 36
+    assert all(sorted(map(abs, (r.nx, r.ny, r.nz))) == [0, 0, 1] for r in hard)
+    assert all(min(map(abs, (r.nx, r.ny, r.nz))) > 0.2 and (r.nx > 0) == bool(r.vid & 1) for r in soft) and len({(r.vid, round(r.nx, 9)) for r in soft}) == 8
+
+
 def test_with_each_sends_blocks(spark):
     a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(11).withColumnRenamed("id", "b")
     got = {(r.a, r.b) for r in stats.with_each(a, b, most=3).collect()}
