@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofold.functions.camera import affine_inverse, affine_product
-from geofold.functions.geom import angle_degrees, dot, face_normal, norm, sub
+from geofold.functions.geom import angle_degrees, cross, dot, face_normal, norm, normalized, sub
 from geofold.operators.components import connected_components
 from geofold.operators.ordering import numbered
 from geofold.operators.shared import stash
@@ -221,6 +221,56 @@ def pose_from_rest(bones: DataFrame) -> DataFrame:
     return bones.select("bone", *(m[r][c].alias(f"m{r}{c}") for r in range(3) for c in range(4)))
 
 
+def carried(splats: DataFrame, faces: DataFrame, reference: DataFrame, edited: DataFrame) -> DataFrame:
+    """(sid, x y z, m00..m22, s1, s2): splats that are bound to faces, after the mesh was edited.
+
+    splats: sid, fid, weights b0 b1 b2 of the face's corners, in-plane turn (re, im) and in-plane scales s1 s2; faces: fid and corners; reference, edited: the
+    vertices before and after. A splat keeps its place in the face. Its frame (columns of m) is the edited face's normal and two
+    directions in the face: the turn, by as much more as the corners have turned against the first side, corner by corner as they weigh.
+    Its scales follow how far the corners have moved from or to the face's centre, along the splat's own directions.
+    """
+    def seen(v: DataFrame, mark: str) -> DataFrame:
+        c = with_corners(faces, v)
+        return c.select("fid", *(F.col(f"{k}{x}").alias(f"{mark}{k}{x}") for k in CORNERS for x in "xyz"))
+
+    rows = splats.join(seen(reference, "r"), "fid").join(seen(edited, "e"), "fid")
+    new: dict = {}
+
+    def vector(name: str, v: list) -> list[str]:
+        """Keeps a vector as columns, so that later expressions stay short."""
+        nonlocal rows
+        rows = rows.withColumns({f"__{name}{x}": c for x, c in zip("xyz", v, strict=True)})
+        return [f"__{name}{x}" for x in "xyz"]
+
+    at = lambda mark, k: [F.col(f"{mark}{k}{x}") for x in "xyz"]
+    least = 1e-12
+    for mark in "re":
+        mid = vector(f"{mark}m", [(F.col(f"{mark}a{x}") + F.col(f"{mark}b{x}") + F.col(f"{mark}c{x}")) / 3 for x in "xyz"])
+        base = vector(f"{mark}base", normalized(sub(at(mark, "a"), at(mark, "b")), least))
+        for i, k in enumerate(CORNERS):
+            out = vector(f"{mark}out{k}", sub(at(mark, k), mid))
+            unit = vector(f"{mark}unit{k}", normalized(out, least))
+            side = dot(unit, base)
+            rows = rows.withColumns({f"__{mark}angle{k}": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), side if i < 2 else -side))), f"__{mark}far{k}": norm(out)})
+    normal = vector("n", normalized(face_normal(*(at("e", k) for k in CORNERS)), least))
+    other = vector("other", normalized(cross(normal, ["__ebasex", "__ebasey", "__ebasez"]), least))
+    angle = sum((F.col(f"b{i}") * (F.col(f"__eangle{k}") - F.col(f"__rangle{k}")) for i, k in enumerate(CORNERS)), F.lit(0.0))
+    size = F.greatest(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.lit(least))
+    rows = rows.withColumn("__t", angle).withColumns({"__re": (F.col("re") * F.cos("__t") - F.col("im") * F.sin("__t")) / size, "__im": (F.col("re") * F.sin("__t") + F.col("im") * F.cos("__t")) / size})
+    first = vector("one", [F.col("__re") * F.col(f"__ebase{x}") + F.col("__im") * F.col(f"__other{x}") for x in "xyz"])
+    second = vector("two", [F.col("__re") * F.col(f"__other{x}") - F.col("__im") * F.col(f"__ebase{x}") for x in "xyz"])
+    for name, axis in (("s1", first), ("s2", second)):
+        parts = []
+        for i, k in enumerate(CORNERS):
+            unit = [f"__eunit{k}{x}" for x in "xyz"]
+            stretch = F.col(f"__efar{k}") / F.col(f"__rfar{k}")
+            parts.append(F.col(f"b{i}") * F.sqrt((dot(axis, unit) * stretch) ** 2 + dot(axis, cross(unit, normal)) ** 2))
+        new[name] = F.col(name) * (parts[0] + parts[1] + parts[2])
+    place = [sum((F.col(f"b{i}") * F.col(f"e{k}{x}") for i, k in enumerate(CORNERS)), F.lit(0.0)).alias(x) for x in "xyz"]
+    frame = [F.col(c[r]).alias(f"m{r}{i}") for r in range(3) for i, c in enumerate((normal, first, second))]
+    return rows.select("sid", *place, *frame, *(v.alias(k) for k, v in new.items()))
+
+
 def deformation(faces: DataFrame, vertices: DataFrame, reference: DataFrame, most: float = 2.0) -> DataFrame:
     """(fid, ratio, kept): largest ratio of a corner's distance to its face's centre to that distance in the reference mesh. Faces up to ``most`` are kept."""
     def spans(v: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from geofold.functions.geom import r6
 from geofold.operators.shared import shared_dir
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import FACES, IMAGE, SPLATS, faces, image, splats, table, vertices
-from geofold.sources import binary, records, sinks
+from geofold.sources import binary, bundle, records, sinks
 
 BOOK = Book()
 #: Bytes and records of a reading task: little, so that the small tables' files are cut.
@@ -105,3 +105,28 @@ def camera_files(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_images(images, paths[1])
     back = binary.extrinsics(spark, paths[1]).join(binary.intrinsics(spark, paths[0]), "camera_id")
     return back.select(F.col("image_id").cast("long").alias("image_id"), "name", "model", F.col("params")[0].alias("f"), r6(F.col("tvec")[0]).alias("tx"), F.size("xys").alias("points"))
+
+
+_GONE, _HALF = [3, 11], 0.5
+
+
+@BOOK.query(
+    f"""WITH v AS (SELECT o_custkey AS c, o_orderkey % 25 AS camera, min(o_orderkey % 1000) AS key FROM orders GROUP BY ALL), left_ AS (SELECT c, camera - (camera > {_GONE[0]})::INT - (camera > {_GONE[1]})::INT AS camera, key FROM v WHERE camera NOT IN ({_GONE[0]}, {_GONE[1]})),
+    seen AS (SELECT c, n_nationkey, n_regionkey, l.camera, l.key FROM left_ l JOIN (SELECT n_nationkey, n_regionkey, n_nationkey - (n_nationkey > {_GONE[0]})::INT - (n_nationkey > {_GONE[1]})::INT AS camera FROM nation WHERE n_nationkey NOT IN ({_GONE[0]}, {_GONE[1]})) n USING (camera))
+    SELECT dense_rank() OVER (ORDER BY c_custkey) - 1 AS point, x, r, views, marks, focals FROM (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_custkey % 256 AS INTEGER) AS r, count(camera) AS views, CAST(coalesce(sum(camera * 1000 + key), 0) AS BIGINT) AS marks, coalesce(sum({_HALF} * (500 + n_nationkey)), 0.0)::DOUBLE AS focals FROM customer JOIN (SELECT DISTINCT c FROM v) ever ON ever.c = c_custkey LEFT JOIN seen ON seen.c = c_custkey GROUP BY ALL)"""
+)
+def bundle_file(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as cameras, customers as points, orders as views; written, read, two cameras excluded, focal lengths halved. Points with the cameras that see them."""
+    nations = table(spark, d, "nation")
+    zero = F.lit(0.0)
+    cams = nations.select(F.col("n_nationkey").cast("long").alias("camera"), (500.0 + F.col("n_nationkey")).alias("focal"), zero.alias("k1"), zero.alias("k2"), F.array(*(F.lit(float(i % 4 == 0)) for i in range(9))).alias("rotation"), F.array(F.col("n_regionkey").cast("double"), zero, zero).alias("translation"))
+    seen = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c"), (F.col("o_orderkey") % 25).alias("camera")).agg(F.min(F.col("o_orderkey") % 1000).alias("key"))
+    views = seen.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("camera", "key", F.lit(0.5).alias("x"), F.lit(-1.5).alias("y")))).alias("views"))
+    customers = table(spark, d, "customer").join(views, F.col("c") == F.col("c_custkey"))
+    points = customers.select(F.col("c_custkey").alias("point"), F.col("c_nationkey").cast("double").alias("x"), zero.alias("y"), F.lit(1.0).alias("z"), *((F.col("c_custkey") % 256).cast("int").alias(c) for c in "rgb"), "views")
+    path = _path(spark, "bundle")
+    bundle.save(bundle.Bundle("# Bundle file v0.3", points.count(), cams, points), path)
+    back = bundle.scaled(bundle.excluded(bundle.read(spark, path), _GONE), _HALF)
+    each = back.points.select("point", F.explode("views").alias("v")).select("point", "v.camera", "v.key").join(back.cameras.select("camera", "focal"), "camera")
+    sums = each.groupBy("point").agg(F.count("*").alias("views"), F.sum(F.col("camera") * 1000 + F.col("key")).alias("marks"), F.sum("focal").alias("focals"))
+    return back.points.select("point", "x", "r").join(sums, "point", "left").na.fill(0, ["views", "marks"]).na.fill(0.0, ["focals"])

@@ -198,6 +198,40 @@ def point_triangle_candidates(spark: SparkSession, d: str) -> DataFrame:
     return mesh.nearest_face_distance(_beside(spark, d), near.join(corners, "fid")).select("i", r6("distance").alias("distance"))
 
 
+def _carried_sql() -> str:
+    """SQL of the carried frames, stage by stage: vectors are columns with x, y, z behind their names."""
+    dot = lambda a, b: " + ".join(f"{a}{x} * {b}{x}" for x in "xyz")
+    size = lambda a: f"greatest(sqrt({dot(a, a)}), 1e-12)"
+    cross = lambda a, b, name: ", ".join(f"{a}{p} * {b}{q} - {a}{q} * {b}{p} AS {name}{x}" for x, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")))
+    unit = lambda a, name: ", ".join(f"{a}{x} / {size(a)} AS {name}{x}" for x in "xyz")
+    per = [(m, k) for m in "re" for k in "abc"]
+    stages = [
+        ", ".join(f"({m}a{x} + {m}b{x} + {m}c{x}) / 3 AS {m}m{x}" for m in "re" for x in "xyz") + ", " + ", ".join(f"{m}a{x} - {m}b{x} AS {m}d{x}" for m in "re" for x in "xyz") + ", " + ", ".join(f"eb{x} - ea{x} AS p{x}, ec{x} - ea{x} AS q{x}" for x in "xyz"),
+        ", ".join(f"{m}{k}{x} - {m}m{x} AS {m}o{k}{x}" for m, k in per for x in "xyz") + ", " + ", ".join(unit(f"{m}d", f"{m}base") for m in "re") + ", " + cross("p", "q", "g"),
+        ", ".join(unit(f"{m}o{k}", f"{m}u{k}") + f", {size(f'{m}o{k}')} AS {m}far{k}" for m, k in per) + ", " + unit("g", "n"),
+        ", ".join(f"acos(greatest(-1, least(1, {'-' if k == 'c' else ''}({dot(f'{m}u{k}', f'{m}base')})))) AS {m}angle{k}" for m, k in per) + ", " + cross("n", "ebase", "h") + ", " + ", ".join(cross(f"eu{k}", "n", f"w{k}") for k in "abc"),
+        unit("h", "other") + ", " + " + ".join(f"b{i} * (eangle{k} - rangle{k})" for i, k in enumerate("abc")) + " AS t, greatest(sqrt(re * re + im * im), 1e-12) AS len",
+        "(re * cos(t) - im * sin(t)) / len AS cre, (re * sin(t) + im * cos(t)) / len AS cim",
+        ", ".join(f"cre * ebase{x} + cim * other{x} AS one{x}, cre * other{x} - cim * ebase{x} AS two{x}" for x in "xyz"),
+    ]
+    ctes = "".join(f", t{i + 1} AS (SELECT *, {s} FROM t{i})" for i, s in enumerate(stages))
+    grown = lambda axis: " + ".join(f"b{i} * sqrt((({dot(axis, f'eu{k}')}) * efar{k} / rfar{k}) ** 2 + ({dot(axis, f'w{k}')}) ** 2)" for i, k in enumerate("abc"))
+    corner = ", ".join(f"{k}.{c} AS r{k}{x}, {k}.{f} AS e{k}{x}" for k in "abc" for x, c, f in (("x", "x", "f0"), ("y", "y", "f1"), ("z", "z", "f2")))
+    first = f"t0 AS (SELECT fid AS sid, 0.5::DOUBLE AS b0, 0.3::DOUBLE AS b1, 0.2::DOUBLE AS b2, 1.0::DOUBLE + fid % 3 AS re, fid % 5 - 2.0::DOUBLE AS im, {corner} FROM faces JOIN splats a ON a.id = faces.a JOIN splats b ON b.id = faces.b JOIN splats c ON c.id = faces.c)"
+    out = [q6(" + ".join(f"b{i} * e{k}{x}" for i, k in enumerate("abc")), x) for x in "xyz"] + [q6(f"{v}{x}", f"m{r}{i}") for r, x in enumerate("xyz") for i, v in enumerate(("n", "one", "two"))] + [q6(f"0.1 * ({grown('one')})", "s1"), q6(f"0.2 * ({grown('two')})", "s2")]
+    return f"WITH {SPLATS}, {FACES}, {first}{ctes} SELECT sid, {', '.join(out)} FROM t{len(stages)}"
+
+
+@BOOK.query(_carried_sql())
+def carried_frames(spark: SparkSession, d: str) -> DataFrame:
+    """One splat bound to each face, carried from the mesh of places to that of colours."""
+    fid = F.col("fid")
+    bound = faces(spark, d).select(fid.alias("sid"), "fid", *(F.lit(w).alias(f"b{i}") for i, w in enumerate((0.5, 0.3, 0.2))), (1.0 + fid % 3).alias("re"), (fid % 5 - 2.0).alias("im"), F.lit(0.1).alias("s1"), F.lit(0.2).alias("s2"))
+    edited = splats(spark, d).select(F.col("id").alias("vid"), F.col("f0").alias("x"), F.col("f1").alias("y"), F.col("f2").alias("z"))
+    out = mesh.carried(bound, faces(spark, d), vertices(spark, d), edited)
+    return out.select("sid", *(r6(c).alias(c) for c in out.columns[1:]))
+
+
 _BONES = [(0, (1.0, 0.0, 0.0, 0.1)), (1, (0.0, -1.0, 0.0, 0.0)), (2, (0.6, 0.0, 0.8, -0.2))]
 
 
