@@ -11,7 +11,12 @@ Weights are summed over sliding windows of ``WINDOW`` lines. The threshold comes
 its largest sum, at most ``ENOUGH``. Silence (``WINDOW`` lines without weight) parts the lines into stretches. In each,
 the text surges at the first line of the first window over the threshold and dives
 behind the last line of the last one; lines beside without an empty line between belong to it. What lies
-between surge and dive is kept, whatever its length; all else goes. Blocks with a name are stretches of their own.
+between surge and dive is kept, whatever its length. Blocks with a name are stretches of their own.
+
+What the surges found also says where the article stands: in the innermost part of the page (a box, section, cell; not the page itself) that holds
+over half of it. Short lines that stand there too, parted from the rest by an advert, a form or a table, are the article's and stay, as do those in parts of
+the same kind beside it (sections, articles, cells); lists of links there and blocks with a name go, a single line that is a link stays. All else goes.
+A form that holds more text than what was kept is the page's wrapping, and no form.
 
 Defined cases: null, empty and text-free pages give an empty text; markup cut off
 at the end of a page is dropped, text before it stays; unclosed elements end with their
@@ -46,6 +51,8 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _PARTS = frozenset("article main section div table tr td th body aside details".split())
 _NEVER = frozenset("nav footer aside form head script style textarea title noscript template iframe noembed noframes xmp button select option dialog menu svg math canvas object audio video map datalist".split())
 _ARTICLE = frozenset(("article", "main"))
+#: Parts that are repeated beside one another in one text.
+_REPEATED = frozenset("article section td tr tbody".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: What the task names as not being the article, and words that only say that a name is of a box.
 _THINGS = frozenset("ad ads advert adverts advertisement advertisements advertising menu nav navbar navigation header footer sidebar notice notices comment comments form newsletter".split())
@@ -82,10 +89,15 @@ def _read(attrs: str) -> tuple[bool, bool]:
 
 
 class Lines:
-    """Lines of a page in order: (text, share of it in links, whether in a marked article, number of the named block or 0), or the number of empty lines."""
+    """Lines of a page in order: (text, share of it in links, whether in a marked article, number of the named block or 0, number of the part or 0), or the number of empty lines.
+
+    parts: the parent and the element's name of each part of the page; the first is the page. in_forms: code points in forms that aren't lines; with ``forms``, forms are parts like others.
+    """
 
-    def __init__(self, page: str):
-        self.lines: list[tuple[str, float, bool, int] | int] = []
+    def __init__(self, page: str, forms: bool = False):
+        self.lines: list[tuple[str, float, bool, int, int] | int] = []
+        self.parents, self.names, self.inside = [0], [""], [0]
+        self.forms, self.in_forms = forms, 0
         self.parts: list[str] = []
         self.linked = self.links = self.blocks = self.gap = 0
         self.stack: list[tuple[str, bool, bool, int]] = []  # name, never, article, named block; parents' included
@@ -119,12 +131,13 @@ class Lines:
             if text:
                 never, article, block = self._state()
                 if never:
+                    self.in_forms += len(text) if self.open["form"] else 0
                     self.gap = max(self.gap, 1 if article else WINDOW)
                 else:
                     if self.gap:
                         self.lines.append(self.gap)
                     self.gap = 0
-                    self.lines.append((text, self.linked / len(raw), article, block))
+                    self.lines.append((text, self.linked / len(raw), article, block, self.inside[-1]))
             self.parts, self.linked = [], 0
         self.gap = max(self.gap, min(self.gap + 1, WINDOW - 1) if gap == 1 else gap)
 
@@ -136,6 +149,12 @@ class Lines:
         else:
             self.frames.append((name, Counter()))
             self.open[name] += 1
+            if name in _PARTS and name != "body":
+                self.parents.append(self.inside[-1])
+                self.names.append(name)
+                self.inside.append(len(self.names) - 1)
+            else:
+                self.inside.append(self.inside[-1])
 
     def _pop(self) -> None:
         name = self.stack.pop()[0]
@@ -145,6 +164,7 @@ class Lines:
         else:
             self.frames.pop()
             self.open[name] -= 1
+            self.inside.pop()
 
     def _tag(self, name: str, end: bool, attrs: str) -> None:
         if name == "br":
@@ -173,7 +193,7 @@ class Lines:
             return
         never, article, block = self._state()
         drops, named = _read(attrs)
-        drops = drops and name not in ("html", "body") or name in _NEVER or (name == "header" and not article)
+        drops = drops and name not in ("html", "body") or name in _NEVER and not (self.forms and name == "form") or (name == "header" and not article)
         if not inline or drops:
             self._break()
         if name in _VOID:
@@ -235,17 +255,50 @@ def window_sums(weights: list[float], window: int = WINDOW) -> list[float]:
     return [upto[min(n, i + window)] - upto[i] for i in range(n)]
 
 
+def beside(page: Lines, kept: list[int]) -> list[int]:
+    """Lines that weren't kept but stand in the part of the page that holds over half of what was, or in parts of its kind beside it."""
+    size = [0] * len(page.names)
+    for i in kept:
+        size[page.lines[i][4]] += len(page.lines[i][0])
+    total, half = size[:], sum(size) / 2
+    for part in range(len(size) - 1, 0, -1):  # parts have higher numbers than those around them
+        total[page.parents[part]] += total[part]
+    chosen = 0
+    for part in range(1, len(size)):  # each next one over half lies in the last
+        if total[part] > half:
+            chosen = part
+    if not chosen:
+        return []
+    around, kind = page.parents[chosen], page.names[chosen]
+    own = [False] * len(size)
+    for part in range(1, len(size)):
+        own[part] = part == chosen or own[page.parents[part]] or kind in _REPEATED and page.parents[part] == around and page.names[part] == kind
+    there, out = set(kept), []
+    near = [(i, x) for i, x in enumerate(page.lines) if not isinstance(x, int) and own[x[4]] and not x[3]]
+    linked = [False, *(x[1] > LINK_SHARE for _, x in near), False]
+    for k, (i, _) in enumerate(near, 1):
+        if i not in there and not (linked[k] and (linked[k - 1] or linked[k + 1])):
+            out.append(i)
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, enough: float = ENOUGH) -> str:
     if not page:
         return ""
-    lines = Lines(page).lines
+    read = Lines(page)
+    text = _chosen(read, window, enough)
+    return _chosen(Lines(page, forms=True), window, enough) if read.in_forms > len(text) else text
+
+
+def _chosen(page: Lines, window: int, enough: float) -> str:
+    lines = page.lines
     streams: dict[int, list[tuple[int, float]]] = {0: []}  # by named block: (place of the line or -1, weight)
     for i, line in enumerate(lines):
         if isinstance(line, int):
             for s in streams.values():
                 s.extend([(-1, 0.0)] * line)
             continue
-        text, linked, article, block = line
+        text, linked, article, block, _ = line
         weight = len(text) / NAMED if block else len(text) * (MARKED if article else 0 if linked > LINK_SHARE else 1)
         streams.setdefault(block, []).append((i, weight))
     weights = {k: [w for _, w in s] for k, s in streams.items()}
@@ -253,8 +306,8 @@ def main_text(page: str | None, window: int = WINDOW, enough: float = ENOUGH) ->
     threshold = min(enough, largest / 2)
     if not threshold:  # nothing but links
         return "\n\n".join(x[0] for x in lines if not isinstance(x, int))
-    kept = sorted(i for k, s in streams.items() for a, b in surges(weights[k], threshold, window) for i, _ in s[a:b] if i >= 0)
-    return "\n\n".join(lines[i][0] for i in kept)
+    kept = [i for k, s in streams.items() for a, b in surges(weights[k], threshold, window) for i, _ in s[a:b] if i >= 0]
+    return "\n\n".join(lines[i][0] for i in sorted(kept + beside(page, kept)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, enough: float = ENOUGH) -> DataFrame:

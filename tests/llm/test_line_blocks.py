@@ -48,6 +48,28 @@ def test_blocks_inside_an_article(mark, extra, kept):
     assert got == "\n\n".join(x for x in ("Head", body, kept, body, "End.") if x)
 
 
+SENTENCES = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div><p>{LONG}</p><form>Sign up</form><p>Short ending.</p></div>", [SENTENCES, "Short ending."]),
+        (f"<div><p>{LONG}</p><aside>See also</aside><p>Short ending.</p></div>", [SENTENCES, "Short ending."]),
+        ("<div>" + "".join(f"<section><h2>Head {i}</h2><p>short {i}</p></section>" for i in range(3)) + f"<section><h2>Head</h2><p>{LONG}</p></section></div>", [*(x for i in range(3) for x in (f"Head {i}", f"short {i}")), "Head", SENTENCES]),
+        (f"<article><p>First, short.</p></article><article><p>{LONG}</p></article>", ["First, short.", SENTENCES]),
+        (f"<div><table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table><p>{LONG}</p></div>", ["a", "1", "b", "2", SENTENCES]),
+        (f"<div><p>{LONG}</p><p><a href=/x>The whole last sentence is a link.</a></p></div>", [SENTENCES, "The whole last sentence is a link."]),
+        (f"<form action=/><input><div><p>{LONG}</p><p>End.</p></div></form>", [SENTENCES, "End."]),
+        (f"<div><p>{LONG}</p><ul><li><a href=/1>One more story</a></li><li><a href=/2>And another one</a></li></ul></div>", [SENTENCES]),
+    ],
+)
+def test_short_parts_of_the_article_stay(page, want):
+    """Each as it stands and beside menus and short blocks of other parts of the page."""
+    assert html_text.main_text(page) == "\n\n".join(want)
+    assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav><div>Top of the page</div>{page}<div><p>Copyright</p></div><footer>Rights</footer></body>") == "\n\n".join(want)
+
+
 def test_a_story_outside_of_a_marked_teaser_wins():
     assert html_text.main_text(f"<main><p>Teaser</p></main><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div>") == "\n\n".join(["Title", *[" ".join(LONG.split())] * 2])
 
