@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import apply, dot, inverse_root, norm, normalized, quaternion_matrix, sub, transposed
+from geofold.operators.raster import bilinear
 
 #: Columns of a splat that the field needs, as payload of a neighbour join.
 SPLAT = ("x", "y", "z", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "opacity")
@@ -98,6 +99,21 @@ def first_crossing(samples: DataFrame, ray: str, t: str, value: str, level: floa
     return crossings(samples, ray, t, value, [level]).select(ray, t)
 
 
+def deviation_towards(centre: list) -> Column:
+    """A splat's deviation along the line from it to the camera's centre."""
+    own = apply(transposed(quaternion_matrix([f"q{k}" for k in range(4)])), normalized(sub(centre, ["x", "y", "z"])))
+    return norm([v * F.col(f"s{k}") for k, v in enumerate(own)])
+
+
+def near_surface(splats: DataFrame, depths: DataFrame, centre: list, height: int, width: int, most: float = 3.0) -> DataFrame:
+    """splats (id, place, u, v in pixels of the depth map, depth, columns of ``SPLAT``) that lie within ``most`` deviations of the mapped depth.
+
+    depths: (row, col, map_depth) of the whole map, read between pixels; the deviation is that along the line to the camera.
+    """
+    mapped = bilinear(depths, splats.select("id", "u", "v"), "map_depth", height, width)
+    return splats.join(mapped, "id").where(F.abs(F.col("map_depth") - F.col("depth")) < most * deviation_towards(centre))
+
+
 def pixel_rays(pixels: DataFrame, splats: DataFrame, centre: list) -> DataFrame:
     """(i, owner, px py pz, ux uy uz, sd): the ray through each pixel's place, away from the camera's centre.
 
@@ -105,10 +121,7 @@ def pixel_rays(pixels: DataFrame, splats: DataFrame, centre: list) -> DataFrame:
     sd is the owner's deviation along the line from it to the camera.
     """
     away = normalized(sub(["px", "py", "pz"], centre))
-    towards = normalized(sub(centre, ["x", "y", "z"]))
-    own = apply(transposed(quaternion_matrix([f"q{k}" for k in range(4)])), towards)
-    sd = norm([v * F.col(f"s{k}") for k, v in enumerate(own)])
-    spread = splats.select(F.col("id").alias("owner"), sd.alias("sd"))
+    spread = splats.select(F.col("id").alias("owner"), deviation_towards(centre).alias("sd"))
     return pixels.join(spread, "owner").select("i", "owner", "px", "py", "pz", *(v.alias(f"u{c}") for v, c in zip(away, "xyz", strict=True)), "sd")
 
 

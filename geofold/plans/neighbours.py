@@ -310,6 +310,12 @@ def densify_clone_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.densified(rows, steep & (F.col("s0") <= 0.05), steep & (F.col("s0") > 0.05)).select("id", "part", r6("s0").alias("s0"))
 
 
-@BOOK.query("SELECT i AS id, " + ", ".join(q6(f"(2 * {_UNIFORM('i', a)} - 1) * 1.3", c) for a, c in enumerate("xyz")) + " FROM range(100000) t(i)")
+#: Random places for each splat.
+_EACH = 20
+
+
+@BOOK.query(f"WITH {EXTENT}, n AS (SELECT unnest(range({_EACH} * count(*))) AS i FROM splats) SELECT i AS id, " + ", ".join(q6(f"c{c} + (2 * {_UNIFORM('i', a)} - 1) * 1.3 * radius", c) for a, c in enumerate("xyz")) + " FROM n, extent")
 def random_point_cloud(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.random_points(spark).select("id", *(r6(c).alias(c) for c in XYZ))
+    """Random places around the cameras, so many for each splat."""
+    cloud = sampling.random_points(spark, _EACH * splats(spark, d).count())
+    return cloud.join(F.broadcast(extent(cameras(spark, d)))).select("id", *(r6(F.col(f"c{c}") + F.col(c) * F.col("radius")).alias(c) for c in XYZ))

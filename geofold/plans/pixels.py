@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import r6
-from geofold.operators import field, losses, mesh, ordering, raster, stats
+from geofold.operators import field, knn, losses, mesh, ordering, raster, stats
 from geofold.operators.quantiles import quantile_columns
 from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
-from geofold.plans.fixtures import CORNERED, IMAGE, LOG, faces, image, log, splats, table, vertices
+from geofold.plans.fixtures import CORNERED, IMAGE, LOG, SPLATS, faces, image, log, splats, table, vertices
+from geofold.plans.neighbours import NEAR
 from geofold.plans.geometry import CENTRE, EWA, FOCAL, screen
 
 BOOK = Book()
@@ -159,7 +162,18 @@ def image_errors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(*(r6(c).alias(c) for c in ("l1", "mse", "psnr")))
 
 
-@BOOK.query()
+def _ssim_sql() -> str:
+    """Windows of 11 by 11, one axis after the other; pixels outside count as 0."""
+    raw = [math.exp(-((k - 5) ** 2) / 4.5) for k in range(11)]
+    taps = "taps AS (SELECT * FROM (VALUES " + ", ".join(f"({k - 5}, {x / sum(raw)!r}::DOUBLE)" for k, x in enumerate(raw)) + ") t(d, w))"
+    names = ("x", "y", "xx", "yy", "xy")
+    blurred = lambda name, of, along, across: f"{name} AS (SELECT {across}, {along} + d AS {along}, {', '.join(f'sum({n} * w) AS {n}' for n in names)} FROM {of}, taps GROUP BY {across}, {along} + d)"
+    return f"""WITH {IMAGE}, {taps}, tall AS (SELECT img * 8 + row AS row, col, value AS x FROM image), pairs AS (SELECT a.row, a.col, a.x, b.x AS y, a.x * a.x AS xx, b.x * b.x AS yy, a.x * b.x AS xy FROM tall a JOIN tall b ON b.row = a.row AND b.col = 7 - a.col),
+    {blurred('once', 'pairs', 'row', 'col')}, {blurred('twice', 'once', 'col', 'row')}, m AS (SELECT twice.* FROM twice JOIN tall USING (row, col))
+    SELECT {q6('avg((2 * x * y + 0.0001) * (2 * (xy - x * y) + 0.0009) / ((x * x + y * y + 0.0001) * (xx - x * x + yy - y * y + 0.0009)))', 'ssim')} FROM m"""
+
+
+@BOOK.query(_ssim_sql())
 def image_ssim(spark: SparkSession, d: str) -> DataFrame:
     """Structural similarity of all vectors, seen as one tall image, with their mirror images."""
     tall = image(spark, d).select((F.col("img") * 8 + F.col("row")).cast("int").alias("row"), "col", F.col("value"))
@@ -173,19 +187,19 @@ def texture_average(spark: SparkSession, d: str) -> DataFrame:
     return raster.texture_average(hits, ["texel"], "cam", ["row", "col", "img"], ["value"]).select("texel", r6("value").alias("value"), "n")
 
 
-@BOOK.query(f"WITH {EWA}, {IMAGE}, mean AS (SELECT row, col, avg(value) AS value FROM image GROUP BY ALL), asked AS (SELECT id, least(greatest(u / 8, 0), 7) AS u, least(greatest(v / 8, 0), 7) AS v FROM screen), k AS (SELECT id, u - floor(u) AS fu, v - floor(v) AS fv, r.i AS r, c.i AS c, least(floor(v) + r.i, 7) AS row, least(floor(u) + c.i, 7) AS col FROM asked, range(2) r(i), range(2) c(i)) SELECT id, {q6('sum((CASE WHEN c = 1 THEN fu ELSE 1 - fu END) * (CASE WHEN r = 1 THEN fv ELSE 1 - fv END) * value)', 'value')} FROM k JOIN mean USING (row, col) GROUP BY id")
-def bilinear_lookup(spark: SparkSession, d: str) -> DataFrame:
-    grid = image(spark, d).groupBy("row", "col").agg(F.avg("value").alias("value"))
-    asked = _screen(spark, d).select("id", (F.col("u") / 8).alias("u"), (F.col("v") / 8).alias("v"))
-    return raster.bilinear(grid, asked, "value", 8, 8).select("id", r6("value").alias("value"))
+_ALONG = "(SELECT sqrt(" + " + ".join(f"((m0{k} * -x + m1{k} * -y + m2{k} * -zc) * s{k}) ** 2" for k in range(3)) + ") / sqrt(x * x + y * y + zc * zc))"
 
 
-@BOOK.query(f"WITH {EWA}, {IMAGE}, mean AS (SELECT row, col, avg(value) + 1 AS depth FROM image GROUP BY ALL) SELECT s.id FROM screen s JOIN mean ON row = CAST(least(greatest(floor(v / 8), 0), 7) AS INTEGER) AND col = CAST(least(greatest(floor(u / 8), 0), 7) AS INTEGER) WHERE abs(depth - zc) < 3 * s2")
+@BOOK.query(
+    f"WITH {EWA}, {IMAGE}, mean AS (SELECT row, col, avg(value) + 1 AS depth FROM image GROUP BY ALL), places AS (SELECT *, least(greatest(u / 8, 0), 7) AS mu, least(greatest(v / 8, 0), 7) AS mv FROM screen), "
+    "corners AS (SELECT *, CAST(least(floor(mv) + a.i, 7) AS INTEGER) AS row, CAST(least(floor(mu) + b.i, 7) AS INTEGER) AS col, (CASE WHEN a.i = 1 THEN mv - floor(mv) ELSE 1 - mv + floor(mv) END) * (CASE WHEN b.i = 1 THEN mu - floor(mu) ELSE 1 - mu + floor(mu) END) AS share FROM places, range(2) a(i), range(2) b(i)), "
+    f"mapped AS (SELECT id, sum(share * depth) AS map_depth FROM corners JOIN mean USING (row, col) GROUP BY id) SELECT id FROM screen JOIN mapped USING (id) WHERE abs(map_depth - zc) < 3 * {_ALONG}"
+)
 def near_surface(spark: SparkSession, d: str) -> DataFrame:
+    """Splats near the depth that the images' mean says, read between its pixels."""
     depth = image(spark, d).groupBy("row", "col").agg((F.avg("value") + 1).alias("map_depth"))
-    cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / 8), F.lit(0)), F.lit(7)).cast("int")
-    rows = _screen(spark, d).withColumn("row", cell("v")).withColumn("col", cell("u"))
-    return rows.join(depth, ["row", "col"]).where(F.abs(F.col("map_depth") - F.col("depth")) < 3 * F.col("s2")).select("id")
+    rows = _screen(spark, d).withColumns({"u": F.col("u") / 8, "v": F.col("v") / 8})
+    return field.near_surface(rows, depth, [F.lit(0.0), F.lit(0.0), F.lit(-1.0)], 8, 8).select("id")
 
 
 @BOOK.query(f"WITH {LOG}, r AS (SELECT run, iteration, value, lag(value) OVER w AS v0, first(value) OVER w AS f FROM log WINDOW w AS (PARTITION BY run ORDER BY iteration)), c AS (SELECT run, arg_min((value, v0, iteration), iteration) AS c FROM r WHERE value > 60 AND v0 IS NOT NULL AND f < 60 GROUP BY run) SELECT run, {q6('c[3] - 1 + (60 - c[2]) / (c[1] - c[2])', 'at')} FROM c".replace("arg_min((value, v0, iteration), iteration) AS c", "arg_min(value, iteration) AS a, arg_min(v0, iteration) AS b, min(iteration) AS t").replace("c[3] - 1 + (60 - c[2]) / (c[1] - c[2])", "t - 1 + (60 - b) / (a - b)"))
@@ -193,10 +207,14 @@ def level_crossing(spark: SparkSession, d: str) -> DataFrame:
     return field.first_crossing(log(spark, d).select("run", F.col("iteration").cast("double").alias("at"), "value"), "run", "at", "value", 60.0).select("run", r6("at").alias("at"))
 
 
-@BOOK.query("SELECT 512 AS cells, round(sum(x), 6) AS x, round(sum(x * y * z), 6) AS xyz FROM (SELECT a.i / 7.0 AS x, b.i / 7.0 AS y, c.i / 7.0 AS z FROM range(8) a(i), range(8) b(i), range(8) c(i))".replace("512 AS cells", "count(*) AS cells"))
+_SIDE = 8
+
+
+@BOOK.query(f"WITH {SPLATS}, box AS (SELECT {', '.join(f'min({c}) AS lo{c}, max({c}) AS hi{c}' for c in 'xyz')} FROM splats), probes AS (SELECT a.i + {_SIDE} * b.i + {_SIDE**2} * c.i AS id, lox + (hix - lox) * a.i / {_SIDE - 1} AS x, loy + (hiy - loy) * b.i / {_SIDE - 1} AS y, loz + (hiz - loz) * c.i / {_SIDE - 1} AS z FROM box, range({_SIDE}) a(i), range({_SIDE}) b(i), range({_SIDE}) c(i)), {NEAR(1, 'splats', 'probes')} SELECT probes.id, {q6('x', 'x')}, {q6('y', 'y')}, {q6('z', 'z')}, j, {q6('d2', 'd2')} FROM probes JOIN near ON i = probes.id")
 def probe_lattice(spark: SparkSession, d: str) -> DataFrame:
-    """A cube of probes: one row for each cell, made from its number."""
-    n = 8
-    i = spark.range(n**3)
-    rows = i.select((F.col("id") % n / (n - 1)).alias("x"), (F.floor(F.col("id") / n) % n / (n - 1)).alias("y"), (F.floor(F.col("id") / n**2) / (n - 1)).alias("z"))
-    return rows.agg(F.count("*").alias("cells"), F.round(F.sum("x"), 6).alias("x"), F.round(F.sum(F.col("x") * F.col("y") * F.col("z")), 6).alias("xyz"))
+    """A lattice of probes through the splats' box, each with the splat nearest to it."""
+    box = splats(spark, d).agg(*(f(c).alias(f"{k}{c}") for k, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"))
+    step = lambda k: F.floor(F.col("id") / _SIDE**k) % _SIDE / (_SIDE - 1)
+    probes = spark.range(_SIDE**3).join(F.broadcast(box)).select("id", *((F.col(f"lo{c}") + (F.col(f"hi{c}") - F.col(f"lo{c}")) * step(k)).alias(c) for k, c in enumerate("xyz")))
+    near = knn.knn(splats(spark, d).select("id", *"xyz"), 1, probes).select(F.col("i").alias("id"), "j", "d2")
+    return probes.join(near, "id").select("id", *(r6(c).alias(c) for c in "xyz"), "j", r6("d2").alias("d2"))

@@ -11,7 +11,8 @@ from geofold.functions import camera, geom
 from geofold.functions.geom import r6
 from geofold.operators import checkpoints, mesh, ordering, raster, sampling
 from geofold.plans.book import Book, q6
-from geofold.plans.fixtures import SPLATS, splats, table
+from geofold.plans.fixtures import SPLATS, cameras, splats, table
+from geofold.plans.measures import EXTENT, extent
 from geofold.plans.neighbours import BOOK as NEIGHBOURS
 
 BOOK = Book()
@@ -77,9 +78,11 @@ def sh_eval_degree4(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("id"), *(r6(value(k)).alias(n) for k, n in enumerate(("red", "green", "blue"))))
 
 
-@BOOK.query(f"WITH l AS (SELECT i + 1 AS id, -90 + (i // 20 + 1) / 11.0 * 180 AS e, 18.0 * (i % 20) AS a FROM range(200) t(i) UNION ALL SELECT 0, -89.9, 0 UNION ALL SELECT 201, 89.9, 0) SELECT CAST(id AS BIGINT) AS id, {q6('cos(radians(e)) * sin(radians(a))', 'x')}, {q6('sin(radians(e))', 'y')}, {q6('cos(radians(e)) * cos(radians(a))', 'z')} FROM l")
+@BOOK.query(f"WITH {EXTENT}, l AS (SELECT i + 1 AS id, -90 + (i // 20 + 1) / 11.0 * 180 AS e, 18.0 * (i % 20) AS a FROM range(200) t(i) UNION ALL SELECT 0, -89.9, 0 UNION ALL SELECT 201, 89.9, 0) SELECT CAST(l.id AS BIGINT) AS id, {q6('cx + radius * cos(radians(e)) * sin(radians(a))', 'x')}, {q6('cy + radius * sin(radians(e))', 'y')}, {q6('cz + radius * cos(radians(e)) * cos(radians(a))', 'z')} FROM l, extent")
 def sphere_lattice(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sphere_lattice(spark, poles=True).select("id", *(r6(c).alias(c) for c in "xyz"))
+    """Places around all cameras, on a sphere that holds them."""
+    around = sampling.sphere_lattice(spark, poles=True).join(F.broadcast(extent(cameras(spark, d))))
+    return around.select("id", *(r6(F.col(f"c{c}") + F.col("radius") * F.col(c)).alias(c) for c in "xyz"))
 
 
 _CODES = NEIGHBOURS.sql["morton_order"].removeprefix("WITH ").replace(") SELECT id, CAST(", "), codes AS (SELECT id, CAST(", 1) + "), placed AS (SELECT id, x, y, z, row_number() OVER (ORDER BY code, id) AS n FROM codes JOIN splats USING (id)), near AS (SELECT p.id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 AS d2, row_number() OVER (PARTITION BY p.id ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2, q.id) AS r FROM placed p JOIN placed q ON q.n BETWEEN p.n - 3 AND p.n + 3 AND q.n <> p.n)"
