@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geofold.operators.knn import MAX_LEAVES, SAMPLED, XYZ, Tree
+from geofold.operators.knn import MAX_LEAVES, SAMPLED, XYZ, Tree, dealt, everywhere, piece_counts
 from geofold.operators.shared import stash, unstash
 
 #: Triangles of a leaf, about; points and triangles that one task compares.
@@ -125,20 +125,6 @@ class Forest:
         return out
 
 
-def _dealt(rows: DataFrame, by: str, counts: DataFrame, side: str) -> DataFrame:
-    """rows with the piece of their leaf that they are in; counts(leaf, pieces) has at most MAX_LEAVES rows."""
-    return rows.join(F.broadcast(counts), "leaf").withColumn(side, F.pmod(F.xxhash64(*by), F.col("pieces")).cast("int")).drop("pieces")
-
-
-def _everywhere(rows: DataFrame, counts: DataFrame, side: str) -> DataFrame:
-    """rows once for each piece of their leaf on the other side."""
-    return rows.join(F.broadcast(counts), "leaf").withColumn(side, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-
-
-def _pieces(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-
-
 def triangle_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
     """(i, fid, d2): the triangle nearest to each point and its squared distance; ties to the smallest fid.
 
@@ -184,15 +170,15 @@ def triangle_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
     state = asked.select(*XYZ).distinct().withColumn("home", home(*XYZ)).withColumn("done", F.lit(0)).withColumn("bound", F.lit(float("inf")))
     state = stash(state, "boxes-state")
     visits, best, turn = state.select(*XYZ, "bound", F.col("home").alias("leaf")), None, VISITS
-    face_pieces = stash(_pieces(held), "boxes-pieces")
+    face_pieces = stash(piece_counts(held, PIECE), "boxes-pieces")
     keys = ["leaf", "qp", "fp"]
     while True:
         visits = stash(visits, "boxes-visits")
         if best is not None and visits.isEmpty():
             break
-        asked_pieces = stash(_pieces(visits), "boxes-pieces")
-        left = _everywhere(_dealt(visits, XYZ, asked_pieces, "qp"), face_pieces, "fp")
-        right = _everywhere(_dealt(held, ["fid"], face_pieces, "fp"), asked_pieces, "qp")
+        asked_pieces = stash(piece_counts(visits, PIECE), "boxes-pieces")
+        left = everywhere(dealt(visits, XYZ, asked_pieces, "qp"), face_pieces, "fp")
+        right = everywhere(dealt(held, ("fid",), face_pieces, "fp"), asked_pieces, "qp")
         met = left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInArrow(_nearest, "x double, y double, z double, fid long, d2 double")
         found = (met if best is None else met.unionByName(best)).groupBy(*XYZ).agg(F.min(F.struct("d2", "fid")).alias("f")).select(*XYZ, "f.fid", "f.d2")
         last, best = best, stash(found, "boxes-best")

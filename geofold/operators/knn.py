@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofold.operators.shared import stash, unstash
@@ -126,14 +126,19 @@ def _compare(k: int):
     return run
 
 
-def _pieces(n: int) -> int:
-    return max(1, -(-n // PIECE))
+def piece_counts(rows: DataFrame, piece: int) -> DataFrame:
+    """(leaf, pieces): into how many pieces of about ``piece`` rows each leaf's rows go; at most ``MAX_LEAVES`` rows."""
+    return rows.groupBy("leaf").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
 
 
-def _by_leaf(leaf: str, counts: dict[int, int]) -> Column:
-    """Pieces of a leaf's rows; most leaves have one."""
-    many = [F.lit(x) for k, n in counts.items() if _pieces(n) > 1 for x in (k, _pieces(n))]
-    return F.coalesce(F.create_map(*many)[F.col(leaf)], F.lit(1)) if many else F.lit(1)
+def dealt(rows: DataFrame, by: tuple[str, ...], counts: DataFrame, side: str) -> DataFrame:
+    """rows with the piece of their leaf that they are in."""
+    return rows.join(F.broadcast(counts), "leaf").withColumn(side, F.pmod(F.xxhash64(*by), F.col("pieces")).cast("int")).drop("pieces")
+
+
+def everywhere(rows: DataFrame, counts: DataFrame, side: str) -> DataFrame:
+    """rows once for each piece of their leaf on the other side."""
+    return rows.join(F.broadcast(counts), "leaf").withColumn(side, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
 
 
 def knn(points: DataFrame, k: int, queries: DataFrame | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
@@ -167,7 +172,7 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, payload: tu
     home = leaf_udf(tree) if tree.leaves > 1 else lambda *_: F.lit(0)
     leafed = stash(useful.withColumn("leaf", home(*(f"p{c}" for c in XYZ))), "knn-leaves") if tree.leaves > 1 else useful.withColumn("leaf", F.lit(0))
     boxes = leafed.groupBy("leaf").agg(F.count("*"), *(f(f"p{c}") for f in (F.min, F.max) for c in XYZ)).collect()
-    held = {r[0]: r[1] for r in boxes}
+    held = piece_counts(leafed, PIECE)
     low, high = np.full((tree.leaves, 3), np.inf), np.full((tree.leaves, 3), -np.inf)
     for r in boxes:
         low[r[0]], high[r[0]] = r[2:5], r[5:8]
@@ -178,12 +183,12 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, payload: tu
     visits, best, turn = state.select(*XYZ, "bound", F.col("home").alias("leaf")), None, VISITS
     while True:
         visits = stash(visits, "knn-visits")
-        counts = {r[0]: r[1] for r in visits.groupBy("leaf").count().collect()}
-        if best is not None and not counts:
+        if best is not None and visits.isEmpty():
             break
-        own = F.pmod(F.xxhash64(*XYZ), _by_leaf("leaf", counts)).cast("int")
-        left = visits.withColumn("qp", own).withColumn("pp", F.explode(F.sequence(F.lit(0), _by_leaf("leaf", held) - 1)))
-        right = leafed.withColumn("pp", F.pmod(F.xxhash64("j"), _by_leaf("leaf", held)).cast("int")).withColumn("qp", F.explode(F.sequence(F.lit(0), _by_leaf("leaf", counts) - 1)))
+        counts = piece_counts(visits, PIECE)
+        left = everywhere(dealt(visits, XYZ, counts, "qp"), held, "pp")
+        right = everywhere(dealt(leafed, ("j",), held, "pp"), counts, "qp")
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
         met = left.groupBy("leaf", "qp", "pp").cogroup(right.groupBy("leaf", "qp", "pp")).applyInArrow(_compare(k), "x double, y double, z double, j long, d2 double")
         ranked = (met if best is None else met.unionByName(best.select(*XYZ, "j", "d2"))).withColumn("rank", F.row_number().over(Window.partitionBy(*XYZ).orderBy("d2", "j")) - 1)
         after = stash(ranked.where(F.col("rank") < k), "knn")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofold.functions.geom import r6
+from geofold.operators import checkpoints
 from geofold.operators.shared import shared_dir
 from geofold.plans.book import Book, q6
 from geofold.plans.fixtures import FACES, IMAGE, SPLATS, faces, image, splats, table, vertices
@@ -107,6 +108,18 @@ def camera_files(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("image_id").cast("long").alias("image_id"), "name", "model", F.col("params")[0].alias("f"), r6(F.col("tvec")[0]).alias("tx"), F.size("xys").alias("points"))
 
 
+@BOOK.query(f"SELECT vec_id AS id, {q6('CAST(embedding[2] AS DOUBLE)', 'y')}, {q6('CAST(embedding[7] AS DOUBLE)', 'dc')}, {q6('list_sum(embedding[10:54]::DOUBLE[])', 'rest')}, {q6('CAST(embedding[62] AS DOUBLE)', 'q3')}, {q6('CAST(embedding[56] AS DOUBLE)', 's0')}, (SELECT count(*) FROM embeddings) AS stated FROM embeddings")
+def stored_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model of an older form, stored with its settings and loaded in the present one."""
+    e = lambda a, z: F.slice(F.col("embedding").cast("array<double>"), a + 1, z - a)
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), e(0, 3).alias("points"), F.concat(e(6, 7), e(9, 54)).alias("sh_coordinates"), F.concat(e(58, 62), e(55, 58)).alias("radiuses"))
+    path = _path(spark, "model")
+    checkpoints.save(old, path, {"splats": old.count()})
+    now, settings = checkpoints.load(spark, path)
+    rest = F.aggregate("_sh_coordinates_rest", F.lit(0.0), lambda a, x: a + x)
+    return now.select("id", r6(F.col("_points")[1]).alias("y"), r6(F.col("_sh_coordinates_dc")[0]).alias("dc"), r6(rest).alias("rest"), r6(F.col("_quaternions")[3]).alias("q3"), r6(F.col("_scales")[0]).alias("s0"), F.lit(settings["splats"]).cast("long").alias("stated"))
+
+
 _GONE, _HALF = [3, 11], 0.5
 
 

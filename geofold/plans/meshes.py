@@ -232,18 +232,21 @@ def carried_frames(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sid", *(r6(c).alias(c) for c in out.columns[1:]))
 
 
-_BONES = [(0, (1.0, 0.0, 0.0, 0.1)), (1, (0.0, -1.0, 0.0, 0.0)), (2, (0.6, 0.0, 0.8, -0.2))]
+#: Three poses, rows of rotation and shift.
+_BONES = [
+    (0, ((1.0, 0.0, 0.0, 0.1), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0))),
+    (1, ((0.0, -1.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.3), (0.0, 0.0, 1.0, -0.1))),
+    (2, ((0.6, 0.0, 0.8, -0.2), (0.0, 1.0, 0.0, 0.0), (-0.8, 0.0, 0.6, 0.5))),
+]
 
 
 @BOOK.query(
     f"WITH {SPLATS}, w AS (SELECT l_partkey % n AS vid, l_linenumber % 3 AS bone, sum(l_quantity) AS w FROM lineitem, (SELECT count(*) AS n FROM embeddings) GROUP BY ALL), s AS (SELECT vid, bone, w / sum(w) OVER (PARTITION BY vid) AS share FROM w WHERE w > 0), b AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({b}, {r[0]}::DOUBLE, {r[1]}::DOUBLE, {r[2]}::DOUBLE, {r[3]}::DOUBLE)" for b, r in _BONES)
-    + f") t(bone, m0, m1, m2, m3)) SELECT vid, {q6('sum(share * (m0 * x + m1 * y + m2 * z + m3))', 'x')} FROM s JOIN b USING (bone) JOIN splats ON id = vid GROUP BY vid"
-)
+    + ", ".join(f"({b}, " + ", ".join(f"{x!r}::DOUBLE" for r in rows for x in r) + ")" for b, rows in _BONES)
+    + ") t(bone, " + ", ".join(f"m{r}{c}" for r in range(3) for c in range(4)) + ")) SELECT vid, " + ", ".join(q6(f"sum(share * (m{r}0 * x + m{r}1 * y + m{r}2 * z + m{r}3))", c) for r, c in enumerate("xyz")) + " FROM s JOIN b USING (bone) JOIN splats ON id = vid GROUP BY vid"
+)
 def skinning(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
     weights = table(spark, d, "lineitem").join(F.broadcast(n)).groupBy((F.col("l_partkey") % F.col("n")).alias("vid"), (F.col("l_linenumber") % 3).alias("bone")).agg(F.sum("l_quantity").alias("w"))
-    bones = spark.createDataFrame([(b, *r) for b, r in _BONES], "bone int, m00 double, m01 double, m02 double, m03 double")
-    for row in (1, 2):
-        bones = bones.withColumns({f"m{row}{k}": F.lit(0.0) for k in range(4)})
-    return mesh.skinned(vertices(spark, d), weights, F.broadcast(bones)).select("vid", r6("x").alias("x"))
+    bones = spark.createDataFrame([(b, *(x for r in rows for x in r)) for b, rows in _BONES], "bone int, " + ", ".join(f"m{r}{c} double" for r in range(3) for c in range(4)))
+    return mesh.skinned(vertices(spark, d), weights, F.broadcast(bones)).select("vid", *(r6(c).alias(c) for c in "xyz"))

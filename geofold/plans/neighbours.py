@@ -303,11 +303,18 @@ def uniform_subsample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.subsample(splats(spark, d).select("id"), ["id"], 50)
 
 
-@BOOK.query(f"WITH {SPLATS}, c AS (SELECT id, abs(nx) > 0.1 AND s0 <= 0.05 AS small, abs(nx) > 0.1 AND s0 > 0.05 AS large, s0 FROM splats), rows AS (SELECT id, 0 AS part, s0 FROM c WHERE NOT large UNION ALL SELECT id, 1, s0 FROM c WHERE small UNION ALL SELECT id, unnest([1, 2]), s0 / 1.6 FROM c WHERE large) SELECT id, CAST(part AS INTEGER) AS part, {q6('s0', 's0')} FROM rows")
+_GROWN = [_NORMAL("(id || '|' || part)", 10 * k) for k in range(3)]
+
+
+@BOOK.query(
+    f"WITH {SPLATS}, c AS (SELECT *, abs(nx) > 0.1 AND s0 <= 0.05 AS small, abs(nx) > 0.1 AND s0 > 0.05 AS large, sqrt(q0 ** 2 + q1 ** 2 + q2 ** 2 + q3 ** 2) AS qn FROM splats), "
+    f"parts AS (SELECT * FROM (SELECT *, unnest([1, 2]) AS part FROM c WHERE large)), moved AS (SELECT *, q0 / qn AS w, q1 / qn AS i, q2 / qn AS j, q3 / qn AS k, {', '.join(f'{g} * s{k} AS o{k}' for k, g in enumerate(_GROWN))} FROM parts), "
+    "rows AS (SELECT id, 0 AS part, x, y, z, s0, s2 FROM c WHERE NOT large UNION ALL SELECT id, 1, x, y, z, s0, s2 FROM c WHERE small UNION ALL SELECT id, part, " + ", ".join(f"{c} + {_FRAME[a]}" for a, c in enumerate("xyz")) + f", s0 / 1.6, s2 / 1.6 FROM moved) SELECT id, CAST(part AS INTEGER) AS part, {', '.join(q6(c, c) for c in ('x', 'y', 'z', 's0', 's2'))} FROM rows"
+)
 def densify_clone_split(spark: SparkSession, d: str) -> DataFrame:
     rows = splats(spark, d).select("id", *XYZ, "s0", "s1", "s2", "q0", "q1", "q2", "q3", "nx")
     steep = F.abs("nx") > 0.1
-    return sampling.densified(rows, steep & (F.col("s0") <= 0.05), steep & (F.col("s0") > 0.05)).select("id", "part", r6("s0").alias("s0"))
+    return sampling.densified(rows, steep & (F.col("s0") <= 0.05), steep & (F.col("s0") > 0.05)).select("id", "part", *(r6(c).alias(c) for c in (*XYZ, "s0", "s2")))
 
 
 #: Random places for each splat.
