@@ -18,7 +18,8 @@ that its texts can reach, without keys. Arcs of histories that make up a large p
 sample of rows, which decides nothing but the task) are spread over all buckets by their key;
 their weights are summed over buckets and sent to all groups. These histories are at most 1 / ``LEAST_HOT``.
 
-A key has at most 64 bits, some for the history and some for the token (``Bits``). Counts cover all training documents.
+A key has at most 64 bits, some for the history and some for the token (``Bits``), so tokens after one history may share an arc: of order 3, 0.3 % of
+10,000 different successors, 5 % of 100,000. Counts cover all training documents.
 Every n-gram that occurs ``MIN_COUNT`` times has an arc, whatever the size of the corpus.
 
 Defined cases: null and empty texts have one token, the end; tokens never seen in training
@@ -67,7 +68,7 @@ _SUMS = "g long, first long, final long, bucket int, kind int, counts binary, st
 
 
 class Bits:
-    """How many bits of a key tell the history, and how many the token. Histories get ``SPARE`` bits more than the corpus has tokens, so as many share a key by chance at any size."""
+    """How many bits of a key tell the history, and how many the token. Histories get ``SPARE`` bits more than the corpus has tokens, but 44 at most: beyond some 26 GB fewer are to spare."""
 
     def __init__(self, size: int, order: int):
         tokens = max(1, size // 6).bit_length()
