@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from geofold.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
@@ -27,13 +28,24 @@ def test_stages_return_documents_and_pieces(spark):
 
 
 def test_queries_are_named_by_number_and_return_all_rows(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1", "op3", "op4", "op5", "op7", "op10"):
+    for name in ("op1", "op3", "op4", "op5", "op7", "op10", "op11", "op12"):
         q = next(f for k, f in QUERIES.items() if k.startswith(name + "_"))
         assert q(spark, SF).count() == n, name
 
 
+@pytest.mark.parametrize("name", ["op11_suffix_array_resampling", "op13_spelling_automata"])
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want)) and want
+
+
 def test_stages_on_odd_rows(spark):
     rng = np.random.default_rng(1)
     prose = lambda n: "\n".join(" ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(12)) for _ in range(n))
