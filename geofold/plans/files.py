@@ -104,7 +104,7 @@ def camera_files(spark: SparkSession, d: str) -> DataFrame:
     paths = [_path(spark, "cameras.bin"), _path(spark, "images.bin")]
     sinks.write_cameras(cams, paths[0])
     sinks.write_images(images, paths[1])
-    back = binary.extrinsics(spark, paths[1]).join(binary.intrinsics(spark, paths[0]), "camera_id")
+    back = binary.extrinsics(spark, paths[1]).join(F.broadcast(binary.intrinsics(spark, paths[0])), "camera_id")  # a camera for each of 25 nations
     return back.select(F.col("image_id").cast("long").alias("image_id"), "name", "model", F.col("params")[0].alias("f"), r6(F.col("tvec")[0]).alias("tx"), F.size("xys").alias("points"))
 
 

@@ -1,11 +1,10 @@
-"""Binary files of reconstructions as tables. Clouds, meshes and arrays are read by ranges of bytes (``records``); small files and image heads by Spark's reader of whole files, a row each."""
+"""Binary files of reconstructions as tables, read by ranges of bytes (``records``); image heads by Spark's reader of whole files, a row each."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +18,6 @@ CAMERA_MODELS = {
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
 
 
-def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part["content"]:
-                yield from decode(content)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
 def _opened(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
     from geofold.sources import records
 
@@ -43,34 +33,12 @@ def sparse_points(spark: SparkSession, path: str) -> DataFrame:
 
 def intrinsics(spark: SparkSession, path: str) -> DataFrame:
     """camera_id, model, width, height and parameters."""
-
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        (n,), at, rows = struct.unpack_from("<Q", data), 8, []
-        for _ in range(n):
-            key, model, width, height = struct.unpack_from("<iiQQ", data, at)
-            name, count = CAMERA_MODELS[model]
-            rows.append((key, name, width, height, list(struct.unpack_from(f"<{count}d", data, at + 24))))
-            at += 24 + 8 * count
-        yield pd.DataFrame(rows, columns=["camera_id", "model", "width", "height", "params"])
-
-    return _decoded(spark, path, decode, "camera_id int, model string, width long, height long, params array<double>")
+    return _opened(spark, "cameras", path)
 
 
 def extrinsics(spark: SparkSession, path: str) -> DataFrame:
     """image_id, qvec, tvec, camera_id, name and the image's points."""
-
-    def decode(data: bytes) -> Iterator[pd.DataFrame]:
-        (n,), at, rows = struct.unpack_from("<Q", data), 8, []
-        for _ in range(n):
-            head = struct.unpack_from("<i7di", data, at)
-            end = data.index(b"\0", at + 64)
-            (m,) = struct.unpack_from("<Q", data, end + 1)
-            points = np.frombuffer(data, np.dtype([("x", "<f8"), ("y", "<f8"), ("id", "<i8")]), m, end + 9)
-            rows.append((head[0], list(head[1:5]), list(head[5:8]), head[8], data[at + 64 : end].decode(), [{"x": float(x), "y": float(y)} for x, y in zip(points["x"], points["y"], strict=True)], points["id"].tolist()))
-            at = end + 9 + 24 * m
-        yield pd.DataFrame(rows, columns=["image_id", "qvec", "tvec", "camera_id", "name", "xys", "point3d_ids"])
-
-    return _decoded(spark, path, decode, "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string, xys array<struct<x:double,y:double>>, point3d_ids array<long>")
+    return _opened(spark, "images", path)
 
 
 def dense_array(spark: SparkSession, path: str) -> DataFrame:

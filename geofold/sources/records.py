@@ -5,8 +5,8 @@ Once ``register`` has run, ``spark.read.format(name).load(path)`` and ``df.write
     ply            vertices or faces of a PLY file (option ``element``), one column for each property
     sparse_points  points of a reconstruction with their tracks
     dense_array    (row, col, channel, value) of a "w&h&c&" array
-    cameras        intrinsics of a reconstruction (written only; the file is read whole, as it is small)
-    images         extrinsics of a reconstruction (written only)
+    cameras        intrinsics of a reconstruction
+    images         extrinsics of a reconstruction with their points
 
 Reading: files of records of one size are cut at known offsets. Where records vary in size, one pass over the records' heads notes where
 every ``rows_per_task``-th one begins. Every task opens the file itself and reads its own bytes, a block at a time.
@@ -330,24 +330,30 @@ POINT = np.dtype([("point_id", "<u8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"),
 PAIR = 8
 
 
-def _starts(data: bytes, at: int, most: int) -> tuple[list[int], int]:
-    """(places of whole records from ``at`` on, at most so many; the place after them)."""
-    out, end, size = [], len(data), POINT.itemsize
-    while len(out) < most and at + size <= end:
-        (n,) = struct.unpack_from("<Q", data, at + size - 8)
-        if at + size + PAIR * n > end:
+def _point_end(data: bytes, at: int) -> int | None:
+    """Where the record that begins at ``at`` ends; None if its head isn't whole."""
+    end = at + POINT.itemsize
+    return end + PAIR * struct.unpack_from("<Q", data, end - 8)[0] if end <= len(data) else None
+
+
+def _starts(data: bytes, most: int, end_of) -> tuple[list[int], int]:
+    """(places of whole records, at most so many; the place after them)."""
+    out, at = [], 0
+    while len(out) < most:
+        end = end_of(data, at)
+        if end is None or end > len(data):
             break
         out.append(at)
-        at += size + PAIR * n
+        at = end
     return out, at
 
 
-def _records(f, start: int, rows: int) -> Iterator[tuple[bytes, list[int], int]]:
+def _records(f, start: int, rows: int, end_of) -> Iterator[tuple[bytes, list[int], int]]:
     """(bytes, places of records in them, where the bytes stand in the file), block by block; a record longer than a block is read whole."""
     at, block = start, BLOCK
     while rows:
         data = f.read_at(block, at)
-        places, used = _starts(data, 0, rows)
+        places, used = _starts(data, rows, end_of)
         if not places:
             if len(data) < block:
                 raise ValueError("the file ends within a record")
@@ -357,24 +363,17 @@ def _records(f, start: int, rows: int) -> Iterator[tuple[bytes, list[int], int]]
         rows, at, block = rows - len(places), at + used, BLOCK
 
 
-class SparsePointSource(_Source):
-    columns = "point_id long, x double, y double, z double, r int, g int, b int, error double, track array<struct<image_id:int,point_index:int>>"
+class VaryingReader(DataSourceReader):
+    """Records that vary in size. Subclasses: where a record ends (``end_of``), and the rows of the records at some places of a block (``decoded``)."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "sparse_points"
-
-    def reader(self, schema):
-        return SparsePointReader(self.path, self.size_of_tasks()[1])
-
-    def writer(self, schema, overwrite):
-        return SparsePointWriter(self.path, overwrite)
+    end_of = staticmethod(_point_end)
 
-
-class SparsePointReader(DataSourceReader):
     def __init__(self, path: str, task_rows: int):
         self.path, self.task_rows = path, task_rows
 
+    def decoded(self, data: bytes, places: list[int]) -> pa.RecordBatch:
+        raise NotImplementedError
+
     def partitions(self):
         out = []
         for path in files(self.path):
@@ -382,7 +381,7 @@ class SparsePointReader(DataSourceReader):
             with own.open_input_file(at) as f:
                 (rows,) = struct.unpack("<Q", f.read_at(8, 0))
                 starts, seen = [], 0
-                for _, places, base in _records(f, 8, rows):
+                for _, places, base in _records(f, 8, rows, self.end_of):
                     starts += [base + places[k] for k in range(-seen % self.task_rows, len(places), self.task_rows)]
                     seen += len(places)
             out += [Piece(path, i * self.task_rows, min(self.task_rows, rows - i * self.task_rows), a, 0) for i, a in enumerate(starts)]
@@ -393,16 +392,39 @@ class SparsePointReader(DataSourceReader):
             return
         own, at = store(partition.path)
         with own.open_input_file(at) as f:
-            for data, places, _ in _records(f, partition.start, partition.rows):
-                raw, place = np.frombuffer(data, np.uint8), np.array(places)
-                head = raw[place[:, None] + np.arange(POINT.itemsize)].copy().view(POINT)[:, 0]
-                n = head["n"].astype(np.int64)
-                ends = np.r_[0, np.cumsum(n)]
-                byte = np.repeat(place + POINT.itemsize, n * PAIR) + np.arange(ends[-1] * PAIR) - np.repeat(ends[:-1] * PAIR, n * PAIR)
-                pairs = raw[byte].view("<i4").reshape(-1, 2)
-                track = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["image_id", "point_index"]))
-                numbers = [pa.array(head[c].astype(t)) for c, t in (("point_id", np.int64), *((c, float) for c in "xyz"), *((c, np.int32) for c in "rgb"), ("error", float))]
-                yield pa.RecordBatch.from_arrays([*numbers, track], ["point_id", "x", "y", "z", "r", "g", "b", "error", "track"])
+            for data, places, _ in _records(f, partition.start, partition.rows, self.end_of):
+                yield self.decoded(data, places)
+
+
+def _gathered(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, pa.Array]:
+    """(items of all lists, offsets of the lists): lists of so many items begin at some bytes."""
+    size, ends = kind.itemsize, np.r_[0, np.cumsum(counts)]
+    byte = np.repeat(starts, counts * size) + np.arange(ends[-1] * size) - np.repeat(ends[:-1] * size, counts * size)
+    return raw[byte].view(kind), pa.array(ends.astype(np.int32))
+
+
+class SparsePointSource(_Source):
+    columns = "point_id long, x double, y double, z double, r int, g int, b int, error double, track array<struct<image_id:int,point_index:int>>"
+
+    @classmethod
+    def name(cls) -> str:
+        return "sparse_points"
+
+    def reader(self, schema):
+        return SparsePointReader(self.path, self.size_of_tasks()[1])
+
+    def writer(self, schema, overwrite):
+        return SparsePointWriter(self.path, overwrite)
+
+
+class SparsePointReader(VaryingReader):
+    def decoded(self, data, places):
+        raw, place = np.frombuffer(data, np.uint8), np.array(places)
+        head = raw[place[:, None] + np.arange(POINT.itemsize)].copy().view(POINT)[:, 0]
+        pairs, ends = _gathered(raw, place + POINT.itemsize, head["n"].astype(np.int64), np.dtype([("image_id", "<i4"), ("point_index", "<i4")]))
+        track = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(pairs[c]) for c in pairs.dtype.names], pairs.dtype.names))
+        numbers = [pa.array(head[c].astype(t)) for c, t in (("point_id", np.int64), *((c, float) for c in "xyz"), *((c, np.int32) for c in "rgb"), ("error", float))]
+        return pa.RecordBatch.from_arrays([*numbers, track], ["point_id", "x", "y", "z", "r", "g", "b", "error", "track"])
 
 
 class SparsePointWriter(PartWriter):
@@ -482,6 +504,50 @@ class DenseArrayWriter(PartWriter):
 
 # ---- cameras and images
 
+#: Heads of the records; an image's name (ended by a zero byte) and its points, behind their number, follow.
+CAMERA = np.dtype([("camera_id", "<i4"), ("model", "<i4"), ("width", "<u8"), ("height", "<u8")])
+IMAGE = np.dtype([("image_id", "<i4"), ("qvec", "<f8", 4), ("tvec", "<f8", 3), ("camera_id", "<i4")])
+SEEN = np.dtype([("x", "<f8"), ("y", "<f8"), ("id", "<i8")])
+
+
+def _camera_end(data: bytes, at: int) -> int | None:
+    end = at + CAMERA.itemsize
+    return end + 8 * CAMERA_MODELS[struct.unpack_from("<i", data, at + 4)[0]][1] if end <= len(data) else None
+
+
+def _image_end(data: bytes, at: int) -> int | None:
+    name = data.find(b"\0", at + IMAGE.itemsize)
+    return name + 9 + SEEN.itemsize * struct.unpack_from("<Q", data, name + 1)[0] if 0 <= name <= len(data) - 9 else None
+
+
+class CameraReader(VaryingReader):
+    end_of = staticmethod(_camera_end)
+
+    def decoded(self, data, places):
+        raw, place = np.frombuffer(data, np.uint8), np.array(places)
+        head = raw[place[:, None] + np.arange(CAMERA.itemsize)].copy().view(CAMERA)[:, 0]
+        models = [CAMERA_MODELS[m] for m in head["model"].tolist()]
+        values, ends = _gathered(raw, place + CAMERA.itemsize, np.array([n for _, n in models]), np.dtype("<f8"))
+        size = [pa.array(head[c].astype(np.int64)) for c in ("width", "height")]
+        return pa.RecordBatch.from_arrays([pa.array(head["camera_id"]), pa.array([m for m, _ in models]), *size, pa.ListArray.from_arrays(ends, pa.array(values))], ["camera_id", "model", "width", "height", "params"])
+
+
+class ImageReader(VaryingReader):
+    end_of = staticmethod(_image_end)
+
+    def decoded(self, data, places):
+        raw, place = np.frombuffer(data, np.uint8), np.array(places)
+        head = raw[place[:, None] + np.arange(IMAGE.itemsize)].copy().view(IMAGE)[:, 0]
+        ends = [data.index(b"\0", p + IMAGE.itemsize) for p in places]
+        names = [data[p + IMAGE.itemsize : e].decode() for p, e in zip(places, ends, strict=True)]
+        end = np.array(ends)
+        n = raw[end[:, None] + np.arange(1, 9)].copy().view("<u8")[:, 0].astype(np.int64)
+        seen, offsets = _gathered(raw, end + 9, n, SEEN)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(head[c].ravel()), head[c].shape[1]).cast(pa.list_(pa.float64())) for c in ("qvec", "tvec")]
+        xys = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(seen[c]) for c in "xy"], ["x", "y"]))
+        columns = [pa.array(head["image_id"]), *lists, pa.array(head["camera_id"]), pa.array(names, pa.string()), xys, pa.ListArray.from_arrays(offsets, pa.array(seen["id"]))]
+        return pa.RecordBatch.from_arrays(columns, ["image_id", "qvec", "tvec", "camera_id", "name", "xys", "point3d_ids"])
+
 
 class CameraSource(_Source):
     columns = "camera_id int, model string, width long, height long, params array<double>"
@@ -490,6 +556,9 @@ class CameraSource(_Source):
     def name(cls) -> str:
         return "cameras"
 
+    def reader(self, schema):
+        return CameraReader(self.path, self.size_of_tasks()[1])
+
     def writer(self, schema, overwrite):
         return CameraWriter(self.path, overwrite)
 
@@ -513,6 +582,9 @@ class ImageSource(_Source):
     def name(cls) -> str:
         return "images"
 
+    def reader(self, schema):
+        return ImageReader(self.path, self.size_of_tasks()[1])
+
     def writer(self, schema, overwrite):
         return ImageWriter(self.path, overwrite)
 

@@ -87,3 +87,20 @@ def test_arrays_must_be_full(spark, tmp_path):
     with pytest.raises(Exception, match="fill"):
         sinks.write_dense_array(cells, f"{tmp_path}/b.bin", 5, 3, 2)
     assert np.frombuffer(open(f"{tmp_path}/a.bin", "rb").read()[6:], "<f4").tolist() == [i * 1.5 for i in range(24)]
+
+
+def test_cameras_and_images_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "BLOCK", 1 << 12)
+    models = {"SIMPLE_PINHOLE": 3, "OPENCV": 8}
+    cams = [(i, list(models)[i % 2], 640, 480, [i + 0.5 * k for k in range(list(models.values())[i % 2])]) for i in range(100)]
+    rows = [(i, [1.0, 0.0, 0.5, i], [0.25 * i, 0.0, 1.0], i % 100, "é" * (i % 9) + str(i), [(0.5 * j, 1.0 * i) for j in range(300 if i == 70 else i % 4)], [j - 1 for j in range(300 if i == 70 else i % 4)]) for i in range(1000)]
+    sinks.write_cameras(spark.createDataFrame(cams, records.CameraSource.columns).repartition(3), f"{tmp_path}/cameras.bin")
+    sinks.write_images(spark.createDataFrame([tuple([float(x) for x in v] if k in (1, 2) else v for k, v in enumerate(r)) for r in rows], records.ImageSource.columns).repartition(5), f"{tmp_path}/images.bin")
+    load = lambda kind: spark.read.format(kind).option("rows_per_task", 64).load(f"{tmp_path}/{kind}.bin")
+    assert [load(k).rdd.getNumPartitions() for k in ("cameras", "images")] == [2, 16]
+    assert sorted(tuple(r) for r in load("cameras").collect()) == cams
+    assert sorted((r[0], r[1], r[2], r[3], r[4], [tuple(p) for p in r[5]], r[6]) for r in load("images").collect()) == rows
+    whole = open(f"{tmp_path}/images.bin", "rb").read()
+    open(f"{tmp_path}/images.bin", "wb").write(whole[:-5])
+    with pytest.raises(Exception, match="ends within a record"):
+        load("images").count()
