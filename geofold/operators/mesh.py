@@ -35,11 +35,20 @@ def adjacent_faces(faces: DataFrame) -> DataFrame:
     return edges(faces).groupBy("u", "v").agg(F.count("*").alias("uses"), F.min("fid").alias("f"), F.max("fid").alias("g")).where("uses = 2 AND f < g").drop("uses")
 
 
+#: Vertices up to which they are sent to all tasks, so that faces needn't be dealt by their corners (some 100 MB at most). The join's rows are the same.
+SENT = 1 << 20
+
+
+def sender(vertices: DataFrame):
+    """What marks parts of vertices to be broadcast, where these are few; else they stay as they are."""
+    return F.broadcast if vertices.select("vid").limit(SENT + 1).count() <= SENT else lambda part: part
+
+
 def with_corners(faces: DataFrame, vertices: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """faces with the corners' coordinates ax, ay, ... cz."""
-    out = faces
+    out, send = faces, sender(vertices)
     for k in CORNERS:
-        out = out.join(vertices.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in ("x", "y", "z", *extra))), k)
+        out = out.join(send(vertices.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in ("x", "y", "z", *extra)))), k)
     return out
 
 
@@ -221,19 +230,18 @@ def pose_from_rest(bones: DataFrame) -> DataFrame:
     return bones.select("bone", *(m[r][c].alias(f"m{r}{c}") for r in range(3) for c in range(4)))
 
 
-def carried(splats: DataFrame, faces: DataFrame, reference: DataFrame, edited: DataFrame) -> DataFrame:
+def carried(splats: DataFrame, faces: DataFrame | None, reference: DataFrame, edited: DataFrame) -> DataFrame:
     """(sid, x y z, m00..m22, s1, s2): splats that are bound to faces, after the mesh was edited.
 
-    splats: sid, fid, weights b0 b1 b2 of the face's corners, in-plane turn (re, im) and in-plane scales s1 s2; faces: fid and corners; reference, edited: the
+    splats: sid, fid, weights b0 b1 b2 of the face's corners, in-plane turn (re, im) and in-plane scales s1 s2; faces: fid and corners (None: splats have their face's corners a, b, c); reference, edited: the
     vertices before and after. A splat keeps its place in the face. Its frame (columns of m) is the edited face's normal and two
     directions in the face: the turn, by as much more as the corners have turned against the first side, corner by corner as they weigh.
     Its scales follow how far the corners have moved from or to the face's centre, along the splat's own directions.
     """
-    def seen(v: DataFrame, mark: str) -> DataFrame:
-        c = with_corners(faces, v)
-        return c.select("fid", *(F.col(f"{k}{x}").alias(f"{mark}{k}{x}") for k in CORNERS for x in "xyz"))
-
-    rows = splats.join(seen(reference, "r"), "fid").join(seen(edited, "e"), "fid")
+    bound = splats if faces is None else splats.join(faces.select("fid", *CORNERS), "fid")
+    both = reference.select("vid", *"xyz").join(edited.select("vid", *(F.col(c).alias(f"e{c}") for c in "xyz")), "vid")
+    rows = with_corners(bound, both, ("ex", "ey", "ez"))
+    rows = rows.withColumnsRenamed({f"{k}{x}": f"r{k}{x}" for k in CORNERS for x in "xyz"} | {f"{k}e{x}": f"e{k}{x}" for k in CORNERS for x in "xyz"})
     new: dict = {}
 
     def vector(name: str, v: list) -> list[str]:

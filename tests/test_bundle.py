@@ -74,3 +74,21 @@ def test_splats_are_carried_by_turned_and_stretched_faces(spark):
         assert np.allclose(still[i][0].T @ still[i][0], np.eye(3)) and still[i][2:] == pytest.approx((0.1, 0.2), rel=0.05)
         assert np.allclose(moved[i][0], turn @ still[i][0]) and np.allclose(moved[i][1], turn @ still[i][1] + 3) and moved[i][2:] == pytest.approx(still[i][2:])
         assert np.allclose(larger[i][0], still[i][0]) and np.allclose(larger[i][1], 2 * still[i][1]) and larger[i][2] > still[i][2] and larger[i][3] > still[i][3]
+
+
+def test_splats_that_know_their_corners_are_not_dealt_by_face(spark):
+    rng = np.random.default_rng(2)
+    table = lambda p: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "vid long, x double, y double, z double")
+    before, after = table(rng.normal(size=(9, 3))), table(rng.normal(size=(9, 3)))
+    faces = spark.createDataFrame([(i, *map(int, rng.permutation(9)[:3])) for i in range(40)], "fid long, a long, b long, c long")
+    bound = faces.select(F.col("fid").alias("sid"), "*", *(F.lit(w).alias(f"b{i}") for i, w in enumerate((0.2, 0.5, 0.3))), F.lit(0.6).alias("re"), F.lit(0.8).alias("im"), F.lit(0.1).alias("s1"), F.lit(0.2).alias("s2"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known, looked_up = mesh.carried(bound, None, before, after), mesh.carried(bound.drop("a", "b", "c"), faces, before, after)
+        plan = spark._jvm.PythonSQLUtils.explainString(known._jdf.queryExecution(), "simple")
+        joins = plan.count("BroadcastHashJoin")
+        rows = [sorted(tuple(r) for r in x.collect()) for x in (known, looked_up)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert joins == 3 and len(rows[0]) == 40 and np.allclose(rows[0], rows[1], rtol=1e-12)
