@@ -35,13 +35,13 @@ def adjacent_faces(faces: DataFrame) -> DataFrame:
     return edges(faces).groupBy("u", "v").agg(F.count("*").alias("uses"), F.min("fid").alias("f"), F.max("fid").alias("g")).where("uses = 2 AND f < g").drop("uses")
 
 
-#: Vertices up to which they are sent to all tasks, so that faces needn't be dealt by their corners (some 100 MB at most). The join's rows are the same.
+#: Rows of vertices up to which they are sent to all tasks, so that faces needn't be dealt by their corners (some 100 MB at most). The join's rows are the same.
 SENT = 1 << 20
 
 
-def sender(vertices: DataFrame):
-    """What marks parts of vertices to be broadcast, where these are few; else they stay as they are."""
-    return F.broadcast if vertices.select("vid").limit(SENT + 1).count() <= SENT else lambda part: part
+def sender(rows: DataFrame, most: int = SENT):
+    """What marks a table made of rows to be broadcast, where these are at most so many; else it stays as it is."""
+    return F.broadcast if rows.select(rows.columns[0]).limit(most + 1).count() <= most else lambda part: part
 
 
 def with_corners(faces: DataFrame, vertices: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -137,19 +137,29 @@ def smooth_normals(faces: DataFrame, vertices: DataFrame, crease: float = 60.0)
     Faces around a vertex are linked if they share an edge there (that two faces use) whose normals differ by at most ``crease`` degrees; a
     linked part's normal is the mean of its faces' normals, weighed by area. Null where that is zero.
     """
-    n = face_normal(*(corner(k) for k in CORNERS))
-    raw = stash(with_corners(faces, vertices).select("fid", *(c.alias(f"r{x}") for c, x in zip(n, "xyz", strict=True))), "face-normals")
-    at = F.explode(F.array(*(F.struct(F.lit(i).alias("corner"), F.col(k).alias("vid")) for i, k in enumerate(CORNERS))))
-    corners = faces.select("fid", at.alias("c")).select("fid", "c.corner", "c.vid", (3 * F.col("fid") + F.col("c.corner")).alias("node"))
-    flat = dihedral_angles(faces, vertices).where(F.col("raw") <= crease).select("f", "g")
-    shared = adjacent_faces(faces).join(flat, ["f", "g"]).select("f", "g", F.explode(F.array("u", "v")).alias("vid")).distinct()
+    raw = lambda rows: with_corners(rows, vertices).withColumns({f"r{x}": c for x, c in zip("xyz", face_normal(*(corner(k) for k in CORNERS)), strict=True)})
+    sides = stash(adjacent_faces(faces), "adjacent")
+    beside = sides.select(F.explode(F.array("f", "g")).alias("fid")).distinct()
+    # only faces beside another one are dealt out; the others' corners keep their own normal
+    own = stash(raw(faces.join(sender(beside, SENT // 4)(beside), "fid", "left_semi")).select("fid", *CORNERS, "rx", "ry", "rz"), "face-normals")
+    size = norm(["rx", "ry", "rz"])
+    unit = lambda k: own.where(size > 1e-20).select(F.col("fid").alias(k), *((F.col(f"r{x}") / size).alias(f"{k}{x}") for x in "xyz"))
+    bend = angle_degrees(dot(["fx", "fy", "fz"], ["gx", "gy", "gz"]))
+    shared = sides.join(unit("f"), "f").join(unit("g"), "g").where(bend <= crease).select("f", "g", F.explode(F.array("u", "v")).alias("vid")).distinct()
+    at = F.explode(F.array(*(F.struct((3 * F.col("fid") + i).alias("node"), F.col(k).alias("vid")) for i, k in enumerate(CORNERS))))
+    corners = own.select("fid", at.alias("c")).select("fid", "c.node", "c.vid")
     side = lambda k, name: corners.select(F.col("fid").alias(k), "vid", F.col("node").alias(name))
     links = shared.join(side("f", "i"), ["f", "vid"]).join(side("g", "j"), ["g", "vid"]).select("i", "j")
-    roots = connected_components(links, stars=True)
-    parted = corners.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).join(raw, "fid")
-    sums = parted.groupBy("part").agg(*(F.sum(f"r{x}").alias(f"s{x}") for x in "xyz"))
+    roots = connected_components(links, stars=True).select("root", F.expr("node - pmod(node, 3)").alias("__first"), F.expr("pmod(node, 3)").alias("k"))
+    linked = roots.join(own.select((3 * F.col("fid")).alias("__first"), "fid", "rx", "ry", "rz"), "__first")
+    sums = linked.groupBy("root").agg(*(F.sum(f"r{x}").alias(f"s{x}") for x in "xyz"))
+    of = lambda i, x: F.max(F.when(F.col("k") == i, F.col(f"s{x}"))).alias(f"s{i}{x}")
+    parts = stash(linked.select("root", "fid", "k").join(sums, "root").groupBy("fid").agg(*(of(i, x) for i in range(3) for x in "xyz")), "corner-normals")
+    found = raw(faces.join(sender(parts, SENT // 4)(parts), "fid", "left"))
+    total = lambda i, x: F.coalesce(f"s{i}{x}", f"r{x}").alias(f"s{x}")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("corner"), F.col(k).alias("vid"), *(total(i, x) for x in "xyz")) for i, k in enumerate(CORNERS))))
     size = norm(["sx", "sy", "sz"])
-    return parted.join(sums, "part").select("fid", "corner", "vid", *(F.when(size > 0, F.col(f"s{x}") / size).alias(f"n{x}") for x in "xyz"))
+    return found.select("fid", each.alias("c")).select("fid", "c.*").select("fid", "corner", "vid", *(F.when(size > 0, F.col(f"s{x}") / size).alias(f"n{x}") for x in "xyz"))
 
 
 def bounds(vertices: DataFrame) -> DataFrame:

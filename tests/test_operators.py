@@ -405,3 +405,30 @@ def test_harmonics_of_degree_four_are_orthonormal(spark):
     df = spark.createDataFrame(v.tolist(), "x double, y double, z double")
     b = np.array(df.select(*(c.alias(f"b{k}") for k, c in enumerate(geom.sh_basis(["x", "y", "z"], 4)))).collect())
     assert np.abs(b.T @ b / len(b) * 4 * np.pi - np.eye(25)).max() < 0.12
+
+
+def test_only_faces_beside_others_are_written_for_smooth_normals(spark, monkeypatch):
+    """A strip of triangles, bent at two of its sides, and 500 lone faces."""
+    rng = np.random.default_rng(4)
+    places = [(float(i // 2), float(i % 2), float(i in (6, 7))) for i in range(12)] + rng.normal(size=(1500, 3)).tolist()
+    corners = [(i, i + 1, i + 2) if i % 2 else (i + 1, i, i + 2) for i in range(10)] + [(12 + 3 * i, 13 + 3 * i, 14 + 3 * i) for i in range(500)]
+    v = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "fid long, a long, b long, c long").repartition(3)
+    written, stash = {}, mesh.stash
+    monkeypatch.setattr(mesh, "stash", lambda df, name: written.setdefault(name, stash(df, name)))
+    got = {(r.fid, r.corner): (r.vid, r.nx, r.ny, r.nz) for r in mesh.smooth_normals(f, v, 30.0).collect()}
+    assert max(t.count() for t in written.values()) <= 10
+    p = np.array(places)
+    raw = np.array([np.cross(p[b] - p[a], p[c] - p[a]) for a, b, c in corners])
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    part = {(i, c): (i, c) for i, t in enumerate(corners) for c in range(3)}
+    for i in range(9):  # neighbours along the strip
+        if np.degrees(np.arccos(np.clip(unit[i] @ unit[i + 1], -1, 1))) <= 30:
+            for vid in set(corners[i]) & set(corners[i + 1]):
+                x, y = part[i, corners[i].index(vid)], part[i + 1, corners[i + 1].index(vid)]
+                part = {k: x if r == y else r for k, r in part.items()}
+    assert len(set(part.values())) < len(part) - 5
+    for k, root in part.items():
+        s = sum(raw[i] for (i, c), r in part.items() if r == root)
+        assert got[k][0] == corners[k[0]][k[1]] and np.allclose(got[k][1:], s / np.linalg.norm(s))
+    assert len(got) == len(part)
