@@ -5,8 +5,10 @@ of many small ones: each class of sizes has a k-d tree of its own over a bounded
 its triangles whole. A point meets the leaf nearest to it first; then, in rounds, those whose boxes are nearer than the nearest triangle
 found so far, nearest boxes first, until none is left. The driver holds trees and boxes of at most ``MAX_LEAVES`` leaves, whatever the number of triangles.
 
-Points of one place have one answer. What meets in a leaf is dealt to pieces on both sides; a task compares one piece with one: first
-boxes and planes against the present best, then the triangles that remain.
+Points of one place have one answer. What meets in a leaf is dealt to pieces on both sides; a task compares one piece with one. Its points
+are cut into blocks of neighbours: a block keeps the triangles whose boxes and planes come near its own box, then each of its points those whose planes
+and boxes are nearer than its present best, and only these are measured. Leaves of triangles that are larger than a leaf's share of space are
+fuller, as every point would meet them all.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 from geofold.operators.knn import MAX_LEAVES, SAMPLED, XYZ, Tree, dealt, everywhere, piece_counts
 from geofold.operators.shared import stash, unstash
 
-#: Triangles of a leaf, about; points and triangles that one task compares.
-LEAF, PIECE = 1000, 4096
+#: Triangles of a leaf, about; triangles and points that one task compares.
+LEAF, PIECE, POINTS = 1000, 4096, 16384
 #: Classes of sizes: a class reaches up to so many times the size of the next smaller one; the last takes all above.
 STEP, CLASSES = 4.0, 16
 #: Leaves that a point visits in the round after its first one; each further round four times as many.
 VISITS = 16
-#: Points that are compared at once.
-BLOCK = 64
+#: Points of a block, compared at once.
+BLOCK = 128
 
 CORNERS = [f"{k}{c}" for k in "abc" for c in XYZ]
 
@@ -53,6 +55,20 @@ def point_triangle(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -
     return np.where(inside, np.minimum(out, foot), out)
 
 
+def _blocks(p: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the points, neighbours together: halved along the widest side until a block is small."""
+    done, left = [], [np.arange(len(p))] if len(p) else []
+    while left:
+        own = left.pop()
+        if len(own) <= BLOCK:
+            done.append(own)
+            continue
+        d = int(np.ptp(p[own], axis=0).argmax())
+        own = own[np.argpartition(p[own, d], len(own) // 2)]
+        left += [own[: len(own) // 2], own[len(own) // 2 :]]
+    return done
+
+
 def _nearest(points: pa.Table, faces: pa.Table) -> pa.Table:
     """(x, y, z, fid, d2): the nearest triangle of this piece to each point for which it may be the nearest of all; ties to the smallest fid."""
     p = np.column_stack([points[c].to_numpy() for c in XYZ])
@@ -66,21 +82,30 @@ def _nearest(points: pa.Table, faces: pa.Table) -> pa.Table:
     n = np.divide(n, size[:, None], where=size[:, None] > 0, out=np.zeros_like(n))
     shift, mid = (n * a).sum(1), (a + b + c) / 3
     who, near, far = [], [], []
-    for at in range(0, len(p) if len(fid) else 0, BLOCK):
-        own = p[at : at + BLOCK]
-        squares = lambda off: sum(off(k) ** 2 for k in range(3))
-        least = np.minimum(bound[at : at + BLOCK], squares(lambda k: own[:, k, None] - mid[:, k]).min(1))  # noqa: B023
-        least *= 1 + 1e-9  # of rounding, here as in the bounds of the next round
-        box = squares(lambda k: np.maximum(np.maximum(low[:, k] - own[:, k, None], own[:, k, None] - high[:, k]), 0))  # noqa: B023
-        plane = (own @ n.T - shift) ** 2
-        i, j = np.nonzero((box <= least[:, None]) & (plane <= least[:, None] + 1e-12 * shift**2))
+    gap = lambda lo, hi, x, y: sum(np.maximum(np.maximum(lo[..., k] - y[..., k], x[..., k] - hi[..., k]), 0) ** 2 for k in range(3))
+    for block in _blocks(p) if len(fid) else []:
+        own = p[block]
+        least = bound[block]
+        if not np.isfinite(least).all():
+            least = np.minimum(least, sum((own[:, k, None] - mid[:, k]) ** 2 for k in range(3)).min(1))
+        least = least * (1 + 1e-9)  # of rounding, here as in the bounds of the next round
+        lo, hi, most = own.min(0), own.max(0), least.max()
+        reach = np.sqrt(most) + np.abs(n) @ (hi - lo) / 2
+        slack = 1e-6 * np.abs(shift) + 1e-12 * np.abs(own).max()  # what rounding may add to a plane's distance
+        at = np.flatnonzero((gap(low, high, lo, hi) <= most) & (np.abs(n @ ((lo + hi) / 2) - shift) <= reach * (1 + 1e-9) + slack))
+        if not len(at):
+            continue
+        i, j = np.nonzero(np.abs(own @ n[at].T - shift[at]) <= np.sqrt(least)[:, None] + slack[at])
+        j = at[j]
+        boxed = gap(low[j], high[j], own[i], own[i]) <= least[i]
+        i, j = i[boxed], j[boxed]
         if not len(i):
             continue
         d = point_triangle(own[i], a[j], b[j], c[j])
         best = np.lexsort((fid[j], d, i))
         best = best[np.r_[True, i[best[1:]] != i[best[:-1]]]]
         best = best[d[best] <= least[i[best]]]
-        who.append(at + i[best])
+        who.append(block[i[best]])
         near.append(fid[j[best]])
         far.append(d[best])
     who, near, far = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((who, np.int64), (near, np.int64), (far, float)))
@@ -146,7 +171,13 @@ def triangle_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
     share = min(1.0, SAMPLED * min(MAX_LEAVES, n // LEAF + 1) / n)
     sample = whole.withColumn("kind", kind).where(F.pmod(F.xxhash64("fid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("kind", *(f"m{x}" for x in XYZ)).toPandas()
     of = {k: sample.loc[sample["kind"] == k, [f"m{x}" for x in XYZ]].to_numpy() for k in kinds}
-    forest = Forest(of, {k: max(1, min(MAX_LEAVES * c // n, c // LEAF)) for k, c in kinds.items()})
+
+    def leaves(k: int, c: int) -> int:
+        """Leaves no smaller than the triangles of the class, as far as a task can compare them."""
+        room = np.prod(np.maximum(np.ptp(of[k], axis=0) / max(most / STEP ** (k + 1), 1e-300), 1)) if len(of[k]) and most > 0 else 1.0
+        return max(1, min(MAX_LEAVES * c // n, c // LEAF, max(c // PIECE, int(min(room, MAX_LEAVES)))))
+
+    forest = Forest(of, {k: leaves(k, c) for k, c in kinds.items()})
 
     @F.pandas_udf("int")
     def leaf(kind, x, y, z):
@@ -176,7 +207,7 @@ def triangle_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
         visits = stash(visits, "boxes-visits")
         if best is not None and visits.isEmpty():
             break
-        asked_pieces = stash(piece_counts(visits, PIECE), "boxes-pieces")
+        asked_pieces = stash(piece_counts(visits, POINTS), "boxes-pieces")
         left = everywhere(dealt(visits, XYZ, asked_pieces, "qp"), face_pieces, "fp")
         right = everywhere(dealt(held, ("fid",), face_pieces, "fp"), asked_pieces, "qp")
         met = left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInArrow(_nearest, "x double, y double, z double, fid long, d2 double")

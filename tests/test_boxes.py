@@ -58,3 +58,22 @@ def test_without_triangles_or_points(spark):
     one = spark.createDataFrame([(7, *[1.0] * 9)], FACES)
     assert boxes.triangle_distances(points.limit(0), one).collect() == []
     assert [tuple(r) for r in boxes.triangle_distances(points, one).collect()] == [(1, 7, 3.0)]
+
+
+def test_large_triangles_have_few_leaves_and_blocks_hold_neighbours(spark, monkeypatch):
+    """Triangles across all of space: leaves of ten would all be met by every point."""
+    for name, value in (("LEAF", 10), ("PIECE", 300), ("POINTS", 50), ("BLOCK", 8)):
+        monkeypatch.setattr(boxes, name, value)
+    rng = np.random.default_rng(8)
+    corners, points = rng.normal(size=(3000, 3, 3)), rng.normal(size=(120, 3))
+    blocks = boxes._blocks(points)
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(120)) and max(map(len, blocks)) <= 8
+    assert np.mean([np.ptp(points[b], axis=0).prod() for b in blocks]) < np.ptp(points, axis=0).prod() / 16
+    leaves, forest = [], boxes.Forest
+    monkeypatch.setattr(boxes, "Forest", lambda samples, n: leaves.append(sum(n.values())) or forest(samples, n))
+    faces = spark.createDataFrame([(i, *map(float, c.ravel())) for i, c in enumerate(corners)], FACES)
+    got = {r.i: (r.fid, r.d2) for r in boxes.triangle_distances(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double, z double"), faces).collect()}
+    p, f = np.repeat(points, len(corners), axis=0), np.tile(corners, (len(points), 1, 1))
+    d2 = boxes.point_triangle(p, f[:, 0], f[:, 1], f[:, 2]).reshape(len(points), -1)
+    assert all(got[i][0] == d2[i].argmin() and got[i][1] == pytest.approx(d2[i].min(), rel=1e-9) for i in range(len(points)))
+    assert leaves[0] < 100
