@@ -222,6 +222,153 @@ def _next_visits(state: DataFrame, tree: Tree, turn: int) -> tuple[DataFrame, Da
     return visits, state.withColumn("done", F.col("done") + turn)
 
 
+#: Other leaves up to which a point's neighbours are brought to its own leaf, and rows of needs up to which they are sent to all tasks.
+NEAR_LEAVES, SENT = 64, 1 << 18
+#: Points of a block of neighbours.
+CLOSE = 128
+
+
+def _blocks(p: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the points, neighbours together: halved along the widest side until a block is small."""
+    done, left = [], [np.arange(len(p))] if len(p) else []
+    while left:
+        own = left.pop()
+        if len(own) <= CLOSE:
+            done.append(own)
+            continue
+        d = int(np.ptp(p[own], axis=0).argmax())
+        own = own[np.argpartition(p[own, d], len(own) // 2)]
+        left += [own[: len(own) // 2], own[len(own) // 2 :]]
+    return done
+
+
+def _squares(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (q[:, 0, None] - p[:, 0]) ** 2 + (q[:, 1, None] - p[:, 1]) ** 2 + (q[:, 2, None] - p[:, 2]) ** 2
+
+
+def _block_nearest(q: np.ndarray, p: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block of queries, numbers of the points near it, squared distances, each query's k-th one); the first points are the queries. Infinite where points are fewer than k."""
+    for block in _blocks(q):
+        own = q[block]
+        reach = np.sqrt(np.partition(_squares(own, own), k - 1, axis=1)[:, k - 1].max()) * (1 + 1e-9) if len(own) >= k else np.inf
+        near = np.flatnonzero(((p >= own.min(0) - reach) & (p <= own.max(0) + reach)).all(axis=1))
+        d = _squares(own, p[near])
+        yield block, near, d, np.partition(d, k - 1, axis=1)[:, k - 1] if len(near) >= k else np.full(len(own), np.inf)
+
+
+_PLACES = [f"p{c}" for c in XYZ]
+_BOX = [f"{e}{c}" for e in ("lo", "hi") for c in XYZ]
+_NEEDS = "leaf int, src int, j long, " + ", ".join(f"{c} double" for c in _BOX)
+
+
+def _needs(tree: Tree, k: int):
+    """What a leaf's points need of other leaves: a box of each. A point that may need very many leaves is named instead (leaf -1, its id and place)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        src, j, p = t["leaf"][0].as_py(), t["j"].to_numpy(), np.column_stack([t[c].to_numpy() for c in _PLACES])
+        who, other, far = [], [], np.zeros(len(p), bool)
+        reach = np.zeros(len(p))
+        for block, _, _, kth in _block_nearest(p, p, k):
+            reach[block] = np.sqrt(kth) * (1 + 1e-9)
+            some = block[np.isfinite(kth)]
+            far[block] = ~np.isfinite(kth)
+            query, leaf, _ = tree.within(p[some], reach[some] ** 2 * (1 + 1e-9))
+            query, leaf = query[leaf != src], leaf[leaf != src]
+            many = np.bincount(query, minlength=len(some)) > NEAR_LEAVES
+            far[some] = many
+            who.append(some[query[~many[query]]])
+            other.append(leaf[~many[query]])
+        who, other = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, other))
+        order = np.argsort(other, kind="stable")
+        who, other = who[order], other[order]
+        starts = np.flatnonzero(np.r_[True, other[1:] != other[:-1]]) if len(other) else np.zeros(0, np.int64)
+        low, high = p - reach[:, None], p + reach[:, None]
+        boxes = [np.minimum.reduceat(low[who], starts), np.maximum.reduceat(high[who], starts)] if len(starts) else [np.zeros((0, 3))] * 2
+        named = np.flatnonzero(far)
+        leaf = np.r_[other[starts], np.full(len(named), -1)].astype(np.int32)
+        numbers = np.r_[np.column_stack(boxes), np.column_stack([p[named], p[named]])]
+        ids = np.r_[np.zeros(len(starts), np.int64), j[named]]
+        return pa.table([pa.array(leaf), pa.array(np.full(len(leaf), src, np.int32)), pa.array(ids), *(pa.array(c) for c in numbers.T)], ["leaf", "src", "j", *_BOX])
+
+    return run
+
+
+def _answered(k: int):
+    """(i, rank, j, d2) of a leaf's points; those named as far (their id and place) take no part as queries."""
+
+    def run(own: pa.Table, brought: pa.Table) -> pa.Table:
+        columns = lambda t: (t["j"].to_numpy(), np.column_stack([t[c].to_numpy() for c in _PLACES]))
+        (i, q), (other, p), named = columns(own), columns(brought), brought["named"].to_numpy(zero_copy_only=False).astype(bool)
+        key = lambda j, x: np.rec.fromarrays([j, *x.T])
+        asked = ~np.isin(key(i, q), key(other[named], p[named])) if named.any() else np.ones(len(i), bool)
+        ids, places = np.r_[i, other[~named]], np.r_[q, p[~named]]
+        order = np.argsort(ids, kind="stable")
+        ids, places = ids[order], places[order]
+        i, q = i[asked], q[asked]
+        out = []
+        for block, near, d, kth in _block_nearest(q, places, k):
+            row, column = np.nonzero(d <= kth[:, None])
+            order = np.lexsort((near[column], d[row, column], row))  # near points are in order of their ids
+            row, column = row[order], column[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, column, rank = row[rank < k], column[rank < k], rank[rank < k]
+            out.append((i[block[row]], rank.astype(np.int32), ids[near[column]], d[row, column]))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.table([pa.array(np.concatenate(c) if out else [], t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, types, strict=True)], ["i", "rank", "j", "d2"])
+
+    return run
+
+
+def self_knn(points: DataFrame, k: int) -> DataFrame:
+    """The same rows as ``knn(points, k)`` for many points, ids being different longs: what a leaf's points need of other leaves is brought there once.
+
+    A point's k-th distance in its own leaf bounds what it needs; the points of other leaves in those bounds come to the leaf, which then answers. No
+    candidates are written or merged, and the answer isn't written either: use it once. Points that may need more than
+    ``NEAR_LEAVES`` leaves, and those of leaves with fewer than k points, are asked in rounds, as in ``knn``; copies of a place beyond k have their first one's answer.
+    ``points`` is read four times: write it if it is dear.
+    """
+    finite = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in XYZ))
+    all_ = points.where(finite).select(F.col("id").cast("long").alias("j"), *(F.col(c).cast("double").alias(f"p{c}") for c in XYZ))
+    n = all_.count()
+    leaves = max(1, min(MAX_LEAVES, n // LEAF))
+    if leaves == 1:
+        return knn(points, k)
+    share = SAMPLED * leaves / n
+    sample = all_.where(F.pmod(F.xxhash64("j"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*_PLACES).toArrow()
+    tree = Tree(np.array([c.to_numpy() for c in sample.columns]).T, leaves)
+
+    @F.pandas_udf("int")
+    def home(x, y, z):
+        import pandas as pd
+
+        return pd.Series(tree.leaf_of(np.column_stack([x, y, z])), dtype="int32")
+
+    first = Window.partitionBy(*_PLACES).orderBy("j")
+    placed = all_.withColumn("__n", F.row_number().over(first)).withColumn("first", F.when(F.col("__n") > k, F.first("j").over(first))).drop("__n")
+    leafed = stash(placed.withColumn("leaf", home(*_PLACES)), "knn-leaves")
+    copies, useful = leafed.where("first IS NOT NULL"), leafed.where("first IS NULL").select("leaf", "j", *_PLACES)
+    low, high = np.full((tree.leaves, 3), np.inf), np.full((tree.leaves, 3), -np.inf)
+    for r in useful.groupBy("leaf").agg(*(f(c) for f in (F.min, F.max) for c in _PLACES)).collect():
+        low[r[0]], high[r[0]] = r[1:4], r[4:7]
+    tree.set_boxes(low, high)
+    needs = stash(useful.groupBy("leaf").applyInArrow(_needs(tree, k), _NEEDS), "knn-needs")
+    boxes = needs.where("leaf >= 0").drop("j")
+    if boxes.count() <= SENT:
+        boxes = F.broadcast(boxes)
+    inside = reduce(lambda a, b: a & b, (F.col(f"p{c}").between(F.col(f"lo{c}"), F.col(f"hi{c}")) for c in XYZ))
+    named = needs.where("leaf < 0").select("src", "j", *(F.col(f"lo{c}").alias(f"p{c}") for c in XYZ))
+    brought = useful.join(boxes, "leaf").where(inside).select("src", "j", *_PLACES, F.lit(False).alias("named")).unionByName(named.withColumn("named", F.lit(True)))
+    left, right = useful.toDF("src", "j", *_PLACES), brought.toDF(*brought.columns)
+    answers = left.groupBy("src").cogroup(right.groupBy("src")).applyInArrow(_answered(k), "i long, rank int, j long, d2 double")
+    far = named.select(F.col("j").alias("id"), *(F.col(f"p{c}").alias(c) for c in XYZ))
+    if not far.isEmpty():
+        answers = answers.unionByName(knn(points, k, far))
+    if not copies.isEmpty():
+        again = answers.join(copies.select(F.col("first").alias("i"), F.col("j").alias("copy")), "i").select(F.col("copy").alias("i"), "rank", "j", "d2")
+        answers = answers.unionByName(again)
+    return answers
+
+
 def mean_squared(neighbours: DataFrame, ranks: tuple[int, int]) -> DataFrame:
     """Mean squared distance over ranks first..last."""
     return neighbours.where(F.col("rank").between(*ranks)).groupBy("i").agg(F.avg("d2").alias("mean_d2"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from geofold.functions.geom import apply, morton, quaternion_matrix, r6
 from geofold.operators import cluster, field, filters, knn, losses, mesh, sampling, stats
 from geofold.operators.knn import XYZ
+from geofold.operators.shared import stash
 from geofold.plans.book import Book, q6
-from geofold.plans.fixtures import CAMERAS, SPLATS, cameras, faces, splats, vertices
+from geofold.plans.fixtures import CAMERAS, SPLATS, cameras, corner_triples, splats, vertices
 from geofold.plans.measures import BOXED, EXTENT, extent
 
 BOOK = Book()
@@ -193,10 +194,14 @@ BOOK.sql["morton_order"] = f"WITH {SPLATS}, box AS (SELECT " + ", ".join(f"least
 @BOOK.query()
 def knn_edge_centres(spark: SparkSession, d: str) -> DataFrame:
     """The 8 edge midpoints nearest to each edge midpoint of the mesh."""
-    e = mesh.edge_usage(faces(spark, d))
-    ends = [vertices(spark, d).select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in XYZ)) for k in "uv"]
+    # edges of all proper order lines: those of the different faces among them are the same
+    triples = corner_triples(spark, d).where("a != b AND b != c AND a != c").withColumn("fid", F.lit(0))
+    e = stash(mesh.edges(triples).select("u", "v").distinct(), "edge-ends")
+    v = vertices(spark, d)
+    send = mesh.sender(v)
+    ends = [send(v.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in XYZ))) for k in "uv"]
     mids = e.join(ends[0], "u").join(ends[1], "v").select((F.shiftleft(F.col("u").cast("long"), 32) + F.col("v")).alias("id"), *(((F.col(f"u{c}") + F.col(f"v{c}")) / 2).alias(c) for c in XYZ))
-    return knn.knn(mids, 8).select("i", F.col("rank").cast("long").alias("rank"), "j", r6("d2").alias("d2"))
+    return knn.self_knn(mids, 8).select("i", F.col("rank").cast("long").alias("rank"), "j", r6("d2").alias("d2"))
 
 
 # ---- clusters

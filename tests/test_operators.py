@@ -28,6 +28,25 @@ def test_neighbours_are_exact(spark, monkeypatch, kind, leaf):
         assert [got[i, r] for r in range(len(order))] == order
 
 
+@pytest.mark.parametrize("kind", ["even", "clumped", "line", "copies"])
+def test_neighbours_of_all_points_are_exact(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    p = {"even": rng.random((400, 3)), "clumped": np.r_[rng.normal(0, 1e-3, (300, 3)), rng.normal(50, 9, (60, 3)), [[900.0, 0, 0]]], "line": np.c_[rng.integers(0, 90, 200), np.zeros((200, 2))], "copies": np.r_[np.ones((60, 3)), rng.random((200, 3))]}[kind]
+    monkeypatch.setattr(knn, "LEAF", 20)
+    monkeypatch.setattr(knn, "CLOSE", 8)
+    monkeypatch.setattr(knn, "NEAR_LEAVES", 5 if kind == "clumped" else 64)
+    written, asked = [], []
+    stash, rounds = knn.stash, knn.knn
+    monkeypatch.setattr(knn, "stash", lambda df, name: written.append(name) or stash(df, name))
+    monkeypatch.setattr(knn, "knn", lambda points, k, queries: asked.append(queries.count()) or rounds(points, k, queries))
+    rows = knn.self_knn(cloud(spark, p).unionByName(spark.createDataFrame([(999, None, 0.0, 0.0)], "id long, x double, y double, z double")), 4)
+    assert kind == "clumped" or not asked and set(written) == {"knn-leaves", "knn-needs"}  # no candidates
+    got = {(r.i, r.rank): (r.j, r.d2) for r in rows.collect()}
+    d = (p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2 + (p[:, None, 2] - p[None, :, 2]) ** 2
+    want = {(i, r): (j, d[i, j]) for i in range(len(p)) for r, j in enumerate(np.lexsort((np.arange(len(p)), d[i]))[:4].tolist())}
+    assert got == want and (kind != "clumped" or 0 < sum(asked) < len(p))
+
+
 def test_neighbours_of_nothing(spark):
     assert knn.knn(cloud(spark, np.zeros((0, 3))), 3).collect() == []
 
