@@ -30,25 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/geofold-{spark.sparkContext.applicationId}"
 
 
+#: Spark's setting for the bytes of an Arrow batch that Python workers get.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 @contextmanager
-def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Once a table is written, the shuffles that made it are never read again."""
-    before = spark.conf.get(CLEANUP_CONF, None)
-    spark.conf.set(CLEANUP_CONF, "true")
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP_CONF)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP_CONF, before)
+            spark.conf.set(key, before)
+
+
+def bounded_batches(spark: SparkSession):
+    """Rows of some MB each don't add up to one batch."""
+    return _set(spark, BATCH_CONF, str(BATCH_BYTES))
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _short_lived_shuffles(spark):
+    with _set(spark, CLEANUP_CONF, "true"):  # once a table is written, the shuffles that made it are never read again
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._geofold_path = path
